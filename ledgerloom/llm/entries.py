@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import bpe, quality_rules
 from .common import read
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_quality_rules": lambda spark, d: quality_rules.quality_digest(read(spark, d, "documents")),
+        "op5_byte_bpe": lambda spark, d: bpe.bpe_digest(read(spark, d, "documents")),
     }
 
 
