@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality_rules
+from . import bpe, decontam, quality_rules
 from .common import read
 
 
@@ -14,8 +14,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_quality_rules": lambda spark, d: quality_rules.quality_digest(read(spark, d, "documents")),
         "op5_byte_bpe": lambda spark, d: bpe.bpe_digest(read(spark, d, "documents")),
+        "op6_decontamination": lambda spark, d: decontam.decontam_digest(read(spark, d, "documents"), read(spark, d, "benchmark")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality_rules.ORACLE}
+    return {
+        "op3_quality_rules": quality_rules.ORACLE,
+        "op6_decontamination": decontam.ORACLE,
+    }
