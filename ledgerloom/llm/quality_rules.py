@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, let
+from .common import let
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -22,60 +22,78 @@ SENTENCE_MARKS = r"[.!?…。！？։؟।:;]"
 MENU_MARKS = "|»›•·"
 #: Phrases of notices that surround texts on the web.
 BOILERPLATE = (
-    r"(?i)all rights reserved|cookie policy|privacy policy|terms of (?:use|service)|"
-    r"(?:enable|requires?|turn on) javascript|lorem ipsum|subscribe to our newsletter|"
-    r"click here to|log ?in to comment|skip to (?:main )?content"
+    "all rights reserved",
+    "cookie policy",
+    "privacy policy",
+    "terms of use",
+    "terms of service",
+    "enable javascript",
+    "requires javascript",
+    "lorem ipsum",
+    "subscribe to our newsletter",
+    "click here to",
+    "log in to comment",
+    "skip to content",
 )
+_WORD = r"[^\x20\x09-\x0D]"
 
 
 def words(text: Column) -> Column:
     """Maximal runs of characters that are not ASCII white space."""
-    spaced = F.translate(text, BLANKS, " " * len(BLANKS))
-    return F.filter(F.split(spaced, " "), lambda w: w != "")
+    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.length(F.translate(text, chars, ""))
+def _count(text: Column, chars: str) -> Column:
+    """How many characters of ``text`` are among ``chars``; texts without any are only looked through."""
+    listed = "[" + "".join("\\" + c if c in "|$*&" else c for c in chars) + "]"
+    return F.when(text.rlike(listed), F.length(text) - F.length(F.translate(text, chars, ""))).otherwise(0)
 
 
 def repeated_window_words(ws: Column) -> Column:
     """How many words lie in a three-word window that the text holds twice or more.
 
-    Windows are sorted by a hash, then by themselves, so equal ones are neighbours: O(n log n) for a text.
+    Windows are sorted by a 64-bit hash, so equal ones are neighbours, and neighbours are compared word by word:
+    O(n log n) for a text of n words.
     """
-    windows = F.transform(
-        F.slice(ws, F.lit(1), F.greatest(F.size(ws) - 2, F.lit(0))),
-        lambda w, i: F.concat_ws(" ", w, F.get(ws, i + 1), F.get(ws, i + 2)),
-    )
-    ordered = lambda t: F.sort_array(F.transform(t, lambda x, i: F.struct(F.xxhash64(x).alias("h"), x.alias("x"), i.alias("i"))))
+    hashes = F.transform(F.slice(ws, F.lit(1), F.greatest(F.size(ws) - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(ws, i + 1), F.get(ws, i + 2)))
+    ordered = lambda t: F.sort_array(F.transform(t, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+
+    def alike(x: Column, y: Column) -> Column:
+        equal = (x["h"] == y["h"]) & (F.get(ws, x["i"]) == F.get(ws, y["i"])) & (F.get(ws, x["i"] + 1) == F.get(ws, y["i"] + 1)) & (F.get(ws, x["i"] + 2) == F.get(ws, y["i"] + 2))
+        return F.coalesce(equal, F.lit(False))
 
     def starts(s: Column) -> Column:
-        same = lambda x, j: F.coalesce(F.get(s, j)["h"] == x["h"], F.lit(False)) & F.coalesce(F.get(s, j)["x"] == x["x"], F.lit(False))
-        marked = F.transform(s, lambda x, j: F.when(same(x, j - 1) | same(x, j + 1), x["i"]))
+        marked = F.transform(s, lambda x, j: F.when(alike(x, F.get(s, j - 1)) | alike(x, F.get(s, j + 1)), x["i"]))
         return F.filter(marked, lambda i: i.isNotNull())
 
     covered = lambda at: F.size(F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(i, i + 1, i + 2)))))
-    return let(windows, lambda t: F.when(F.size(F.array_distinct(t)) == F.size(t), F.lit(0)).otherwise(let(ordered(t), lambda s: covered(starts(s)))))
+    return let(hashes, lambda t: F.when(F.size(F.array_distinct(t)) == F.size(t), F.lit(0)).otherwise(let(ordered(t), lambda s: covered(starts(s)))))
 
 
-def line_verdicts(lines: Column, max_symbols: float, max_shouts: float, max_menu: float, fragment_words: int) -> Column:
-    """One struct per line: the line, its number of words, and whether it stays.
+def failing_lines(text: Column, max_symbols: float, max_shouts: float, max_menu: float, fragment_words: int) -> Column:
+    """Per line of ``text`` a struct: the line, and whether it fails.
 
-    A line goes if it has too many symbols or exclamation marks a word (punctuation), too many menu marks a word or is
-    a short fragment without any sentence mark (navigation), or holds a boilerplate phrase. Blank lines stay.
+    A line fails if it has too many symbols or exclamation marks a word (punctuation), too many menu marks a word or is
+    a short fragment without any sentence mark (navigation), or holds a boilerplate phrase. Blank lines do not fail.
+    Rules that no line of a text can break are not evaluated line by line.
     """
+    marks = "[" + "".join("\\" + c if c in "|$*&" else c for c in dict.fromkeys(SYMBOLS + MENU_MARKS + "!")) + "]"
+    holds = lambda x: F.reduce(F.array(*[F.contains(x, F.lit(p)) for p in BOILERPLATE]), F.lit(False), lambda a, b: a | b)
+
+    def judged(flags: Column) -> Column:
+        def judge(line: Column) -> Column:
+            n = F.regexp_count(line, F.lit(_WORD + "+"))
+            marked = lambda k: (_count(line, SYMBOLS) > max_symbols * k) | (_count(line, "!") > max_shouts * k + 2) | (_count(line, MENU_MARKS) > max_menu * k)
+            fails = (
+                F.when(flags["marks"], let(n, lambda k: (k > 0) & marked(k))).otherwise(False)
+                | (~line.rlike(SENTENCE_MARKS) & n.between(1, fragment_words))
+                | F.when(flags["notice"], holds(F.lower(line))).otherwise(False)
+            )
+            return F.struct(line.alias("line"), fails.alias("fails"))
 
-    def judge(line: Column) -> Column:
-        n = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
-        size = F.length(line)
-        symbols = size - _without(line, SYMBOLS)
-        shouts = size - _without(line, "!")
-        menu = size - _without(line, MENU_MARKS)
-        fragment = (n <= fragment_words) & ~line.rlike(SENTENCE_MARKS)
-        bad = (symbols > max_symbols * n) | (shouts > max_shouts * n + 2) | (menu > max_menu * n) | fragment | line.rlike(BOILERPLATE)
-        return let(n, lambda k: F.struct(line.alias("line"), k.alias("n"), ((k == 0) | ~bad).alias("stays")))
+        return F.transform(F.split(text, "\n"), judge)
 
-    return F.transform(lines, judge)
+    return let(F.struct(text.rlike(marks).alias("marks"), let(F.lower(text), holds).alias("notice")), judged)
 
 
 def clean_lines(
@@ -100,21 +118,27 @@ def clean_lines(
     each by itself. An empty table gives an empty result.
     """
     text = F.coalesce(F.col("_text"), F.lit(""))
-    has_word = lambda line: _without(line, BLANKS) > 0
+    has_word = lambda line: line.rlike(_WORD)
     judged = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("_text")).select(
         "row",
         "_text",
-        let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_window_words(w).cast("long").alias("n_repeat_words"))).alias("_w"),
+        let(
+            words(text),
+            lambda w: F.struct(
+                F.size(w).cast("long").alias("n_words"),
+                F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+                repeated_window_words(w).cast("long").alias("n_repeat_words"),
+            ),
+        ).alias("_w"),
         let(F.filter(F.split(text, "\n"), has_word), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         let(
-            line_verdicts(F.split(text, "\n"), max_symbols, max_shouts, max_menu, fragment_words),
+            failing_lines(text, max_symbols, max_shouts, max_menu, fragment_words),
             lambda v: F.struct(
-                F.array_join(F.transform(F.filter(v, lambda x: x["stays"]), lambda x: x["line"]), "\n").alias("text"),
-                F.aggregate(v, F.lit(0).cast("long"), lambda a, x: a + F.when(x["stays"], 0).otherwise(x["n"])).alias("lost"),
+                F.array_join(F.transform(F.filter(v, lambda x: ~x["fails"]), lambda x: x["line"]), "\n").alias("text"),
+                F.aggregate(F.filter(v, lambda x: x["fails"]), F.lit(0).cast("long"), lambda a, x: a + F.regexp_count(x["line"], F.lit(_WORD + "+"))).alias("lost"),
             ),
         ).alias("_v"),
-        F.length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
-        (F.length(text) - _without(text, SYMBOLS)).cast("long").alias("n_symbols"),
+        _count(text, SYMBOLS).cast("long").alias("n_symbols"),
     )
     n = F.col("_w.n_words")
     failed = (n < min_words) | (100 * F.col("_w.n_repeat_words") > max_repeat_percent * n)
@@ -122,7 +146,7 @@ def clean_lines(
         "row",
         F.when(F.col("_text").isNotNull(), F.col("_v.text")).alias("clean_text"),
         n.alias("n_words"),
-        "word_chars",
+        F.col("_w.word_chars").alias("word_chars"),
         "n_symbols",
         "n_dup_lines",
         F.col("_w.n_repeat_words").alias("n_repeat_words"),
@@ -162,7 +186,7 @@ v AS (
      OR len(s.l) - len(replace(s.l, '!', '')) > 0.5 * s.n + 2
      OR len(s.l) - len(regexp_replace(s.l, '[|»›•·]', '', 'g')) > 0.3 * s.n
      OR (s.n <= 4 AND NOT regexp_matches(s.l, '[.!?…。！？։؟।:;]'))
-     OR regexp_matches(s.l, '(?i)all rights reserved|cookie policy|privacy policy|terms of (?:use|service)|(?:enable|requires?|turn on) javascript|lorem ipsum|subscribe to our newsletter|click here to|log ?in to comment|skip to (?:main )?content')
+     OR regexp_matches(lower(s.l), 'all rights reserved|cookie policy|privacy policy|terms of (?:use|service)|(?:enable|requires) javascript|lorem ipsum|subscribe to our newsletter|click here to|log in to comment|skip to content')
      ) THEN s.n ELSE 0 END)) AS lost
   FROM j),
 g AS (
