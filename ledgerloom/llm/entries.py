@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, quality_rules
+from . import bpe, decontam, near_dedup, quality_rules
 from .common import read
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_near_dedup": lambda spark, d: near_dedup.near_duplicates(read(spark, d, "documents").select("doc_id", "text")),
         "op3_quality_rules": lambda spark, d: quality_rules.quality_digest(read(spark, d, "documents")),
         "op5_byte_bpe": lambda spark, d: bpe.bpe_digest(read(spark, d, "documents")),
         "op6_decontamination": lambda spark, d: decontam.decontam_digest(read(spark, d, "documents"), read(spark, d, "benchmark")),
