@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, near_dedup, quality_rules
+from . import bpe, decontam, near_dedup, quality_rules, repeats
 from .common import read
 
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_rules": lambda spark, d: quality_rules.quality_digest(read(spark, d, "documents")),
         "op5_byte_bpe": lambda spark, d: bpe.bpe_digest(read(spark, d, "documents")),
         "op6_decontamination": lambda spark, d: decontam.decontam_digest(read(spark, d, "documents"), read(spark, d, "benchmark")),
+        "op8_suffix_repeats": lambda spark, d: repeats.repeats_digest(read(spark, d, "documents")),
     }
 
 
