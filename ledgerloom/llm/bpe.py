@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _LEVEL = 64
+_BIT = [1 << i for i in range(_LEVEL)]
 
 
 class RankQueue:
@@ -40,10 +41,13 @@ class RankQueue:
             heapq.heappush(bucket, at)
             return
         self.buckets[rank] = [at]
-        i, j = rank >> 6, rank >> 12
-        self.leaf[i] |= 1 << (rank & 63)
-        self.middle[j] |= 1 << (i & 63)
-        self.top |= 1 << j
+        i = rank >> 6
+        x = self.leaf[i]
+        self.leaf[i] = x | _BIT[rank & 63]
+        if not x:  # the levels above change only with a leaf's first bit
+            j = i >> 6
+            self.middle[j] |= _BIT[i & 63]
+            self.top |= _BIT[j]
 
     def lowest(self) -> int:
         if not self.top:
@@ -57,22 +61,23 @@ class RankQueue:
     def pop(self, rank: int) -> int:
         """The leftmost position of a rank; clears the bits of a bucket that empties."""
         bucket = self.buckets[rank]
-        at = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            i, j = rank >> 6, rank >> 12
-            self.leaf[i] &= ~(1 << (rank & 63))
-            if not self.leaf[i]:
-                self.middle[j] &= ~(1 << (i & 63))
-                if not self.middle[j]:
-                    self.top &= ~(1 << j)
-        return at
+        if len(bucket) > 1:
+            return heapq.heappop(bucket)
+        del self.buckets[rank]
+        i = rank >> 6
+        self.leaf[i] = x = self.leaf[i] ^ _BIT[rank & 63]
+        if not x:
+            j = i >> 6
+            self.middle[j] = m = self.middle[j] ^ _BIT[i & 63]
+            if not m:
+                self.top ^= _BIT[j]
+        return bucket[0]
 
 
 class Codec:
     """Encoder and decoder for one table of ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo_chars: int = 3_000_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo_chars: int = 5_000_000) -> None:
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         n = max(ranks.values()) + 1
         self.tokens: list[bytes] = [b""] * n
@@ -81,55 +86,54 @@ class Codec:
         self.names = [str(i) for i in range(n)]
         self.queue, self.memo_chars, self.held = RankQueue(n), memo_chars, 0
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}  # the memo before the last: what is still in use moves on from it
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """The ids of one pre-token."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        ranks, queue, n = self.ranks, self.queue, len(piece)
+        rank_of, queue, n = self.ranks.get, self.queue, len(piece)
+        push, pop, lowest = queue.push, queue.pop, queue.lowest
         part: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [-1] * n
-        for i in range(n - 1):
-            r = ranks.get(piece[i : i + 2])
+        pair: list[int | None] = [*map(rank_of, [piece[i : i + 2] for i in range(n - 1)]), None]
+        for i, r in enumerate(pair):
             if r is not None:
-                pair[i] = r
-                queue.push(r, i)
-        while (r := queue.lowest()) >= 0:
-            i = queue.pop(r)
+                push(r, i)
+        while (r := lowest()) >= 0:
+            i = pop(r)
             if pair[i] != r:
                 continue  # stale: the pair at this place has changed
             j = after[i]
-            part[i], part[j], pair[j] = part[i] + part[j], None, -1
+            part[i] = here = part[i] + part[j]
+            part[j] = pair[j] = None
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                r = ranks.get(part[i] + part[k])
-                pair[i] = -1 if r is None else r
+                pair[i] = r = rank_of(here + part[k])
                 if r is not None:
-                    queue.push(r, i)
+                    push(r, i)
             else:
-                pair[i] = -1
+                pair[i] = None
             h = before[i]
             if h >= 0:
-                r = ranks.get(part[h] + part[i])
-                if r is None:
-                    pair[h] = -1
-                elif r != pair[h]:
+                r = rank_of(part[h] + here)
+                if r != pair[h]:
                     pair[h] = r
-                    queue.push(r, h)
+                    if r is not None:
+                        push(r, h)
+        ranks = self.ranks
         return tuple(ranks[x] for x in part if x is not None)
 
     def encode(self, text: str) -> list[int]:
         memo, pieces = self.memo, self.find(text)
         for p in set(pieces).difference(memo):
-            memo[p] = self.merge(p.encode())
+            memo[p] = self.old.get(p) or self.merge(p.encode())
             self.held += len(p)
         ids = list(chain.from_iterable(map(memo.__getitem__, pieces)))
         if self.held > self.memo_chars:
-            memo.clear()
-            self.held = 0
+            self.old, self.memo, self.held = memo, {}, 0
         return ids
 
     def decode(self, ids: Iterable[int]) -> bytes:
