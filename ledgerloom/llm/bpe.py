@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 _LEVEL = 64
 _BIT = [1 << i for i in range(_LEVEL)]
 
@@ -158,6 +160,7 @@ def _codec(data: bytes, pattern: str) -> Codec:
 
 def _map(df: DataFrame, source: str, out: T.StructType, ranks_path: str, pattern: str, keep: list[str] | None, each) -> DataFrame:
     """``each(codec, value)`` for column ``source`` of every row, its tuple put beside a struct of the kept columns."""
+    small_batches(df.sparkSession)
     with open(ranks_path, "rb") as f:  # a vocabulary: 50,000 lines, however many rows there are
         table = df.sparkSession.sparkContext.broadcast(f.read())
     rows = df.select(F.struct(*(["*"] if keep is None else keep)).alias("row"), F.col(source).alias("value"))

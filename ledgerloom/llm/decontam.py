@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches, stored
+
 #: A-Z to lower case; every other ASCII byte that is no digit or small letter divides words; bytes of other characters stay.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -49,6 +51,7 @@ def build_index(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_
     segment, with a gap between documents, so no phrase spans two. A segment ends at ``segment_words`` words; a longer text
     is a segment of its own, whole. Null ids and texts are kept (null text: no words); repeated rows are separate documents.
     """
+    small_batches(docs.sparkSession)
     numbers = {t.encode(): i for i, t in enumerate(terms)}
     shared = docs.sparkSession.sparkContext.broadcast(numbers)
     kind = docs.schema[id_col].dataType
@@ -185,8 +188,6 @@ def contaminated(docs: DataFrame, items: DataFrame, *, size: int = 10, slop: int
         rows = [(r.item, r.offset, r.terms) for r in queries.collect()]
         terms = sorted({t for _, _, ts in rows for t in ts})
         return search(build_index(docs, terms, id_col, text_col), rows, terms, slop)
-    from .common import stored
-
     numbered = stored(docs.select(F.struct(F.monotonically_increasing_id().alias("n"), F.col(id_col).alias("id")).alias("_key"), F.col(text_col).alias("_text")), "decontam")
     queries = stored(queries.withColumn("block", F.pmod(F.xxhash64("item", "offset"), F.lit(n_blocks))), "phrases")
     found = None

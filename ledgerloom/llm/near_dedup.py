@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import small_batches, stored
 
 CHUNKS, WIDTH = 12, 5
 VALUES = CHUNKS * WIDTH
@@ -207,6 +207,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     share a component; each gets its row. Null ids are ignored for the smallest id. ``percent`` under 85 weakens the
     guarantee of the signature distance; it must be raised with it. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
     rows = stored(sketches(docs, id_col, text_col, size), "sketches")
     classes = rows.filter("n > 0").groupBy("set_key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))

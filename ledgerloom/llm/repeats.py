@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small_batches, stored
 
 GRAM = 40
 _RNG = np.random.default_rng(20_240_229)
@@ -279,6 +279,7 @@ def _dealt_spans(contexts: DataFrame, size: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 200, most_contexts: int = 1000) -> DataFrame:
     """``id``, ``th`` (hash of the text) and ``spans`` (byte ranges, possibly overlapping) covered by strings of ``size`` bytes that
     start at two places or more, for every text that has any."""
+    small_batches(docs.sparkSession)
     keyed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     places = _places(keyed, size)
     often = places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
