@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, near_dedup, pii, quality_rules, repeats
+from . import bpe, decontam, near_dedup, pii, quality_rules, repeats, secrets
 from .common import read
 
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_byte_bpe": lambda spark, d: bpe.bpe_digest(read(spark, d, "documents")),
         "op6_decontamination": lambda spark, d: decontam.decontam_digest(read(spark, d, "documents"), read(spark, d, "benchmark")),
         "op9_pii": lambda spark, d: pii.pii_digest(read(spark, d, "documents")),
+        "op7_secret_scan": lambda spark, d: secrets.secrets_digest(read(spark, d, "documents")),
         "op8_suffix_repeats": lambda spark, d: repeats.repeats_digest(read(spark, d, "documents")),
     }
 

@@ -1,0 +1,26 @@
+import pytest
+
+from ledgerloom.llm import secrets
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secrets.Forest(spark)
+
+
+def test_held_out_findings(spark, forest):
+    rows = secrets.labelled(spark, 6000).withColumn("p", forest.score(secrets.F.col("c"))).filter("part = 3").collect()
+    right = sum((r.p >= 0.5) == bool(r.label) for r in rows)
+    assert right >= 0.93 * len(rows)
+
+
+def test_scan_places_and_edges(spark, forest):
+    key = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2"
+    texts = [f'é les token = "{key}" enon', f"commit {key} merged", "", None, "see /usr/share/doc/python/examples/index2.html for more", "a" * 30_000 + "1", f'token = "{key}" token = "{key}"']
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(0, texts[0], 1)], "doc_id long, text string, s long")
+    rows = secrets.scan(df, forest=forest).collect()
+    assert len(rows) == len(texts) + 1
+    for r in rows:
+        found = [r.row.text[f.s : f.e] for f in r.findings if f.secret]
+        assert found == {0: [key], 6: [key, key]}.get(r.row.doc_id, [])
+    assert secrets.scan(df.limit(0), forest=forest).collect() == []
