@@ -119,7 +119,7 @@ def labelled(spark: SparkSession, rows: int = 6000) -> DataFrame:
     iban = F.when(good, iban).otherwise(F.concat(_pick(key, "land", ["NO", "AB", "XX", "SN"]), _number(key, "i", 2), F.regexp_replace(F.substring(F.upper(F.sha1(key.cast("string"))), 1, 14), "[0-9]", "A")))
     cues = {"email": ["mail me: ", "contact ", "write to "], "ip": ["from ", "login from ip ", "host "], "card": ["card ", "paid by visa ", "credit "], "phone": ["call ", "phone: ", "tel "], "ssn": ["ssn ", "social security ", "name, "], "iban": ["iban ", "bank account ", "to "]}
     decoys = ["version ", "order ", "ref ", "part ", "build ", "serial "]
-    cue = F.when(good, F.coalesce(*[F.when(kind == k, _pick(key, "cue", [*v, "and the ", "is "])) for k, v in cues.items()])).otherwise(F.when(key % 5 < 3, _pick(key, "decoy", decoys)).otherwise(_pick(key, "none", ["and the ", "was ", "of "])))
+    cue = F.when(good, F.coalesce(*[F.when(kind == k, _pick(key, "cue", [*v, "and the ", "is "])) for k, v in cues.items()])).otherwise(F.when((key % 5 < 3) | (kind == "ip"), _pick(key, "decoy", decoys)).otherwise(_pick(key, "none", ["and the ", "was ", "of "])))
     v = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", F.when(key % 3 == 0, spaced).otherwise(card)).when(kind == "phone", phone).when(kind == "ssn", ssn).otherwise(iban)
     c = F.struct(kind.alias("kind"), v.alias("v"), cue.alias("before"), _pick(key, "after", [" and", ".", ", ", " ", "\n"]).alias("after"))
     return spark.range(rows).select(c.alias("c"), good.cast("double").alias("label"), F.pmod(F.xxhash64(key, F.lit("part")), F.lit(4)).alias("part"))
