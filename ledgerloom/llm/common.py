@@ -54,3 +54,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 def held_out(doc_id: Column) -> Column:
     """True for the rows that learning may not see: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
+
+
+def labelled_sample(labels: DataFrame, key: str, label: str, cells: int) -> list[tuple]:
+    """At most ``cells`` (key, label) rows of each label, drawn by hash: the smallest hash of each cell.
+
+    A minimum per cell combines on the map side, so a label with most of the rows is no hot group.
+    """
+    h = F.xxhash64(F.col(key).cast("string"))
+    drawn = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(label, F.pmod(h, F.lit(cells)).alias("cell"))
+    rows = drawn.agg(F.min(F.struct(h.alias("h"), F.col(key).alias("k"))).alias("m")).select(F.col("m.k").alias("k"), label, F.col("m.h").alias("h"))
+    return [(r[0], r[1]) for r in sorted(rows.collect(), key=lambda r: (str(r[1]), r[2]))]
