@@ -188,16 +188,20 @@ def _tile_links(key: tuple, tile: pa.Table, percent: int, columns: int = 4096) -
     return pa.table({"a": pa.array(cid[i[one]], pa.int64()), "b": pa.array(cid[j[one]], pa.int64())})
 
 
-def _cross_links(rows: DataFrame, sets: DataFrame, percent: int, tile: int) -> DataFrame:
-    """Links across components among rows (key, cid, comp), every key cut into tiles and every two tiles compared once."""
-    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+def _cross_links(rows: DataFrame, sets: DataFrame, percent: int, tile: int, tile_shingles: int = 500_000) -> DataFrame:
+    """Links across components among rows (key, cid, comp), every key cut into tiles and every two tiles compared once.
+
+    A tile holds about ``tile`` members and ``tile_shingles`` shingles, so members are repeated only under very large keys.
+    """
+    total = rows.join(sets.select("cid", "n"), "cid").groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    sizes = total.select("key", F.greatest(F.ceil(F.col("m") / tile), F.ceil(F.col("n") / tile_shingles)).cast("int").alias("tiles"))
     dealt = rows.join(sizes, "key").withColumn("t", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int"))
     met = dealt.select("key", "cid", "comp", F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least(o, "t").alias("i"), F.greatest(o, "t").alias("j")))).alias("at"))
     full = met.join(sets.select("cid", "shingles"), "cid").select("key", "at.i", "at.j", "cid", "comp", "shingles")
     return full.groupBy("key", "i", "j").applyInArrow(lambda k, t: _tile_links(k, t, percent), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, percent: int = 85, tile: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, percent: int = 85, tile: int = 1024) -> DataFrame:
     """Group documents linked by ``100 * intersection >= percent * union`` of their shingle sets.
 
     Returns one row per input row: the id, ``n_shingles``, ``component_id`` (the smallest id reachable over links, itself

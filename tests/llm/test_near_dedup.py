@@ -46,7 +46,7 @@ def corpus(seed):
 def test_equals_brute_force_with_edge_cases(spark):
     rows = [*corpus(3), (9001, None), (9002, ""), (9003, " \t\n"), (9004, "One two"), (9005, "one TWO"), (9006, "one two three"), (9007, "a b c d e"), (9007, "a b c d e")]
     df = spark.createDataFrame([(d, t, "x", d) for d, t in rows], "doc_id long, text string, cid string, key long")
-    for tile in (256, 4):
+    for tile in (1024, 4):
         got = near_dedup.near_duplicates(df, tile=tile).collect()
         assert sorted(map(tuple, got)) == brute(rows)
     kept = near_dedup.one_of_each(df)
