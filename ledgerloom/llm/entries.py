@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, near_dedup, pii, quality_model, quality_rules, repeats, secrets
+from . import bpe, decontam, html_extract, langid, near_dedup, pii, quality_model, quality_rules, repeats, secrets
 from .common import read
 
 
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_dedup": lambda spark, d: near_dedup.near_duplicates(read(spark, d, "documents").select("doc_id", "text")),
         "op2_quality_classifier": lambda spark, d: quality_model.quality_scores(read(spark, d, "documents"), read(spark, d, "labels")),
+        "op10_html_extraction": lambda spark, d: html_extract.html_digest(read(spark, d, "pages")),
         "op3_quality_rules": lambda spark, d: quality_rules.quality_digest(read(spark, d, "documents")),
         "op4_language_id": lambda spark, d: langid.langid_digest(read(spark, d, "documents")),
         "op5_byte_bpe": lambda spark, d: bpe.bpe_digest(read(spark, d, "documents")),
