@@ -201,13 +201,24 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "te
     The digests spare the job from writing ids twice the size of the text. Nulls count as empty texts.
     """
 
-    def digest(codec: Codec, text: str | None) -> tuple[int, str, str]:
+    out = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    return _map(df, text_col, out, ranks_path, pattern, keep, lambda codec, text: _digest(codec, codec.encode(text or "")))
+
+
+def encoded_and_checked(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """As :func:`round_trip`, with the ids themselves beside the digests."""
+
+    def each(codec: Codec, text: str | None) -> tuple:
         ids = codec.encode(text or "")
-        listed = " ".join(map(codec.names.__getitem__, ids))
-        return len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()
+        return (*_digest(codec, ids), ids)
 
-    out = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return _map(df, text_col, out, ranks_path, pattern, keep, digest)
+    out = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return _map(df, text_col, out, ranks_path, pattern, keep, each)
+
+
+def _digest(codec: Codec, ids: list[int]) -> tuple[int, str, str]:
+    listed = " ".join(map(codec.names.__getitem__, ids))
+    return len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()
 
 
 def bpe_digest(docs: DataFrame) -> DataFrame:
