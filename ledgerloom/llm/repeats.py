@@ -5,8 +5,8 @@ hash among its 40-byte substrings as its anchor, wherever it stands, so equal st
 offset. An anchor with the surroundings of all strings that pick it is a context (at most 360 bytes). Then
 
 1. anchors that occur once in the corpus are dropped, by a count with map-side combining;
-2. equal contexts of an anchor are one, with a multiplicity;
-3. the distinct contexts of an anchor meet in one task: a suffix array with common-prefix lengths is scanned with a stack
+2. equal contexts of an anchor are one, with a multiplicity; one that occurs twice or more is a repeat group as a whole;
+3. a context that occurs once meets the other contexts of its anchor in one task: a suffix array with common-prefix lengths is scanned with a stack
    into the tree of common-prefix intervals; an interval of 200 bytes or more whose suffixes differ in the byte to their
    left (or begin a context) is a maximal repeat group with all its occurrences;
 4. what a context repeats is carried to all its places in the corpus.
@@ -92,45 +92,32 @@ def anchors(texts: list[bytes], size: int) -> tuple[np.ndarray, ...]:
         return doc, a - base, first - base, final - base, roll.ranges(a, a + GRAM).view(np.int64), roll.ranges(first, final + size).view(np.int64)
 
 
-def suffix_array(data: np.ndarray, rest: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes sorted by their first ``depth`` bytes or more (8 times a power of two), and the lengths of the common
-    prefixes of neighbours, up to that many bytes. ``rest`` is how many bytes each suffix has until its text ends."""
-    n, m = len(data), 8
-    at = np.arange(n)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
-    key = np.zeros(n, np.uint64)
-    for i in range(8):
-        key |= np.where(rest > i, padded[i : i + n], 0).astype(np.uint64) << np.uint64(56 - 8 * i)
-    _, rank = np.unique(key, return_inverse=True)
-    _, rank = np.unique(rank.astype(np.int64) * 9 + np.minimum(rest, 8), return_inverse=True)
-    ranks = [rank.astype(np.int64)]
-    while m < depth:
-        r = ranks[-1]
-        after = np.where(rest > m, r[np.minimum(at + m, n - 1)] + 1, 0)
-        _, rank = np.unique(r * (n + 1) + after, return_inverse=True)
-        ranks.append(rank.astype(np.int64))
-        m *= 2
-    order = np.argsort(ranks[-1], kind="stable")
-    a, b = order[:-1].copy(), order[1:].copy()
-    left = np.minimum(rest[a], rest[b])
-    common = np.zeros(len(a), np.int64)
-    for r, m in zip(reversed(ranks), [8 << k for k in reversed(range(len(ranks)))], strict=True):
-        same = (left - common >= m) & (r[np.minimum(a + common, n - 1)] == r[np.minimum(b + common, n - 1)])
-        common += same * m
-    open_ = np.ones(len(a), bool)
-    for _ in range(7):  # the last bytes, under 8
-        open_ &= (common < left) & (data[np.minimum(a + common, n - 1)] == data[np.minimum(b + common, n - 1)])
-        common += open_
-    return order, common
-
-
-def intervals(order: np.ndarray, common: np.ndarray, data: np.ndarray, starts_text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Maximal repeat groups (length, first, last index in ``order``): nodes of the common-prefix interval tree of ``least``
+def suffix_array(texts: list[bytes], least: int, cap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes of at least ``least`` bytes of all texts, sorted by their first ``cap`` bytes: text, start, and the length of
+    the prefix that each has in common with the next (up to ``cap``)."""
+    owner = [i for i, t in enumerate(texts) for _ in range(len(t) - least + 1)]
+    start = [k for t in texts for k in range(len(t) - least + 1)]
+    suffixes = [t[k : k + cap] for t in texts for k in range(len(t) - least + 1)]
+    order = sorted(range(len(suffixes)), key=suffixes.__getitem__)
+    sizes = np.fromiter((len(suffixes[i]) for i in order), np.int64, len(order))
+    common = np.minimum(sizes[:-1], sizes[1:])
+    for lo in range(0, len(order) - 1, 8192):
+        part = order[lo : lo + 8193]
+        rows = np.frombuffer(b"".join([suffixes[i].ljust(cap, b"\0") for i in part]), np.uint8).reshape(len(part), cap)
+        unlike = rows[1:] != rows[:-1]
+        first = np.where(unlike.any(axis=1), unlike.argmax(axis=1), cap)
+        common[lo : lo + len(first)] = np.minimum(common[lo : lo + len(first)], first)
+    at = np.array(order, np.int64)
+    return np.array(owner, np.int64)[at], np.array(start, np.int64)[at], common
+
+
+def intervals(common: np.ndarray, left: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """Maximal repeat groups (length, first, last place in the suffix array): nodes of the common-prefix interval tree of ``least``
     bytes or more whose suffixes do not all follow the same byte.
 
-    The scan keeps the open intervals on a stack; each carries the one byte seen to the left so far, or -1 for several.
+    ``left`` has the byte before each suffix, -1 where a text begins. The scan keeps the open intervals on a stack; each
+    carries the one byte seen to the left so far, or -1 for several.
     """
-    left = np.where(starts_text[order], -1, data[order - 1].astype(np.int64))
     out: list[tuple[int, int, int]] = []
     deep = common >= least
     edges = np.flatnonzero(np.diff(np.concatenate([[False], deep, [False]]).astype(np.int8)))
@@ -156,25 +143,12 @@ def maximal_repeats(texts: list[bytes], counts: list[int], least: int) -> list[t
     """Maximal repeat groups of some texts: (length, occurrences as (text, start)), all occurrences of each.
 
     A text that counts twice or more is laid out twice, so what it shares with its own copy is a repeat. Lengths are exact
-    up to ``least`` rounded up to a power of two, and capped there.
+    up to twice ``least``, and capped there.
     """
     laid = [i for i, c in enumerate(counts) for _ in range(2 if c > 1 else 1)]
-    lengths = np.array([len(texts[i]) for i in laid], np.int64)
-    data = np.frombuffer(b"".join(texts[i] for i in laid), np.uint8)
-    begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    depth = 8
-    while depth < least:
-        depth *= 2
-    if not len(data):
-        return []
-    texts_of = np.repeat(np.arange(len(laid)), lengths)
-    rest = begins[texts_of] + lengths[texts_of] - np.arange(len(data))
-    order, common = suffix_array(data, rest, depth)
-    owner = texts_of[order]
-    first = np.zeros(len(data), bool)
-    first[begins[lengths > 0]] = True
-    groups = intervals(order, common, data, first, least)
-    return [(length, sorted({(laid[o], int(p - begins[o])) for o, p in zip(owner[a : b + 1], order[a : b + 1], strict=True)})) for length, a, b in groups]
+    owner, start, common = suffix_array([texts[i] for i in laid], least, 2 * least)
+    left = np.fromiter((texts[laid[o]][k - 1] if k else -1 for o, k in zip(owner.tolist(), start.tolist(), strict=True)), np.int64, len(owner))
+    return [(length, sorted({(laid[o], k) for o, k in zip(owner[a : b + 1].tolist(), start[a : b + 1].tolist(), strict=True)})) for length, a, b in intervals(common, left, least)]
 
 
 def _covered(texts: list[bytes], counts: list[int], least: int) -> list[list[tuple[int, int]]]:
@@ -240,7 +214,7 @@ def _contexts(wanted: DataFrame, docs: DataFrame, size: int) -> DataFrame:
 _SPANS = "h long, ctx long, width int, spans array<struct<a:int,b:int>>"
 
 
-def _tree_spans(contexts: DataFrame, size: int, bytes_at_once: int = 1 << 20) -> DataFrame:
+def _tree_spans(contexts: DataFrame, size: int, bytes_at_once: int = 1 << 19) -> DataFrame:
     """Covered ranges of every context, from the interval trees of its anchor's contexts.
 
     Contexts come sorted by anchor; a suffix array takes whole anchors until it holds ``bytes_at_once``.
@@ -249,8 +223,8 @@ def _tree_spans(contexts: DataFrame, size: int, bytes_at_once: int = 1 << 20) ->
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(rows: list[tuple]) -> pa.RecordBatch:
-            covered = _covered([r[4] for r in rows], [r[3] for r in rows], size)
-            spans = [[{"a": a, "b": b} for a, b in s] for s in covered]
+            covered = _covered([r[4] for r in rows], [1] * len(rows), size)
+            spans = [[{"a": a, "b": b} for a, b in s] if r[3] == 1 else [] for r, s in zip(rows, covered, strict=True)]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array(spans, span_type)], ["h", "ctx", "width", "spans"])
 
         rows: list[tuple] = []
@@ -273,7 +247,7 @@ def _dealt_spans(contexts: DataFrame, size: int) -> DataFrame:
     strings = contexts.select("h", "ctx", "width", "c", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("width")), lambda i: F.substring("data", i + 1, F.lit(size)))).alias("at", "s"))
     keyed = strings.select("h", "ctx", "width", "at", "c", F.sha2("s", 256).alias("s"))
     often = keyed.groupBy("h", "s").agg(F.sum("c").alias("n")).filter("n > 1").select("h", "s")
-    return keyed.join(often, ["h", "s"]).groupBy("h", "ctx", "width").agg(F.collect_list(F.struct(F.col("at").cast("int").alias("a"), (F.col("at") + size).cast("int").alias("b"))).alias("spans"))
+    return keyed.filter("c = 1").join(often, ["h", "s"]).groupBy("h", "ctx", "width").agg(F.collect_list(F.struct(F.col("at").cast("int").alias("a"), (F.col("at") + size).cast("int").alias("b"))).alias("spans"))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 200, most_contexts: int = 1000) -> DataFrame:
@@ -285,11 +259,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     often = places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     shared = stored(places.join(often, "h"), "places")
     shared = shared.withColumn("width", F.col("final") - F.col("first"))
-    kinds = shared.groupBy("h", "ctx", "width").agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "first", "final")).alias("r")).select("h", "ctx", "c", "r.*")
-    contexts = stored(_contexts(kinds, keyed, size), "contexts")
-    hot = contexts.groupBy("h").agg(F.count("*").alias("m")).filter(F.col("m") > most_contexts).select("h")
-    spans = _tree_spans(contexts.join(hot, "h", "left_anti"), size).unionByName(_dealt_spans(contexts.join(hot, "h"), size))
-    spans = stored(spans.filter(F.size("spans") > 0), "spans")
+    kinds = shared.groupBy("h", "ctx", "width").agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "first", "final")).alias("r"))
+    kinds = stored(kinds.select("h", "ctx", "width", "c", "r.*"), "kinds")
+    # A context that occurs twice or more is a repeat group as a whole. Those that occur once are compared, with all others
+    # of their anchor; a context alone with its anchor repeats nothing more.
+    whole = kinds.filter("c > 1").select("h", "ctx", "width", F.array(F.struct(F.lit(0).alias("a"), (F.col("width") + size).alias("b"))).alias("spans"))
+    mixed = kinds.groupBy("h").agg(F.count("*").alias("m"), F.min("c").alias("least")).filter("m > 1 and least = 1").select("h", "m")
+    wanted = kinds.join(mixed, "h").select("h", "ctx", "c", "id", "th", "first", "final")
+    contexts = stored(_contexts(wanted, keyed, size), "contexts")
+    hot = mixed.filter(F.col("m") > most_contexts).select("h")
+    compared = _tree_spans(contexts.join(hot, "h", "left_anti"), size).unionByName(_dealt_spans(contexts.join(hot, "h"), size))
+    spans = stored(compared.filter(F.size("spans") > 0).unionByName(whole), "spans")
     found = shared.join(spans, ["h", "ctx", "width"]).select("id", "th", F.transform("spans", lambda s: F.struct((s["a"] + F.col("first")).alias("a"), (s["b"] + F.col("first")).alias("b"))).alias("spans"))
     return found.groupBy("id", "th").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
