@@ -1,0 +1,33 @@
+"""Significance: moments in Spark, distribution functions on aggregated rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ledgerloom.functions.stats import t_p_value
+
+
+def moments(trades: DataFrame, *keys: str) -> DataFrame:
+    p = F.col("profit_loss")
+    return trades.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(p).alias("mean"), F.stddev_samp(p).alias("sigma"))
+
+
+def one_sample_t(trades: DataFrame, *keys: str) -> DataFrame:
+    m = moments(trades, *keys).filter("n >= 2 and sigma > 0")
+    return m.withColumn("t", F.col("mean") / (F.col("sigma") / F.sqrt("n"))).withColumn("df", F.col("n") - 1)
+
+
+def welch(trades: DataFrame, key: str) -> DataFrame:
+    """Every two groups: difference of means, t, degrees of freedom and effect size. Groups are aggregated before the join."""
+    m = moments(trades, key).filter("n >= 2 and sigma > 0")
+    a, b = [m.select(*[F.col(c).alias(f"{c}_{s}") for c in (key, "n", "mean", "sigma")]) for s in "ab"]
+    va, vb = F.pow("sigma_a", F.lit(2)) / F.col("n_a"), F.pow("sigma_b", F.lit(2)) / F.col("n_b")
+    pooled = F.sqrt(((F.col("n_a") - 1) * F.pow("sigma_a", F.lit(2)) + (F.col("n_b") - 1) * F.pow("sigma_b", F.lit(2))) / (F.col("n_a") + F.col("n_b") - 2))
+    diff = F.col("mean_a") - F.col("mean_b")
+    j = a.join(b, F.col(f"{key}_a") < F.col(f"{key}_b"))
+    return j.select(f"{key}_a", f"{key}_b", diff.alias("difference"), (diff / F.sqrt(va + vb)).alias("t"), (F.pow(va + vb, F.lit(2)) / (va * va / (F.col("n_a") - 1) + vb * vb / (F.col("n_b") - 1))).alias("df"), (diff / pooled).alias("cohens_d"))
+
+
+def with_p(tests: DataFrame) -> DataFrame:
+    return tests.withColumn("p", t_p_value(F.col("t"), F.col("df").cast("double")))
