@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .slots import profit_factor
 
-P = F.col("profit_loss")
+def _pnl() -> Column:
+    return F.col("profit_loss")
+
 
 
 def account_summary(trades: DataFrame) -> DataFrame:
     return trades.groupBy("account_name").agg(
         F.count("*").alias("n"),
-        F.count_if(P > 0).alias("wins"),
-        F.count_if(P <= 0).alias("losses"),
-        F.sum(P).alias("total"),
-        F.avg(F.when(P > 0, P)).alias("avg_win"),
-        F.avg(F.when(P <= 0, P)).alias("avg_loss"),
-        F.max(P).alias("best"),
-        F.min(P).alias("worst"),
-        F.stddev_pop(P).alias("volatility"),
+        F.count_if(_pnl() > 0).alias("wins"),
+        F.count_if(_pnl() <= 0).alias("losses"),
+        F.sum(_pnl()).alias("total"),
+        F.avg(F.when(_pnl() > 0, _pnl())).alias("avg_win"),
+        F.avg(F.when(_pnl() <= 0, _pnl())).alias("avg_loss"),
+        F.max(_pnl()).alias("best"),
+        F.min(_pnl()).alias("worst"),
+        F.stddev_pop(_pnl()).alias("volatility"),
         F.avg((F.unix_timestamp(F.col("exit_time").cast("timestamp")) - F.unix_timestamp(F.col("entry_time").cast("timestamp"))) / 60).alias("avg_minutes"),
         F.min("entry_time").alias("first_entry"),
         F.max("entry_time").alias("last_entry"),
@@ -29,14 +31,14 @@ def account_summary(trades: DataFrame) -> DataFrame:
 
 def full_metrics(trades: DataFrame) -> DataFrame:
     """Win rate, profit factor, sharpe (not annualised), win/loss ratio, expectancy and a flag for a high win rate with small wins."""
-    wr = F.count_if(P > 0) / F.count("*")
-    win, loss = F.avg(F.when(P > 0, P)), F.abs(F.avg(F.when(P <= 0, P)))
+    wr = F.count_if(_pnl() > 0) / F.count("*")
+    win, loss = F.avg(F.when(_pnl() > 0, _pnl())), F.abs(F.avg(F.when(_pnl() <= 0, _pnl())))
     ratio = win / F.nullif(loss, F.lit(0.0))
     return trades.groupBy("account_name", "symbol").agg(
         F.count("*").alias("n"),
         wr.alias("win_rate"),
-        profit_factor(P, 999.0).alias("profit_factor"),
-        (F.avg(P) / F.nullif(F.stddev_samp(P), F.lit(0.0))).alias("sharpe"),
+        profit_factor(_pnl(), 999.0).alias("profit_factor"),
+        (F.avg(_pnl()) / F.nullif(F.stddev_samp(_pnl()), F.lit(0.0))).alias("sharpe"),
         ratio.alias("win_loss_ratio"),
         (wr * win - (1 - wr) * loss).alias("expectancy"),
         F.coalesce((wr > 0.55) & (ratio < 1), F.lit(False)).alias("risk_flag"),
@@ -45,7 +47,7 @@ def full_metrics(trades: DataFrame) -> DataFrame:
 
 def daily_ratios(trades: DataFrame) -> DataFrame:
     """Sharpe and sortino over daily sums, population sigma, times the root of 252; 99.9 where no day lost."""
-    day = trades.groupBy("account_name", F.to_date("entry_time").alias("day")).agg(F.sum(P).alias("d"))
+    day = trades.groupBy("account_name", F.to_date("entry_time").alias("day")).agg(F.sum(_pnl()).alias("d"))
     down = F.sqrt(F.sum(F.when(F.col("d") < 0, F.col("d") * F.col("d")).otherwise(0.0)) / F.count("*"))
     return day.groupBy("account_name").agg(
         F.count("*").alias("days"),
@@ -56,9 +58,9 @@ def daily_ratios(trades: DataFrame) -> DataFrame:
 
 def sortino_ranking(trades: DataFrame, top: int = 10) -> DataFrame:
     """Accounts and symbols by annualised sortino; downside sigma is that of the losses."""
-    loss = F.when(P < 0, P)
+    loss = F.when(_pnl() < 0, _pnl())
     span = F.greatest(F.datediff(F.max("entry_time"), F.min("entry_time")), F.lit(1))
-    base = trades.groupBy("account_name", "symbol").agg(F.count("*").alias("n"), F.avg(P).alias("mean"), F.count(loss).alias("losses"), F.stddev_pop(loss).alias("sigma"), span.alias("span"))
+    base = trades.groupBy("account_name", "symbol").agg(F.count("*").alias("n"), F.avg(_pnl()).alias("mean"), F.count(loss).alias("losses"), F.stddev_pop(loss).alias("sigma"), span.alias("span"))
     rated = base.filter("losses > 1 and sigma > 0").withColumn("sortino", F.col("mean") / F.col("sigma") * F.sqrt(F.col("n") / F.col("span") * 252)).withColumn("per_week", F.col("n") / F.col("span") * 5)
     return rated.orderBy(F.desc("sortino"), F.desc("per_week"), "account_name", "symbol").limit(top).select("account_name", "symbol", "n", "sortino", "per_week")
 
@@ -69,21 +71,21 @@ def probability_matrix(trades: DataFrame, keys: list[str], min_trades: int = 5)
     The ordered profits of a cell are an array; a cell is an account's slot, which stays small however many cells there are.
     """
     n = F.count("*")
-    xs = F.array_sort(F.collect_list(P))
+    xs = F.array_sort(F.collect_list(_pnl()))
     k = F.greatest(F.floor(n * 0.05).cast("int"), F.lit(1))
     return (
         trades.groupBy(*keys)
         .agg(
             n.alias("n"),
-            F.avg(P).alias("mean"),
-            F.var_pop(P).alias("variance"),
-            F.skewness(P).alias("skew"),
-            (F.count_if(P > 0) / n).alias("p_gain"),
-            (F.count_if(P > 50) / n).alias("p_50"),
+            F.avg(_pnl()).alias("mean"),
+            F.var_pop(_pnl()).alias("variance"),
+            F.skewness(_pnl()).alias("skew"),
+            (F.count_if(_pnl() > 0) / n).alias("p_gain"),
+            (F.count_if(_pnl() > 50) / n).alias("p_50"),
             (F.aggregate(F.slice(xs, F.lit(1), k), F.lit(0.0), lambda a, x: a + x) / k).alias("cvar"),
             F.get(xs, F.floor(n * 0.25).cast("int")).alias("q25"),
             F.get(xs, F.floor(n * 0.75).cast("int")).alias("q75"),
-            (F.avg(P) * F.count_if(P > 0) / n).alias("cwev"),
+            (F.avg(_pnl()) * F.count_if(_pnl() > 0) / n).alias("cwev"),
         )
         .filter(F.col("n") >= min_trades)
     )
@@ -91,15 +93,15 @@ def probability_matrix(trades: DataFrame, keys: list[str], min_trades: int = 5)
 
 def risk(trades: DataFrame, level: float = 0.95) -> DataFrame:
     """Value at risk (linear percentile), expected shortfall, kelly share clipped to a quarter, chance of loss."""
-    var = trades.groupBy("account_name").agg(F.percentile(P, 1 - level).alias("var"))
+    var = trades.groupBy("account_name").agg(F.percentile(_pnl(), 1 - level).alias("var"))
     joined = trades.join(var, "account_name")
-    p, win, loss = F.count_if(P > 0) / F.count("*"), F.avg(F.when(P > 0, P)), F.abs(F.avg(F.when(P <= 0, P)))
+    p, win, loss = F.count_if(_pnl() > 0) / F.count("*"), F.avg(F.when(_pnl() > 0, _pnl())), F.abs(F.avg(F.when(_pnl() <= 0, _pnl())))
     kelly = p - (1 - p) / (win / F.nullif(loss, F.lit(0.0)))
     return joined.groupBy("account_name").agg(
         F.first("var").alias("var"),
-        F.avg(F.when(P <= F.col("var"), P)).alias("shortfall"),
+        F.avg(F.when(_pnl() <= F.col("var"), _pnl())).alias("shortfall"),
         F.greatest(F.least(kelly, F.lit(0.25)), F.lit(-0.25)).alias("kelly"),
-        (F.count_if(P < 0) / F.count("*")).alias("p_loss"),
+        (F.count_if(_pnl() < 0) / F.count("*")).alias("p_loss"),
     )
 
 
@@ -109,33 +111,33 @@ def outliers(trades: DataFrame, z_win: float = 2.0, z_loss: float = 3.0) -> Data
         trades.groupBy("account_name")
         .agg(
             F.count("*").alias("n"),
-            F.count_if(P > 0).alias("nw"),
-            F.count_if(P < 0).alias("nl"),
-            F.avg(F.when(P > 0, P)).alias("mw"),
-            F.stddev_pop(F.when(P > 0, P)).alias("sw"),
-            F.avg(F.when(P < 0, P)).alias("ml"),
-            F.stddev_pop(F.when(P < 0, P)).alias("sl"),
+            F.count_if(_pnl() > 0).alias("nw"),
+            F.count_if(_pnl() < 0).alias("nl"),
+            F.avg(F.when(_pnl() > 0, _pnl())).alias("mw"),
+            F.stddev_pop(F.when(_pnl() > 0, _pnl())).alias("sw"),
+            F.avg(F.when(_pnl() < 0, _pnl())).alias("ml"),
+            F.stddev_pop(F.when(_pnl() < 0, _pnl())).alias("sl"),
         )
         .filter("n >= 10 and nw >= 5 and nl >= 5")
     )
-    z = F.when(P > 0, (P - F.col("mw")) / F.nullif(F.col("sw"), F.lit(0.0))).when(P < 0, (P - F.col("ml")) / F.nullif(F.col("sl"), F.lit(0.0)))
+    z = F.when(_pnl() > 0, (_pnl() - F.col("mw")) / F.nullif(F.col("sw"), F.lit(0.0))).when(_pnl() < 0, (_pnl() - F.col("ml")) / F.nullif(F.col("sl"), F.lit(0.0)))
     rated = trades.join(stats, "account_name").withColumn("z", z)
-    return rated.filter(((P > 0) & (F.col("z") > z_win)) | ((P < 0) & (F.abs("z") > z_loss)))
+    return rated.filter(((_pnl() > 0) & (F.col("z") > z_win)) | ((_pnl() < 0) & (F.abs("z") > z_loss)))
 
 
 def monthly_pivot(trades: DataFrame) -> DataFrame:
     """Year by month of exit, as twelve columns."""
     m = F.month("exit_time")
-    return trades.groupBy("account_name", F.year("exit_time").alias("year")).agg(*[F.sum(F.when(m == i, P).otherwise(0.0)).alias(f"m{i:02d}") for i in range(1, 13)])
+    return trades.groupBy("account_name", F.year("exit_time").alias("year")).agg(*[F.sum(F.when(m == i, _pnl()).otherwise(0.0)).alias(f"m{i:02d}") for i in range(1, 13)])
 
 
 def hour_or_weekday(trades: DataFrame) -> DataFrame:
     """Aggregates by hour and by weekday in one pass: grouping sets."""
-    return trades.groupingSets([["account_name", "hour"], ["account_name", "dow"]], "account_name", "hour", "dow").agg(F.count("*").alias("n"), F.sum(P).alias("total"), F.avg(P).alias("mean"))
+    return trades.groupingSets([["account_name", "hour"], ["account_name", "dow"]], "account_name", "hour", "dow").agg(F.count("*").alias("n"), F.sum(_pnl()).alias("total"), F.avg(_pnl()).alias("mean"))
 
 
 def cube(trades: DataFrame, *keys: str) -> DataFrame:
-    return trades.cube(*keys).agg(F.count("*").alias("n"), F.sum(P).alias("total"), F.grouping_id().alias("level"))
+    return trades.cube(*keys).agg(F.count("*").alias("n"), F.sum(_pnl()).alias("total"), F.grouping_id().alias("level"))
 
 
 def quality_scores(trades: DataFrame) -> DataFrame:
@@ -144,8 +146,8 @@ def quality_scores(trades: DataFrame) -> DataFrame:
     share = lambda cond: 100.0 * F.count_if(cond) / n
     scored = trades.groupBy("account_name").agg(
         n.alias("n"),
-        share(F.col("entry_time").isNotNull() & F.col("exit_time").isNotNull() & P.isNotNull()).alias("completeness"),
-        share((F.abs(P) <= 10000) & (F.col("quantity") > 0)).alias("accuracy"),
+        share(F.col("entry_time").isNotNull() & F.col("exit_time").isNotNull() & _pnl().isNotNull()).alias("completeness"),
+        share((F.abs(_pnl()) <= 10000) & (F.col("quantity") > 0)).alias("accuracy"),
         share(F.col("exit_time") >= F.col("entry_time")).alias("consistency"),
         (100.0 * F.count_distinct("symbol", "entry_time", "exit_time", "profit_loss") / n).alias("uniqueness"),
     )
@@ -158,6 +160,6 @@ def duplicates(trades: DataFrame, keys: list[str]) -> DataFrame:
 
 def concentration(trades: DataFrame) -> DataFrame:
     """Each symbol's share of an account's absolute profit, and the sum of squared shares."""
-    base = trades.groupBy("account_name", "symbol").agg(F.abs(F.sum(P)).alias("size"))
+    base = trades.groupBy("account_name", "symbol").agg(F.abs(F.sum(_pnl())).alias("size"))
     share = F.col("size") / F.nullif(F.sum("size").over(Window.partitionBy("account_name")), F.lit(0.0))
     return base.withColumn("share", share).withColumn("hhi", F.sum(F.col("share") * F.col("share")).over(Window.partitionBy("account_name"))).select("account_name", "symbol", "share", "hhi")

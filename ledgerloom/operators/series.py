@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-P = F.col("profit_loss")
+def _pnl() -> Column:
+    return F.col("profit_loss")
+
 BY_TRADE = ["entry_time", "trade_id"]
 
 
@@ -15,7 +17,7 @@ def _upto(*keys: str):
 
 def drawdown(trades: DataFrame, *keys: str, floor: bool = True) -> DataFrame:
     """Running equity, its peak (from zero if ``floor``) and the drop from it."""
-    equity = trades.withColumn("equity", F.sum(P).over(_upto(*keys)))
+    equity = trades.withColumn("equity", F.sum(_pnl()).over(_upto(*keys)))
     peak = F.max("equity").over(_upto(*keys))
     return equity.withColumn("peak", F.greatest(peak, F.lit(0.0)) if floor else peak).withColumn("drawdown", F.col("peak") - F.col("equity"))
 
@@ -35,13 +37,13 @@ def rolling_days(trades: DataFrame, days: int, *keys: str) -> DataFrame:
     """Trades and profit of the ``days`` before and including each exit time."""
     at = F.unix_micros(F.col("exit_time").cast("timestamp"))
     w = Window.partitionBy(*keys).orderBy(at).rangeBetween(-days * 86_400_000_000, 0)
-    return trades.withColumns({"n_window": F.count("*").over(w), "pnl_window": F.sum(P).over(w)})
+    return trades.withColumns({"n_window": F.count("*").over(w), "pnl_window": F.sum(_pnl()).over(w)})
 
 
 def streaks(trades: DataFrame, *keys: str) -> DataFrame:
     """Runs of wins and losses: how many there are and the longest of each."""
     w = Window.partitionBy(*keys).orderBy(*BY_TRADE)
-    win = P > 0
+    win = _pnl() > 0
     flip = F.when(win.eqNullSafe(F.lag(win).over(w)), 0).otherwise(1)
     runs = trades.withColumn("win", win).withColumn("f", flip).withColumn("run", F.sum("f").over(_upto(*keys))).groupBy(*keys, "run", "win").agg(F.count("*").alias("n"))
     return runs.groupBy(*keys).agg(F.max(F.when(F.col("win"), F.col("n"))).alias("longest_win"), F.max(F.when(~F.col("win"), F.col("n"))).alias("longest_loss"), F.count("*").alias("runs"))
@@ -51,7 +53,7 @@ def features(trades: DataFrame, *keys: str) -> DataFrame:
     """Lagged profit, change, number in the day, five-trade mean before this trade."""
     w = Window.partitionBy(*keys).orderBy(*BY_TRADE)
     day = Window.partitionBy(*keys, F.to_date("entry_time")).orderBy(*BY_TRADE)
-    return trades.withColumns({"prev": F.lag(P).over(w), "change": P - F.lag(P).over(w), "nth_today": F.row_number().over(day), "mean5": F.avg(P).over(w.rowsBetween(-5, -1))})
+    return trades.withColumns({"prev": F.lag(_pnl()).over(w), "change": _pnl() - F.lag(_pnl()).over(w), "nth_today": F.row_number().over(day), "mean5": F.avg(_pnl()).over(w.rowsBetween(-5, -1))})
 
 
 def regimes(market: DataFrame, low: float = 15.0, high: float = 25.0) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-P = F.col("profit_loss")
+def _pnl() -> Column:
+    return F.col("profit_loss")
+
 
 
 def timed(trades: DataFrame) -> DataFrame:
@@ -18,7 +20,7 @@ def snapshots(trades: DataFrame, size: str = "24 hours", slide: str = "6 hours",
     t = timed(trades)
     t = t.withWatermark("event_time", late) if t.isStreaming else t
     g = t.groupBy(F.window("event_time", size, slide).alias("w"), "account_name", "symbol")
-    return g.agg(F.count("*").alias("n"), F.sum(P).alias("total"), F.sum(F.when(P > 0, 1).otherwise(0)).alias("wins")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "account_name", "symbol", "n", "total", (F.col("wins") / F.col("n")).alias("win_rate"))
+    return g.agg(F.count("*").alias("n"), F.sum(_pnl()).alias("total"), F.sum(F.when(_pnl() > 0, 1).otherwise(0)).alias("wins")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "account_name", "symbol", "n", "total", (F.col("wins") / F.col("n")).alias("win_rate"))
 
 
 def sessions(trades: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
@@ -26,7 +28,7 @@ def sessions(trades: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     t = timed(trades)
     t = t.withWatermark("event_time", late) if t.isStreaming else t
     g = t.groupBy(F.session_window("event_time", gap).alias("w"), "account_name")
-    return g.agg(F.count("*").alias("n"), F.sum(P).alias("total")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "account_name", "n", "total")
+    return g.agg(F.count("*").alias("n"), F.sum(_pnl()).alias("total")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "account_name", "n", "total")
 
 
 def alerts(snaps: DataFrame, min_trades: int = 5, min_win_rate: float = 0.3, max_loss: float = 200.0) -> DataFrame:

@@ -77,7 +77,7 @@ def test_log_source(spark, tmp_path):
 
 @pytest.mark.parametrize("which", ["snapshots", "sessions"])
 def test_stream_equals_batch(spark, tmp_path, which):
-    rows = [(i, "A" if i % 3 else "B", "NQ", T0 + timedelta(minutes=7 * i), float(i % 5 - 2)) for i in range(200)]
+    rows = [(i, "A" if i % 3 else "B", "NQ", T0 + timedelta(minutes=7 * i + 60 * (i // 10)), float(i % 5 - 2)) for i in range(200)]
     schema = "trade_id long, account_name string, symbol string, entry_time timestamp, profit_loss double"
     spark.createDataFrame(rows, schema).repartition(3).write.parquet(str(tmp_path / "in"))
     make = getattr(mo, which)
