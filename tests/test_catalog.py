@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from ledgerloom.plans import catalog
+from ledgerloom.plans import catalog, reports  # noqa: F401  (reports adds to the catalogue)
 
 SF = "/root/testdata/sf0.001"
 
