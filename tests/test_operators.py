@@ -87,3 +87,29 @@ def test_stream_equals_batch(spark, tmp_path, which):
     batch = sorted(map(tuple, make(spark.read.parquet(str(tmp_path / "in"))).collect()))
     got = sorted(map(tuple, spark.table(f"out_{which}").collect()))
     assert got == batch if which == "snapshots" else set(got) <= set(batch) and len(got) > 0
+
+
+def test_models_and_weights(spark):
+    from ledgerloom.operators import learn, optimize
+
+    r = random.Random(1)
+    rows = [(i, "AB"[i % 2], T0 + timedelta(hours=5 * i), r.gauss(1, 1 if i % 2 else 3), (5 * i) % 24) for i in range(300)]
+    df = spark.createDataFrame(rows, "trade_id long, account_name string, entry_time timestamp, profit_loss double, hour int")
+    got = learn.forward_test(learn.table(df, "account_name"), "2024-02-15 00:00:00", ("linear",)).collect()
+    assert got[0].n > 50 and got[0].rmse < 4
+    w = optimize.weights(df)
+    assert math.isclose(sum(w.values()), 1, abs_tol=1e-6) and w["B"] > w["A"] > 0
+    p = optimize.weights(df, "risk_parity")
+    assert math.isclose(sum(p.values()), 1, abs_tol=1e-6) and p["B"] > p["A"] > 0
+
+
+def test_cooldown(spark, tmp_path):
+    from ledgerloom.streaming.cooldown import losing_streaks
+
+    rows = [("A", T0 + timedelta(minutes=i), -1.0) for i in range(12)] + [("B", T0 + timedelta(minutes=i), 1.0 - i % 2) for i in range(12)]
+    schema = "account_name string, event_time timestamp, profit_loss double"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    out = losing_streaks(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 5, 300.0)
+    q = out.writeStream.outputMode("append").format("memory").queryName("streaks_out").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r.account_name, r.streak) for r in spark.table("streaks_out").collect()) == [("A", 5), ("A", 10)]
