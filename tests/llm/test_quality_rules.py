@@ -1,17 +1,19 @@
 from ledgerloom.llm import quality_rules as q
 
 PROSE = "One line of plain words that ends well, and says a little more than that."
+#: Sentences without a repeated three-word window, so that only the lines decide.
+VARIED = [" ".join(f"{w}{i}" for w in PROSE.rstrip(".").split()) + "." for i in range(6)]
 
 
 def rows(spark):
-    long = "\n".join(f"{PROSE} {i} é" for i in range(6))
+    long = "\n".join(f"{line} é" for line in VARIED)
     texts = {
         1: long,
         2: None,
         3: "",
         4: " \t\x0b\n\r\n",
         5: long + "\nHome | News | About | Contact\nAll rights reserved.\nMenu",
-        6: "\n".join(f"Word{i}*** other### third$$$ fourth%%%" for i in range(40)),
+        6: "\n".join(f"Word{i}*** other{i}### third{i}$$$ fourth{i}%%%" for i in range(40)),
         7: "same same same " * 40,
         8: "\n".join([PROSE] * 6),
         9: "w" * 50_000 + " " + " ".join(f"u{i}" for i in range(20_000)) + ".",
