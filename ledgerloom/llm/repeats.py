@@ -256,7 +256,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     small_batches(docs.sparkSession)
     keyed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     places = _places(keyed, size)
-    often = places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    # Counted in a stage of its own: a join straight after the count could not split an anchor that very many texts hold.
+    often = stored(places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "often")
     shared = stored(places.join(often, "h"), "places")
     shared = shared.withColumn("width", F.col("final") - F.col("first"))
     kinds = shared.groupBy("h", "ctx", "width").agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "first", "final")).alias("r"))
@@ -264,7 +265,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # A context that occurs twice or more is a repeat group as a whole. Those that occur once are compared, with all others
     # of their anchor; a context alone with its anchor repeats nothing more.
     whole = kinds.filter("c > 1").select("h", "ctx", "width", F.array(F.struct(F.lit(0).alias("a"), (F.col("width") + size).alias("b"))).alias("spans"))
-    mixed = kinds.groupBy("h").agg(F.count("*").alias("m"), F.min("c").alias("least")).filter("m > 1 and least = 1").select("h", "m")
+    mixed = stored(kinds.groupBy("h").agg(F.count("*").alias("m"), F.min("c").alias("least")).filter("m > 1 and least = 1").select("h", "m"), "mixed")
     wanted = kinds.join(mixed, "h").select("h", "ctx", "c", "id", "th", "first", "final")
     contexts = stored(_contexts(wanted, keyed, size), "contexts")
     hot = mixed.filter(F.col("m") > most_contexts).select("h")
