@@ -3,7 +3,7 @@
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept:
 
 1. ``quality_rules``: lines that fail go, documents that lose too much or fail the base rules go;
-2. ``near_dedup``: of every group of near-duplicates the document with the smallest id stays;
+2. ``near_dedup``: of every group of near-duplicates (similarity 0.8 or more) the document with the smallest id stays;
 3. ``decontamination``: documents that hold ten consecutive words of a benchmark item go;
 4. ``pii``: personal data is replaced by its kind;
 5. ``byte_bpe``: texts become token ids; decoding is checked by a digest.
@@ -27,7 +27,7 @@ def _rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.one_of_each(docs)
+    return near_dedup.one_of_each(docs, percent=80)
 
 
 def _decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from .common import read
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_near_dedup": lambda spark, d: near_dedup.near_duplicates(read(spark, d, "documents").select("doc_id", "text")),
+        "op1_near_dedup": lambda spark, d: near_dedup.near_duplicates(read(spark, d, "documents").select("doc_id", "text"), percent=85),
         "op2_quality_classifier": lambda spark, d: quality_model.quality_scores(read(spark, d, "documents"), read(spark, d, "labels")),
         "op10_html_extraction": lambda spark, d: html_extract.html_digest(read(spark, d, "pages")),
         "op3_quality_rules": lambda spark, d: quality_rules.quality_digest(read(spark, d, "documents")),

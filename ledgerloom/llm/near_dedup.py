@@ -1,9 +1,9 @@
 """Near-duplicate documents: MinHash signatures joined by a multi-index Hamming search, links confirmed on full sets.
 
 A document's shingle set gives a signature of 60 b-bit MinHash values. Two sets with Jaccard similarity s differ in each
-value with probability 1 - s, so the Hamming distance over values of a pair at 0.85 is 9 on average, and beyond
-``MAX_DISTANCE`` = 23 about once in a million pairs. The signature is split into 12 chunks of 5 values. By the pigeonhole
-principle a pair within 23 differences has a chunk with at most one (12 x 2 > 23), so enumerating that one allowed error
+value with probability 1 - s, so the Hamming distance over values of a pair at 0.8 is 12 on average, and beyond
+``MAX_DISTANCE`` = 29 about twice in ten million pairs. The signature is split into 15 chunks of 4 values. By the pigeonhole
+principle a pair within 29 differences has a chunk with at most one (15 x 2 > 29), so enumerating that one allowed error
 (leaving out each value of each chunk in turn: 60 keys a signature) makes every such pair meet under some key.
 
 Groups of copies never turn into all their pairs:
@@ -30,9 +30,9 @@ from pyspark.sql import types as T
 
 from .common import small_batches, stored
 
-CHUNKS, WIDTH = 12, 5
+CHUNKS, WIDTH = 15, 4
 VALUES = CHUNKS * WIDTH
-MAX_DISTANCE = 23
+MAX_DISTANCE = 29
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -208,7 +208,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     included) and ``kept`` (whether that is its own id).
 
     Null, empty and word-free texts have empty sets and are linked with nothing. Repeated rows have equal sets, so they
-    share a component; each gets its row. Null ids are ignored for the smallest id. ``percent`` under 85 weakens the
+    share a component; each gets its row. Null ids are ignored for the smallest id. ``percent`` under 80 weakens the
     guarantee of the signature distance; it must be raised with it. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 85) -> DataFrame:
     """Documents (all columns) without near-duplicates: the row with the smallest id of each component, once."""
-    keep = near_duplicates(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kept")).distinct()
+    keep = near_duplicates(docs, id_col, text_col, percent=percent).filter("kept").select(F.col(id_col).alias("_kept")).distinct()
     return docs.join(keep, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([id_col])
