@@ -69,22 +69,22 @@ def signature(found: np.ndarray) -> np.ndarray:
         return (_mixed(low) & np.uint64(0xFFFF)).astype(np.int32)
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """``id``, ``n`` (set size), ``set_key`` (128-bit hash of the set; null if empty) and ``sig`` for every row."""
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("sig", T.ArrayType(T.IntegerType()))])
+def sketches(docs: DataFrame, id_col: str, text_col: str, row_col: str, size: int) -> DataFrame:
+    """``id``, ``row``, ``n`` (set size), ``set_key`` (128-bit hash of the set; null if empty) and ``sig`` for every row."""
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("row", T.LongType()), T.StructField("n", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("sig", T.ArrayType(T.IntegerType()))])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for lo in range(0, part.num_rows, 512):
                 cut, n, keys, sigs = part.slice(lo, 512), [], [], []
-                for text in cut.column(1):
+                for text in cut.column(2):
                     found = shingles(text.as_py(), size)
                     n.append(len(found))
                     keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                     sigs.append(signature(found) if len(found) else None)
-                yield pa.RecordBatch.from_arrays([cut.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))], schema.names)
+                yield pa.RecordBatch.from_arrays([cut.column(0), cut.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))], schema.names)
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(row_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
 def full_sets(rows: DataFrame, size: int) -> DataFrame:
@@ -201,27 +201,22 @@ def _cross_links(rows: DataFrame, sets: DataFrame, percent: int, tile: int, tile
     return full.groupBy("key", "i", "j").applyInArrow(lambda k, t: _tile_links(k, t, percent), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, percent: int = 85, tile: int = 1024) -> DataFrame:
-    """Group documents linked by ``100 * intersection >= percent * union`` of their shingle sets.
-
-    Returns one row per input row: the id, ``n_shingles``, ``component_id`` (the smallest id reachable over links, itself
-    included) and ``kept`` (whether that is its own id).
+def _grouped(docs: DataFrame, id_col: str, text_col: str, row_col: str, size: int, percent: int, tile: int) -> tuple[DataFrame, DataFrame]:
+    """Sketches of all rows, and ``set_key``, ``id`` (the smallest of the set) and ``comp`` of every set that is not empty.
 
-    Null, empty and word-free texts have empty sets and are linked with nothing. Repeated rows have equal sets, so they
-    share a component; each gets its row. Null ids are ignored for the smallest id. ``percent`` under 80 weakens the
-    guarantee of the signature distance; it must be raised with it. An empty table gives an empty result.
+    ``row_col`` is a key of the rows that is the same at every reading.
     """
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
-    rows = stored(sketches(docs, id_col, text_col, size), "sketches")
-    classes = rows.filter("n > 0").groupBy("set_key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    texts = docs.select(F.col(row_col).alias("_row"), F.col(text_col).cast("string").alias("text"))
+    rows = stored(sketches(docs, id_col, text_col, row_col, size), "sketches")
+    classes = rows.filter("n > 0").groupBy("set_key").agg(F.min("id").alias("id"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     keyed = classes.select("cid", F.explode(_keys(F.col("sig"))).alias("key"))
     held = keyed.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("cid")).alias("print")).filter("low < high")
     leaders = held.groupBy("low", "high", "m", "print").agg(F.min("key").alias("key")).select("key", "low")
     met = stored(keyed.join(leaders, "key").select("key", "cid", "low"), "met")
-    involved = met.select("cid").distinct().join(classes, "cid").join(texts, F.col("id").eqNullSafe(F.col("_id")))
-    sets = stored(full_sets(involved, size).dropDuplicates(["cid"]), "sets")
+    involved = met.select("cid").distinct().join(classes, "cid").join(texts, F.col("row") == F.col("_row"))
+    sets = stored(full_sets(involved, size), "sets")
     links = stored(_star_links(met.filter("cid > low").select(F.col("low").alias("a"), F.col("cid").alias("b")).distinct(), sets, percent), "links")
     comp = stored(components(links), "components")
     now = met.select("key", "cid").join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
@@ -232,7 +227,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not more.isEmpty():
         comp = stored(components(links.unionByName(more)), "components")
 
-    named = classes.select("cid", "set_key", "id").join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    return rows, classes.select("cid", "set_key", "id").join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, percent: int = 85, tile: int = 1024) -> DataFrame:
+    """Group documents linked by ``100 * intersection >= percent * union`` of their shingle sets.
+
+    Returns one row per input row: the id, ``n_shingles``, ``component_id`` (the smallest id reachable over links, itself
+    included) and ``kept`` (whether that is its own id).
+
+    Null, empty and word-free texts have empty sets and are linked with nothing. Repeated rows have equal sets, so they
+    share a component; each gets its row. Null ids are ignored for the smallest id. ``percent`` under 80 weakens the
+    guarantee of the signature distance; it must be raised with it. An empty table gives an empty result.
+    """
+    keyed = stored(docs.select(id_col, text_col).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    rows, named = _grouped(keyed, id_col, text_col, "_row", size, percent, tile)
     lowest = named.groupBy("comp").agg(F.min("id").alias("component"))
     named = named.join(lowest, "comp").select("set_key", "component")
     out = rows.select("id", "n", "set_key").join(named, "set_key", "left")
@@ -241,6 +250,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 85) -> DataFrame:
-    """Documents (all columns) without near-duplicates: the row with the smallest id of each component, once."""
-    keep = near_duplicates(docs, id_col, text_col, percent=percent).filter("kept").select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([id_col])
+    """Documents (all columns) without near-duplicates: one row of each component, and every row without words.
+
+    The row with the smallest id stays, nulls last; of equal ids, the first as stored. Ids need not be distinct.
+    """
+    keyed = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    rows, named = _grouped(keyed, id_col, text_col, "_row", 5, percent, 1024)
+    first = rows.join(named.select("set_key", "comp"), "set_key").groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
+    keep = first.select(F.col("first.row").alias("_kept")).unionByName(rows.filter("n = 0").select(F.col("row").alias("_kept")))
+    return keyed.join(keep, F.col("_row") == F.col("_kept"), "left_semi").drop("_row")

@@ -44,3 +44,16 @@ def test_distance_leaves_out_no_pair_at_80():
         a, b = (near_dedup.np.array(core + [r.getrandbits(64) for _ in range(10)], near_dedup.np.uint64) for _ in range(2))
         far += (near_dedup.signature(a) != near_dedup.signature(b)).sum() > near_dedup.MAX_DISTANCE
     assert far == 0
+
+
+def test_one_row_of_each_component_whatever_the_ids(spark):
+    words = lambda k, n=60: [f"{k}{i}" for i in range(n)]
+    a, b, c, d = (" ".join(words(k)) for k in "abcd")
+    near_a = " ".join([*words("a")[:-1], "x"])
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (7, near_a), (3, a), (None, None), (None, ""), (8, ""), (8, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 3):
+        got = near_dedup.one_of_each(df.repartition(parts), percent=80)
+        assert got.columns == df.columns
+        want = [(3, a), (None, b), (7, c), (7, d), (None, None), (None, ""), (8, ""), (8, "")]
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
