@@ -17,8 +17,8 @@ from .common import let
 from .spans import around, assemble, find, tree_sum
 
 #: The value of an assignment to a credential-like name, or a long run of key characters.
-_ASSIGNED = r"(?i)(?:(?<=(?:secret|token|passwd|password|api_key|apikey|access_key|credential|private_key)[\"' ]{0,2}[:=][\"' ]{0,3})[^\s\"'<>,;]{8,200}+)"
-_RUN = r"(?<![A-Za-z0-9_/+=.-])(?=[A-Za-z0-9_/+=.-]*[0-9])[A-Za-z0-9_/+=.-]{20,200}+(?![A-Za-z0-9_/+=.-])"
+_ASSIGNED = r"(?i)(?:(?<=(?:secret|token|passwd|password|api_key|apikey|access_key|credential|private_key)[\"' ]{0,2}[:=][\"' ]{0,3})[^\s\"'<>,;]{8,}+)"
+_RUN = r"(?<![A-Za-z0-9_/+=.-])(?=[A-Za-z0-9_/+=.-]*[0-9])[A-Za-z0-9_/+=.-]{20,}+(?![A-Za-z0-9_/+=.-])"
 
 #: Fixed list: common words and parts of names that keys do not hold.
 WORDS = (

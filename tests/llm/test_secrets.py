@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from ledgerloom.llm import secrets
@@ -24,3 +26,14 @@ def test_scan_places_and_edges(spark, forest):
         found = [r.row.text[f.s : f.e] for f in r.findings if f.secret]
         assert found == {0: [key], 6: [key, key]}.get(r.row.doc_id, [])
     assert secrets.scan(df.limit(0), forest=forest).collect() == []
+
+
+def test_long_tokens_are_whole(spark, forest):
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    r = random.Random(5)
+    key = "".join(r.choice(letters) for _ in range(600))
+    texts = [f'token = "{key}" end', f"the bearer {key} end", f"secret: {key}", f"{key[:201]} end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in secrets.scan(df, forest=forest).collect():
+        print(row.row.doc_id, [(f.s, f.e, f.p) for f in row.findings])
+        assert [row.row.text[f.s : f.e] for f in row.findings if f.secret] == [key[:201] if row.row.doc_id == 3 else key]
