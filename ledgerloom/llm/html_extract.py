@@ -1,14 +1,15 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host share a template. A few pages of each host, drawn by hash, are parsed and their DOM trees aligned by simple
-tree matching into one wrapper: nodes that match are merged, and a text that matched nodes share is part of the template.
-Every page of the host is then aligned with its wrapper: constant texts are template, varying slots are candidates for
-content. Of those, slots in menus, notices, forms, adverts, comments and the like (told by element, role and class) and blocks
+Pages of one host share a template. A few pages of each host, those of the smallest hashes, are parsed and their DOM trees
+aligned by simple tree matching into one skeleton: nodes that match are merged. Every page of the host is then aligned with
+the skeleton; a node is the slot of its partner, or of its path if it has none. Over all different pages of the host it is
+counted how many hold a slot and how many a text in it: a text that half of them or more share is constant, so template, and
+varying slots are candidates for content. Of those, slots in menus, notices, forms, adverts, comments and the like (told by element, role and class) and blocks
 that are mostly links go too; where the page has a main element or an article, only what lies inside stays.
 
 Runs of siblings with equal element and class are one repeating node, so trees stay small and a paragraph more or less does
-not disturb the alignment. Induction sees at most ``samples`` pages a host, found by a minimum per cell with map-side
-combining, so a host with a third of all pages is no hot group; wrappers are joined to pages by host.
+not disturb the alignment. The skeleton is made of at most ``samples`` pages a host, and both drawing and counting combine on
+the map side, so a host with a third of all pages is no hot group; skeletons and constants are joined to pages by host.
 """
 
 from __future__ import annotations
@@ -18,13 +19,15 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import small_batches, stored
 
 #: Elements without an end tag, elements whose content is no text, and elements that begin and end a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,10 +52,10 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("children", "constant", "count", "key", "texts")
+    __slots__ = ("children", "key", "slot")
 
     def __init__(self, key: str) -> None:
-        self.key, self.children, self.texts, self.count, self.constant = key, [], {}, 1, frozenset()
+        self.key, self.children, self.slot = key, [], 0
 
     def child(self, key: str) -> Node:
         if not self.children or self.children[-1].key != key:
@@ -152,10 +155,7 @@ def parse(page: str | None) -> tuple[Node, list[Block]]:
         if name in BLOCKS:
             new_block()
     say(page[at:])
-    blocks = [b for b in blocks if b.text]
-    for b in blocks:
-        b.node.texts[_mark(b.text)] = 1
-    return root, blocks
+    return root, [b for b in blocks if b.text]
 
 
 def match(a: Node, b: Node, found: dict[int, Node]) -> int:
@@ -193,7 +193,7 @@ def match(a: Node, b: Node, found: dict[int, Node]) -> int:
 
 
 def induce(pages: list[str]) -> str:
-    """The wrapper of some pages of a host, as JSON: key, constant texts and children of every node."""
+    """The skeleton of some pages of a host, as JSON: key and children of every node."""
     base: Node | None = None
     for page in pages:
         tree, _ = parse(page)
@@ -204,9 +204,6 @@ def induce(pages: list[str]) -> str:
         match(tree, base, found)
 
         def merge(node: Node, into: Node, found: dict[int, Node] = found) -> None:
-            into.count += 1
-            for t in node.texts:
-                into.texts[t] = into.texts.get(t, 0) + 1
             place = 0
             for c in node.children:
                 if (to := found.get(id(c))) is not None:
@@ -219,35 +216,60 @@ def induce(pages: list[str]) -> str:
         merge(tree, base)
 
     def plain(node: Node) -> list:
-        constant = [t for t, n in node.texts.items() if n >= 2 and 2 * n >= node.count]
-        return [node.key, constant, [plain(c) for c in node.children]]
+        return [node.key, [plain(c) for c in node.children]]
 
     return json.dumps(plain(base or Node("")))
 
 
+@lru_cache(64)
 def _wrapper(data: str | None) -> Node:
+    """The skeleton's tree, its nodes numbered as slots."""
+    last = -1
+
     def read(x: list) -> Node:
+        nonlocal last
         node = Node(x[0])
-        node.constant = frozenset(x[1])
-        node.children = [read(c) for c in x[2]]
+        last += 1
+        node.slot = last
+        node.children = [read(c) for c in x[1]]
         return node
 
     return read(json.loads(data)) if data else Node("")
 
 
-def main_text(page: str | None, wrapper: Node, prose_words: int = 5) -> str:
-    """The blocks of a page that fill varying slots of its wrapper within the main text.
+def slots(tree: Node, wrapper: Node) -> dict[int, int]:
+    """The slot of every node of a page: its partner's number, or a negative hash of its path if it has no partner."""
+    found: dict[int, Node] = {}
+    match(tree, wrapper, found)
+    out: dict[int, int] = {}
+
+    def walk(node: Node, path: int) -> None:
+        path = xxhash.xxh3_64_intdigest(node.key.encode("utf-8", "surrogatepass"), path)
+        out[id(node)] = partner.slot if (partner := found.get(id(node))) is not None else -1 - (path >> 1)
+        for c in node.children:
+            walk(c, path)
+
+    walk(tree, 0)
+    return out
+
+
+@lru_cache(64)
+def _constants(data: str | None) -> frozenset[tuple[int, int]]:
+    return frozenset((int(slot), int(mark)) for slot, mark in (x.split(":") for x in data.split(","))) if data else frozenset()
+
+
+def main_text(page: str | None, wrapper: Node, constants: frozenset[tuple[int, int]] = frozenset(), prose_words: int = 5) -> str:
+    """The blocks of a page that fill varying slots of its wrapper within the main text; ``constants`` are (slot, text mark).
 
     Inside an article a constant text of ``prose_words`` words or more that ends like a sentence is taken for a passage that
     pages quote, and stays.
     """
     tree, blocks = parse(page)
-    found: dict[int, Node] = {}
-    match(tree, wrapper, found)
+    slot = slots(tree, wrapper) if constants else {}
     kept = []
     for b in blocks:
-        text, partner = b.text, found.get(id(b.node))
-        constant = partner is not None and _mark(text) in partner.constant
+        text = b.text
+        constant = bool(constants) and (slot[id(b.node)], _mark(text)) in constants
         if b.outside or (constant and not (b.inside and len(text.split()) >= prose_words and text[-1] in _ENDS)):
             continue
         if b.linked > 0.6 * len(text) and not b.heading:
@@ -262,16 +284,69 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def _drawn(pages: DataFrame, samples: int, held_bytes: int = 32_000_000) -> DataFrame:
+    """``host`` and ``html`` of the ``samples`` different pages with the smallest hashes of every host."""
+
+    def least(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, dict[int, str]] = {}
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            rows = [(k, h, t) for k, found in held.items() for h, t in found.items()]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.string()))], ["host", "h", "html"])
+
+        for part in parts:
+            for k, h, text in zip(part.column("host").to_pylist(), part.column("h").to_pylist(), part.column("html"), strict=True):
+                found = held.setdefault(k, {})
+                if h in found or (len(found) >= samples and h > max(found)):
+                    continue
+                found[h] = text.as_py()
+                size += len(found[h])
+                if len(found) > samples:
+                    size -= len(found.pop(max(found)))
+                if size > held_bytes:
+                    yield flush()
+                    size = 0
+        yield flush()
+
+    some = pages.select("host", "h", "html").mapInArrow(least, "host string, h long, html string")
+    rank = F.row_number().over(Window.partitionBy("host").orderBy("h"))
+    return some.groupBy("host", "h").agg(F.min("html").alias("html")).withColumn("rank", rank).filter(F.col("rank") <= samples).select("host", "html")
+
+
 def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", *, samples: int = 4) -> DataFrame:
-    """``host`` and ``wrapper`` for every host with two different pages or more; at most ``samples`` pages of each are aligned."""
-    h = F.xxhash64(html_col)
-    drawn = pages.filter(F.col(html_col).isNotNull()).select(host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"), h.alias("h")).groupBy("host", F.pmod("h", F.lit(samples)).alias("cell")).agg(F.min_by("html", "h").alias("html"))
+    """``host``, ``wrapper`` and ``constants`` for every host with two different pages or more that share a text.
+
+    At most ``samples`` pages of each make the skeleton; what is constant is counted over all of them.
+    """
+    known = pages.filter(F.col(html_col).isNotNull()).select(host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"), F.xxhash64(html_col).alias("h"))
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         texts = sorted(table["html"].to_pylist())
         return pa.table({"host": [key[0].as_py()], "wrapper": [induce(texts)]}) if len(texts) > 1 else pa.table({"host": pa.array([], pa.string()), "wrapper": pa.array([], pa.string())})
 
-    return drawn.groupBy("host").applyInArrow(run, "host string, wrapper string")
+    skeletons = stored(_drawn(known, samples).groupBy("host").applyInArrow(run, "host string, wrapper string"), "skeletons")
+
+    def seen(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            held = []
+            for page, data in zip(part.column("html"), part.column("wrapper"), strict=True):
+                tree, blocks = parse(page.as_py())
+                slot = slots(tree, _wrapper(data.as_py()))
+                # Mark -1 stands for the slot itself.
+                pairs = {(s, -1) for s in slot.values()} | {(slot[id(b.node)], _mark(b.text)) for b in blocks}
+                held.append([{"slot": s, "mark": m} for s, m in sorted(pairs)])
+            kind = pa.list_(pa.struct([("slot", pa.int64()), ("mark", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([part.column("host"), part.column("h"), pa.array(held, kind)], ["host", "h", "seen"])
+
+    read = known.join(skeletons, "host").select("host", "h", "html", "wrapper").mapInArrow(seen, "host string, h long, seen array<struct<slot:long,mark:long>>")
+    each = read.dropDuplicates(["host", "h"]).select("host", F.explode("seen").alias("x")).groupBy("host", "x.slot", "x.mark").agg(F.count("*").alias("n"))
+    counts = stored(each.filter("n > 1"), "counts")
+    total = counts.filter("mark = -1").select("host", "slot", F.col("n").alias("total"))
+    shared = counts.filter("mark <> -1").join(total, ["host", "slot"]).filter("2 * n >= total")
+    constants = shared.groupBy("host").agg(F.concat_ws(",", F.sort_array(F.collect_list(F.concat_ws(":", "slot", "mark")))).alias("constants"))
+    return stored(skeletons.join(constants, "host"), "wrappers")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, samples: int = 4) -> DataFrame:
@@ -283,17 +358,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    joined = rows.withColumn("host", host(F.col("url"))).join(wrappers(rows, "url", "html", samples=samples), "host", "left").select("id", "url", "html", "wrapper")
+    joined = rows.withColumn("host", host(F.col("url"))).join(wrappers(rows, "url", "html", samples=samples), "host", "left").select("id", "url", "html", "wrapper", "constants")
     kind = pages.schema[id_col].dataType.simpleString()
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[str | None, Node] = (None, Node(""))
         for part in parts:
             texts = []
-            for page, data in zip(part.column("html"), part.column("wrapper"), strict=True):
-                if data.as_py() != last[0]:
-                    last = (data.as_py(), _wrapper(data.as_py()))
-                texts.append(main_text(page.as_py(), last[1]))
+            for page, data, constants in zip(part.column("html"), part.column("wrapper"), part.column("constants"), strict=True):
+                texts.append(main_text(page.as_py(), _wrapper(data.as_py()), _constants(constants.as_py())))
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("url"), pa.array(texts, pa.string())], ["id", "url", "text"])
 
     made = joined.mapInArrow(run, f"id {kind}, url string, text string")

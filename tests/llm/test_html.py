@@ -38,3 +38,19 @@ def test_deep_and_wide_pages_end():
     w = h._wrapper(h.induce([deep, wide, wide.replace("w", "v")]))
     assert h.main_text(deep, w) == "text"
     assert h.main_text(wide, w).count("\n\n") == 1499
+
+
+def test_constants_are_counted_over_all_pages_of_a_host(spark):
+    body = lambda n, top: f"<html><body><div class=top>{top}</div><div class=body><p>Story {n} goes on for a while.</p></div></body></html>"
+    rows = [(f"https://h{k}.example.com/{n}", body(f"{k} {n}", "Welcome to the site.")) for k in range(24) for n in range(2)]  # two pages each
+    rows += [(f"https://big.example.com/{n}", body(n, "Shared by a few." if n % 4 == 0 else f"Headline {n}.")) for n in range(40)]
+    rows += [(f"https://rare.example.com/{n}", f"<html><body><p>Page {n} is here.</p>{'<section class=extra>Only on some.</section>' if n % 10 == 0 else ''}</body></html>") for n in range(40)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.url: r.text for r in h.html_digest(df).collect()}
+    for k in range(24):
+        for n in range(2):
+            assert got[f"https://h{k}.example.com/{n}"] == f"Story {k} {n} goes on for a while."
+    for n in range(40):
+        top = "Shared by a few." if n % 4 == 0 else f"Headline {n}."
+        assert got[f"https://big.example.com/{n}"] == f"{top}\n\nStory {n} goes on for a while."
+        assert got[f"https://rare.example.com/{n}"] == f"Page {n} is here."
