@@ -1,15 +1,25 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host share a template. A few pages of each host, those of the smallest hashes, are parsed and their DOM trees
-aligned by simple tree matching into one skeleton: nodes that match are merged. Every page of the host is then aligned with
-the skeleton; a node is the slot of its partner, or of its path if it has none. Over all different pages of the host it is
-counted how many hold a slot and how many a text in it: a text that half of them or more share is constant, so template, and
-varying slots are candidates for content. Of those, slots in menus, notices, forms, adverts, comments and the like (told by element, role and class) and blocks
-that are mostly links go too; where the page has a main element or an article, only what lies inside stays.
-
-Runs of siblings with equal element and class are one repeating node, so trees stay small and a paragraph more or less does
-not disturb the alignment. The skeleton is made of at most ``samples`` pages a host, and both drawing and counting combine on
-the map side, so a host with a third of all pages is no hot group; skeletons and constants are joined to pages by host.
+Pages of one host share a template. Per host:
+
+1. a few different pages, those of the smallest hashes, are parsed and their DOM trees aligned by simple tree matching into
+   one skeleton; nodes that match are merged, and every node of the skeleton is a slot;
+2. every page of the host is aligned with the skeleton, and what stands in its slots is counted over all different pages:
+   how many pages fill a slot, with which texts, how much of them is link text. Each text counts once however many pages
+   repeat it, so the weight of a template stays while that of content grows with the pages;
+3. a slot that mostly repeats the same texts is constant, so template; one that is mostly link text is a menu. The region
+   of the content is where the weight of the other, varying slots gathers: from the root down while one child holds
+   ``share`` of it. Varying headings before it belong to it. This is the wrapper;
+4. of every page the blocks stay that fill varying slots inside the region.
+
+Reader comments, notices and adverts inside the region vary as prose does, so alignment cannot tell them: within the region,
+slots that element, role or class name mark as such go. Where the weight gathers outside or
+above the one article or main element of a host (few pages, short texts), that element is the region. A host with one page, or a page without the
+region of its host, has only elements, roles and names to go by (:func:`unwrapped_text`).
+
+Runs of siblings with equal element, class and role are one repeating node, so trees stay small and a paragraph more or less
+does not disturb the alignment. Sampling and counting combine on the map side. Wrappers are joined to pages by broadcast
+if their measured size allows, else by host with the hot hosts' pages salted, so no host is one task.
 """
 
 from __future__ import annotations
@@ -17,15 +27,15 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from math import isqrt
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import small_batches, stored
 
@@ -33,6 +43,9 @@ from .common import small_batches, stored
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template svg head title iframe object select textarea button canvas math".split())
 BLOCKS = frozenset("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that may be a region of content.
+CONTAINERS = frozenset("html body main article section div td form center".split())
 #: Elements and roles outside the main text, and the words of class and id names that say the same.
 OUTSIDE = frozenset("nav footer aside form dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog menu menubar".split())
@@ -43,31 +56,35 @@ NAMES = frozenset(
 )
 #: An open element of the key is closed by a new one of these.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-DEPTH, CELLS = 60, 250_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(?=/?[A-Za-z])[^>]*\Z", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_ENDS = frozenset(".!?…。！？\"'”»)")
+_NAME_PARTS = re.compile(r"[-_]|(?<=[a-z])(?=\d)")
+_DIGITS = re.compile(r"\d+")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("children", "key", "slot")
+    """An element, or a run of equal ones. ``outside``: 1 for a page header, 2 for other parts outside the main text."""
 
-    def __init__(self, key: str) -> None:
-        self.key, self.children, self.slot = key, [], 0
+    __slots__ = ("children", "key", "name", "outside", "parent", "slot")
 
-    def child(self, key: str) -> Node:
+    def __init__(self, key: str, name: str = "", outside: int = 0, parent: Node | None = None) -> None:
+        self.key, self.name, self.outside, self.parent, self.children, self.slot = key, name, outside, parent, [], 0
+
+    def child(self, key: str, name: str, outside: int) -> Node:
         if not self.children or self.children[-1].key != key:
-            self.children.append(Node(key))
+            self.children.append(Node(key, name, outside, self))
         return self.children[-1]
 
 
 class Block:
-    __slots__ = ("heading", "inside", "linked", "node", "outside", "parts")
+    """Text of a page between two block edges. ``inside``: within an article (1) or a main element (2)."""
+
+    __slots__ = ("heading", "inside", "linked", "node", "parts")
 
-    def __init__(self, node: Node, outside: bool, inside: int, heading: bool) -> None:
-        self.node, self.outside, self.inside, self.heading = node, outside, inside, heading
+    def __init__(self, node: Node, inside: int, heading: bool) -> None:
+        self.node, self.inside, self.heading = node, inside, heading
         self.parts: list[str] = []
         self.linked = 0
 
@@ -77,23 +94,25 @@ class Block:
 
 
 def _mark(text: str) -> int:
-    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
 
 
-def parse(page: str | None) -> tuple[Node, list[Block]]:
-    """The tree of a page, with runs of equal siblings merged, and its blocks of text in page order.
+def _outside(name: str, names: list[str], role: str) -> int:
+    if name in OUTSIDE or role in ROLES or any(w in NAMES for n in names for w in _NAME_PARTS.split(n)):
+        return 2
+    return int(name == "header")
 
-    Elements nested deeper than ``DEPTH`` count as part of the one at that depth; their text stays.
-    """
+
+def parse(page: str | None) -> tuple[Node, list[Block]]:
+    """The tree of a page, with runs of equal siblings merged, and its blocks of text in page order."""
     root = Node("")
-    # Open elements: name, node, outside the main text, inside article (1) or main (2), heading.
-    stack: list[tuple[str, Node, bool, int, bool]] = [("", root, False, 0, False)]
-    blocks: list[Block] = [Block(root, False, 0, False)]
+    # Open elements: name, node, inside article (1) or main (2), heading.
+    stack: list[tuple[str, Node, int, bool]] = [("", root, 0, False)]
+    blocks: list[Block] = [Block(root, 0, False)]
     page, at, links = page or "", 0, 0
 
     def new_block() -> None:
-        _, node, outside, inside, heading = stack[-1]
-        blocks.append(Block(node, outside, inside, heading))
+        blocks.append(Block(*stack[-1][1:]))
 
     def say(raw: str) -> None:
         if raw:
@@ -102,6 +121,11 @@ def parse(page: str | None) -> tuple[Node, list[Block]]:
             if links:
                 blocks[-1].linked += len(text.strip())
 
+    def close(depth: int) -> None:
+        nonlocal links
+        links -= sum(s[0] == "a" for s in stack[depth:])
+        del stack[depth:]
+
     for m in _TOKEN.finditer(page):
         if m.start() < at:
             continue  # within an element without text
@@ -109,12 +133,11 @@ def parse(page: str | None) -> tuple[Node, list[Block]]:
         at = m.end()
         if m[2] is None:
             continue
-        name, closing = m[2].lower(), bool(m[1])
-        if closing:
+        name = m[2].lower()
+        if m[1]:
             depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
             if depth:
-                links -= sum(s[0] == "a" for s in stack[depth:])
-                del stack[depth:]
+                close(depth)
             if name in BLOCKS:
                 new_block()
             continue
@@ -131,26 +154,24 @@ def parse(page: str | None) -> tuple[Node, list[Block]]:
         if closes:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] in closes:
-                    links -= sum(s[0] == "a" for s in stack[i:])
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i][0] in BLOCKS:
                     break
-        _, parent, outside, inside, heading = stack[-1]
+        _, parent, inside, heading = stack[-1]
         names: list[str] = []
+        role = ""
         for a in _ATTRIBUTE.finditer(m[3]):
             value = (a[2] or a[3] or a[4] or "").lower()
             if a[1].lower() == "role":
-                outside |= value in ROLES
+                role = value
             else:
                 names += value.split()
-        outside |= name in OUTSIDE or (name == "header" and not inside) or any(w in NAMES for n in names for w in re.split(r"[-_]|(?<=[a-z])(?=\d)", n))
-        inside = max(inside, 2 if name == "main" else 1 if name == "article" else 0)
-        heading |= name in ("h1", "h2", "h3", "h4", "h5", "h6")
-        node = parent.child(" ".join([name, *sorted(names)])) if len(stack) < DEPTH else parent
+        key = " ".join([name, *sorted({_DIGITS.sub("#", n) for n in names}), *(["@" + role] if role else [])])
+        node = parent.child(key, name, _outside(name, names, role))
         if m[3].rstrip().endswith("/") and name not in BLOCKS:
             continue
-        stack.append((name, node, outside, inside, heading))
+        stack.append((name, node, max(inside, 2 if name == "main" else 1 if name == "article" else 0), heading or name in HEADINGS))
         links += name == "a"
         if name in BLOCKS:
             new_block()
@@ -158,127 +179,285 @@ def parse(page: str | None) -> tuple[Node, list[Block]]:
     return root, [b for b in blocks if b.text]
 
 
-def match(a: Node, b: Node, found: dict[int, Node]) -> int:
-    """Simple tree matching: the size of the largest top-down, order-keeping alignment; ``found`` gets a's nodes' partners."""
-    if a.key != b.key:
-        return 0
-    m, n = len(a.children), len(b.children)
-    found[id(a)] = b
-    if m * n > CELLS:  # too many different siblings for the table: the first partner of the same kind
-        first: dict[str, list[Node]] = {}
-        for y in reversed(b.children):
-            first.setdefault(y.key, []).append(y)
-        return 1 + sum(match(x, first[x.key].pop(), found) for x in a.children if first.get(x.key))
-    inner: dict[tuple[int, int], tuple[int, dict[int, Node]]] = {}
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    for i, x in enumerate(a.children):
-        for j, y in enumerate(b.children):
-            size = 0
-            if x.key == y.key:
-                partners: dict[int, Node] = {}
-                size = match(x, y, partners)
-                inner[i, j] = (size, partners)
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + size)
-    i, j = m, n
-    while i and j:
-        size = inner.get((i - 1, j - 1), (0, {}))[0]
-        if size and best[i][j] == best[i - 1][j - 1] + size:
-            found |= inner[i - 1, j - 1][1]
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return 1 + best[m][n]
+class Matching:
+    """Simple tree matching of two trees: the largest top-down, order-keeping alignment.
+
+    Nodes with equal subtrees are one class, and the size of a matching is computed once for two classes, the lower ones
+    first, so neither depth nor width of a page is bounded. Children are aligned by a weighted longest common subsequence,
+    whose rows are vectors; of a long one every so-many-th row is kept and the rest computed again on the way back.
+    """
+
+    def __init__(self, a: Node, b: Node) -> None:
+        self.a, self.b = a, b
+        self.number: dict[tuple, int] = {}
+        self.key: list[str] = []
+        self.kids: list[tuple[int, ...]] = []
+        self.height: list[int] = []
+        self.of: dict[int, int] = {}
+        for tree in (a, b):
+            order = [tree]
+            for node in order:
+                order += node.children
+            for node in reversed(order):
+                kids = tuple(self.of[id(c)] for c in node.children)
+                n = self.number.setdefault((node.key, kids), len(self.key))
+                if n == len(self.key):
+                    self.key.append(node.key)
+                    self.kids.append(kids)
+                    self.height.append(1 + max((self.height[k] for k in kids), default=0))
+                self.of[id(node)] = n
+        self.sizes: dict[tuple[int, int], int] = {}
+        if a.key != b.key:
+            return
+        first = (self.of[id(a)], self.of[id(b)])
+        pairs, at = [first], 0
+        seen = {first}
+        while at < len(pairs):
+            x, y = pairs[at]
+            at += 1
+            below: dict[str, set[int]] = {}
+            for k in self.kids[y]:
+                below.setdefault(self.key[k], set()).add(k)
+            for k in set(self.kids[x]):
+                for other in below.get(self.key[k], ()):
+                    if (k, other) not in seen:
+                        seen.add((k, other))
+                        pairs.append((k, other))
+        for x, y in sorted(pairs, key=lambda p: self.height[p[0]]):
+            self.sizes[x, y] = 1 + self._last(self._weights(self.kids[x], self.kids[y]))
+
+    @property
+    def size(self) -> int:
+        return self.sizes.get((self.of[id(self.a)], self.of[id(self.b)]), 0)
+
+    def _weights(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> list[np.ndarray]:
+        """For every child its matchings' sizes with the children of the other side."""
+        rows: dict[int, np.ndarray] = {}
+        for x in xs:
+            if x not in rows:
+                rows[x] = np.fromiter((self.sizes.get((x, y), 0) for y in ys), np.int64, len(ys))
+        return [rows[x] for x in xs]
+
+    @staticmethod
+    def _next(best: np.ndarray, row: np.ndarray) -> np.ndarray:
+        out = best.copy()
+        np.maximum.accumulate(np.maximum(best[1:], best[:-1] + row), out=out[1:])
+        return out
+
+    def _last(self, rows: list[np.ndarray]) -> int:
+        if not rows or not len(rows[0]):
+            return 0
+        if len(rows) == 1:
+            return int(rows[0].max())
+        best = np.zeros(len(rows[0]) + 1, np.int64)
+        for row in rows:
+            best = self._next(best, row)
+        return int(best[-1])
+
+    def _aligned(self, rows: list[np.ndarray]) -> list[tuple[int, int]]:
+        """The pairs of places of a best alignment."""
+        if not rows or not len(rows[0]):
+            return []
+        step = isqrt(len(rows)) + 1
+        best, kept = np.zeros(len(rows[0]) + 1, np.int64), []
+        for i, row in enumerate(rows):
+            if i % step == 0:
+                kept.append(best)
+            best = self._next(best, row)
+        out, j = [], len(rows[0])
+        for block in range(len(kept) - 1, -1, -1):
+            table = [kept[block]]
+            for row in rows[block * step : (block + 1) * step]:
+                table.append(self._next(table[-1], row))
+            i = len(table) - 1
+            while i and j:
+                size = rows[block * step + i - 1][j - 1]
+                if size and table[i][j] == table[i - 1][j - 1] + size:
+                    i, j = i - 1, j - 1
+                    out.append((block * step + i, j))
+                elif table[i][j] == table[i - 1][j]:
+                    i -= 1
+                else:
+                    j -= 1
+        return out[::-1]
+
+    def partners(self) -> dict[int, Node]:
+        """The partner of every matched node of the first tree, by its id()."""
+        if not self.sizes:
+            return {}
+        found, todo = {}, [(self.a, self.b)]
+        while todo:
+            x, y = todo.pop()
+            found[id(x)] = y
+            rows = self._weights(self.kids[self.of[id(x)]], self.kids[self.of[id(y)]])
+            todo += [(x.children[i], y.children[j]) for i, j in self._aligned(rows)]
+        return found
+
+
+def preorder(root: Node) -> list[Node]:
+    out, todo = [], [root]
+    while todo:
+        out.append(node := todo.pop())
+        todo += reversed(node.children)
+    return out
 
 
 def induce(pages: list[str]) -> str:
-    """The skeleton of some pages of a host, as JSON: key and children of every node."""
+    """The skeleton of some pages of a host, as JSON: [place of the parent, key, name, outside] of every node, parents first."""
     base: Node | None = None
     for page in pages:
         tree, _ = parse(page)
         if base is None:
             base = tree
             continue
-        found: dict[int, Node] = {}
-        match(tree, base, found)
-
-        def merge(node: Node, into: Node, found: dict[int, Node] = found) -> None:
+        found = Matching(tree, base).partners()
+        todo = [(tree, base)]
+        while todo:
+            node, into = todo.pop()
             place = 0
             for c in node.children:
                 if (to := found.get(id(c))) is not None:
-                    merge(c, to)
+                    todo.append((c, to))
                     place = next((i for i, x in enumerate(into.children) if x is to), place) + 1
                 else:
+                    c.parent = into
                     into.children.insert(place, c)
                     place += 1
+    nodes = preorder(base or Node(""))
+    at = {id(n): i for i, n in enumerate(nodes)}
+    return json.dumps([[at[id(n.parent)] if i else -1, n.key, n.name, n.outside] for i, n in enumerate(nodes)])
 
-        merge(tree, base)
 
-    def plain(node: Node) -> list:
-        return [node.key, [plain(c) for c in node.children]]
+def _tree(rows: list[list]) -> list[Node]:
+    """The nodes of a skeleton, numbered as slots."""
+    nodes: list[Node] = []
+    for slot, (up, key, name, outside) in enumerate(rows):
+        node = Node(key, name, outside, nodes[up] if slot else None)
+        node.slot = slot
+        if slot:
+            nodes[up].children.append(node)
+        nodes.append(node)
+    return nodes
 
-    return json.dumps(plain(base or Node("")))
 
+class Wrapper:
+    """A skeleton, and what its slots are: ``region``, ``also`` (headings before it), ``template`` (slots that go)."""
 
-@lru_cache(64)
-def _wrapper(data: str | None) -> Node:
-    """The skeleton's tree, its nodes numbered as slots."""
-    last = -1
+    def __init__(self, data: str) -> None:
+        read = json.loads(data)
+        self.nodes = _tree(read["nodes"])
+        self.region: int = read["region"]
+        self.also, self.template = frozenset(read["also"]), frozenset(read["template"])
 
-    def read(x: list) -> Node:
-        nonlocal last
-        node = Node(x[0])
-        last += 1
-        node.slot = last
-        node.children = [read(c) for c in x[1]]
-        return node
 
-    return read(json.loads(data)) if data else Node("")
+@lru_cache(32)
+def _skeleton(data: str) -> Node:
+    return _tree(json.loads(data))[0]
 
 
-def slots(tree: Node, wrapper: Node) -> dict[int, int]:
-    """The slot of every node of a page: its partner's number, or a negative hash of its path if it has no partner."""
-    found: dict[int, Node] = {}
-    match(tree, wrapper, found)
-    out: dict[int, int] = {}
+@lru_cache(32)
+def _wrapper(data: str | None) -> Wrapper | None:
+    return Wrapper(data) if data else None
 
-    def walk(node: Node, path: int) -> None:
-        path = xxhash.xxh3_64_intdigest(node.key.encode("utf-8", "surrogatepass"), path)
-        out[id(node)] = partner.slot if (partner := found.get(id(node))) is not None else -1 - (path >> 1)
-        for c in node.children:
-            walk(c, path)
 
-    walk(tree, 0)
+def slots(tree: Node, skeleton: Node) -> dict[int, int]:
+    """The slot of every node of a page, by id(): its partner's number, or a negative hash of its path if it has no partner."""
+    found = Matching(tree, skeleton).partners()
+    paths, out = {id(tree): 0}, {}
+    for node in preorder(tree):
+        path = xxhash.xxh3_64_intdigest(node.key.encode("utf-8", "surrogatepass"), paths[id(node)])
+        partner = found.get(id(node))
+        out[id(node)] = partner.slot if partner is not None else -1 - (path >> 1)
+        for c in node.children:
+            paths[id(c)] = path
     return out
 
 
-@lru_cache(64)
-def _constants(data: str | None) -> frozenset[tuple[int, int]]:
-    return frozenset((int(slot), int(mark)) for slot, mark in (x.split(":") for x in data.split(","))) if data else frozenset()
+def fillings(page: str | None, skeleton: Node) -> tuple[int, list[tuple[int, int, int, int]]]:
+    """A key of the page's content (its longest text), and (slot, text mark, characters, of these in links) of its blocks.
+
+    Mark -1 stands for the slot itself, once a page.
+    """
+    tree, blocks = parse(page)
+    slot = slots(tree, skeleton)
+    texts = [(slot[id(b.node)], b.text, b.linked) for b in blocks]
+    key = _mark(max((t for _, t, _ in texts), key=lambda t: (len(t), t), default=""))
+    out = {(s, _mark(t)): (len(t), min(linked, len(t))) for s, t, linked in texts}
+    return key, [(s, m, *v) for (s, m), v in out.items()] + [(s, -1, 0, 0) for s in sorted({s for s, _, _ in texts})]
 
 
-def main_text(page: str | None, wrapper: Node, constants: frozenset[tuple[int, int]] = frozenset(), prose_words: int = 5) -> str:
-    """The blocks of a page that fill varying slots of its wrapper within the main text; ``constants`` are (slot, text mark).
+def decide(skeleton: str, tally: list[tuple[int, int, int, bool]], share: float = 0.85) -> str:
+    """The wrapper of a host as JSON, from its skeleton and (slot, characters, of these in links, constant) of its slots.
 
-    Inside an article a constant text of ``prose_words`` words or more that ends like a sentence is taken for a passage that
-    pages quote, and stays.
+    Top headings and the region's slot of the largest weight are no template, so near copies of one article do not lose it.
     """
-    tree, blocks = parse(page)
-    slot = slots(tree, wrapper) if constants else {}
+    rows = json.loads(skeleton)
+    nodes = _tree(rows)
+    hidden, own = [False] * len(nodes), [0] * len(nodes)
+    for n in nodes[1:]:
+        hidden[n.slot] = hidden[n.parent.slot] or n.outside > 1
+    for slot, chars, linked, _ in tally:
+        if slot >= 0 and not hidden[slot]:
+            own[slot] = chars - linked
+    weight = list(own)
+    for n in reversed(nodes[1:]):
+        weight[n.parent.slot] += weight[n.slot]
+    at = nodes[0]
+    while at.children:
+        best = max(at.children, key=lambda c: weight[c.slot])
+        if best.name not in CONTAINERS or weight[best.slot] < share * weight[at.slot] or not weight[best.slot]:
+            break
+        at = best
+    marked = [n for n in nodes if n.name in ("main", "article") and not hidden[n.slot]]
+    outermost = [n for n in marked if not any(up in marked for up in _ancestors(n)[1:])]
+    single = [n for n in outermost if n.name == "main"] or outermost
+    if len(single) == 1 and single[0] not in _ancestors(at):
+        at = single[0]
+    inside = {n.slot for n in preorder(at)}
+    heaviest = max(inside, key=lambda i: (own[i], -i))
+    template = {slot for slot, chars, linked, constant in tally if slot != heaviest and (linked > 0.6 * chars or (constant and not (slot >= 0 and nodes[slot].name == "h1")))}
+    also = [n.slot for n in nodes[: at.slot] if n.name in HEADINGS and own[n.slot] and n.slot not in template]
+    return json.dumps({"nodes": rows, "region": at.slot, "also": also, "template": sorted(template)})
+
+
+def _ancestors(node: Node) -> list[Node]:
+    """The node and all above it."""
+    out = []
+    while node is not None:
+        out.append(node)
+        node = node.parent
+    return out
+
+
+def unwrapped_text(blocks: list[Block]) -> str:
+    """The main text by elements, roles and names alone."""
     kept = []
     for b in blocks:
-        text = b.text
-        constant = bool(constants) and (slot[id(b.node)], _mark(text)) in constants
-        if b.outside or (constant and not (b.inside and len(text.split()) >= prose_words and text[-1] in _ENDS)):
+        up = _ancestors(b.node)
+        if any(n.outside > 1 for n in up) or (not b.inside and any(n.outside for n in up)):
             continue
-        if b.linked > 0.6 * len(text) and not b.heading:
+        if not b.inside and not b.heading and b.linked > 0.6 * len(b.text):
             continue
-        kept.append((b.inside, text))
+        kept.append((b.inside, b.text))
     inside = max((i for i, _ in kept), default=0)
     return "\n\n".join(t for i, t in kept if i == inside or (inside == 1 and i >= 1))
 
 
+def main_text(page: str | None, wrapper: Wrapper | None) -> str:
+    """The blocks of a page that fill varying slots inside the region of its host's wrapper."""
+    tree, blocks = parse(page)
+    if wrapper is None:
+        return unwrapped_text(blocks)
+    slot = slots(tree, wrapper.nodes[0])
+    state: dict[int, int] = {}  # of every node: 1 in the region, 2 in a part of it that goes, 0 outside
+    for node in preorder(tree):
+        s, up = slot[id(node)], state[id(node.parent)] if node.parent is not None else 0
+        state[id(node)] = 1 if s == wrapper.region and not up else 2 if up == 2 or (up == 1 and (node.outside > 1 or s in wrapper.template)) else up
+    if not any(state.values()):
+        return unwrapped_text(blocks)
+    return "\n\n".join(b.text for b in blocks if state[id(b.node)] == 1 or slot[id(b.node)] in wrapper.also)
+
+
 def host(url: Column) -> Column:
     """The host of a URL in lower case; empty if there is none."""
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
@@ -315,61 +494,89 @@ def _drawn(pages: DataFrame, samples: int, held_bytes: int = 32_000_000) -> Data
     return some.groupBy("host", "h").agg(F.min("html").alias("html")).withColumn("rank", rank).filter(F.col("rank") <= samples).select("host", "html")
 
 
-def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", *, samples: int = 4) -> DataFrame:
-    """``host``, ``wrapper`` and ``constants`` for every host with two different pages or more that share a text.
+def _by_host(pages: DataFrame, table: DataFrame, column: str, how: str, broadcast_bytes: int, salts: int = 64) -> DataFrame:
+    """Pages (host, h, ...) with the table's column of their host.
 
-    At most ``samples`` pages of each make the skeleton; what is constant is counted over all of them.
+    A table of at most ``broadcast_bytes`` is broadcast. A larger one is joined by host; hosts with a thousandth of all
+    pages or more (so at most 1,000) are dealt out over ``salts`` copies of their row.
+    """
+    size = table.agg(F.coalesce(F.sum(F.length(column) + F.length("host")), F.lit(0))).first()[0]
+    if size <= broadcast_bytes:
+        return pages.join(F.broadcast(table), "host", how)
+    hot = pages.groupBy("host").agg(F.count("*").alias("n")).crossJoin(pages.agg(F.count("*").alias("total"))).filter("1000 * n >= total").select("host", F.lit(True).alias("hot"))
+    hot = F.broadcast(stored(hot, "hot-hosts"))
+    dealt = pages.join(hot, "host", "left").withColumn("salt", F.when(F.col("hot"), F.pmod("h", F.lit(salts)).cast("int")).otherwise(0)).drop("hot")
+    every = F.sequence(F.lit(0), F.when(F.col("hot"), salts - 1).otherwise(0))
+    laid = table.join(hot, "host", "left").select("host", column, F.explode(every).alias("salt"))
+    return dealt.join(laid, ["host", "salt"], how).drop("salt")
+
+
+def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", *, samples: int = 4, broadcast_bytes: int = 32_000_000) -> DataFrame:
+    """``host`` and ``wrapper`` (JSON) for every host with two different pages or more.
+
+    At most ``samples`` pages of each make the skeleton; slots are counted over all different pages, of which those with
+    the same longest text count as one (copies of one article are no template). A slot is constant if over half of what fills it
+    are repeated texts, which over half of its pages hold.
     """
     known = pages.filter(F.col(html_col).isNotNull()).select(host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"), F.xxhash64(html_col).alias("h"))
+    none = pa.table({"host": pa.array([], pa.string()), "skeleton": pa.array([], pa.string())})
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         texts = sorted(table["html"].to_pylist())
-        return pa.table({"host": [key[0].as_py()], "wrapper": [induce(texts)]}) if len(texts) > 1 else pa.table({"host": pa.array([], pa.string()), "wrapper": pa.array([], pa.string())})
+        return pa.table({"host": [key[0].as_py()], "skeleton": [induce(texts)]}) if len(texts) > 1 else none
 
-    skeletons = stored(_drawn(known, samples).groupBy("host").applyInArrow(run, "host string, wrapper string"), "skeletons")
+    skeletons = stored(_drawn(known, samples).groupBy("host").applyInArrow(run, "host string, skeleton string"), "skeletons")
+    kind = pa.list_(pa.struct([("slot", pa.int64()), ("mark", pa.int64()), ("chars", pa.int64()), ("linked", pa.int64())]))
 
     def seen(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            held = []
-            for page, data in zip(part.column("html"), part.column("wrapper"), strict=True):
-                tree, blocks = parse(page.as_py())
-                slot = slots(tree, _wrapper(data.as_py()))
-                # Mark -1 stands for the slot itself.
-                pairs = {(s, -1) for s in slot.values()} | {(slot[id(b.node)], _mark(b.text)) for b in blocks}
-                held.append([{"slot": s, "mark": m} for s, m in sorted(pairs)])
-            kind = pa.list_(pa.struct([("slot", pa.int64()), ("mark", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([part.column("host"), part.column("h"), pa.array(held, kind)], ["host", "h", "seen"])
-
-    read = known.join(skeletons, "host").select("host", "h", "html", "wrapper").mapInArrow(seen, "host string, h long, seen array<struct<slot:long,mark:long>>")
-    each = read.dropDuplicates(["host", "h"]).select("host", F.explode("seen").alias("x")).groupBy("host", "x.slot", "x.mark").agg(F.count("*").alias("n"))
-    counts = stored(each.filter("n > 1"), "counts")
+            keys, held = [], []
+            for page, data in zip(part.column("html"), part.column("skeleton"), strict=True):
+                key, found = fillings(page.as_py(), _skeleton(data.as_py()))
+                keys.append(key)
+                held.append([dict(zip(("slot", "mark", "chars", "linked"), f, strict=True)) for f in found])
+            yield pa.RecordBatch.from_arrays([part.column("host"), pa.array(keys, pa.int64()), pa.array(held, kind)], ["host", "key", "seen"])
+
+    read = _by_host(known, skeletons, "skeleton", "inner", broadcast_bytes).select("host", "html", "skeleton").mapInArrow(seen, "host string, key long, seen array<struct<slot:long,mark:long,chars:long,linked:long>>")
+    once = read.groupBy("host", "key").agg(F.max("seen").alias("seen"))
+    each = once.select("host", F.explode("seen").alias("x")).select("host", "x.*").groupBy("host", "slot", "mark").agg(F.count("*").alias("n"), F.max("chars").alias("chars"), F.max("linked").alias("linked"))
+    counts = stored(each, "fillings")
     total = counts.filter("mark = -1").select("host", "slot", F.col("n").alias("total"))
-    shared = counts.filter("mark <> -1").join(total, ["host", "slot"]).filter("2 * n >= total")
-    constants = shared.groupBy("host").agg(F.concat_ws(",", F.sort_array(F.collect_list(F.concat_ws(":", "slot", "mark")))).alias("constants"))
-    return stored(skeletons.join(constants, "host"), "wrappers")
+    texts = counts.filter("mark <> -1").join(total, ["host", "slot"])
+    repeated = F.sum(F.when((2 * F.col("n") > F.col("total")) & (F.col("n") > 1), F.col("n")).otherwise(0))
+    tally = texts.groupBy("host", "slot").agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), (2 * repeated > F.sum("n")).alias("constant"))
+    # Slots outside the skeleton are needed only where they are template.
+    listed = tally.filter("slot >= 0 or constant").groupBy("host").agg(F.collect_list(F.struct("slot", "chars", "linked", "constant")).alias("tally"))
+
+    def made(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            out = [decide(s.as_py(), sorted((t["slot"], t["chars"], t["linked"], t["constant"]) for t in found.as_py())) for s, found in zip(part.column("skeleton"), part.column("tally"), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("host"), pa.array(out, pa.string())], ["host", "wrapper"])
+
+    return stored(skeletons.join(listed, "host").select("host", "skeleton", "tally").mapInArrow(made, "host string, wrapper string"), "wrappers")
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, samples: int = 4) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, samples: int = 4, broadcast_bytes: int = 32_000_000) -> DataFrame:
     """One row per input row: the id, the URL and ``text`` (empty if there is none).
 
     A null page has an empty text; a null or odd URL is host ''. A host with one page has no wrapper: only elements, roles and
     names decide. Repeated rows are extracted each by itself and do not make a text constant; an empty table gives an empty
-    result.
+    result. Neither depth nor width nor length of a page is bounded.
     """
     small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    joined = rows.withColumn("host", host(F.col("url"))).join(wrappers(rows, "url", "html", samples=samples), "host", "left").select("id", "url", "html", "wrapper", "constants")
+    made = wrappers(rows, "url", "html", samples=samples, broadcast_bytes=broadcast_bytes)
+    keyed = rows.withColumn("host", host(F.col("url"))).withColumn("h", F.xxhash64("html", "id"))
+    joined = _by_host(keyed, made, "wrapper", "left", broadcast_bytes).select("id", "url", "html", "wrapper")
     kind = pages.schema[id_col].dataType.simpleString()
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            texts = []
-            for page, data, constants in zip(part.column("html"), part.column("wrapper"), part.column("constants"), strict=True):
-                texts.append(main_text(page.as_py(), _wrapper(data.as_py()), _constants(constants.as_py())))
+            texts = [main_text(page.as_py(), _wrapper(data.as_py())) for page, data in zip(part.column("html"), part.column("wrapper"), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("url"), pa.array(texts, pa.string())], ["id", "url", "text"])
 
-    made = joined.mapInArrow(run, f"id {kind}, url string, text string")
-    return made.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")
+    done = joined.mapInArrow(run, f"id {kind}, url string, text string")
+    return done.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")
 
 
 def html_digest(pages: DataFrame) -> DataFrame:
