@@ -32,10 +32,16 @@ def let(value: Column, body) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where the session names none."""
+    """This application's folder within the shared one that ``spark.checkpoint.dir`` names.
+
+    Where none is named, a temporary folder in local mode, as in tests; on a cluster an error, since no executor can read
+    what another wrote to its own disk.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named.rstrip("/")
+        return f"{named.rstrip('/')}/ledgerloom-{spark.sparkContext.applicationId}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = spark.conf.get("ledgerloom.scratch", None)
     if not own:
         own = tempfile.mkdtemp(prefix="ledgerloom-")
@@ -51,6 +57,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_stored(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application. Results that were not written elsewhere can't be read after it."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the rows that learning may not see: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))

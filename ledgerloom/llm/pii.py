@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import let
-from .spans import around, assemble, digits, find, listed, luhn, tree_sum
+from .spans import apart, around, assemble, cut, digits, find, listed, luhn, pieces, running, tree_sum
 
 KINDS = ["email", "ip", "card", "phone", "ssn", "iban"]
 
@@ -35,6 +35,10 @@ GENERATORS = {
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"),
 }
 
+#: The longest candidate has 413 characters (an email), the shortest 7 (an ip), and matches of one kind do not overlap: of those
+#: sorted by start, at most so many before and after one can meet it.
+REACH = len(GENERATORS) * (413 // 7 + 1)
+
 _CUES = {
     "cue_call": r"(?i)\b(?:call|tel|phone|mobile|cell|fax|dial|whatsapp)\b",
     "cue_pay": r"(?i)\b(?:card|visa|mastercard|credit|debit|payment|iban|bank|account)\b",
@@ -170,25 +174,31 @@ def find_pii(docs: DataFrame, text_col: str = "text", *, scorer: Scorer | None =
     def proposed(kind: str) -> Column:
         pattern, gate = GENERATORS[kind]
         gated = text.rlike(gate) if kind == "email" else numeric & text.rlike(gate)
-
-        def full(x: Column) -> Column:
-            before, after = around(text, x, 32, 8)
-            return F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), before.alias("before"), after.alias("after"))
-
-        return F.transform(find(text, pattern, gated), full)
+        return F.transform(find(text, pattern, gated), lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v")))
 
     read = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     with_base = read.select("row", "_text", F.concat(*[tag(k, s) for k, s in base_spans(text).items()]).alias("base"), F.concat(*map(proposed, KINDS)).alias("candidates"))
+    free = with_base.select("row", "_text", "base", apart(F.col("candidates"), F.col("base")).alias("free"))
+    held = free.select("row", "base", "free", F.when(F.size("free") > 0, pieces(text)).otherwise(F.array().cast("array<string>")).alias("_held"))
+
+    def full(x: Column) -> Column:
+        before, after = around(F.col("_held"), x, 32, 8)
+        return F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), before.alias("before"), after.alias("after"))
+
     threshold = lambda c: F.coalesce(*[F.when(c["kind"] == k, F.lit(scorer.thresholds[k])) for k in KINDS])
+    scored = held.select("row", "base", F.transform(F.transform("free", full), lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["kind"].alias("kind"), scorer.score(c).alias("p"), threshold(c).alias("t"))).alias("scored"))
+    likely = F.when(F.size("scored") == 0, F.array().cast("array<struct<s:int,e:int,kind:string,p:double,t:double>>")).otherwise(F.sort_array(F.filter("scored", lambda c: c["p"] >= c["t"])))
+    return scored.select("row", "base", let(likely, _likeliest).alias("added"))
+
+
+def _likeliest(spans: Column) -> Column:
+    """Of spans (s, e, kind, p) sorted by start those that meet none that is better: likelier, then longer, then earlier."""
     meets = lambda x, y: (x["s"] < y["e"]) & (y["s"] < x["e"])
-    scored = F.transform(
-        F.filter("candidates", lambda c: ~F.exists("base", lambda b: meets(b, c))),
-        lambda c: F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e"), scorer.score(c).alias("p"), threshold(c).alias("t")),
-    )
-    chosen = F.when(F.size("candidates") == 0, F.array().cast("array<struct<kind:string,s:int,e:int,p:double,t:double>>")).otherwise(F.filter(scored, lambda c: c["p"] >= c["t"]))
     better = lambda x, y: (x["p"] > y["p"]) | ((x["p"] == y["p"]) & ((x["e"] - x["s"] > y["e"] - y["s"]) | ((x["e"] - x["s"] == y["e"] - y["s"]) & ((x["s"] < y["s"]) | ((x["s"] == y["s"]) & (x["kind"] < y["kind"]))))))
-    added = let(chosen, lambda cs: F.transform(F.filter(cs, lambda c: ~F.exists(cs, lambda o: meets(o, c) & better(o, c))), lambda c: F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e"))))
-    return with_base.select("row", "base", added.alias("added"))
+    near = lambda i: F.slice(spans, F.greatest(i - REACH, F.lit(0)) + 1, F.lit(2 * REACH + 1))
+    best = F.filter(spans, lambda c, i: ~F.exists(near(i), lambda o: meets(o, c) & better(o, c)))
+    one_kind = F.size(F.array_distinct(F.transform(spans, lambda x: x["kind"]))) < 2
+    return F.transform(F.when(one_kind, spans).otherwise(best), lambda c: F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e")))
 
 
 def _ordered(spans: Column) -> Column:
@@ -210,17 +220,25 @@ def pii_digest(docs: DataFrame) -> DataFrame:
     )
 
 
-def redacted(docs: DataFrame) -> DataFrame:
-    """Documents (all columns) with every span replaced by its kind in angle brackets; overlapping spans by the first's."""
-    found = find_pii(docs)
+def redacted(docs: DataFrame, text_col: str = "text", *, scorer: Scorer | None = None) -> DataFrame:
+    """Documents (all columns) with every span replaced by its kind in angle brackets; overlapping spans by the first's.
+
+    Null texts stay null, texts without spans as they are; repeated rows are treated each by itself; an empty table gives an
+    empty result. Time is linear in the text and its spans.
+    """
+    found = find_pii(docs, text_col, scorer=scorer)
+    text = F.col("row")[text_col]
     spans = F.sort_array(F.transform(F.concat("base", "added"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
-    text = F.col("row.text")
+    placed = found.select("row", spans.alias("_spans")).select("row", "_spans", F.when(F.size("_spans") > 0, pieces(text)).otherwise(F.array().cast("array<string>")).alias("_held"))
+    held = F.col("_held")
+
+    def made(ends: Column) -> Column:
+        def put(x: Column, i: Column) -> Column:
+            at = F.when(i == 0, 0).otherwise(F.get(ends, i - 1))
+            return F.when(x["s"] < at, "").otherwise(F.concat(cut(held, at, x["s"]), F.lit("<"), F.upper(x["kind"]), F.lit(">")))
 
-    def step(acc: Column, x: Column) -> Column:
-        inside = x["s"] < acc["at"]
-        put = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(inside, acc["out"]).otherwise(put).alias("out"))
+        return F.concat(F.array_join(F.transform("_spans", put), ""), cut(held, F.element_at(ends, -1), F.length(text)))
 
-    made = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    new = F.when(F.size(spans) == 0, text).otherwise(made)
-    return found.select(*[(new if f.name == "text" else F.col("row")[f.name]).alias(f.name) for f in docs.schema])
+    ends = running(F.transform("_spans", lambda x: x["e"]), F.lit(0), lambda a, x: F.greatest(a, x))
+    new = F.when(F.size("_spans") == 0, text).otherwise(let(ends, made))
+    return placed.select(*[(new if f.name == text_col else F.col("row")[f.name]).alias(f.name) for f in docs.schema])

@@ -1,11 +1,13 @@
 """Secret scan: wide candidates, false positives removed by a random forest. DataFrame functions only.
 
-Candidates are values assigned to something named like a credential, and any long run of key characters. A random forest,
+Candidates are values assigned to something named like a credential, and any run of 16 key characters or more, so long
+words, paths and digests are among them; that is high recall by design, and the forest has to turn most of them down. A random forest,
 trained from labelled findings, scores each from its length, how its characters change class, how much of it dictionary
 words cover, how path-like it is, and the words next to it. The forest is compiled into an expression, so the scan is one
 projection of the text: no shuffle, and nothing but what the JVM runs.
 
-Findings for training are made by rule (:func:`labelled`): keys in usual formats, and what scanners mistake for them.
+No table labels findings, so those for training are made by rule (:func:`labelled`): keys in usual formats, and what scanners
+mistake for them. Labelled findings of one's own can be given instead (:class:`Forest`).
 """
 
 from __future__ import annotations
@@ -14,11 +16,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import let
-from .spans import around, assemble, find, tree_sum
+from .spans import apart, around, assemble, find, pieces, tree_sum
 
 #: The value of an assignment to a credential-like name, or a long run of key characters.
 _ASSIGNED = r"(?i)(?:(?<=(?:secret|token|passwd|password|api_key|apikey|access_key|credential|private_key)[\"' ]{0,2}[:=][\"' ]{0,3})[^\s\"'<>,;]{8,}+)"
-_RUN = r"(?<![A-Za-z0-9_/+=.-])(?=[A-Za-z0-9_/+=.-]*[0-9])[A-Za-z0-9_/+=.-]{20,}+(?![A-Za-z0-9_/+=.-])"
+_RUN = r"(?<![A-Za-z0-9_/+=.-])[A-Za-z0-9_/+=.-]{16,}+"
 
 #: Fixed list: common words and parts of names that keys do not hold.
 WORDS = (
@@ -27,6 +29,9 @@ WORDS = (
     "source|start|state|string|system|table|test|text|that|this|time|type|user|value|version|view|with|word|work|world|your"
 )
 
+#: Fixed list: syllables that prose is made of, for findings that are only long words.
+SYLLABLES = "ation ing er the en sch ung lich eau que tion ment ción para los re ver in an or ou ai ente über".split()
+
 NAMES = ["length", "lower_digit", "digit_lower", "upper_digit", "case", "digit_share", "upper_share", "letters", "hex", "dictionary", "repeat", "distinct", "slashes", "dots", "dashes", "extension", "known", "placeholder", "assigned", "quoted", "cue_secret", "cue_hash", "cue_path"]
 
 
@@ -73,7 +78,7 @@ def labelled(spark: SparkSession, rows: int = 6000) -> DataFrame:
     drawn = lambda s: F.sha2(F.concat(key.cast("string"), F.lit(s)), 256)
     mixed = F.regexp_replace(F.base64(F.unhex(F.concat(drawn("m"), drawn("n")))), "[/+=]", "x")
     n = (F.pmod(F.xxhash64(key, F.lit("n")), F.lit(30)) + 20).cast("int")
-    shape = F.pmod(F.xxhash64(key, F.lit("shape")), F.lit(6))
+    shape = F.pmod(F.xxhash64(key, F.lit("shape")), F.lit(8))
     word = lambda s: _pick(key, s, WORDS.split("|"))
     good = key % 2 == 0
     secret = (
@@ -82,19 +87,28 @@ def labelled(spark: SparkSession, rows: int = 6000) -> DataFrame:
         .when(shape == 2, F.concat(F.lit("AKIA"), F.upper(F.substring(mixed, 1, 16))))
         .when(shape == 3, F.concat(F.lit("ghp_"), F.substring(mixed, 1, 36)))
         .when(shape == 4, F.substring(drawn("b"), 1, 32))
+        .when(shape == 5, F.concat(F.lit("eyJ"), mixed, F.lit("."), F.concat_ws("", *[F.substring(F.base64(F.unhex(drawn(f"j{i}"))), 1, 40) for i in range(4)])))
+        .when(shape == 6, F.substring(mixed, F.lit(1), F.lit(16)))
         .otherwise(F.concat(F.lit("sk_live_"), F.substring(mixed, 1, 24)))
     )
+    # A long word of prose: syllables, as words that no dictionary holds have them too.
+    prose = F.concat_ws("", *[_pick(key, f"syllable{i}", SYLLABLES) for i in range(7)], _pick(key, "stop", ["", "", ".", ".--"]))
+    case = F.pmod(F.xxhash64(key, F.lit("case")), F.lit(4))
+    prose = F.when(case == 0, F.upper(prose)).when(case == 1, F.initcap(prose)).otherwise(prose)
     not_secret = (
         F.when(shape == 0, F.sha1(drawn("c")))
         .when(shape == 1, F.concat(F.lit("/"), F.concat_ws("/", word("p"), word("q"), word("r")), (key % 97).cast("string"), _pick(key, "ext", [".html", ".png", ".js", ".txt"])))
         .when(shape == 2, F.concat(word("p"), F.initcap(word("q")), F.initcap(word("r")), F.initcap(word("s")), (key % 89).cast("string")))
         .when(shape == 3, F.concat(_pick(key, "ph", ["your-token-here-", "xxxxxxxxxxxxxxxxxxxx", "changeme-example-", "example_key_1234567"]), (key % 10).cast("string")))
         .when(shape == 4, F.concat_ws("-", *[F.substring(drawn("u"), 1 + 4 * i, k) for i, k in enumerate((8, 4, 4, 4, 12))]))
+        .when(shape.isin(5, 6), prose)
         .otherwise(F.concat(F.repeat(word("p"), 4), (key % 7).cast("string")))
     )
-    cue = F.when(good, F.when(shape.isin(2, 3, 5) & (key % 3 == 0), _pick(key, "free", ["the ", "is ", "and "])).otherwise(_pick(key, "cue", ['token = "', "secret: ", "password='", 'api_key = "', "access_key=", 'private key: "', 'auth: "']))).otherwise(
-        F.when(shape == 3, _pick(key, "cue", ['token = "', 'api_key = "', "secret: "])).otherwise(_pick(key, "dull", ["commit ", "sha1: ", "the file ", "md5 = ", "uuid: ", "open ", "path=", "etag: \"", "see ", "checksum "]))
-    )
+    named = ['token = "', "secret: ", "password='", 'api_key = "', "access_key=", 'private key: "', 'auth: "']
+    free = ["the ", "is ", "and ", "", ". ", ", "]
+    dull = ["commit ", "sha1: ", "the file ", "md5 = ", "uuid: ", "open ", "path=", "etag: \"", "see ", "checksum "]
+    # Which words stand before does not follow from the label but for hexadecimal digests, which nothing else tells apart.
+    cue = F.when((shape == 0) | (shape == 4), F.when(good, _pick(key, "cue", named)).otherwise(_pick(key, "dull", dull))).otherwise(F.when(F.pmod(F.xxhash64(key, F.lit("place")), F.lit(5)) < F.when(good, 3).otherwise(1), _pick(key, "cue", named)).otherwise(_pick(key, "free", [*free, *dull[-2:]])))
     c = F.struct(F.when(good, secret).otherwise(not_secret).alias("v"), cue.alias("before"), F.lit('"').alias("after"))
     return spark.range(rows).select(c.alias("c"), good.cast("double").alias("label"), F.pmod(F.xxhash64(key, F.lit("part")), F.lit(4)).alias("part"))
 
@@ -128,15 +142,15 @@ def scan(docs: DataFrame, text_col: str = "text", *, threshold: float = 0.5, for
     text = F.col("_text")
 
     def full(x: Column) -> Column:
-        before, after = around(text, x, 32, 4)
+        before, after = around(F.col("_held"), x, 32, 4)
         return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), before.alias("before"), after.alias("after"))
 
-    meets = lambda x, y: (x["s"] < y["e"]) & (y["s"] < x["e"])
     low = F.lower(text)
     named = F.contains(low, F.lit("secret")) | F.contains(low, F.lit("token")) | F.contains(low, F.lit("passw")) | F.contains(low, F.lit("key")) | F.contains(low, F.lit("credential"))
-    assigned = F.transform(find(text, _ASSIGNED, named), full)
-    runs = F.transform(find(text, _RUN, text.rlike("[0-9]") & text.rlike(r"[A-Za-z0-9_/+=.-]{20}")), full)
-    both = read.select("row", assigned.alias("a"), runs.alias("r")).select("row", F.concat("a", F.filter("r", lambda x: ~F.exists("a", lambda y: meets(x, y)))).alias("c"))
+    found = read.select("row", "_text", find(text, _ASSIGNED, named).alias("a"), find(text, _RUN, text.rlike(r"[A-Za-z0-9_/+=.-]{16}")).alias("r"))
+    found = found.select("row", "_text", F.concat("a", apart(F.col("r"), F.col("a"))).alias("all"))
+    found = found.select("row", "all", F.when(F.size("all") > 0, pieces(text)).otherwise(F.array().cast("array<string>")).alias("_held"))
+    both = found.select("row", F.transform("all", full).alias("c"))
     scored = F.transform("c", lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), forest.score(c).alias("p")))
     kept = F.transform(scored, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["p"].alias("p"), (c["p"] >= threshold).alias("secret")))
     return both.select("row", F.when(F.size("c") == 0, F.array().cast("array<struct<s:int,e:int,p:double,secret:boolean>>")).otherwise(F.sort_array(kept)).alias("findings"))
