@@ -1,9 +1,13 @@
 """Language identification by cross-parsing entropy.
 
 For every language a suffix automaton is built over a bounded sample of labelled text; it recognises all substrings of that
-text. A document is cut greedily into the longest phrases the automaton knows. The language that needs the fewest phrases
-for a letter wins. The parse runs whole documents side by side: texts are laid out in blocks, and one table lookup moves all
-blocks by one symbol in all languages.
+text. A document is cut greedily into the longest phrases the automaton knows. Phrases times the logarithm of the sample's
+length, over the letters of the document, estimate the cross entropy, whatever the lengths of the samples; the language
+with the fewest of these normalised phrases wins.
+
+Automata are sparse: the moves of all states lie in one array, each state's at a place of its own, so the alphabet has no
+bound. Many stretches of text are parsed side by side, in all languages. A stretch's parse depends on where the phrase that
+runs into it ends, so stretches are parsed again from there until nothing changes: phrases are those of the whole text.
 """
 
 from __future__ import annotations
@@ -19,8 +23,8 @@ from pyspark.sql import types as T
 
 from .common import held_out, labelled_sample, small_batches
 
-BLOCK = 512
-_NEW = 1 << 30
+#: Symbols that one lane parses; no result depends on it.
+STRETCH = 512
 
 
 def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
@@ -53,36 +57,73 @@ def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
     return go
 
 
+def placed(state: np.ndarray, symbol: np.ndarray, states: int, width: int) -> tuple[np.ndarray, int]:
+    """A place for every state, such that no two moves (place of the state plus symbol) share a cell, and the number of cells.
+
+    Moves come sorted by state. States with many moves are placed first; all states of about one size try random places at
+    once, and those whose cells are taken try again.
+    """
+    cells = 3 * len(state) + 2 * width + 64
+    place, used, owner = np.zeros(states, np.int64), np.zeros(cells, bool), np.full(cells, -1, np.int64)
+    degree = np.bincount(state, minlength=states)
+    first = np.concatenate([[0], np.cumsum(degree)[:-1]])
+    r = np.random.default_rng(7)
+    for size in range(int(degree.max(initial=0)).bit_length(), 0, -1):
+        waiting = np.flatnonzero((degree >= 1 << (size - 1)) & (degree < 1 << size))
+        while len(waiting):
+            n = degree[waiting]
+            moves = np.repeat(first[waiting] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            tried = r.integers(0, cells - width, len(waiting))
+            at = np.repeat(tried, n) + symbol[moves]
+            who = state[moves]
+            free = ~used[at]
+            owner[at[free]] = who[free]
+            bad = np.zeros(states, bool)
+            bad[who[~free | (owner[at] != who)]] = True
+            won = ~bad[waiting]
+            place[waiting[won]] = tried[won]
+            used[at[~bad[who]]] = True
+            waiting = waiting[~won]
+    return place, cells
+
+
 class Parser:
-    """Automata of all languages as one table of moves."""
+    """Automata of all languages as one sparse table of moves."""
 
     def __init__(self, samples: dict[str, str]) -> None:
         self.langs = sorted(samples)
-        letters = sorted({c for s in samples.values() for c in s.lower() if c.isalpha()})[:200]
-        self.other, self.pad = len(letters) + 1, len(letters) + 2
+        letters = sorted({c for s in samples.values() for c in s.lower() if c.isalpha()})
+        # Codes of characters: 0 for what is no letter, which divides words; one for every letter of the samples; one for
+        # all letters unknown to them; one that ends a text.
+        self.other, self.end = len(letters) + 1, len(letters) + 2
         self.width = len(letters) + 3
-        # Codes of characters: 0 for what is no letter, which divides words; one for every letter unknown to the samples.
-        self.code = np.zeros(0x110000, np.uint8)
+        self.code = np.zeros(0x110000, np.int32)
         self.code[[i for i in range(0x110000) if chr(i).isalpha()]] = self.other
         for i, c in enumerate(letters):
             self.code[ord(c)] = i + 1
-        tables, self.roots, base = [], [], 0
+        state, symbol, to, self.roots, self.logs, base = [], [], [], [], [], 0
         for lang in self.langs:
-            go = suffix_automaton(self.symbols(samples[lang]).tolist())
-            table = np.full((len(go), self.width), -1, np.int64)
-            for state, moves in enumerate(go):
-                for symbol, to in moves.items():
-                    table[state, symbol] = (base + to) * self.width
-            begin = np.where(table[0] >= 0, table[0], base * self.width) | _NEW  # a new phrase begins with this symbol
-            table = np.where(table >= 0, table, begin)
-            table[0] = begin
-            table[:, self.pad] = (base + np.arange(len(go))) * self.width
-            tables.append(table)
-            self.roots.append(base * self.width)
+            known = self.symbols(samples[lang])
+            go = suffix_automaton(known.tolist())
+            self.roots.append(base)
+            self.logs.append(float(np.log2(len(known) + 2)))
+            for s, moves in enumerate(go):
+                for c in sorted(moves):
+                    state.append(base + s)
+                    symbol.append(c)
+                    to.append(base + moves[c])
             base += len(go)
-        self.table = np.concatenate(tables).astype(np.int32).ravel() if tables else np.empty(0, np.int32)
-        if base * self.width >= _NEW:
-            raise ValueError("the samples are too large for the table")
+        moves = [np.array(x, np.int64) for x in (state, symbol, to)]
+        place, cells = placed(moves[0], moves[1], base, self.width)
+        self.place = place.astype(np.int32)
+        self.check, self.to = np.full(cells, -1, np.int32), np.zeros(cells, np.int32)
+        at = place[moves[0]] + moves[1]
+        self.check[at], self.to[at] = moves[0], moves[2]
+        # Where a phrase that begins with a symbol leads, by language.
+        self.begin = np.repeat(np.array(self.roots, np.int32)[:, None], self.width, axis=1) if self.langs else np.empty((0, self.width), np.int32)
+        for k, root in enumerate(self.roots):
+            mine = moves[0] == root
+            self.begin[k, moves[1][mine]] = moves[2][mine]
 
     def symbols(self, text: str) -> np.ndarray:
         """Codes of the lower-cased text, runs of other characters than letters as one divider."""
@@ -90,42 +131,103 @@ class Parser:
         keep = (codes != 0) | (np.concatenate([[1], codes[:-1]]) != 0)
         return codes[keep]
 
-    def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Phrases needed, by text and language. A phrase ends at the end of a block of ``BLOCK`` symbols at the latest."""
-        sizes = np.array([-(-len(t) // BLOCK) for t in texts], np.int64)
-        total = int(sizes.sum())
-        out = np.zeros((len(texts), len(self.langs)), np.int64)
-        if not total:
+    def _parse(self, laid: np.ndarray, start: np.ndarray, stop: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For every lane the phrases that begin at ``start`` or later and before ``stop``, and where the first after them begins."""
+        count, over = np.zeros(len(start), np.int64), np.full(len(start), -1, np.int64)
+        ids = np.flatnonzero(start < stop)
+        over[start >= stop] = start[start >= stop]
+        root = np.array(self.roots, np.int32)[lang[ids]]
+        state, pos, last, row = root.copy(), start[ids].copy(), stop[ids], lang[ids] * self.width
+        begin, tally, end = self.begin.ravel(), np.zeros(len(ids), np.int64), np.full(len(ids), -1, np.int64)
+        step = 0
+        while len(ids):
+            symbol = laid[pos]
+            cell = self.place[state] + symbol
+            known = self.check[cell] == state
+            new = ~known | (state == root)
+            inside = pos < last
+            tally += new & inside
+            np.copyto(end, pos, where=new & ~inside & (end < 0))
+            state = np.where(known, self.to[cell], begin[row + symbol])
+            pos += 1
+            step += 1
+            if step % 64 == 0 or step < 8 or pos[0] >= len(laid) - 1:
+                np.minimum(pos, len(laid) - 1, out=pos)
+                if (end >= 0).any():
+                    done, left = end >= 0, end < 0
+                    count[ids[done]], over[ids[done]] = tally[done], end[done]
+                    ids, root, state, pos, last, row, tally, end = (x[left] for x in (ids, root, state, pos, last, row, tally, end))
+        return count, over
+
+    def phrases(self, texts: list[np.ndarray], stretch: int = STRETCH) -> np.ndarray:
+        """Phrases needed, by text and language."""
+        n_langs = len(self.langs)
+        out = np.zeros((len(texts), n_langs), np.int64)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        if not sizes.sum() or not n_langs:
             return out
-        laid = np.full(total * BLOCK, self.pad, np.uint8)
-        at = np.concatenate([[0], np.cumsum(sizes)])
-        for t, b in zip(texts, at[:-1].tolist(), strict=True):
-            laid[b * BLOCK : b * BLOCK + len(t)] = t
-        columns = np.ascontiguousarray(laid.reshape(total, BLOCK).T).astype(np.int32)
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], total, axis=1)
-        count = np.zeros(state.shape, np.int32)
-        for column in columns:
-            moved = self.table.take(state + column)
-            count += moved >> 30
-            state = moved & (_NEW - 1)
-        owner = np.repeat(np.arange(len(texts)), sizes)
-        for k in range(len(self.langs)):
-            out[:, k] = np.bincount(owner, count[k], len(texts))
+        # Every text is followed by a symbol that no automaton knows.
+        begins = np.concatenate([[0], np.cumsum(sizes + 1)])
+        laid = np.full(begins[-1] + 128, self.end, np.int32)
+        for t, b in zip(texts, begins.tolist(), strict=False):
+            laid[b : b + len(t)] = t
+        parts = -(-sizes // stretch)
+        owner = np.repeat(np.arange(len(texts)), parts)
+        number = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+        low = begins[owner] + number * stretch
+        high = np.minimum(low + stretch, begins[owner] + sizes[owner])
+        lanes = np.tile(np.arange(len(owner)), n_langs)
+        lang = np.repeat(np.arange(n_langs), len(owner))
+        count, over = self._parse(laid, low[lanes], high[lanes], lang)
+        for k in range(n_langs):
+            mine = slice(k * len(owner), (k + 1) * len(owner))
+            single = parts[owner] == 1
+            np.add.at(out[:, k], owner[single], count[mine][single])
+        # Of texts in several stretches: what is known of a stretch, by where its first phrase begins.
+        long = np.flatnonzero(parts > 1)
+        firsts = (np.cumsum(parts) - parts)[long]
+        known = {(k, b): {int(low[b]): (int(count[k * len(owner) + b]), int(over[k * len(owner) + b]))} for k in range(n_langs) for f, t in zip(firsts, long, strict=True) for b in range(f, f + parts[t])}
+        guess = {kb: next(iter(v.values()))[1] for kb, v in known.items()}
+        open_ = [(k, int(t), int(f)) for k in range(n_langs) for t, f in zip(long, firsts, strict=True)]
+        while open_:
+            asked, still = [], []
+            for k, t, f in open_:
+                at, total, missing = int(low[f]), 0, False
+                for b in range(f, f + int(parts[t])):
+                    if at >= high[b]:
+                        continue  # a phrase that is longer than the stretch
+                    found = known[k, b].get(at)
+                    if found is None:
+                        missing = True
+                        asked.append((k, b, at))
+                        at = guess[k, b]
+                    else:
+                        total, at = total + found[0], found[1]
+                if missing:
+                    still.append((k, t, f))
+                else:
+                    out[t, k] = total
+            if asked:
+                ks, bs, ats = (np.array(x, np.int64) for x in zip(*asked, strict=True))
+                for k, b, at, c, o in zip(ks.tolist(), bs.tolist(), ats.tolist(), *(x.tolist() for x in self._parse(laid, ats, high[bs], ks)), strict=True):
+                    known[k, b][at] = (c, o)
+                    guess[k, b] = o
+            open_ = still
         return out
 
     def judge(self, texts: list[str | None], letters_at_once: int = 2_000_000) -> tuple[list[str], list[float]]:
-        """Language and score of every text: 1 minus the winner's phrases over the second's."""
+        """Language and score of every text: 1 minus the winner's normalised phrases over the second's."""
         langs, scores, held, size = [], [], [], 0
 
         def flush() -> None:
             nonlocal held, size
             needed = self.phrases(held)
             for t, row in zip(held, needed, strict=True):
-                if not self.langs or not (t != 0).any():
+                if not self.langs or not t.any():
                     langs.append("und")
                     scores.append(0.0)
                     continue
-                best, *rest = sorted((n, lang) for n, lang in zip(row.tolist(), self.langs, strict=True))
+                best, *rest = sorted((n, lang) for n, lang in zip((row * self.logs).tolist(), self.langs, strict=True))
                 langs.append(best[1])
                 scores.append(1.0 - best[0] / rest[0][0] if rest else 1.0)
             held, size = [], 0

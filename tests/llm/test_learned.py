@@ -26,25 +26,49 @@ def test_automaton_accepts_exactly_the_substrings():
             assert (state >= 0) == (w in inside)
 
 
-def test_phrases_equal_a_greedy_parse():
+def greedy(known, t):
+    i = n = 0
+    while i < len(t):
+        j = i + 1
+        while j < len(t) and any(known[k : k + j + 1 - i] == t[i : j + 1] for k in range(len(known))):
+            j += 1
+        i, n = j, n + 1
+    return n
+
+
+def test_phrases_equal_a_greedy_parse_of_the_whole_text():
     r = random.Random(3)
-    samples = {k: text(r, k, 40) for k in SYLLABLES}
+    samples = {k: text(r, k, 40) for k in SYLLABLES} | {"xx": "a" * 7 + " " + "ab" * 30}
     parser = langid.Parser(samples)
-    texts = [text(r, r.choice(list(SYLLABLES)), r.randrange(0, 300)) + r.choice(["", " Ω", "日本 x"]) for _ in range(30)]
+    texts = [text(r, r.choice(list(SYLLABLES)), r.randrange(0, 60)) + r.choice(["", " Ω", "日本 x"]) for _ in range(30)]
+    texts += ["a" * 300, "ab" * 200, samples["en"], samples["fr"][20:] + samples["fr"][:20], "日" * 50, ""]
     symbols = [parser.symbols(t) for t in texts]
-    got = parser.phrases(symbols)
-    for k, lang in enumerate(parser.langs):
-        known = bytes(parser.symbols(samples[lang]))
-        for t, n in zip(symbols, got[:, k], strict=True):
-            want = 0
-            for lo in range(0, len(t), langid.BLOCK):
-                block, i = bytes(t[lo : lo + langid.BLOCK]), 0
-                while i < len(block):
-                    j = i + 1
-                    while j < len(block) and block[i : j + 1] in known:
-                        j += 1
-                    i, want = j, want + 1
-            assert n == want
+    want = [[greedy(parser.symbols(samples[lang]).tolist(), t.tolist()) for lang in parser.langs] for t in symbols]
+    for stretch in (3, 16, 100, 512):
+        assert parser.phrases(symbols, stretch).tolist() == want
+
+
+def test_long_texts_end():
+    r = random.Random(6)
+    parser = langid.Parser({k: text(r, k, 400) for k in SYLLABLES} | {"xx": "ab" * 100})
+    long = [text(r, "de", 100_000), "ab" * 300_000, "z" * 300_000]
+    langs, scores = parser.judge(long)
+    assert langs[0] == "de" and langs[1] == "xx" and all(0 <= s <= 1 for s in scores)
+
+
+def test_large_alphabets_and_many_languages():
+    r = random.Random(7)
+    alphabets = {"zh": range(0x4E00, 0x5600), "ja": [*range(0x5600, 0x5A00), *range(0x3041, 0x3090)], "ko": range(0xAC00, 0xB400), "en": range(97, 123)}
+    draw = lambda k, n: "".join(chr(r.choice(alphabets[k])) for _ in range(n))
+    words = {k: [draw(k, 4) for _ in range(300)] for k in alphabets}
+    say = lambda k, n: " ".join(r.choice(words[k]) for _ in range(n))
+    samples = {k: say(k, 900) for k in alphabets}
+    parser = langid.Parser(samples)
+    assert parser.width > 2000
+    for k in alphabets:
+        assert parser.judge([say(k, 40), samples[k]])[0] == [k, k]
+    many = langid.Parser({f"l{i}": say("zh" if i % 2 else "en", 100) for i in range(150)})
+    assert len(many.judge([say("zh", 30)])[0]) == 1
 
 
 def test_languages_of_held_out_rows(spark):
