@@ -5,7 +5,7 @@ repeats the one before it. A document is the mean of its vectors, and a softmax
 together by stochastic gradient descent, in numpy, on a bounded sample of labelled documents.
 
 As mean and softmax are linear up to the last step, scoring needs one number per bucket: its vector times the difference of
-the output rows. Texts are hashed as byte arrays, many at once.
+the output rows. Texts are hashed as arrays of characters (code points), many at once.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,9 +33,9 @@ def _bucket(h: np.ndarray, salt: int) -> np.ndarray:
 
 def bucketed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and text number of every feature of some texts."""
-    words = [(t or "").encode().translate(_BLANK).split() for t in texts]
-    data = np.frombuffer(b" ".join(b" " + b" ".join(w) for w in words) + b" ", np.uint8)
-    lengths = np.array([1 + len(w) - 1 + sum(map(len, w)) + 1 if w else 2 for w in words], np.int64)
+    lines = [b" ".join((t or "").encode().translate(_BLANK).split()).decode() for t in texts]
+    data = np.frombuffer((" ".join(" " + x for x in lines) + " ").encode("utf-32-le"), np.uint32)
+    lengths = np.array([len(x) + 2 for x in lines], np.int64)
     owner = np.repeat(np.arange(len(texts)), lengths)[: len(data)]
     space = data == 32
     wide = data.astype(np.uint64)
@@ -119,10 +119,12 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, cells: int = 1500) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, cells: int = 1500, most_chars: int = 16_000_000) -> Model:
     """Trains on at most ``cells`` documents of each label, drawn by hash from the labelled ones that are not held out.
 
-    Without labelled rows the model is the zero model: 0.5 for all. Null texts and labels are not used.
+    Of each label, texts are taken whole, the shortest first, until they reach ``most_chars`` characters (the first is
+    always taken if it is shorter than that). Of rows with one id one text counts, the least. Without labelled rows the
+    model is the zero model: 0.5 for all. Null texts and labels are not used.
     """
     known = labels.filter(~held_out(F.col(id_col))).select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y"))
     drawn = dict(labelled_sample(known, "k", "y", cells))
@@ -130,7 +132,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Model([], [])
     kind = docs.schema[id_col].dataType.simpleString()
     chosen = docs.sparkSession.createDataFrame(sorted(drawn.items()), f"_k {kind}, _y int")
-    rows = docs.filter(F.col(text_col).isNotNull()).join(F.broadcast(chosen), F.col(id_col) == F.col("_k")).select("_k", F.col(text_col).alias("t"), "_y").collect()
+    held = docs.filter(F.col(text_col).isNotNull()).join(F.broadcast(chosen), F.col(id_col) == F.col("_k")).groupBy("_k", "_y").agg(F.min(F.col(text_col).cast("string")).alias("t"))
+    size = F.sum(F.length("t").cast("long")).over(Window.partitionBy("_y").orderBy(F.length("t"), F.col("_k").cast("string")))
+    rows = held.withColumn("size", size).filter(F.col("size") <= most_chars).select("_k", "t", "_y").collect()
     rows = sorted(rows, key=lambda r: (str(r._k), r.t))
     return Model([r.t for r in rows], [r._y for r in rows])
 

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 
@@ -113,3 +114,33 @@ def test_features_do_not_depend_on_neighbours():
     together, owner = quality_model.bucketed(texts)
     for i, t in enumerate(texts):
         assert np.array_equal(np.sort(together[owner == i]), np.sort(quality_model.bucketed([t])[0]))
+
+
+def test_features_are_words_and_character_grams():
+    """By a plain loop: as many features as words, 3- to 5-grams of marked words, and words equal to the one before."""
+    for t in ("日本語テキスト 日本語テキスト é", "a bb ccc dddd", "", "x", None):
+        words = (t or "").split()
+        grams = {(n, f" {w} "[i : i + n]) for w in words for n in (3, 4, 5) for i in range(len(w) + 3 - n)}
+        count = sum(max(0, len(w) + 3 - n) for w in words for n in (3, 4, 5)) + len(words) + sum(a == b for a, b in zip(words, words[1:], strict=False))
+        found = quality_model.bucketed([t])[0]
+        assert len(found) == count
+        assert abs(len(set(found.tolist())) - len(grams) - len(set(words)) - any(a == b for a, b in zip(words, words[1:], strict=False))) <= 1
+
+
+def test_fit_takes_one_text_of_an_id_and_bounded_characters(spark):
+    docs = spark.createDataFrame([(1, "good text here"), (1, "other text of one id"), (2, "bad *** text"), (2, "bad *** text"), (3, "x " * 5000), (4, None)], "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0)], "doc_id long, quality int")
+    seen = []
+
+    class Spy(quality_model.Model):
+        def __init__(self, texts, labels):
+            seen.append(sorted(zip(texts, labels, strict=True)))
+            super().__init__(texts, labels)
+
+    model, quality_model.Model = quality_model.Model, Spy
+    try:
+        quality_model.fit(docs, marks, most_chars=1000)
+    finally:
+        quality_model.Model = model
+    free = {d for d in (1, 2, 3, 4) if zlib.crc32(str(d).encode()) % 4 != 2}
+    assert seen[0] == sorted((t, y) for d, t, y in ((1, "good text here", 1), (2, "bad *** text", 0)) if d in free)
