@@ -11,8 +11,10 @@ Groups of copies never turn into all their pairs:
 * equal sets are one class from the start;
 * keys that hold the same members count as one key;
 * under each key, members meet the key's smallest class only (a star), and confirmed links join components;
-* only keys whose members then still lie in different components are looked at again, in tiles of bounded size, where
-  full sets are intersected by a matrix product; only links between different components leave a tile.
+* only keys whose members then still lie in different components are looked at again, in groups of bounded size, where
+  full sets are intersected by a matrix product; only links between different components leave a group. A key with more
+  members is split first: two sets that overlap enough share one of their rarest shingles, so members meet under those
+  of their shingles that are rarest among the key's members, and passages that all of them quote bring none together.
 
 So a link that is not needed to connect its component is not spelled out, but none that connects is lost.
 """
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,8 +90,8 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, row_col: str, size: in
 
 
 def full_sets(rows: DataFrame, size: int) -> DataFrame:
-    """``cid``, ``n``, ``sig`` and ``shingles`` of rows (cid, n, sig, set_key, text) whose text has the class's set."""
-    schema = T.StructType([T.StructField("cid", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sig", T.ArrayType(T.IntegerType())), T.StructField("shingles", T.ArrayType(T.LongType()))])
+    """``cid``, ``n`` and ``shingles`` of rows (cid, n, set_key, text) whose text has the class's set."""
+    schema = T.StructType([T.StructField("cid", T.LongType()), T.StructField("n", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -100,9 +102,9 @@ def full_sets(rows: DataFrame, size: int) -> DataFrame:
                     if xxhash.xxh3_128_digest(found.tobytes()) == key.as_py():
                         at.append(i)
                         sets.append(found.view(np.int64))
-                yield pa.RecordBatch.from_arrays([*(cut.column(c).take(pa.array(at, pa.int64())) for c in ("cid", "n", "sig")), pa.array(sets, pa.list_(pa.int64()))], schema.names)
+                yield pa.RecordBatch.from_arrays([*(cut.column(c).take(pa.array(at, pa.int64())) for c in ("cid", "n")), pa.array(sets, pa.list_(pa.int64()))], schema.names)
 
-    return rows.select("cid", "n", "sig", "set_key", "text").mapInArrow(run, schema)
+    return rows.select("cid", "n", "set_key", "text").mapInArrow(run, schema)
 
 
 def _keys(sig: Column) -> Column:
@@ -115,10 +117,6 @@ def _keys(sig: Column) -> Column:
     return F.array(*keys)
 
 
-def _distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x != y).cast("int")), F.lit(0), lambda s, x: s + x)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """``cid`` and ``comp`` (smallest cid reachable) for the nodes of ``edges`` (columns a, b), by large and small stars.
 
@@ -136,28 +134,25 @@ def components(edges: DataFrame) -> DataFrame:
             out = out.unionByName(low.select("a", F.col("low").alias("b")))
         return out.filter("a <> b").distinct()
 
-    state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
     now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
-    seen = state(now)
-    while seen[0]:
-        now = stored(star(star(now, True), False), "edges")
-        if (at := state(now)) == seen:
+    while not now.isEmpty():
+        before, now = now, stored(star(star(now, True), False), "edges")
+        # Edges are distinct, so as many edges of which none is new are the same edges.
+        if now.count() == before.count() and now.join(before, ["a", "b"], "left_anti").isEmpty():
             break
-        seen = at
     nodes = now.select(F.col("a").alias("cid"), F.col("b").alias("comp"))
     return nodes.unionByName(now.select(F.col("b").alias("cid"), F.col("b").alias("comp")).distinct())
 
 
 def _star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) within the signature distance whose sets overlap enough."""
-    side = lambda x: sets.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"), F.col("shingles").alias(f"x{x}"))
-    near = (
-        pairs.join(side("b"), "b")
-        .join(side("a"), "a")
-        .filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (_distance(F.col("sa"), F.col("sb")) <= MAX_DISTANCE))
-    )
+    """The pairs (a, b) whose sets overlap enough."""
+    side = lambda x: sets.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("shingles").alias(f"x{x}"))
+    size = lambda x: sets.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"))
+    # Sizes first, so that sets of too different sizes do not travel.
+    near = pairs.join(size("a"), "a").join(size("b"), "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
     shared = F.size(F.array_intersect("xa", "xb"))
-    return near.withColumn("shared", shared).filter(F.lit(100) * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
+    full = near.join(side("b"), "b").join(side("a"), "a").withColumn("shared", shared)
+    return full.filter(F.lit(100) * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
 
 def _tile_links(key: tuple, tile: pa.Table, percent: int, columns: int = 4096) -> pa.Table:
@@ -188,11 +183,29 @@ def _tile_links(key: tuple, tile: pa.Table, percent: int, columns: int = 4096) -
     return pa.table({"a": pa.array(cid[i[one]], pa.int64()), "b": pa.array(cid[j[one]], pa.int64())})
 
 
+def _split_keys(rows: DataFrame, sets: DataFrame, percent: int, tile: int) -> DataFrame:
+    """Rows (key, cid, comp) with keys of more than ``tile`` members split by rare shingles.
+
+    Order shingles by how many members of the key hold them, rarest first. Two sets with 100 * intersection >= percent * union
+    share one of the first ``n - ceil(percent * n / 100) + 1`` shingles of each. So under (key, shingle) no link is lost,
+    and what all members quote comes last. Shingles that one member has, or that lie in one component, bring nobody together.
+    """
+    large = rows.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > tile).select("key")
+    hot, rest = rows.join(large, "key", "left_semi"), rows.join(large, "key", "left_anti")
+    held = hot.join(sets.select("cid", "n", "shingles"), "cid").select("key", "cid", "comp", "n", F.explode("shingles").alias("s"))
+    often = held.groupBy("key", "s").agg(F.count("*").alias("often"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    place = F.row_number().over(Window.partitionBy("key", "cid").orderBy("often", "s"))
+    first = held.join(often, ["key", "s"]).withColumn("place", place).filter(100 * (F.col("n") - F.col("place") + 1) >= percent * F.col("n"))
+    return rest.select("key", "cid", "comp").unionByName(first.filter("c0 < c1").select(F.xxhash64("key", "s").alias("key"), "cid", "comp"))
+
+
 def _cross_links(rows: DataFrame, sets: DataFrame, percent: int, tile: int, tile_shingles: int = 500_000) -> DataFrame:
     """Links across components among rows (key, cid, comp), every key cut into tiles and every two tiles compared once.
 
-    A tile holds about ``tile`` members and ``tile_shingles`` shingles, so members are repeated only under very large keys.
+    A tile holds about ``tile`` members and ``tile_shingles`` shingles. Keys of more members come split by rare shingles, so
+    members are repeated only where very many share a rare one and are not linked.
     """
+    rows = _split_keys(rows, sets, percent, tile)
     total = rows.join(sets.select("cid", "n"), "cid").groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
     sizes = total.select("key", F.greatest(F.ceil(F.col("m") / tile), F.ceil(F.col("n") / tile_shingles)).cast("int").alias("tiles"))
     dealt = rows.join(sizes, "key").withColumn("t", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int"))
@@ -238,7 +251,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null, empty and word-free texts have empty sets and are linked with nothing. Repeated rows have equal sets, so they
     share a component; each gets its row. Null ids are ignored for the smallest id. ``percent`` under 80 weakens the
-    guarantee of the signature distance; it must be raised with it. An empty table gives an empty result.
+    guarantee of the candidate search. An empty table gives an empty result.
     """
     keyed = stored(docs.select(id_col, text_col).withColumn("_row", F.monotonically_increasing_id()), "rows")
     rows, named = _grouped(keyed, id_col, text_col, "_row", size, percent, tile)

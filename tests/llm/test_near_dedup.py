@@ -54,6 +54,29 @@ def test_equals_brute_force_with_edge_cases(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({d for d, _, _, k in brute(rows) if k})
 
 
+def test_hot_keys_are_split_without_losing_links(spark):
+    """All documents quote one long passage, so that very many that are not alike share keys."""
+    r = random.Random(8)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for n in range(120):
+        own = [f"o{n // 4}-{i}" for i in range(r.randrange(8, 40))] if n % 4 == 0 else own  # noqa: F821
+        words = passage + own
+        if n % 4:
+            words = [*words[:-1], f"x{n}"]
+        rows.append((n, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for tile in (1024, 8):
+        assert sorted(map(tuple, near_dedup.near_duplicates(df, tile=tile).collect())) == brute(rows)
+
+
+def test_components_of_long_chains(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (200, 201)]
+    got = near_dedup.components(spark.createDataFrame(edges, "a long, b long"))
+    assert sorted(map(tuple, got.collect())) == sorted([(i, 0) for i in range(41)] + [(i, 100) for i in (100, 101, 102)] + [(200, 200), (201, 200)])
+    assert near_dedup.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
 def test_empty_and_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (None, None)], "doc_id long, text string")
     assert sorted(map(str, near_dedup.near_duplicates(df).collect())) == sorted(
