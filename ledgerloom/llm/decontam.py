@@ -1,21 +1,22 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-:func:`build_index` turns documents into index segments, one row per segment: sorted postings (term, place) of bounded
-size, with the documents they cover. Segments are split by document, so intersecting the posting lists of a phrase needs
-no shuffle, and an executor that is lost costs only its own segments. They can be written as a table and searched again.
+:func:`build_index` turns documents into a stored index of all their terms: one row per document block, with its sorted
+terms and, for each, its posting list of places. Posting lists lie within a row, so intersecting those of a phrase needs
+no shuffle, a row is never split between tasks, and an executor that is lost costs only its own blocks. It is built once and
+can be searched any number of times.
 
-:func:`search` takes query phrases, and in every segment starts from the rarest term of each phrase, shifts its places by
+:func:`search` takes query phrases, and in every block starts from the rarest term of each phrase, shifts its places by
 the term's offset, and intersects the other terms' shifted lists, rarest first, until none is left or all agree (exact
 phrase). With ``slop`` it also returns places of the rarest term around which all terms occur close together.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,51 +45,58 @@ def phrases(items: DataFrame, id_col: str = "item_id", text_col: str = "text", s
     return listed.select("item", "w", F.explode(starts).alias("offset")).select("item", "offset", F.slice("w", F.col("offset") + 1, F.lit(size)).alias("terms"))
 
 
-def build_index(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text", segment_words: int = 2_000_000) -> DataFrame:
-    """Index segments: ``ids`` and ``lengths`` (words) of the documents, ``term`` and ``place``, sorted by term then place.
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = 100_000) -> DataFrame:
+    """The index, stored: a row per block of documents with ``ids`` and ``lengths`` (words), ``terms`` (sorted), ``ends`` (where
+    each term's postings end) and ``steps`` (postings: each term's first place, then the distances between its places).
 
-    ``terms`` are those that queries use; other words take up places only. A place is the number of words before it in the
-    segment, with a gap between documents, so no phrase spans two. A segment ends at ``segment_words`` words; a longer text
-    is a segment of its own, whole. Null ids and texts are kept (null text: no words); repeated rows are separate documents.
+    A place is the number of words before it in the block, with a gap between documents, so no phrase spans two. A block
+    ends at ``block_words`` words; a longer text is a block of its own, whole. Null ids and texts are kept (null text: no
+    words); repeated rows are separate documents; an empty table gives an empty index.
     """
     small_batches(docs.sparkSession)
-    numbers = {t.encode(): i for i, t in enumerate(terms)}
-    shared = docs.sparkSession.sparkContext.broadcast(numbers)
     kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("ids", T.ArrayType(kind)), T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("term", T.ArrayType(T.IntegerType())), T.StructField("place", T.ArrayType(T.LongType()))])
-    gap = 1
+    lists = {"ids": kind, "lengths": T.LongType(), "terms": T.StringType(), "ends": T.IntegerType(), "steps": T.IntegerType()}
+    schema = T.StructType([T.StructField(n, T.ArrayType(t)) for n, t in lists.items()])
 
-    def segments(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, ids, lengths, found, places, base = shared.value.get, [], [], [], [], 0
+    def blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list = []
+        texts: list[list[bytes]] = []
+        held = 0
 
         def emit() -> pa.RecordBatch:
-            term = np.concatenate(found) if found else np.empty(0, np.int32)
-            place = np.concatenate(places) if places else np.empty(0, np.int64)
-            order = np.argsort(term, kind="stable")
-            lists = [pa.array([ids], pa.list_(id_type)), *(pa.array([x], pa.list_(t)) for x, t in ((lengths, pa.int64()), (term[order], pa.int32()), (place[order], pa.int64())))]
-            return pa.RecordBatch.from_arrays(lists, schema.names)
+            lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+            coded = pa.array([w for ws in texts for w in ws], pa.binary()).dictionary_encode()
+            terms = coded.dictionary
+            order = pc.array_sort_indices(terms).to_numpy()
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            term = rank[coded.indices.to_numpy()]
+            place = np.arange(len(term)) + np.repeat(np.arange(len(texts)), lengths)
+            by_term = np.argsort(term, kind="stable")
+            place = place[by_term]
+            ends = np.cumsum(np.bincount(term, minlength=len(order)))
+            steps = np.diff(place, prepend=0)
+            first = ends[:-1]
+            steps[first] = place[first]
+            row = [pa.array([ids], pa.list_(id_type)), pa.array([lengths], pa.list_(pa.int64())), pa.ListArray.from_arrays([0, len(terms)], terms.take(pa.array(order)).cast(pa.string())), pa.array([ends], pa.list_(pa.int32())), pa.array([steps], pa.list_(pa.int32()))]
+            return pa.RecordBatch.from_arrays(row, schema.names)
 
         for part in parts:
             id_type = part.schema.field(0).type
-            for k in range(part.num_rows):
-                ws = words(part.column(1)[k].as_py())
-                t = np.fromiter((number(w, -1) for w in ws), np.int32, len(ws))
-                at = np.flatnonzero(t >= 0)
-                ids.append(part.column(0)[k].as_py())
-                lengths.append(len(ws))
-                found.append(t[at])
-                places.append(at + base)
-                base += len(ws) + gap
-                if base >= segment_words:
+            for i, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                ids.append(i)
+                texts.append(words(text.as_py()))
+                held += len(texts[-1])
+                if held >= block_words:
                     yield emit()
-                    ids, lengths, found, places, base = [], [], [], [], 0
+                    ids, texts, held = [], [], 0
         if ids:
             yield emit()
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(segments, schema)
+    return stored(docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(blocks, schema), "index")
 
 
-def _exact(lists: list[np.ndarray], phrase: np.ndarray) -> np.ndarray:
+def _exact(lists: dict[int, np.ndarray], phrase: np.ndarray) -> np.ndarray:
     """First places of a phrase: offset-adjusted lists, intersected from the shortest."""
     order = sorted(range(len(phrase)), key=lambda i: len(lists[phrase[i]]))
     first = lists[phrase[order[0]]] - order[0]
@@ -102,7 +110,7 @@ def _exact(lists: list[np.ndarray], phrase: np.ndarray) -> np.ndarray:
     return first
 
 
-def _near(lists: list[np.ndarray], phrase: np.ndarray, reach: int) -> np.ndarray:
+def _near(lists: dict[int, np.ndarray], phrase: np.ndarray, reach: int) -> np.ndarray:
     """Places of the rarest term with every other term of the phrase at most ``reach`` words away."""
     terms = sorted(set(phrase.tolist()), key=lambda t: len(lists[t]))
     at = lists[terms[0]]
@@ -114,26 +122,28 @@ def _near(lists: list[np.ndarray], phrase: np.ndarray, reach: int) -> np.ndarray
     return at
 
 
-def search(index: DataFrame, queries: list[tuple[str, int, list[str]]], terms: list[str], slop: int | None = None) -> DataFrame:
+def search(index: DataFrame, queries: list[tuple[str | None, int, list[str]]], slop: int | None = None) -> DataFrame:
     """One row per indexed document: ``doc_id``, ``n_words``, ``n_hit`` (words inside exact matches) and ``matches``.
 
     ``matches`` lists every match: the item, the first and last word (numbers within the document), and whether it is an
     exact phrase. With ``slop``, places where all terms of a phrase lie within its length plus ``slop`` words of the rarest
-    one are listed too, as not exact. Documents without matches have an empty array. ``queries`` is one bounded block;
-    :func:`contaminated` searches the blocks one after the other.
+    one are listed too, as not exact. Documents without matches have an empty array. Items may be null. ``queries`` is one
+    bounded block; :func:`contaminated` searches the blocks one after the other.
     """
+    terms = sorted({t for _, _, ts in queries for t in ts})
     number = {t: i for i, t in enumerate(terms)}
-    merged: dict[tuple[int, ...], set[str]] = {}
+    merged: dict[tuple[int, ...], set[str | None]] = {}
     for item, _, ts in queries:
         merged.setdefault(tuple(number[t] for t in ts), set()).add(item)
-    listing = [(np.array(k), sorted(v)) for k, v in merged.items()]
-    shared = index.sparkSession.sparkContext.broadcast((listing, len(terms)))
+    listing = [(np.array(k), sorted(v, key=lambda x: (x is None, x or ""))) for k, v in merged.items()]
+    shared = index.sparkSession.sparkContext.broadcast((listing, terms))
     kind = index.schema["ids"].dataType.elementType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("matches", T._parse_datatype_string(MATCH))])
     match_type = pa.list_(pa.struct([("item", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("exact", pa.bool_())]))
 
     def searched(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed, n_terms = shared.value
+        listed, names = shared.value
+        asked = pa.array(names, pa.string())
         width = max((len(p) for p, _ in listed), default=1)
         table = np.zeros((len(listed), width), np.int64)
         for i, (p, _) in enumerate(listed):
@@ -141,14 +151,14 @@ def search(index: DataFrame, queries: list[tuple[str, int, list[str]]], terms: l
         for part in parts:
             for k in range(part.num_rows):
                 cell = lambda name: part.column(name)[k].values
-                lengths = cell("lengths").to_numpy(zero_copy_only=False)
-                term, place = cell("term").to_numpy(zero_copy_only=False), cell("place").to_numpy(zero_copy_only=False)
-                bounds = np.searchsorted(term, np.arange(n_terms + 1))
-                lists = [place[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                lengths, ends, steps = (cell(n).to_numpy(zero_copy_only=False) for n in ("lengths", "ends", "steps"))
+                at = pc.fill_null(pc.index_in(asked, value_set=cell("terms")), -1).to_numpy(zero_copy_only=False)
+                here = at >= 0
                 starts = np.concatenate([[0], np.cumsum(lengths + 1)])
                 found: list[list[dict]] = [[] for _ in lengths]
                 cover = np.zeros(int(starts[-1]) + 1, np.int32)
-                alive = np.flatnonzero((np.diff(bounds)[table] > 0).all(axis=1)) if len(listed) else []
+                alive = np.flatnonzero(here[table].all(axis=1)) if len(listed) else np.empty(0, np.int64)
+                lists = {t: np.cumsum(steps[ends[at[t] - 1] if at[t] else 0 : ends[at[t]]], dtype=np.int64) for t in np.unique(table[alive]).tolist()}
                 for q in alive:
                     phrase, items = listed[q]
                     first = _exact(lists, phrase)
@@ -168,7 +178,7 @@ def search(index: DataFrame, queries: list[tuple[str, int, list[str]]], terms: l
     return index.mapInArrow(searched, schema)
 
 
-def _inside(lists: list[np.ndarray], phrase: np.ndarray, at: int, reach: int, lo: int, hi: int) -> bool:
+def _inside(lists: dict[int, np.ndarray], phrase: np.ndarray, at: int, reach: int, lo: int, hi: int) -> bool:
     """Whether every term has a place near ``at`` within the same document."""
     lo, hi = max(lo, at - reach), min(hi, at + reach + 1)
     return all(np.searchsorted(lists[t], lo) < np.searchsorted(lists[t], hi) for t in set(phrase.tolist()))
@@ -177,24 +187,22 @@ def _inside(lists: list[np.ndarray], phrase: np.ndarray, at: int, reach: int, lo
 def contaminated(docs: DataFrame, items: DataFrame, *, size: int = 10, slop: int | None = None, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_phrases: int = 200_000) -> DataFrame:
     """One row per document row: ``doc_id``, ``n_words``, ``n_hit`` and ``matches``, for all phrases of ``items``.
 
-    The phrases are a stated query set, held on the driver in blocks of ``block_phrases`` (about 30 MB each). One block needs
-    no shuffle. More are searched one after another over a stored index, and the rows of a document are merged by a
-    number given to it in that index. Empty ``items`` find nothing; empty ``docs`` give an empty result.
+    The documents are indexed once. The phrases are a stated query set, held on the driver in blocks of ``block_phrases``
+    (about 30 MB each), which search the stored index one after another; with several, the rows of a document are merged by
+    a number given to it in the index. Empty ``items`` find nothing; empty ``docs`` give an empty result; null items are
+    items like others.
     """
     queries = phrases(items, item_col, item_text_col, size)
-    total = queries.count()
-    n_blocks = max(1, -(-total // block_phrases))
+    n_blocks = max(1, -(-queries.count() // block_phrases))
+    listed = lambda df: [(r.item, r.offset, r.terms) for r in df.collect()]
     if n_blocks == 1:
-        rows = [(r.item, r.offset, r.terms) for r in queries.collect()]
-        terms = sorted({t for _, _, ts in rows for t in ts})
-        return search(build_index(docs, terms, id_col, text_col), rows, terms, slop)
-    numbered = stored(docs.select(F.struct(F.monotonically_increasing_id().alias("n"), F.col(id_col).alias("id")).alias("_key"), F.col(text_col).alias("_text")), "decontam")
+        return search(build_index(docs, id_col, text_col), listed(queries), slop)
+    numbered = docs.select(F.struct(F.monotonically_increasing_id().alias("n"), F.col(id_col).alias("id")).alias("_key"), F.col(text_col).alias("_text"))
+    index = build_index(numbered, "_key", "_text")
     queries = stored(queries.withColumn("block", F.pmod(F.xxhash64("item", "offset"), F.lit(n_blocks))), "phrases")
     found = None
     for b in range(n_blocks):
-        rows = [(r.item, r.offset, r.terms) for r in queries.filter(F.col("block") == b).collect()]
-        terms = sorted({t for _, _, ts in rows for t in ts})
-        part = search(build_index(numbered, terms, "_key", "_text"), rows, terms, slop)
+        part = search(index, listed(queries.filter(F.col("block") == b)), slop)
         found = part if found is None else found.unionByName(part)
     merged = found.groupBy("doc_id").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"))
     return merged.select(F.col("doc_id.id").alias("doc_id"), "n_words", _covered(F.col("matches")).alias("n_hit"), "matches")
@@ -223,10 +231,13 @@ def decontam_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean_only(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """Documents (all columns) in which no phrase of the benchmark occurs."""
-    keyed = docs.select(F.struct("*").alias("key"), F.col("text").alias("value"))
-    found = contaminated(keyed, benchmark, size=size, id_col="key", text_col="value")
-    return found.filter("n_hit = 0").select(*[F.col("doc_id")[f.name].alias(f.name) for f in docs.schema])
+    """Documents (all columns) in which no phrase of the benchmark occurs.
+
+    Only the numbers of rows with hits leave the search. Texts are nulls, empty and repeated as :func:`contaminated` says.
+    """
+    keyed = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    hits = contaminated(keyed, benchmark, size=size, id_col="_row").filter("n_hit > 0").select("doc_id")
+    return keyed.join(hits.select(F.col("doc_id").alias("_hit")), F.col("_row") == F.col("_hit"), "left_anti").drop("_row")
 
 
 ORACLE = r"""

@@ -50,8 +50,8 @@ def test_equals_brute_force(spark):
 
 def test_blocks_of_queries_and_filter(spark):
     docs, items, d, b = data(spark)
-    one, many = (sorted((str(r.doc_id), r.n_words, r.n_hit, len({m.item for m in r.matches})) for r in decontam.contaminated(d, b, block_phrases=n).collect()) for n in (200_000, 20))
-    assert one == many
+    one, many, more = (sorted((str(r.doc_id), r.n_words, r.n_hit, len({m.item for m in r.matches})) for r in decontam.contaminated(d, b, block_phrases=n).collect()) for n in (200_000, 20, 3))
+    assert one == many == more
     kept = decontam.clean_only(d, b)
     assert kept.columns == d.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((x[0] for x in brute(docs, items) if not x[5]), key=str)
@@ -62,3 +62,36 @@ def test_proximity(spark):
     b = spark.createDataFrame([(7, "alpha beta gamma")], "item_id long, text string")
     got = {r.doc_id: {m.exact for m in r.matches} for r in decontam.contaminated(d, b, slop=2).collect()}
     assert got == {1: {False}, 2: set(), 3: {True, False}, 4: set(), 5: set()}
+
+
+def test_null_items_share_phrases(spark):
+    d = spark.createDataFrame([(1, "so two words here"), (2, "nothing")], "doc_id long, text string")
+    b = spark.createDataFrame([(None, "two words"), (5, "Two words"), (None, None)], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontam.decontam_digest(d, b).collect()}
+    assert got == {1: (4, 2, 2, hashlib.sha256(b"5").hexdigest(), True), 2: (1, 0, 0, hashlib.sha256(b"").hexdigest(), False)}
+
+
+def test_stored_index_holds_all_postings(spark):
+    docs, _, d, _ = data(spark)
+    long = [(7_000, " ".join(f"t{i % 50}" for i in range(3000)))]
+    df = d.select("doc_id", "text").unionByName(spark.createDataFrame(long, "doc_id long, text string"))
+    rows = decontam.build_index(df, block_words=200).collect()
+    found = {}
+    for r in rows:
+        assert r.terms == sorted(r.terms) and len(r.ends) == len(r.terms)
+        starts = [0]
+        for n in r.lengths:
+            starts.append(starts[-1] + n + 1)
+        text = {}
+        for t, a, b in zip(r.terms, [0, *r.ends], r.ends, strict=False):
+            place = 0
+            for step in r.steps[a:b]:
+                place += step
+                text[place] = t
+        for i, n, at in zip(r.ids, r.lengths, starts, strict=False):
+            found.setdefault(str(i), []).append([text[at + k] for k in range(n)])
+    want = {}
+    for i, t in [*docs, *long]:
+        want.setdefault(str(i), []).append(folded(t))
+    assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in want.items()}
+    assert max(len(r.ids) for r in rows) > 1
