@@ -11,8 +11,11 @@ offset. An anchor with the surroundings of all strings that pick it is a context
    left (or begin a context) is a maximal repeat group with all its occurrences;
 4. what a context repeats is carried to all its places in the corpus.
 
-An anchor with very many distinct contexts (the edge of a very common passage) is dealt out by the strings' own hashes
-instead, so no group has to fit one task.
+Of an anchor with very many distinct contexts (the edge of a very common passage) the suffixes are grouped by their first
+``size`` bytes: those groups are the intervals of that depth of its suffix array, so no anchor has to fit one task.
+
+:func:`without_repeats` removes what is repeated; :func:`repeat_groups` gives the maximal repeats of the corpus with all their
+occurrences, joined from the groups of neighbouring contexts.
 """
 
 from __future__ import annotations
@@ -21,7 +24,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, stored
@@ -92,17 +96,19 @@ def anchors(texts: list[bytes], size: int) -> tuple[np.ndarray, ...]:
         return doc, a - base, first - base, final - base, roll.ranges(a, a + GRAM).view(np.int64), roll.ranges(first, final + size).view(np.int64)
 
 
-def suffix_array(texts: list[bytes], least: int, cap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffixes of at least ``least`` bytes of all texts, sorted by their first ``cap`` bytes: text, start, and the length of
-    the prefix that each has in common with the next (up to ``cap``)."""
+def suffix_array(texts: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes of at least ``least`` bytes of all texts, sorted: text, start, and the length of the prefix that each has in
+    common with the next."""
+    cap = max(map(len, texts), default=0)
     owner = [i for i, t in enumerate(texts) for _ in range(len(t) - least + 1)]
     start = [k for t in texts for k in range(len(t) - least + 1)]
     suffixes = [t[k : k + cap] for t in texts for k in range(len(t) - least + 1)]
     order = sorted(range(len(suffixes)), key=suffixes.__getitem__)
     sizes = np.fromiter((len(suffixes[i]) for i in order), np.int64, len(order))
     common = np.minimum(sizes[:-1], sizes[1:])
-    for lo in range(0, len(order) - 1, 8192):
-        part = order[lo : lo + 8193]
+    step = max(1, (1 << 22) // (cap + 1))
+    for lo in range(0, len(order) - 1, step):
+        part = order[lo : lo + step + 1]
         rows = np.frombuffer(b"".join([suffixes[i].ljust(cap, b"\0") for i in part]), np.uint8).reshape(len(part), cap)
         unlike = rows[1:] != rows[:-1]
         first = np.where(unlike.any(axis=1), unlike.argmax(axis=1), cap)
@@ -142,11 +148,11 @@ def intervals(common: np.ndarray, left: np.ndarray, least: int) -> list[tuple[in
 def maximal_repeats(texts: list[bytes], counts: list[int], least: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """Maximal repeat groups of some texts: (length, occurrences as (text, start)), all occurrences of each.
 
-    A text that counts twice or more is laid out twice, so what it shares with its own copy is a repeat. Lengths are exact
-    up to twice ``least``, and capped there.
+    A text that counts twice or more is laid out twice, so what it shares with its own copy is a repeat. Lengths are exact;
+    memory grows with the square of the longest text (contexts have at most ``2 * least - GRAM`` bytes).
     """
     laid = [i for i, c in enumerate(counts) for _ in range(2 if c > 1 else 1)]
-    owner, start, common = suffix_array([texts[i] for i in laid], least, 2 * least)
+    owner, start, common = suffix_array([texts[i] for i in laid], least)
     left = np.fromiter((texts[laid[o]][k - 1] if k else -1 for o, k in zip(owner.tolist(), start.tolist(), strict=True)), np.int64, len(owner))
     return [(length, sorted({(laid[o], k) for o, k in zip(owner[a : b + 1].tolist(), start[a : b + 1].tolist(), strict=True)})) for length, a, b in intervals(common, left, least)]
 
@@ -250,18 +256,27 @@ def _dealt_spans(contexts: DataFrame, size: int) -> DataFrame:
     return keyed.filter("c = 1").join(often, ["h", "s"]).groupBy("h", "ctx", "width").agg(F.collect_list(F.struct(F.col("at").cast("int").alias("a"), (F.col("at") + size).cast("int").alias("b"))).alias("spans"))
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 200, most_contexts: int = 1000) -> DataFrame:
-    """``id``, ``th`` (hash of the text) and ``spans`` (byte ranges, possibly overlapping) covered by strings of ``size`` bytes that
-    start at two places or more, for every text that has any."""
-    small_batches(docs.sparkSession)
-    keyed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+
+
+def _shared(keyed: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Places of anchors that occur twice or more (h, ctx, id, th, first, final, width), and their contexts with a
+    multiplicity ``c`` and one place."""
     places = _places(keyed, size)
     # Counted in a stage of its own: a join straight after the count could not split an anchor that very many texts hold.
     often = stored(places.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "often")
-    shared = stored(places.join(often, "h"), "places")
-    shared = shared.withColumn("width", F.col("final") - F.col("first"))
+    shared = stored(places.join(often, "h"), "places").withColumn("width", F.col("final") - F.col("first"))
     kinds = shared.groupBy("h", "ctx", "width").agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "first", "final")).alias("r"))
-    kinds = stored(kinds.select("h", "ctx", "width", "c", "r.*"), "kinds")
+    return shared, stored(kinds.select("h", "ctx", "width", "c", "r.*"), "kinds")
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 200, most_contexts: int = 1000) -> DataFrame:
+    """``id``, ``th`` (hash of the text) and ``spans`` (byte ranges, possibly overlapping) covered by strings of ``size`` bytes that
+    start at two places or more, for every text that has any."""
+    small_batches(docs.sparkSession)
+    keyed = _keyed(docs, id_col, text_col)
+    shared, kinds = _shared(keyed, size)
     # A context that occurs twice or more is a repeat group as a whole. Those that occur once are compared, with all others
     # of their anchor; a context alone with its anchor repeats nothing more.
     whole = kinds.filter("c > 1").select("h", "ctx", "width", F.array(F.struct(F.lit(0).alias("a"), (F.col("width") + size).alias("b"))).alias("spans"))
@@ -275,6 +290,81 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return found.groupBy("id", "th").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
 
+def _tree_groups(contexts: DataFrame, size: int, bytes_at_once: int = 1 << 19) -> DataFrame:
+    """Maximal repeat groups among every anchor's contexts: (h, g, length, ctx, width, at), a row per occurrence in a context."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["h", "g", "length", "ctx", "width", "at"]
+
+        def done(rows: list[tuple]) -> pa.RecordBatch:
+            out = []
+            for length, places in maximal_repeats([r[4] for r in rows], [r[3] for r in rows], size):
+                of_anchor: dict[int, list] = {}
+                for t, at in places:
+                    of_anchor.setdefault(rows[t][0], []).append((rows[t][1], rows[t][2], at))
+                for h, found in of_anchor.items():
+                    g = xxhash.xxh3_64_intdigest(repr((length, sorted(found))).encode(), 7) >> 1
+                    out += [(h, g, length, *f) for f in found]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64() if i in (0, 1, 3) else pa.int32()) for i in range(6)], names)
+
+        rows: list[tuple] = []
+        held = 0
+        for part in parts:
+            for row in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if held >= bytes_at_once and row[0] != rows[-1][0]:
+                    yield done(rows)
+                    rows, held = [], 0
+                rows.append(row)
+                held += len(row[4])
+        if rows:
+            yield done(rows)
+
+    return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, g long, length int, ctx long, width int, at int")
+
+
+def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 200, most_contexts: int = 1000) -> DataFrame:
+    """Repeat groups of the corpus: ``group``, ``length`` (bytes), the id, ``start`` (byte), a row per occurrence.
+
+    A group is a longest string of ``size`` bytes or more that stands at all its occurrences, at equal distances: groups of
+    neighbouring contexts that have the same occurrences but for one shift are one, also over a stretch that occurs still
+    more often, if its bytes are equal in all of them. A string of which every ``size``-byte part occurs more often than
+    itself may be given as its parts. Rows with one id are separate texts; nulls count as empty; texts under ``size`` bytes are
+    in no group; an empty table gives an empty result.
+    """
+    small_batches(docs.sparkSession)
+    rows = stored(docs.select(F.col(id_col).alias("name"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id()), "rows")
+    keyed = _keyed(rows, "row", "text")
+    shared, kinds = _shared(keyed, size)
+    whole = kinds.filter("c > 1").select("h", F.xxhash64("ctx", "width", F.lit(1)).alias("g"), (F.col("width") + size).alias("length"), "ctx", "width", F.lit(0).alias("at"))
+    mixed = stored(kinds.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1"), "mixed")
+    contexts = stored(_contexts(kinds.join(mixed, "h").select("h", "ctx", "c", "id", "th", "first", "final"), keyed, size), "contexts")
+    hot = mixed.filter(F.col("m") > most_contexts).select("h")
+    strings = contexts.join(hot, "h").select("h", "ctx", "width", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("width")), lambda i: F.xxhash64(F.substring("data", i + 1, F.lit(size))))).alias("at", "g"))
+    dealt = strings.select("h", "g", F.lit(size).alias("length"), "ctx", "width", "at")
+    found = whole.unionByName(_tree_groups(contexts.join(hot, "h", "left_anti"), size)).unionByName(dealt)
+    places = shared.join(found, ["h", "ctx", "width"]).select(F.xxhash64("h", "g", "length").alias("g"), "length", F.col("id").alias("row"), (F.col("first") + F.col("at")).cast("long").alias("start"))
+    places = stored(places.distinct(), "occurrences")
+    # What a group has in common with one shifted by some bytes: its number of occurrences and their distances from the first.
+    first = places.groupBy("g", "length").agg(F.min(F.struct("row", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    shape = places.join(first, ["g", "length"]).groupBy("g", "length", "first", "n").agg(F.sum(F.xxhash64("row", F.col("start") - F.col("first.start")).cast("decimal(20,0)")).alias("shape"))
+    run = ["row0", "n", "shape"]
+    each = stored(shape.select("g", F.col("first.row").alias("row0"), F.col("first.start").alias("a"), (F.col("first.start") + F.col("length")).alias("b"), "n", "shape"), "shapes")
+    order = Window.partitionBy(*run).orderBy("a", "b", "g")
+    before = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    joined = each.withColumn("before", before).withColumn("gap", F.when(F.col("a") > F.col("before"), F.col("a") - F.col("before")))
+    # Stretches between two runs of one shape: equal in all occurrences, or not.
+    gaps = stored(joined.filter("gap is not null").select("g", "a", "before", "gap"), "gaps")
+    stretch = places.join(gaps, "g").join(rows.select("row", F.coalesce("text", F.lit("")).cast("binary").alias("raw")), "row")
+    stretch = stretch.select("g", F.xxhash64(F.substring("raw", (F.col("start") - F.col("gap") + 1).cast("int"), F.col("gap").cast("int"))).alias("bytes"), (F.col("start") >= F.col("gap")).alias("room"))
+    bridged = stretch.groupBy("g").agg((F.min("bytes") == F.max("bytes")).alias("same"), F.min("room").alias("room")).filter("same and room").select("g", F.lit(True).alias("bridged"))
+    parts = joined.join(bridged, "g", "left").withColumn("new", F.when(F.col("before").isNull() | (F.col("gap").isNotNull() & F.col("bridged").isNull()), 1).otherwise(0))
+    parts = parts.withColumn("part", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = parts.groupBy(*run, "part").agg(F.min(F.struct("a", "b", "g")).alias("lead"), F.max("b").alias("to"))
+    leads = merged.select(F.col("lead.g").alias("g"), (F.col("to") - F.col("lead.a")).alias("total"))
+    named = places.join(leads, "g").join(rows.select("row", F.col("name").alias(id_col)), "row")
+    return named.select(F.col("g").alias("group"), F.col("total").alias("length"), id_col, "start")
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 200, most_contexts: int = 1000) -> DataFrame:
     """One row per input row: the id, ``n_bytes``, ``removed`` (merged byte ranges) and ``kept`` (the remaining bytes).
 
@@ -282,7 +372,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     count as empty; texts under ``size`` bytes lose nothing; repeated rows repeat each other, so they lose all bytes.
     """
     spans = repeated_spans(docs, id_col, text_col, size=size, most_contexts=most_contexts).select(F.col("id").alias("_id"), F.col("th").alias("_th"), "spans")
-    keyed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    keyed = _keyed(docs, id_col, text_col)
     joined = keyed.join(spans, F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left").select("id", "text", "spans")
     kind = docs.schema[id_col].dataType.simpleString()
     range_type = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))

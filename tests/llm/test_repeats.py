@@ -56,7 +56,7 @@ def test_interval_tree_gives_all_maximal_repeats():
         places = {}
         for t, x in enumerate(texts):
             for i in range(len(x)):
-                for n in range(least, 9):
+                for n in range(least, 41):
                     if i + n <= len(x):
                         places.setdefault(x[i : i + n], []).append((t, i))
         want = set()
@@ -64,7 +64,54 @@ def test_interval_tree_gives_all_maximal_repeats():
             lefts = [texts[t][i - 1 : i] for t, i in at]
             rights = [texts[t][i + len(s) : i + len(s) + 1] for t, i in at]
             varied = lambda xs: len(set(xs)) > 1 or xs[0] == b""
-            if len(at) > 1 and varied(lefts) and varied(rights) and len(s) < 8:
+            if len(at) > 1 and varied(lefts) and varied(rights):
                 want.add((len(s), tuple(sorted(at))))
-        got = {(n, tuple(p)) for n, p in repeats.maximal_repeats(texts, [1] * 3, least) if n < 8}
+        got = {(n, tuple(p)) for n, p in repeats.maximal_repeats(texts, [1] * 3, least)}
         assert want == got
+
+
+def maximal(rows, size):
+    """Maximal repeats by extending every pair of places, as (string, places)."""
+    raws = [(t or "").encode() for _, t in rows]
+    grams = {}
+    for d, raw in enumerate(raws):
+        for i in range(len(raw) - size + 1):
+            grams.setdefault(raw[i : i + size], []).append((d, i))
+    found = {}
+    for at in grams.values():
+        for x in range(len(at)):
+            for y in range(x):
+                (d, i), (e, j) = at[x], at[y]
+                if i and j and raws[d][i - 1] == raws[e][j - 1]:
+                    continue
+                n = size
+                while i + n < len(raws[d]) and j + n < len(raws[e]) and raws[d][i + n] == raws[e][j + n]:
+                    n += 1
+                found.setdefault(raws[d][i : i + n], set())
+    for w in found:
+        for d, raw in enumerate(raws):
+            k = raw.find(w)
+            while k >= 0:
+                found[w].add((d, k))
+                k = raw.find(w, k + 1)
+    return {(len(w), tuple(sorted(p))) for w, p in found.items()}
+
+
+def test_groups_are_the_maximal_repeats(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randrange(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    inner, long, other = text(60), text(900), text(80)
+    outer = text(70) + inner + text(70)
+    rows = [(i, text(20) + p + text(10)) for i, p in enumerate([inner, outer, outer, long, long, long, other, other + "|" + text(3) + "!" + other + "#"])]
+    rows += [(20, None), (21, "short"), (22, rows[3][1]), (22, rows[3][1])]
+    df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, length int")
+    want = maximal(rows, 200)
+    for most in (1000, 1):
+        found = {}
+        for x in repeats.repeat_groups(df, most_contexts=most).collect():
+            found.setdefault((x.group, x.length), []).append((x.doc_id, x.start))
+        # Rows with one id cannot be told apart in the result.
+        ids = [d for d, _ in rows]
+        assert sorted((n, sorted(at)) for (_, n), at in found.items()) == sorted((n, sorted((ids[d], i) for d, i in at)) for n, at in want)
+    assert repeats.repeat_groups(df.limit(0)).collect() == []
