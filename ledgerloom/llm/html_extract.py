@@ -81,16 +81,12 @@ class Node:
 class Block:
     """Text of a page between two block edges. ``inside``: within an article (1) or a main element (2)."""
 
-    __slots__ = ("heading", "inside", "linked", "node", "parts")
+    __slots__ = ("heading", "inside", "linked", "node", "parts", "text")
 
     def __init__(self, node: Node, inside: int, heading: bool) -> None:
         self.node, self.inside, self.heading = node, inside, heading
         self.parts: list[str] = []
-        self.linked = 0
-
-    @property
-    def text(self) -> str:
-        return _SPACE.sub(" ", "".join(self.parts)).strip()
+        self.linked, self.text = 0, ""
 
 
 def _mark(text: str) -> int:
@@ -176,6 +172,9 @@ def parse(page: str | None) -> tuple[Node, list[Block]]:
         if name in BLOCKS:
             new_block()
     say(page[at:])
+    for b in blocks:
+        if b.parts:
+            b.text = _SPACE.sub(" ", "".join(b.parts)).strip()
     return root, [b for b in blocks if b.text]
 
 
@@ -224,12 +223,24 @@ class Matching:
                         seen.add((k, other))
                         pairs.append((k, other))
         for x, y in sorted(pairs, key=lambda p: self.height[p[0]]):
-            self.sizes[x, y] = 1 + self._last(self._weights(self.kids[x], self.kids[y]))
+            xs, ys = self.kids[x], self.kids[y]
+            self.sizes[x, y] = 1 + (self._small(xs, ys)[-1][-1] if len(xs) * len(ys) <= 64 else self._last(self._weights(xs, ys)))
 
     @property
     def size(self) -> int:
         return self.sizes.get((self.of[id(self.a)], self.of[id(self.b)]), 0)
 
+    def _small(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> list[list[int]]:
+        """The whole table of a short alignment."""
+        table = [[0] * (len(ys) + 1)]
+        for x in xs:
+            above, left, row = table[-1], 0, [0]
+            for j, y in enumerate(ys):
+                left = max(left, above[j + 1], above[j] + self.sizes.get((x, y), 0))
+                row.append(left)
+            table.append(row)
+        return table
+
     def _weights(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> list[np.ndarray]:
         """For every child its matchings' sizes with the children of the other side."""
         rows: dict[int, np.ndarray] = {}
@@ -254,10 +265,23 @@ class Matching:
             best = self._next(best, row)
         return int(best[-1])
 
-    def _aligned(self, rows: list[np.ndarray]) -> list[tuple[int, int]]:
+    def _aligned(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> list[tuple[int, int]]:
         """The pairs of places of a best alignment."""
-        if not rows or not len(rows[0]):
+        if not xs or not ys:
             return []
+        if len(xs) * len(ys) <= 64:
+            table, out, i, j = self._small(xs, ys), [], len(xs), len(ys)
+            while i and j:
+                size = self.sizes.get((xs[i - 1], ys[j - 1]), 0)
+                if size and table[i][j] == table[i - 1][j - 1] + size:
+                    i, j = i - 1, j - 1
+                    out.append((i, j))
+                elif table[i][j] == table[i - 1][j]:
+                    i -= 1
+                else:
+                    j -= 1
+            return out[::-1]
+        rows = self._weights(xs, ys)
         step = isqrt(len(rows)) + 1
         best, kept = np.zeros(len(rows[0]) + 1, np.int64), []
         for i, row in enumerate(rows):
@@ -289,8 +313,8 @@ class Matching:
         while todo:
             x, y = todo.pop()
             found[id(x)] = y
-            rows = self._weights(self.kids[self.of[id(x)]], self.kids[self.of[id(y)]])
-            todo += [(x.children[i], y.children[j]) for i, j in self._aligned(rows)]
+            pairs = self._aligned(self.kids[self.of[id(x)]], self.kids[self.of[id(y)]])
+            todo += [(x.children[i], y.children[j]) for i, j in pairs]
         return found
 
 
@@ -541,10 +565,13 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", *,
     once = read.groupBy("host", "key").agg(F.max("seen").alias("seen"))
     each = once.select("host", F.explode("seen").alias("x")).select("host", "x.*").groupBy("host", "slot", "mark").agg(F.count("*").alias("n"), F.max("chars").alias("chars"), F.max("linked").alias("linked"))
     counts = stored(each, "fillings")
-    total = counts.filter("mark = -1").select("host", "slot", F.col("n").alias("total"))
-    texts = counts.filter("mark <> -1").join(total, ["host", "slot"])
-    repeated = F.sum(F.when((2 * F.col("n") > F.col("total")) & (F.col("n") > 1), F.col("n")).otherwise(0))
-    tally = texts.groupBy("host", "slot").agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), (2 * repeated > F.sum("n")).alias("constant"))
+    # Texts with one number of pages count together before slots meet, as one slot may hold most texts of a hot host.
+    alike = stored(counts.groupBy("host", "slot", (F.col("mark") == -1).alias("whole"), "n").agg(F.count("*").alias("k"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked")), "tallies")
+    total = alike.filter("whole").select("host", "slot", F.col("n").alias("total"))
+    texts = alike.filter("not whole").join(total, ["host", "slot"])
+    held = F.col("n") * F.col("k")
+    repeated = F.sum(F.when((2 * F.col("n") > F.col("total")) & (F.col("n") > 1), held).otherwise(0))
+    tally = texts.groupBy("host", "slot").agg(F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), (2 * repeated > F.sum(held)).alias("constant"))
     # Slots outside the skeleton are needed only where they are template.
     listed = tally.filter("slot >= 0 or constant").groupBy("host").agg(F.collect_list(F.struct("slot", "chars", "linked", "constant")).alias("tally"))
 
