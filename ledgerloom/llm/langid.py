@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from .common import held_out, labelled_sample, small_batches
 
 #: Symbols that one lane parses; no result depends on it.
-STRETCH = 512
+STRETCH = 4096
 
 
 def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
@@ -63,7 +63,7 @@ def placed(state: np.ndarray, symbol: np.ndarray, states: int, width: int) -> tu
     Moves come sorted by state. States with many moves are placed first; all states of about one size try random places at
     once, and those whose cells are taken try again.
     """
-    cells = 3 * len(state) + 2 * width + 64
+    cells = 2 * len(state) + 2 * width + 64
     place, used, owner = np.zeros(states, np.int64), np.zeros(cells, bool), np.full(cells, -1, np.int64)
     degree = np.bincount(state, minlength=states)
     first = np.concatenate([[0], np.cumsum(degree)[:-1]])
@@ -114,16 +114,18 @@ class Parser:
                     to.append(base + moves[c])
             base += len(go)
         moves = [np.array(x, np.int64) for x in (state, symbol, to)]
-        place, cells = placed(moves[0], moves[1], base, self.width)
-        self.place = place.astype(np.int32)
-        self.check, self.to = np.full(cells, -1, np.int32), np.zeros(cells, np.int32)
-        at = place[moves[0]] + moves[1]
-        self.check[at], self.to[at] = moves[0], moves[2]
-        # Where a phrase that begins with a symbol leads, by language.
-        self.begin = np.repeat(np.array(self.roots, np.int32)[:, None], self.width, axis=1) if self.langs else np.empty((0, self.width), np.int32)
+        # Every state has the cell of the symbol that ends a text for its own, so no two have the same place, and the place
+        # can stand for the state. A cell holds the state it belongs to and where the move leads.
+        own = np.argsort(np.concatenate([moves[0], np.arange(base)]), kind="stable")
+        place, cells = placed(np.concatenate([moves[0], np.arange(base)])[own], np.concatenate([moves[1], np.full(base, self.end)])[own], base, self.width)
+        self.cells = np.full(cells, -1, np.int64)
+        self.cells[place[moves[0]] + moves[1]] = (place[moves[0]] << 32) | place[moves[2]]
+        # A state without moves, from which every symbol begins a phrase: lanes start there, and unknown letters lead to it.
+        self.none = int(np.setdiff1d(np.arange(len(place) + 1), place)[0]) if self.langs else 0
+        self.begin = np.full((len(self.langs), self.width), self.none, np.int64)
         for k, root in enumerate(self.roots):
             mine = moves[0] == root
-            self.begin[k, moves[1][mine]] = moves[2][mine]
+            self.begin[k, moves[1][mine]] = place[moves[2][mine]]
 
     def symbols(self, text: str) -> np.ndarray:
         """Codes of the lower-cased text, runs of other characters than letters as one divider."""
@@ -136,19 +138,18 @@ class Parser:
         count, over = np.zeros(len(start), np.int64), np.full(len(start), -1, np.int64)
         ids = np.flatnonzero(start < stop)
         over[start >= stop] = start[start >= stop]
-        root = np.array(self.roots, np.int32)[lang[ids]]
-        state, pos, last, row = root.copy(), start[ids].copy(), stop[ids], lang[ids] * self.width
+        pos, last, row = start[ids].copy(), stop[ids], lang[ids] * self.width
+        state = np.full(len(ids), self.none, np.int64)
         begin, tally, end = self.begin.ravel(), np.zeros(len(ids), np.int64), np.full(len(ids), -1, np.int64)
         step = 0
         while len(ids):
-            symbol = laid[pos]
-            cell = self.place[state] + symbol
-            known = self.check[cell] == state
-            new = ~known | (state == root)
+            symbol = laid.take(pos)
+            cell = self.cells.take(state + symbol)
+            new = (cell >> 32) != state
             inside = pos < last
             tally += new & inside
-            np.copyto(end, pos, where=new & ~inside & (end < 0))
-            state = np.where(known, self.to[cell], begin[row + symbol])
+            np.copyto(end, pos, where=(new > inside) & (end < 0))
+            state = np.where(new, begin.take(row + symbol), cell & 0xFFFFFFFF)
             pos += 1
             step += 1
             if step % 64 == 0 or step < 8 or pos[0] >= len(laid) - 1:
@@ -156,7 +157,7 @@ class Parser:
                 if (end >= 0).any():
                     done, left = end >= 0, end < 0
                     count[ids[done]], over[ids[done]] = tally[done], end[done]
-                    ids, root, state, pos, last, row, tally, end = (x[left] for x in (ids, root, state, pos, last, row, tally, end))
+                    ids, state, pos, last, row, tally, end = (x[left] for x in (ids, state, pos, last, row, tally, end))
         return count, over
 
     def phrases(self, texts: list[np.ndarray], stretch: int = STRETCH) -> np.ndarray:
@@ -168,7 +169,7 @@ class Parser:
             return out
         # Every text is followed by a symbol that no automaton knows.
         begins = np.concatenate([[0], np.cumsum(sizes + 1)])
-        laid = np.full(begins[-1] + 128, self.end, np.int32)
+        laid = np.full(begins[-1] + 128, self.end, np.int64)
         for t, b in zip(texts, begins.tolist(), strict=False):
             laid[b : b + len(t)] = t
         parts = -(-sizes // stretch)
