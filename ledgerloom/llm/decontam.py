@@ -47,7 +47,8 @@ def phrases(items: DataFrame, id_col: str = "item_id", text_col: str = "text", s
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = 100_000) -> DataFrame:
     """The index, stored: a row per block of documents with ``ids`` and ``lengths`` (words), ``terms`` (sorted), ``ends`` (where
-    each term's postings end) and ``steps`` (postings: each term's first place, then the distances between its places).
+    each term's postings end) and ``steps`` (postings: each term's first place, then the distances between its places), the
+    last two as 32-bit little-endian numbers, since only searches read them.
 
     A place is the number of words before it in the block, with a gap between documents, so no phrase spans two. A block
     ends at ``block_words`` words; a longer text is a block of its own, whole. Null ids and texts are kept (null text: no
@@ -55,8 +56,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
-    lists = {"ids": kind, "lengths": T.LongType(), "terms": T.StringType(), "ends": T.IntegerType(), "steps": T.IntegerType()}
-    schema = T.StructType([T.StructField(n, T.ArrayType(t)) for n, t in lists.items()])
+    lists = {"ids": kind, "lengths": T.LongType(), "terms": T.StringType()}
+    schema = T.StructType([*(T.StructField(n, T.ArrayType(t)) for n, t in lists.items()), *(T.StructField(n, T.BinaryType()) for n in ("ends", "steps"))])
 
     def blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
@@ -78,7 +79,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             steps = np.diff(place, prepend=0)
             first = ends[:-1]
             steps[first] = place[first]
-            row = [pa.array([ids], pa.list_(id_type)), pa.array([lengths], pa.list_(pa.int64())), pa.ListArray.from_arrays([0, len(terms)], terms.take(pa.array(order)).cast(pa.string())), pa.array([ends], pa.list_(pa.int32())), pa.array([steps], pa.list_(pa.int32()))]
+            row = [pa.array([ids], pa.list_(id_type)), pa.array([lengths], pa.list_(pa.int64())), pa.ListArray.from_arrays([0, len(terms)], terms.take(pa.array(order)).cast(pa.string())), *(pa.array([x.astype("<i4").tobytes()], pa.binary()) for x in (ends, steps))]
             return pa.RecordBatch.from_arrays(row, schema.names)
 
         for part in parts:
@@ -151,7 +152,8 @@ def search(index: DataFrame, queries: list[tuple[str | None, int, list[str]]], s
         for part in parts:
             for k in range(part.num_rows):
                 cell = lambda name: part.column(name)[k].values
-                lengths, ends, steps = (cell(n).to_numpy(zero_copy_only=False) for n in ("lengths", "ends", "steps"))
+                lengths = cell("lengths").to_numpy(zero_copy_only=False)
+                ends, steps = (np.frombuffer(part.column(n)[k].as_py(), "<i4") for n in ("ends", "steps"))
                 at = pc.fill_null(pc.index_in(asked, value_set=cell("terms")), -1).to_numpy(zero_copy_only=False)
                 here = at >= 0
                 starts = np.concatenate([[0], np.cumsum(lengths + 1)])

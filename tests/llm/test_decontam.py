@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 from ledgerloom.llm import decontam
 
 
@@ -78,14 +80,15 @@ def test_stored_index_holds_all_postings(spark):
     rows = decontam.build_index(df, block_words=200).collect()
     found = {}
     for r in rows:
-        assert r.terms == sorted(r.terms) and len(r.ends) == len(r.terms)
+        ends, steps = (np.frombuffer(x, "<i4").tolist() for x in (r.ends, r.steps))
+        assert r.terms == sorted(r.terms) and len(ends) == len(r.terms)
         starts = [0]
         for n in r.lengths:
             starts.append(starts[-1] + n + 1)
         text = {}
-        for t, a, b in zip(r.terms, [0, *r.ends], r.ends, strict=False):
+        for t, a, b in zip(r.terms, [0, *ends], ends, strict=False):
             place = 0
-            for step in r.steps[a:b]:
+            for step in steps[a:b]:
                 place += step
                 text[place] = t
         for i, n, at in zip(r.ids, r.lengths, starts, strict=False):
