@@ -21,10 +21,10 @@ def ghost(local_minutes: Column) -> Column:
 
 def classified(fills: DataFrame, local_minutes: Column, *, min_note_rate: float = 0.25, min_fills: int = 5) -> DataFrame:
     """Adds ``is_ghost``; where hardly any fill of an account's symbol is noted, nothing is a ghost."""
-    w = Window.partitionBy("account", "symbol")
-    rate = F.avg(F.when(F.col("note") != "", 1.0).otherwise(0.0)).over(w)
-    bypass = (rate < min_note_rate) & (F.count("*").over(w) > min_fills)
-    return fills.withColumn("is_ghost", ghost(local_minutes) & ~bypass)
+    noted = F.avg(F.when(F.col("note") != "", 1.0).otherwise(0.0))
+    sparse = fills.groupBy("account", "symbol").agg(((noted < min_note_rate) & (F.count("*") > min_fills)).alias("bypass"))
+    marked = fills.join(sparse, ["account", "symbol"])
+    return marked.withColumn("is_ghost", ghost(local_minutes) & ~F.col("bypass")).drop("bypass")
 
 
 def deduplicated(fills: DataFrame, per_second: int = 4) -> DataFrame:
@@ -98,8 +98,8 @@ def purge(trades: DataFrame, now: Column, entry_local: Column, exit_local: Colum
 
     seconds = F.unix_timestamp(F.col("exit_time").cast("timestamp")) - F.unix_timestamp(F.col("entry_time").cast("timestamp"))
     early = F.when(F.col("exit_time") > now + F.expr("INTERVAL 5 MINUTES"), "future").when(seconds < 0, "negative").when(seconds > 86400, "too_long").when(crosses_close(entry_local, exit_local), "crosses_close")
-    w = Window.partitionBy("account_name")
     p = F.when(F.col("early").isNull(), F.col("profit_loss"))
-    marked = trades.withColumn("early", early).withColumn("mu", F.avg(p).over(w)).withColumn("sigma", F.stddev_pop(p).over(w))
+    first = trades.withColumn("early", early)
+    marked = first.join(first.groupBy("account_name").agg(F.avg(p).alias("mu"), F.stddev_pop(p).alias("sigma")), "account_name")
     far = (F.abs(F.col("profit_loss") - F.col("mu")) > sigmas * F.col("sigma")) & (F.abs("profit_loss") > least)
     return marked.withColumn("reason", F.coalesce("early", F.when(far, "outlier"))).drop("early", "mu", "sigma")

@@ -40,7 +40,7 @@ def returns(market: DataFrame) -> DataFrame:
 
 def beta(trades: DataFrame, market: DataFrame) -> DataFrame:
     """Slope, intercept and fit of daily profit on market returns, by account."""
-    j = daily(trades).join(F.broadcast(returns(market)), "date")
+    j = daily(trades).join(returns(market), "date")
     slope = F.regr_slope("pnl", "ret")
     return j.groupBy("account_name").agg(F.count("*").alias("days"), slope.alias("beta"), F.regr_intercept("pnl", "ret").alias("alpha"), F.regr_r2("pnl", "ret").alias("r2"))
 

@@ -65,43 +65,61 @@ def sortino_ranking(trades: DataFrame, top: int = 10) -> DataFrame:
     return rated.orderBy(F.desc("sortino"), F.desc("per_week"), "account_name", "symbol").limit(top).select("account_name", "symbol", "n", "sortino", "per_week")
 
 
+def _ranked(trades: DataFrame, keys: list[str]) -> DataFrame:
+    """Trades with their place by profit within their group (``_r``, from 0) and the group's size (``_n``).
+
+    The window spills to disk if a group is large; sizes are counted before, on the map side.
+    """
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("profit_loss")) - 1
+    return trades.select(*keys, "profit_loss", place.alias("_r")).join(trades.groupBy(*keys).agg(F.count("*").alias("_n")), keys)
+
+
 def probability_matrix(trades: DataFrame, keys: list[str], min_trades: int = 5) -> DataFrame:
-    """Distribution of a cell's profits: moments, chances, tail mean and index percentiles.
+    """Distribution of a cell's profits: moments, chances, tail mean, quartiles by index, and mean times chance of gain.
 
-    The ordered profits of a cell are an array; a cell is an account's slot, which stays small however many cells there are.
+    Places are found by a window that spills, so a cell may hold any number of trades.
     """
     n = F.count("*")
-    xs = F.array_sort(F.collect_list(_pnl()))
-    k = F.greatest(F.floor(n * 0.05).cast("int"), F.lit(1))
-    return (
-        trades.groupBy(*keys)
-        .agg(
-            n.alias("n"),
-            F.avg(_pnl()).alias("mean"),
-            F.var_pop(_pnl()).alias("variance"),
-            F.skewness(_pnl()).alias("skew"),
-            (F.count_if(_pnl() > 0) / n).alias("p_gain"),
-            (F.count_if(_pnl() > 50) / n).alias("p_50"),
-            (F.aggregate(F.slice(xs, F.lit(1), k), F.lit(0.0), lambda a, x: a + x) / k).alias("cvar"),
-            F.get(xs, F.floor(n * 0.25).cast("int")).alias("q25"),
-            F.get(xs, F.floor(n * 0.75).cast("int")).alias("q75"),
-            (F.avg(_pnl()) * F.count_if(_pnl() > 0) / n).alias("cwev"),
-        )
-        .filter(F.col("n") >= min_trades)
+    at = lambda q: F.max(F.when(F.col("_r") == F.floor(F.col("_n") * q), _pnl()))
+    tail = F.greatest(F.floor(F.col("_n") * 0.05), F.lit(1))
+    cells = _ranked(trades, keys).groupBy(*keys).agg(
+        n.alias("n"),
+        F.avg(_pnl()).alias("mean"),
+        F.var_pop(_pnl()).alias("variance"),
+        F.skewness(_pnl()).alias("skew"),
+        F.kurtosis(_pnl()).alias("kurtosis"),
+        *[(F.count_if(_pnl() > limit) / n).alias(name) for limit, name in ((0, "p_gain"), (50, "p_50"), (100, "p_100"))],
+        F.avg(F.when(F.col("_r") < tail, _pnl())).alias("cvar"),
+        at(0.25).alias("q25"),
+        at(0.75).alias("q75"),
+        (F.avg(_pnl()) * F.count_if(_pnl() > 0) / n).alias("cwev"),
     )
+    return cells.filter(F.col("n") >= min_trades)
+
+
+def likeliest(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Of every cell the account with the largest ``cwev``; ties go to the first by name."""
+    best = Window.partitionBy(*keys).orderBy(F.desc(F.round("cwev", 6)), "account_name")
+    return cells.withColumn("_r", F.row_number().over(best)).filter("_r = 1").drop("_r")
 
 
 def risk(trades: DataFrame, level: float = 0.95) -> DataFrame:
-    """Value at risk (linear percentile), expected shortfall, kelly share clipped to a quarter, chance of loss."""
-    var = trades.groupBy("account_name").agg(F.percentile(_pnl(), 1 - level).alias("var"))
-    joined = trades.join(var, "account_name")
+    """Value at risk (the profit at index floor((1 - level) * n) of the sorted ones), expected shortfall (mean of those up to
+    it), kelly share clipped to a quarter, chance of loss, sortino (losses' root mean square, yearly scale)."""
+    keys = ["account_name"]
+    ranked = _ranked(trades, keys)
+    var = ranked.filter(F.col("_r") == F.floor((1 - level) * F.col("_n") + 1e-9)).select(*keys, _pnl().alias("var"))
+    joined = trades.join(var, keys)
     p, win, loss = F.count_if(_pnl() > 0) / F.count("*"), F.avg(F.when(_pnl() > 0, _pnl())), F.abs(F.avg(F.when(_pnl() <= 0, _pnl())))
     kelly = p - (1 - p) / (win / F.nullif(loss, F.lit(0.0)))
-    return joined.groupBy("account_name").agg(
+    span = F.greatest(F.datediff(F.max("entry_time"), F.min("entry_time")), F.lit(1))
+    down = F.sqrt(F.sum(F.when(_pnl() < 0, _pnl() * _pnl()).otherwise(0.0)) / F.count("*"))
+    return joined.groupBy(*keys).agg(
         F.first("var").alias("var"),
         F.avg(F.when(_pnl() <= F.col("var"), _pnl())).alias("shortfall"),
         F.greatest(F.least(kelly, F.lit(0.25)), F.lit(-0.25)).alias("kelly"),
         (F.count_if(_pnl() < 0) / F.count("*")).alias("p_loss"),
+        (F.avg(_pnl()) / F.nullif(down, F.lit(0.0)) * F.sqrt(F.count("*") / span * 252)).alias("sortino"),
     )
 
 

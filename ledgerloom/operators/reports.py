@@ -58,9 +58,15 @@ def account_alerts(trades: DataFrame, large: float = 300.0) -> DataFrame:
 
 def consensus(trades: DataFrame, windows: dict[int, float], min_trades: int = 3) -> DataFrame:
     """Best account of a cell over several look-back windows: every window's winner votes with its score and weight."""
-    wide = trades.crossJoin(F.broadcast(as_of(trades))).withColumn("w", F.explode(F.array(*map(F.lit, windows))))
-    inside = wide.filter(F.col("entry_time") >= F.col("now") - F.make_dt_interval(days=F.col("w")))
-    g = inside.groupBy("w", "account_name", *CELL).agg(F.count("*").alias("n"), F.avg(_pnl()).alias("mean"), F.stddev_samp(_pnl()).alias("sd")).filter(F.col("n") >= min_trades)
+    spans = sorted(windows)
+    at = trades.crossJoin(F.broadcast(as_of(trades)))
+    inside = lambda w: F.col("entry_time") >= F.col("now") - F.make_dt_interval(days=F.lit(w))
+    # The shortest window that holds a trade; sums of these parts make every window, so trades are not multiplied.
+    part = F.coalesce(*[F.when(inside(w), F.lit(w)) for w in spans])
+    sums = at.withColumn("part", part).filter("part is not null").groupBy("part", "account_name", *CELL).agg(F.count("*").alias("k"), F.sum(_pnl()).alias("s"), F.sum(_pnl() * _pnl()).alias("ss"))
+    wide = sums.withColumn("w", F.explode(F.filter(F.array(*map(F.lit, spans)), lambda w: w >= F.col("part"))))
+    g = wide.groupBy("w", "account_name", *CELL).agg(F.sum("k").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss")).filter(F.col("n") >= min_trades).withColumn("mean", F.col("s") / F.col("n"))
+    g = g.withColumn("sd", F.when(F.col("n") > 1, F.sqrt(F.greatest(F.col("ss") - F.col("s") * F.col("mean"), F.lit(0.0)) / (F.col("n") - 1))))
     sharpe = F.col("mean") / (F.greatest(F.coalesce("sd", F.lit(1.0)), F.lit(1.0)) / 10)
     score = 0.6 * F.least(F.lit(2.0), F.col("mean") / 25) + 0.4 * F.least(F.lit(2.0), sharpe / 4)
     picks = winners(g.withColumn("score", F.round(score, 9)), [F.desc("score")], ["w", *CELL]).filter("score > 0")

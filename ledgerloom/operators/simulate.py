@@ -2,31 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def numbered(trades: DataFrame, key: str) -> DataFrame:
-    """Profits of each key numbered from 0, and how many there are."""
-    w = Window.partitionBy(key)
-    return trades.select(key, "profit_loss", (F.row_number().over(w.orderBy("entry_time", "trade_id")) - 1).alias("i"), F.count("*").over(w).alias("n"))
+    """Profits of each key numbered from 0."""
+    w = Window.partitionBy(key).orderBy("entry_time", "trade_id")
+    return trades.select(key, "profit_loss", (F.row_number().over(w) - 1).alias("i"))
+
+
+def draw(key: str, sizes: str, seed: int) -> Column:
+    """The number drawn at a path's step: a hash, so the same at every run and partitioning."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.col(key), "sim", "step"), F.col(sizes)).cast("int")
 
 
 def paths(trades: DataFrame, key: str, sims: int, steps: int, seed: int = 42) -> DataFrame:
-    """Final profit and worst drop of every simulated path: the grid of draws is generated on the executors and joined by number."""
+    """Final profit and worst drop of every simulated path: the grid of draws is generated on the executors and joined by number.
+
+    Draws of one number are counted and joined with its profit once they are on the same executor; paths are windows of
+    ``steps`` rows.
+    """
     pool = numbered(trades, key)
-    sizes = pool.select(key, "n").distinct()
-    spark = trades.sparkSession
-    grid = spark.range(sims).withColumnRenamed("id", "sim").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
-    draws = grid.crossJoin(F.broadcast(sizes)).withColumn("i", F.pmod(F.xxhash64(F.lit(seed), F.col(key), "sim", "step"), F.col("n")).cast("int"))
-    drawn = draws.join(pool.select(key, "i", "profit_loss"), [key, "i"])
+    sizes = trades.groupBy(key).agg(F.count("*").alias("n"))
+    grid = trades.sparkSession.range(sims).withColumnRenamed("id", "sim")
+    draws = grid.crossJoin(sizes).withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))).withColumn("i", draw(key, "n", seed))
+    drawn = draws.join(pool, [key, "i"])
     w = Window.partitionBy(key, "sim").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     eq = drawn.withColumn("equity", F.sum("profit_loss").over(w)).withColumn("drop", F.greatest(F.max("equity").over(w), F.lit(0.0)) - F.col("equity"))
     return eq.groupBy(key, "sim").agg(F.sum("profit_loss").alias("final"), F.max("drop").alias("max_drop"))
 
 
-def bootstrap(trades: DataFrame, key: str = "account_name", sims: int = 1000, steps: int = 50, seed: int = 42) -> DataFrame:
+def bootstrap(trades: DataFrame, key: str = "account_name", sims: int = 1000, steps: int = 100, seed: int = 42) -> DataFrame:
     """Mean, sigma, percentiles and chance of loss of the simulated finals."""
     return paths(trades, key, sims, steps, seed).groupBy(key).agg(
-        F.count("*").alias("sims"), F.avg("final").alias("mean"), F.stddev_pop("final").alias("sigma"), *[F.percentile("final", q / 100).alias(f"p{q:02d}") for q in (5, 25, 50, 75, 95)], F.avg((F.col("final") < 0).cast("double")).alias("p_loss"), F.avg("max_drop").alias("mean_drop")
+        F.count("*").alias("sims"), F.avg("final").alias("mean"), F.stddev_pop("final").alias("sigma"), *[F.percentile("final", q / 100).alias(f"p{q:02d}") for q in (1, 5, 10, 25, 50, 75, 90, 95, 99)], F.avg((F.col("final") < 0).cast("double")).alias("p_loss"), F.avg("max_drop").alias("mean_drop")
     )

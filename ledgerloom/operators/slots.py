@@ -94,10 +94,11 @@ def leaders(persistence: DataFrame) -> DataFrame:
 
 def rolling_vote(trades: DataFrame, weeks: tuple[int, ...] = (1, 2, 4), decay: float = 0.85, min_trades: int = 3) -> DataFrame:
     """Per cell, the account that most look-back windows choose by decayed mean profit, and how large that majority is."""
-    span = F.explode(F.array(*map(F.lit, weeks))).alias("w")
-    aged = trades.crossJoin(F.broadcast(as_of(trades))).withColumn("ago", F.floor(F.datediff(F.to_date("now"), F.to_date("entry_time")) / 7))
-    wide = aged.select("*", span).filter(F.col("ago") < F.col("w")).withColumn("weight", F.pow(F.lit(decay), F.col("ago")))
-    score = wide.groupBy("w", "account_name", *CELL).agg((F.sum(F.col("profit_loss") * F.col("weight")) / F.sum("weight")).alias("score"), F.count("*").alias("n")).filter(F.col("n") >= min_trades)
+    aged = trades.crossJoin(F.broadcast(as_of(trades))).withColumn("ago", F.floor(F.datediff(F.to_date("now"), F.to_date("entry_time")) / 7)).filter(F.col("ago") < max(weeks))
+    # Weeks are summed before windows multiply them.
+    weekly = aged.groupBy("account_name", *CELL, "ago").agg(F.sum("profit_loss").alias("pnl"), F.count("*").alias("k"))
+    wide = weekly.select("*", F.explode(F.array(*map(F.lit, weeks))).alias("w")).filter(F.col("ago") < F.col("w")).withColumn("weight", F.pow(F.lit(decay), F.col("ago")))
+    score = wide.groupBy("w", "account_name", *CELL).agg((F.sum(F.col("pnl") * F.col("weight")) / F.sum(F.col("k") * F.col("weight"))).alias("score"), F.sum("k").alias("n")).filter(F.col("n") >= min_trades)
     picks = winners(score, [F.desc("score")], ["w", *CELL])
     votes = picks.groupBy(*CELL, "account_name").agg(F.count("*").alias("votes"))
     share = F.col("votes") / F.sum("votes").over(Window.partitionBy(*CELL))

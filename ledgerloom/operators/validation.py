@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,9 +16,10 @@ def folds(trades: DataFrame, train_days: int, test_days: int, *, anchored: bool
     return each.select("fold", (F.col("lo") if anchored else F.date_add("lo", shift)).alias("train_lo"), test_lo.alias("train_hi"), test_lo.alias("test_lo"), F.date_add(test_lo, test_days).alias("test_hi"))
 
 
-def _within(trades: DataFrame, f: DataFrame, lo: str, hi: str) -> DataFrame:
-    """Trades with every fold whose window holds their day. Daily partials come first, so what is multiplied is small."""
-    return trades.join(F.broadcast(f), (trades.day >= F.col(lo)) & (trades.day < F.col(hi)))
+def _within(partial: DataFrame, f: DataFrame, lo: str, hi: str) -> DataFrame:
+    """Daily partials with every fold whose window holds their day. Folds are laid over their days, so days meet on equality."""
+    days = f.select("fold", F.explode(F.sequence(F.col(lo), F.date_sub(F.col(hi), 1))).alias("day"))
+    return partial.join(days, "day")
 
 
 def walk_forward(trades: DataFrame, keys: list[str], *, train_days: int = 365, test_days: int = 90, min_trades: int = 3, anchored: bool = False) -> DataFrame:
@@ -43,9 +44,17 @@ def live_validation(trades: DataFrame, keys: list[str], split: str) -> DataFrame
     return g.withColumn("status", F.when(F.col("z") >= -1.5, "ON_TRACK").when(F.col("z") >= -2.5, "DRIFTING").otherwise("CRITICAL"))
 
 
+def flip(seed: int) -> Column:
+    """The sign of a value in a permutation, by hash."""
+    return F.when(F.pmod(F.xxhash64(F.lit(seed), "perm", "id"), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+
+
 def sign_flip(values: DataFrame, permutations: int = 1000, seed: int = 42) -> DataFrame:
-    """Share of random sign patterns whose mean is as far from zero as the values' (columns id, value)."""
-    n = values.sparkSession.range(permutations).withColumnRenamed("id", "perm")
-    sign = F.when(F.pmod(F.xxhash64(F.lit(seed), "perm", "id"), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    means = values.crossJoin(F.broadcast(n)).groupBy("perm").agg(F.avg(sign * F.abs("value")).alias("m"))
-    return means.crossJoin(F.broadcast(values.agg(F.avg("value").alias("observed")))).agg(F.first("observed").alias("observed"), F.avg((F.abs("m") >= F.abs("observed")).cast("double")).alias("p"))
+    """Share of random sign patterns whose mean is as far from zero as the values' (columns id, value).
+
+    Every value is multiplied by its signs where it lies and summed on the map side; nothing is sent around but one sum a
+    permutation and task.
+    """
+    signs = values.select("id", "value", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(permutations - 1).cast("long"))).alias("perm"))
+    means = signs.groupBy("perm").agg(F.avg(flip(seed) * F.abs("value")).alias("m"), F.avg("value").alias("observed"))
+    return means.agg(F.first("observed").alias("observed"), F.avg((F.abs("m") >= F.abs("observed")).cast("double")).alias("p"))

@@ -14,14 +14,16 @@ from ledgerloom.operators import metrics as mt
 from ledgerloom.operators import series as sr
 from ledgerloom.operators import simulate as sm
 from ledgerloom.operators import slots as sl
-from ledgerloom.operators import tests as ts
+from ledgerloom.operators import significance as ts
 from ledgerloom.operators import validation as vd
 from ledgerloom.streaming import monitor as mo
 
 from . import views as v
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Queries as users run them, and the same rounded for the comparison with another engine.
 QUERIES: dict[str, Query] = {}
+COMPARED: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 #: Date columns of queries.
 DATED = {
@@ -43,9 +45,10 @@ def query(name: str, sql: str | None = None, ctes: tuple[str, ...] = (), doubles
     """Registers a query. ``doubles`` names the columns that the SQL rounds as the DataFrame does; dates are known by name."""
 
     def add(f: Query) -> Query:
-        QUERIES[name] = lambda spark, d: _rounded(f(spark, d))
+        QUERIES[name] = f
+        COMPARED[name] = lambda spark, d: _rounded(f(spark, d))
         if sql:
-            dates = [c for c in ("session", "date", "since", "market_date") if c in DATED.get(name, "").split()]
+            dates = [c for c in ("session", "date", "since", "market_date", "trained") if c in DATED.get(name, "").split()]
             replaced = ", ".join([f"round({c} + 1e-7, 4) + 0.0 AS {c}" for c in doubles.split()] + [f"strftime({c}, '%Y-%m-%d') AS {c}" for c in dates])
             rounding = f" REPLACE ({replaced})" if replaced else ""
             SQL[name] = f"WITH {', '.join([*ctes, f'result AS ({sql})'])} SELECT *{rounding} FROM result"
@@ -82,7 +85,12 @@ def slot_stats(spark, d):
     return sl.slot_stats(v.trades(spark, d))
 
 
-@query("slot_reliability")
+#: The normal distribution as in functions.stats.
+PHI = "(CASE WHEN {z} >= 0 THEN 1 - {tail} ELSE {tail} END)".replace("{tail}", "exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * {t} * (0.319381530 + {t} * (-0.356563782 + {t} * (1.781477937 + {t} * (-1.821255978 + {t} * 1.330274429))))").replace("{t}", "(1 / (1 + 0.2316419 * abs({z})))")
+
+
+@query("slot_reliability", f"""SELECT account_name, symbol, slot, dow, n, CASE WHEN n < 3 OR mean <= 0 THEN 0.0 ELSE 100 * {PHI.replace('{z}', 'z')} END AS reliability
+  FROM (SELECT *, mean / (sqrt(greatest(mean_square - mean * mean, 1e-4)) / sqrt(n)) AS z FROM ({STATS.format(t="trades", k=3)}))""", (v.TRADES,), "reliability")
 def slot_reliability(spark, d):
     s = sl.slot_stats(v.trades(spark, d))
     return s.select("account_name", "symbol", "slot", "dow", "n", sl.reliability(F.col("mean"), F.col("mean_square"), F.col("n")).alias("reliability"))
@@ -154,20 +162,31 @@ def sortino_ranking(spark, d):
     return mt.sortino_ranking(v.trades(spark, d))
 
 
-@query("probability_matrix", """SELECT account_name, symbol, dow, count(*) AS n, avg(x) AS mean, var_pop(x) AS variance,
+CHANCES = """SELECT account_name, symbol, dow, count(*) AS n, avg(x) AS mean, var_pop(x) AS variance,
   CASE WHEN var_pop(x) > 0 THEN (avg(x * x * x) - 3 * avg(x) * avg(x * x) + 2 * pow(avg(x), 3)) / pow(var_pop(x), 1.5) END AS skew,
-  count(*) FILTER (x > 0) / count(*) AS p_gain, count(*) FILTER (x > 50) / count(*) AS p_50,
+  CASE WHEN var_pop(x) > 0 THEN (avg(pow(x, 4)) - 4 * avg(x) * avg(x * x * x) + 6 * pow(avg(x), 2) * avg(x * x) - 3 * pow(avg(x), 4)) / pow(var_pop(x), 2) - 3 END AS kurtosis,
+  count(*) FILTER (x > 0) / count(*) AS p_gain, count(*) FILTER (x > 50) / count(*) AS p_50, count(*) FILTER (x > 100) / count(*) AS p_100,
   list_sum(list_sort(list(x))[1 : greatest(floor(count(*) * 0.05), 1)::INTEGER]) / greatest(floor(count(*) * 0.05), 1) AS cvar,
   list_sort(list(x))[floor(count(*) * 0.25)::INTEGER + 1] AS q25, list_sort(list(x))[floor(count(*) * 0.75)::INTEGER + 1] AS q75, avg(x) * count(*) FILTER (x > 0) / count(*) AS cwev
-  FROM (SELECT *, profit_loss AS x FROM trades) GROUP BY ALL HAVING count(*) >= 5""", (v.TRADES,), "mean variance skew p_gain p_50 cvar q25 q75 cwev")
+  FROM (SELECT *, profit_loss AS x FROM trades) GROUP BY ALL HAVING count(*) >= 5"""
+_MEASURES = "mean variance skew kurtosis p_gain p_50 p_100 cvar q25 q75 cwev"
+
+
+@query("probability_matrix", CHANCES, (v.TRADES,), _MEASURES)
 def probability_matrix(spark, d):
-    return mt.probability_matrix(v.trades(spark, d), ["symbol", "dow", "account_name"]).select("account_name", "symbol", "dow", "n", "mean", "variance", "skew", "p_gain", "p_50", "cvar", "q25", "q75", "cwev")
+    return mt.probability_matrix(v.trades(spark, d), ["symbol", "dow", "account_name"]).select("account_name", "symbol", "dow", "n", *_MEASURES.split())
+
+
+@query("probability_best", f"SELECT account_name, symbol, dow, n, cwev, p_gain FROM (SELECT *, row_number() OVER (PARTITION BY symbol, dow ORDER BY round(cwev, 6) DESC, account_name) AS r FROM ({CHANCES})) WHERE r = 1", (v.TRADES,), "cwev p_gain")
+def probability_best(spark, d):
+    cells = mt.probability_matrix(v.trades(spark, d), ["symbol", "dow", "account_name"])
+    return mt.likeliest(cells, ["symbol", "dow"]).select("account_name", "symbol", "dow", "n", "cwev", "p_gain")
 
 
 @query("risk_metrics", """SELECT account_name, var, avg(profit_loss) FILTER (profit_loss <= var) AS shortfall,
   greatest(least(count(*) FILTER (profit_loss > 0) / count(*) - (1 - count(*) FILTER (profit_loss > 0) / count(*)) / (avg(profit_loss) FILTER (profit_loss > 0) / nullif(abs(avg(profit_loss) FILTER (profit_loss <= 0)), 0)), 0.25), -0.25) AS kelly,
-  count(*) FILTER (profit_loss < 0) / count(*) AS p_loss
-  FROM trades JOIN (SELECT account_name, quantile_cont(profit_loss, 0.05) AS var FROM trades GROUP BY 1) USING (account_name) GROUP BY ALL""", (v.TRADES,), "var shortfall kelly p_loss")
+  count(*) FILTER (profit_loss < 0) / count(*) AS p_loss, avg(profit_loss) / nullif(sqrt(sum(CASE WHEN profit_loss < 0 THEN profit_loss * profit_loss ELSE 0 END) / count(*)), 0) * sqrt(count(*) / greatest(date_diff('day', min(entry_time), max(entry_time)), 1) * 252) AS sortino
+  FROM trades JOIN (SELECT account_name, list_sort(list(profit_loss))[floor(0.05 * count(*) + 1e-9)::INTEGER + 1] AS var FROM trades GROUP BY 1) USING (account_name) GROUP BY ALL""", (v.TRADES,), "var shortfall kelly p_loss sortino")
 def risk_metrics(spark, d):
     return mt.risk(v.trades(spark, d))
 
@@ -378,7 +397,7 @@ def sign_flip_test(spark, d):
 
 @query("bootstrap_paths")
 def bootstrap_paths(spark, d):
-    return sm.bootstrap(v.trades(spark, d), sims=200, steps=50)
+    return sm.bootstrap(v.trades(spark, d))
 
 
 @query("one_sample_t", "SELECT account_name, symbol, n, mean, sigma, mean / (sigma / sqrt(n)) AS t, n - 1 AS df FROM (SELECT account_name, symbol, count(*) AS n, avg(profit_loss) AS mean, stddev_samp(profit_loss) AS sigma FROM trades GROUP BY ALL) WHERE n >= 2 AND sigma > 0", (v.TRADES,), "mean sigma t")

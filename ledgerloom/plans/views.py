@@ -93,3 +93,26 @@ def market(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MARKET = """market AS (
   SELECT CAST(ts AS DATE) AS date, avg(value) / 2 AS close FROM events GROUP BY 1 HAVING date_part('day', CAST(ts AS DATE)) % 5 <> 0)"""
+
+
+def orders_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fills with parent orders from ``events``: two events make an order, the even one opens, the odd one closes."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    parent = F.floor(F.col("event_id") / 2).cast("long")
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("fill_id"),
+        parent.alias("parent_id"),
+        F.concat(F.lit("ACC_"), (parent % 4).cast("string")).alias("account"),
+        F.when(parent % 3 == 0, "NQ").otherwise("ES").alias("symbol"),
+        F.col("ts"),
+        F.when((F.col("event_id") + parent) % 2 == 0, "BUY").otherwise("SELL").alias("side"),
+        (k % 3 + 1).cast("int").alias("quantity"),
+        F.col("value").alias("price"),
+        F.when(F.col("event_id") % 2 == 0, "OPEN").otherwise("CLOSE").alias("open_close"),
+    )
+
+
+ORDERS_LOG = """orders_log AS (
+  SELECT event_id AS fill_id, event_id // 2 AS parent_id, 'ACC_' || ((event_id // 2) % 4) AS account, CASE WHEN (event_id // 2) % 3 = 0 THEN 'NQ' ELSE 'ES' END AS symbol, ts,
+    CASE WHEN (event_id + event_id // 2) % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, (k % 3 + 1)::INTEGER AS quantity, value AS price, CASE WHEN event_id % 2 = 0 THEN 'OPEN' ELSE 'CLOSE' END AS open_close
+  FROM (SELECT *, json_extract_string(props, '$.k')::INTEGER AS k FROM events))"""

@@ -113,3 +113,75 @@ def test_cooldown(spark, tmp_path):
     q = out.writeStream.outputMode("append").format("memory").queryName("streaks_out").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.account_name, r.streak) for r in spark.table("streaks_out").collect()) == [("A", 5), ("A", 10)]
+
+
+def test_orphaned_closes_follow_ghosts(spark):
+    from ledgerloom.operators import matching as mc
+
+    schema = "account string, symbol string, session string, fill_id long, ts timestamp, side string, quantity int, open_close string"
+    rows = [("A", "NQ", "s", i, T0 + timedelta(seconds=i), side, n, kind) for i, (side, n, kind) in enumerate([("SELL", 1, "CLOSE"), ("BUY", 2, "OPEN"), ("SELL", 2, "CLOSE"), ("SELL", 1, "CLOSE"), ("SELL", 1, "OPEN"), ("BUY", 1, "CLOSE")])]
+    rows += [("B", "NQ", "s", 10, T0, "SELL", 1, "CLOSE")]  # no ghost was removed here, so the close stays
+    ghosts = spark.createDataFrame([("A", "NQ", "s")], "account string, symbol string, session string")
+    got = mc.orphaned_closes(spark.createDataFrame(rows, schema), ghosts).collect()
+    assert sorted(r.fill_id for r in got) == [0, 3]
+
+
+def test_sign_flip_equals_a_plain_count(spark):
+    from pyspark.sql import functions as F
+
+    values = [(i, x) for i, x in enumerate([1.0, -0.5, 2.0, 0.7, -0.1, 1.3])]
+    df = spark.createDataFrame(values, "id long, value double")
+    signs = spark.range(200).withColumnRenamed("id", "perm").crossJoin(df.select("id")).select("perm", "id", vd.flip(42).alias("s")).collect()
+    means = {}
+    for r in signs:
+        means[r.perm] = means.get(r.perm, 0) + r.s * abs(values[r.id][1]) / len(values)
+    seen = sum(x for _, x in values) / len(values)
+    want = sum(abs(m) >= abs(seen) - 1e-12 for m in means.values()) / 200
+    got = vd.sign_flip(df.repartition(3), 200).first()
+    assert math.isclose(got.observed, seen) and math.isclose(got.p, want)
+    assert F is not None and 0.02 < want < 0.4
+
+
+def test_bootstrap_equals_a_plain_walk(spark):
+    from ledgerloom.operators import simulate as sm
+
+    r = random.Random(4)
+    rows = [(i, "AB"[i % 2], T0 + timedelta(minutes=i), r.gauss(1, 5)) for i in range(60)]
+    df = spark.createDataFrame(rows, "trade_id long, account_name string, entry_time timestamp, profit_loss double")
+    pool = {k: [p for _, a, _, p in rows if a == k] for k in "AB"}
+    grid = spark.createDataFrame([(k, s, t, len(pool[k])) for k in "AB" for s in range(20) for t in range(7)], "account_name string, sim long, step int, n long")
+    drawn = {(x.account_name, x.sim, x.step): x.i for x in grid.withColumn("i", sm.draw("account_name", "n", 42)).collect()}
+    got = {(x.account_name, x.sim): (x.final, x.max_drop) for x in sm.paths(df, "account_name", 20, 7).collect()}
+    for k in "AB":
+        for s in range(20):
+            equity = peak = drop = 0.0
+            for t in range(7):
+                equity += pool[k][drawn[k, s, t]]
+                peak = max(peak, equity)
+                drop = max(drop, peak - equity)
+            assert math.isclose(got[k, s][0], equity, abs_tol=1e-9) and math.isclose(got[k, s][1], drop, abs_tol=1e-9)
+    assert len(got) == 40
+
+
+def test_anchored_folds_and_drawdown_without_floor(spark):
+    df = spark.createDataFrame([(T0,), (T0 + timedelta(days=100),)], "entry_time timestamp")
+    f = sorted(map(tuple, vd.folds(df, 30, 10, anchored=True).collect()))
+    assert len({x[1] for x in f}) == 1 and [x[2] for x in f] == sorted({x[2] for x in f})
+    t = spark.createDataFrame([(i, "A", T0 + timedelta(minutes=i), p) for i, p in enumerate([-2.0, 1.0, -3.0])], "trade_id long, account_name string, entry_time timestamp, profit_loss double")
+    assert [r.drawdown for r in sr.drawdown(t, "account_name", floor=False).orderBy("trade_id").collect()] == [0.0, 0.0, 3.0]
+    assert [r.drawdown for r in sr.drawdown(t, "account_name").orderBy("trade_id").collect()] == [2.0, 1.0, 4.0]
+
+
+def test_known_rows_are_not_imported_again(spark):
+    new = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "d")], "k long, v string")
+    got = al.new_only(new, spark.createDataFrame([(2,)], "k long"), ["k"]).collect()
+    assert sorted(r.k for r in got) == [1, 3]
+
+
+def test_repeats_within_the_watermark_come_once(spark, tmp_path):
+    schema = "fill_id long, ts timestamp"
+    spark.createDataFrame([(1, T0), (1, T0 + timedelta(minutes=1)), (2, T0)], schema).write.parquet(str(tmp_path / "in"))
+    q = mo.once(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), ["fill_id"]).writeStream.format("memory").queryName("once_out").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r.fill_id for r in spark.table("once_out").collect()) == [1, 2]
+    assert mo.once(spark.read.schema(schema).parquet(str(tmp_path / "in")), ["fill_id"]).count() == 2
