@@ -12,9 +12,9 @@ Groups of copies never turn into all their pairs:
 * keys that hold the same members count as one key;
 * under each key, members meet the key's smallest class only (a star), and confirmed links join components;
 * only keys whose members then still lie in different components are looked at again, in groups of bounded size, where
-  full sets are intersected by a matrix product; only links between different components leave a group. A key with more
-  members is split first: two sets that overlap enough share one of their rarest shingles, so members meet under those
-  of their shingles that are rarest among the key's members, and passages that all of them quote bring none together.
+  full sets are intersected by a matrix product; only links between different components leave a group. Members of larger
+  keys meet otherwise: two sets that overlap enough share one of their rarest shingles, so each meets others under those
+  of its shingles that are rarest among all these members, and passages that many quote bring none together.
 
 So a link that is not needed to connect its component is not spelled out, but none that connects is lost.
 """
@@ -184,28 +184,29 @@ def _tile_links(key: tuple, tile: pa.Table, percent: int, columns: int = 4096) -
 
 
 def _split_keys(rows: DataFrame, sets: DataFrame, percent: int, tile: int) -> DataFrame:
-    """Rows (key, cid, comp) with keys of more than ``tile`` members split by rare shingles.
+    """Rows (key, cid, comp) with keys of more than ``tile`` members replaced by rare shingles.
 
-    Order shingles by how many members of the key hold them, rarest first. Two sets with 100 * intersection >= percent * union
-    share one of the first ``n - ceil(percent * n / 100) + 1`` shingles of each. So under (key, shingle) no link is lost,
-    and what all members quote comes last. Shingles that one member has, or that lie in one component, bring nobody together.
+    All members of such keys are taken together, each once. Order shingles by how many of them hold one, rarest first. Two
+    sets with 100 * intersection >= percent * union share one of the first ``n - ceil(percent * n / 100) + 1`` shingles of
+    each. So no link is lost, and what very many members quote comes last. Shingles that one member has, or that lie in one
+    component, bring nobody together.
     """
     large = rows.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > tile).select("key")
-    hot, rest = rows.join(large, "key", "left_semi"), rows.join(large, "key", "left_anti")
-    held = hot.join(sets.select("cid", "n", "shingles"), "cid").select("key", "cid", "comp", "n", F.explode("shingles").alias("s"))
-    often = held.groupBy("key", "s").agg(F.count("*").alias("often"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-    place = F.row_number().over(Window.partitionBy("key", "cid").orderBy("often", "s"))
-    first = held.join(often, ["key", "s"]).withColumn("place", place).filter(100 * (F.col("n") - F.col("place") + 1) >= percent * F.col("n"))
-    return rest.select("key", "cid", "comp").unionByName(first.filter("c0 < c1").select(F.xxhash64("key", "s").alias("key"), "cid", "comp"))
+    members, rest = rows.join(large, "key", "left_semi").select("cid", "comp").distinct(), rows.join(large, "key", "left_anti")
+    held = members.join(sets.select("cid", "n", "shingles"), "cid").select("cid", "comp", "n", F.explode("shingles").alias("s"))
+    often = held.groupBy("s").agg(F.count("*").alias("often"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    place = F.row_number().over(Window.partitionBy("cid").orderBy("often", "s"))
+    first = held.join(often, "s").withColumn("place", place).filter(100 * (F.col("n") - F.col("place") + 1) >= percent * F.col("n"))
+    return rest.select("key", "cid", "comp").unionByName(first.filter("c0 < c1").select(F.xxhash64("s", F.lit("shingle")).alias("key"), "cid", "comp"))
 
 
 def _cross_links(rows: DataFrame, sets: DataFrame, percent: int, tile: int, tile_shingles: int = 500_000) -> DataFrame:
     """Links across components among rows (key, cid, comp), every key cut into tiles and every two tiles compared once.
 
-    A tile holds about ``tile`` members and ``tile_shingles`` shingles. Keys of more members come split by rare shingles, so
+    A tile holds about ``tile`` members and ``tile_shingles`` shingles. Keys of more members come as rare shingles, so
     members are repeated only where very many share a rare one and are not linked.
     """
-    rows = _split_keys(rows, sets, percent, tile)
+    rows = stored(_split_keys(rows, sets, percent, tile), "open")
     total = rows.join(sets.select("cid", "n"), "cid").groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
     sizes = total.select("key", F.greatest(F.ceil(F.col("m") / tile), F.ceil(F.col("n") / tile_shingles)).cast("int").alias("tiles"))
     dealt = rows.join(sizes, "key").withColumn("t", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int"))
