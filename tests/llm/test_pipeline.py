@@ -10,7 +10,7 @@ import tiktoken
 import corpus_pipeline
 from ledgerloom.llm import bpe
 
-from .test_near_dedup import brute
+from .test_near_dedup_stage import kept_at
 from .test_pii import base
 
 SF = "/root/testdata/sf0.001"
@@ -57,8 +57,8 @@ def test_stages_equal_brute_force(spark):
     assert now.columns == docs.columns
     want = {d: g for d, t in rows.items() if (g := good_text(t)) is not None}
     assert {r.doc_id: r.text for r in now.collect()} == want
-    # One of each group.
-    keep = [d for d, _, _, kept in brute(sorted(want.items())) if kept]
+    # One of each group linked at 0.8, the similarity of stages.
+    keep = kept_at(sorted(want.items()), 80)
     now = stage["near_dedup"](spark, now, SF).cache()
     assert now.columns == docs.columns
     want = {d: want[d] for d in keep}
