@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from ledgerloom.plans import catalog, more, reports  # noqa: F401  (both add to the catalogue)
 
-HEADLINES = ["slot_matrix", "slot_stats", "monthly_persistence", "discovery_leaders", "account_summary", "probability_matrix", "drawdown", "fifo_round_trips", "asof_close", "account_correlations", "walk_forward", "live_validation", "bootstrap_paths", "snapshots"]
+HEADLINES = ["slot_matrix", "slot_matrix_persistence", "month_walk_forward", "slot_stats", "monthly_persistence", "discovery_leaders", "account_summary", "probability_matrix", "drawdown", "fifo_round_trips", "asof_close", "account_correlations", "walk_forward", "live_validation", "bootstrap_paths", "snapshots"]
 
 
 def main() -> None:
