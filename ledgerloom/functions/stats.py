@@ -56,3 +56,46 @@ def t_p_value(t: Column, df: Column) -> Column:
         return pd.Series([None if pd.isna(x) or pd.isna(d) else t_two_sided(x, d) for x, d in zip(t, df, strict=True)], dtype="float64")
 
     return p(t, df)
+
+
+def _by_row(f, *columns: Column) -> Column:
+    """``f`` of each aggregated row; null where an argument is."""
+
+    @F.pandas_udf("double")
+    def values(frame: pd.DataFrame) -> pd.Series:
+        return pd.Series([None if any(pd.isna(x) for x in row) else f(*row) for row in frame.itertuples(index=False)], dtype="float64")
+
+    return values(F.struct(*[c.cast("double") for c in columns]))
+
+
+def f_p_value(f: Column, d1: Column, d2: Column) -> Column:
+    """Upper p of an F statistic. Runs once per aggregated row."""
+    return _by_row(f_upper, f, d1, d2)
+
+
+def binomial_upper(hits: float, n: float) -> float:
+    """Chance of ``hits`` or more of ``n`` even draws."""
+    return 1.0 if hits <= 0 else beta_cdf(hits, n - hits + 1, 0.5)
+
+
+def binomial_p_value(hits: Column, n: Column) -> Column:
+    """One-sided p of a count of even draws. Runs once per aggregated row."""
+    return _by_row(binomial_upper, hits, n)
+
+
+def t_quantile(level: float, df: float) -> float:
+    """The t that a two-sided interval of ``level`` reaches, by halving."""
+    if not df > 0:
+        return float("nan")
+    lo, hi = 0.0, 1.0
+    while t_two_sided(hi, df) > 1 - level:
+        hi *= 2
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if t_two_sided(mid, df) > 1 - level else (lo, mid)
+    return (lo + hi) / 2
+
+
+def t_reach(level: float, df: Column) -> Column:
+    """Half width, in standard errors, of a mean's interval. Runs once per aggregated row."""
+    return _by_row(lambda d: t_quantile(level, d), df)

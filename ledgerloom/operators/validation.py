@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .simulate import hashed
+
 
 def folds(trades: DataFrame, train_days: int, test_days: int, *, anchored: bool = False) -> DataFrame:
     """fold, train_lo, train_hi, test_lo, test_hi (half-open) over the span of the entries."""
@@ -46,7 +48,7 @@ def live_validation(trades: DataFrame, keys: list[str], split: str) -> DataFrame
 
 def flip(seed: int) -> Column:
     """The sign of a value in a permutation, by hash."""
-    return F.when(F.pmod(F.xxhash64(F.lit(seed), "perm", "id"), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+    return F.when(hashed(F.lit(seed), F.col("perm"), F.col("id")) % 2 == 0, 1.0).otherwise(-1.0)
 
 
 def sign_flip(values: DataFrame, permutations: int = 1000, seed: int = 42) -> DataFrame:

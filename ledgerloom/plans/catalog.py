@@ -389,13 +389,29 @@ def live_validation(spark, d):
     return vd.live_validation(v.daily_trades(spark, d), ["symbol", "slot"], "2000-01-01 00:00:00")
 
 
-@query("sign_flip_test")
+HASH = "('0x' || substr(md5({}), 1, 8))::BIGINT"
+
+
+@query("sign_flip_test", f"""SELECT any_value(seen) AS observed, avg(CASE WHEN abs(m) >= abs(seen) THEN 1.0 ELSE 0.0 END) AS p FROM (
+  SELECT perm, avg(CASE WHEN {HASH.format("'42-' || perm || '-' || id")} % 2 = 0 THEN abs(value) ELSE -abs(value) END) AS m, avg(value) AS seen FROM (
+    SELECT date_diff('day', DATE '2000-01-01', CAST(entry_time AS DATE)) AS id, sum(profit_loss) AS value FROM trades GROUP BY 1), range(1000) r(perm) GROUP BY 1)""", (v.TRADES,), "observed p")
 def sign_flip_test(spark, d):
     days = mk.daily(v.trades(spark, d)).groupBy("date").agg(F.sum("pnl").alias("value"))
     return vd.sign_flip(days.select(F.datediff("date", F.lit("2000-01-01")).cast("long").alias("id"), "value"))
 
 
-@query("bootstrap_paths")
+def paths_sql(sims: int = 1000, steps: int = 100, block: int = 1) -> str:
+    """Bootstrapped paths of each account: mean, sigma, percentiles and chance of loss of the finals, mean worst drop."""
+    w = "OVER (PARTITION BY account_name, sim ORDER BY step ROWS UNBOUNDED PRECEDING)"
+    shares = ", ".join(f"quantile_cont(final, {q / 100}) AS p{q:02d}" for q in (1, 5, 10, 25, 50, 75, 90, 95, 99))
+    turn = HASH.format(f"'42-' || account_name || '-' || sim || '-' || (step // {block})")
+    return f"""SELECT account_name, count(*) AS sims, avg(final) AS mean, stddev_pop(final) AS sigma, {shares}, avg(CASE WHEN final < 0 THEN 1.0 ELSE 0.0 END) AS p_loss, avg(max_drop) AS mean_drop FROM (
+      SELECT account_name, sim, sum(profit_loss) AS final, max(greatest(peak, 0) - equity) AS max_drop FROM (SELECT *, max(equity) {w} AS peak FROM (SELECT *, sum(profit_loss) {w} AS equity FROM (
+        SELECT account_name, sim, step, ({turn} % n + step % {block}) % n AS i FROM (SELECT account_name, count(*) AS n FROM trades GROUP BY 1), range({sims}) s(sim), range({steps}) t(step))
+        JOIN (SELECT account_name, profit_loss, row_number() OVER (PARTITION BY account_name ORDER BY entry_time, trade_id) - 1 AS i FROM trades) USING (account_name, i))) GROUP BY ALL) GROUP BY 1"""
+
+
+@query("bootstrap_paths", paths_sql(), (v.TRADES,), "mean sigma p_loss mean_drop " + " ".join(f"p{q:02d}" for q in (1, 5, 10, 25, 50, 75, 90, 95, 99)))
 def bootstrap_paths(spark, d):
     return sm.bootstrap(v.trades(spark, d))
 
@@ -415,7 +431,13 @@ def welch_tests(spark, d):
     return ts.welch(v.trades(spark, d), "symbol")
 
 
-@query("adjusted_p_values")
+_T_WITHIN = """list_sum([(CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0) - (df + 1) / 2.0 * ln(1 + pow(i * abs(t) / 1000, 2) / df)) for i in range(0, 1001)])
+  * abs(t) / 3000 * 2 / sqrt(df * pi())"""
+
+
+@query("adjusted_p_values", f"""SELECT account_name, slot, n, t, p, least(min(p * m / k) OVER (PARTITION BY account_name ORDER BY k DESC ROWS UNBOUNDED PRECEDING), 1.0) AS q FROM (
+  SELECT *, count(*) OVER (PARTITION BY account_name) AS m, row_number() OVER (PARTITION BY account_name ORDER BY p, slot) AS k FROM (SELECT *, 1 - {_T_WITHIN} AS p FROM (
+    SELECT account_name, slot, n, mean / (sigma / sqrt(n)) AS t, n - 1 AS df FROM (SELECT account_name, slot, count(*) AS n, avg(profit_loss) AS mean, stddev_samp(profit_loss) AS sigma FROM trades GROUP BY ALL) WHERE n >= 2 AND sigma > 0)))""", (v.TRADES,), "t p q")
 def adjusted_p_values(spark, d):
     t = ts.with_p(ts.one_sample_t(v.trades(spark, d), "account_name", "slot"))
     return sr.adjusted_p(t.withColumn("id", F.col("slot")), ["account_name"]).select("account_name", "slot", "n", "t", "p", "q")
