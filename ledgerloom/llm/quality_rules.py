@@ -20,7 +20,7 @@ SYMBOLS = "#*$%&|<>"
 SENTENCE_MARKS = r"[.!?…。！？։؟।:;]"
 #: Separators of menus and bread crumbs.
 MENU_MARKS = "|»›•·"
-#: Phrases of notices that surround texts on the web.
+#: Phrases of notices that surround texts on the web, in English, German, French and Spanish. Fixed values.
 BOILERPLATE = (
     "all rights reserved",
     "cookie policy",
@@ -34,6 +34,22 @@ BOILERPLATE = (
     "click here to",
     "log in to comment",
     "skip to content",
+    "alle rechte vorbehalten",
+    "datenschutzerklärung",
+    "nutzungsbedingungen",
+    "cookie-richtlinie",
+    "zum inhalt springen",
+    "newsletter abonnieren",
+    "tous droits réservés",
+    "politique de confidentialité",
+    "conditions d'utilisation",
+    "mentions légales",
+    "aller au contenu",
+    "todos los derechos reservados",
+    "política de privacidad",
+    "política de cookies",
+    "términos de uso",
+    "aviso legal",
 )
 _WORD = r"[^\x20\x09-\x0D]"
 
@@ -70,11 +86,12 @@ def repeated_window_words(ws: Column) -> Column:
     return let(hashes, lambda t: F.when(F.size(F.array_distinct(t)) == F.size(t), F.lit(0)).otherwise(let(ordered(t), lambda s: covered(starts(s)))))
 
 
-def failing_lines(text: Column, max_symbols: float, max_shouts: float, max_menu: float, fragment_words: int) -> Column:
+def failing_lines(text: Column, max_symbols: float, max_shouts: float, max_menu: float, fragment_words: int, notice_words: int) -> Column:
     """Per line of ``text`` a struct: the line, and whether it fails.
 
     A line fails if it has too many symbols or exclamation marks a word (punctuation), too many menu marks a word or is
-    a short fragment without any sentence mark (navigation), or holds a boilerplate phrase. Blank lines do not fail.
+    a short fragment without any sentence mark (navigation), or holds a boilerplate phrase and is no longer than notices
+    are (prose may speak of a privacy policy). Blank lines do not fail.
     Rules that no line of a text can break are not evaluated line by line.
     """
     marks = "[" + "".join("\\" + c if c in "|$*&" else c for c in dict.fromkeys(SYMBOLS + MENU_MARKS + "!")) + "]"
@@ -87,7 +104,7 @@ def failing_lines(text: Column, max_symbols: float, max_shouts: float, max_menu:
             fails = (
                 F.when(flags["marks"], let(n, lambda k: (k > 0) & marked(k))).otherwise(False)
                 | (~line.rlike(SENTENCE_MARKS) & n.between(1, fragment_words))
-                | F.when(flags["notice"], holds(F.lower(line))).otherwise(False)
+                | F.when(flags["notice"], (n <= notice_words) & holds(F.lower(line))).otherwise(False)
             )
             return F.struct(line.alias("line"), fails.alias("fails"))
 
@@ -107,6 +124,7 @@ def clean_lines(
     max_shouts: float = 0.5,
     max_menu: float = 0.3,
     fragment_words: int = 4,
+    notice_words: int = 30,
 ) -> DataFrame:
     """Judge every document.
 
@@ -132,7 +150,7 @@ def clean_lines(
         ).alias("_w"),
         let(F.filter(F.split(text, "\n"), has_word), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         let(
-            failing_lines(text, max_symbols, max_shouts, max_menu, fragment_words),
+            failing_lines(text, max_symbols, max_shouts, max_menu, fragment_words, notice_words),
             lambda v: F.struct(
                 F.array_join(F.transform(F.filter(v, lambda x: ~x["fails"]), lambda x: x["line"]), "\n").alias("text"),
                 F.aggregate(F.filter(v, lambda x: x["fails"]), F.lit(0).cast("long"), lambda a, x: a + F.regexp_count(x["line"], F.lit(_WORD + "+"))).alias("lost"),
@@ -186,7 +204,7 @@ v AS (
      OR len(s.l) - len(replace(s.l, '!', '')) > 0.5 * s.n + 2
      OR len(s.l) - len(regexp_replace(s.l, '[|»›•·]', '', 'g')) > 0.3 * s.n
      OR (s.n <= 4 AND NOT regexp_matches(s.l, '[.!?…。！？։؟।:;]'))
-     OR regexp_matches(lower(s.l), 'all rights reserved|cookie policy|privacy policy|terms of (?:use|service)|(?:enable|requires) javascript|lorem ipsum|subscribe to our newsletter|click here to|log in to comment|skip to content')
+     OR (s.n <= 30 AND regexp_matches(lower(s.l), 'all rights reserved|cookie policy|privacy policy|terms of (?:use|service)|(?:enable|requires) javascript|lorem ipsum|subscribe to our newsletter|click here to|log in to comment|skip to content|alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|cookie-richtlinie|zum inhalt springen|newsletter abonnieren|tous droits réservés|politique de confidentialité|conditions d''utilisation|mentions légales|aller au contenu|todos los derechos reservados|política de (?:privacidad|cookies)|términos de uso|aviso legal'))
      ) THEN s.n ELSE 0 END)) AS lost
   FROM j),
 g AS (

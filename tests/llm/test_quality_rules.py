@@ -52,3 +52,11 @@ def test_filter_keeps_columns_and_cleans(spark):
     cleaned = {r.doc_id: r.text for r in out.collect()}
     assert cleaned[5] == texts[1] and cleaned[1] == texts[1]
     assert q.quality_digest(df.limit(0)).collect() == []
+
+
+def test_notices_go_and_prose_about_them_stays(spark):
+    notices = ["© 2024 Beispiel. Alle Rechte vorbehalten.", "Tous droits réservés, société Exemple.", "TODOS LOS DERECHOS RESERVADOS.", "See our Privacy Policy."]
+    prose = "The committee asked why the privacy policy of the agency had not been read by anyone, " * 3 + "and nobody could say."
+    text = "\n".join([*VARIED, *notices, prose])
+    got = q.rejected_removed(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.text == "\n".join([*VARIED, prose])
