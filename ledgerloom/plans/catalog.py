@@ -431,12 +431,12 @@ def welch_tests(spark, d):
     return ts.welch(v.trades(spark, d), "symbol")
 
 
-_T_WITHIN = """list_sum([(CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0) - (df + 1) / 2.0 * ln(1 + pow(i * abs(t) / 1000, 2) / df)) for i in range(0, 1001)])
+T_WITHIN = """list_sum([(CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0) - (df + 1) / 2.0 * ln(1 + pow(i * abs(t) / 1000, 2) / df)) for i in range(0, 1001)])
   * abs(t) / 3000 * 2 / sqrt(df * pi())"""
 
 
 @query("adjusted_p_values", f"""SELECT account_name, slot, n, t, p, least(min(p * m / k) OVER (PARTITION BY account_name ORDER BY k DESC ROWS UNBOUNDED PRECEDING), 1.0) AS q FROM (
-  SELECT *, count(*) OVER (PARTITION BY account_name) AS m, row_number() OVER (PARTITION BY account_name ORDER BY p, slot) AS k FROM (SELECT *, 1 - {_T_WITHIN} AS p FROM (
+  SELECT *, count(*) OVER (PARTITION BY account_name) AS m, row_number() OVER (PARTITION BY account_name ORDER BY p, slot) AS k FROM (SELECT *, 1 - {T_WITHIN} AS p FROM (
     SELECT account_name, slot, n, mean / (sigma / sqrt(n)) AS t, n - 1 AS df FROM (SELECT account_name, slot, count(*) AS n, avg(profit_loss) AS mean, stddev_samp(profit_loss) AS sigma FROM trades GROUP BY ALL) WHERE n >= 2 AND sigma > 0)))""", (v.TRADES,), "t p q")
 def adjusted_p_values(spark, d):
     t = ts.with_p(ts.one_sample_t(v.trades(spark, d), "account_name", "slot"))

@@ -12,7 +12,7 @@ from ledgerloom.operators import strategies as st
 from ledgerloom.streaming import monitor as mo
 
 from . import views as v
-from .catalog import BOOKED, DATED, PHI, RUN, _booked, paths_sql, query
+from .catalog import BOOKED, DATED, PHI, RUN, T_WITHIN, _booked, paths_sql, query
 
 DATED["position_ledger"] = "session"
 
@@ -68,7 +68,13 @@ def account_variance(spark, d):
     return sg.one_way(v.trades(spark, d), "account_name", "symbol")
 
 
-@query("mean_intervals")
+_WITHIN = T_WITHIN.replace("abs(t)", "((lo + hi) / 2)")
+
+
+@query("mean_intervals", f"""SELECT account_name, symbol, n, mean, sigma, mean - lo * sigma / sqrt(n) AS low, mean + lo * sigma / sqrt(n) AS high FROM (WITH RECURSIVE halved AS (
+  SELECT account_name, symbol, count(*) AS n, avg(profit_loss) AS mean, stddev_samp(profit_loss) AS sigma, n - 1 AS df, 0.0::DOUBLE AS lo, 16.0::DOUBLE AS hi, 0 AS turn FROM trades GROUP BY ALL HAVING count(*) >= 2 AND stddev_samp(profit_loss) > 0
+  UNION ALL SELECT account_name, symbol, n, mean, sigma, df, CASE WHEN inside < 0.95 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN inside < 0.95 THEN hi ELSE (lo + hi) / 2 END, turn + 1 FROM (SELECT *, {_WITHIN} AS inside FROM halved WHERE turn < 45))
+  SELECT * FROM halved WHERE turn = 45)""", (v.TRADES,), "mean sigma low high")
 def mean_intervals(spark, d):
     return sg.intervals(v.trades(spark, d), "account_name", "symbol")
 
