@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .significance import moments
+from .series import adjusted_p
+from .significance import moments, win_rate_test
 
 #: Fixed weights of the strategies in the vote.
 WEIGHTS = {"statistical": 0.4, "persistence": 0.35, "likelihood": 0.25}
@@ -75,3 +76,12 @@ def foreseen(trades: DataFrame, keys: list[str], cut: str) -> DataFrame:
     chosen = moments(trades.filter(old), *keys).filter("n >= 5 and mean > 0").select(*keys, F.col("mean").alias("expected"))
     after = moments(trades.filter(~old), *keys).select(*keys, "n", "mean")
     return chosen.join(after, keys)
+
+
+def significant(trades: DataFrame, keys: list[str], *, min_trades: int = 30, rate: float = 0.05) -> DataFrame:
+    """Cells with enough trades, the exact one-sided p of their win rate, its false-discovery-rate adjusted value within the account,
+    and ``selected``: adjusted value of ``rate`` at most, half of the trades or more gain, and the mean is above zero."""
+    means = moments(trades, "account_name", *keys).select("account_name", *keys, "mean")
+    tested = win_rate_test(trades, "account_name", *keys).filter(F.col("n") >= min_trades).join(means, ["account_name", *keys])
+    q = adjusted_p(tested.withColumn("id", F.struct(*keys)), ["account_name"]).drop("id")
+    return q.withColumn("selected", (F.col("q") <= rate) & (2 * F.col("wins") >= F.col("n")) & (F.col("mean") > 0))

@@ -168,3 +168,13 @@ def retained_trades(spark, d):
   JOIN (SELECT account_name, symbol, slot, count(*) AS n, avg(profit_loss) AS mean FROM daily WHERE entry_time >= TIMESTAMP '1997-01-01' GROUP BY ALL) USING (account_name, symbol, slot)""", (v.DAILY, BEFORE), "expected mean")
 def frozen_audit(spark, d):
     return st.foreseen(v.daily_trades(spark, d), CELL, "1997-01-01 00:00:00")
+
+
+_BINOMIAL = "list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)) for i in range(wins, n + 1)])"
+
+
+@query("significant_hours", f"""SELECT *, q <= 0.05 AND 2 * wins >= n AND mean > 0 AS selected FROM (SELECT account_name, symbol, hour, n, wins, mean, p, least(min(p * m / k) OVER (PARTITION BY account_name ORDER BY k DESC ROWS UNBOUNDED PRECEDING), 1.0) AS q FROM (
+  SELECT *, count(*) OVER (PARTITION BY account_name) AS m, row_number() OVER (PARTITION BY account_name ORDER BY p, symbol, hour) AS k FROM (SELECT *, CASE WHEN wins = 0 THEN 1.0 ELSE {_BINOMIAL} END AS p FROM (
+    SELECT account_name, symbol, hour, count(*) AS n, count(*) FILTER (profit_loss > 0) AS wins, avg(profit_loss) AS mean FROM trades GROUP BY ALL HAVING count(*) >= 10))))""", (v.TRADES,), "mean p q")
+def significant_hours(spark, d):
+    return st.significant(v.trades(spark, d), ["symbol", "hour"], min_trades=10)
