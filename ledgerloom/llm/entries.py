@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, html_extract, langid, near_dedup, pii, quality_model, quality_rules, repeats, secrets
+from . import bpe, decontam, filter_audit, html_extract, langid, line_dedup, near_dedup, pii, quality_model, quality_rules, repeats, secrets
 from .common import read
 
 
@@ -22,6 +22,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_pii": lambda spark, d: pii.pii_digest(read(spark, d, "documents")),
         "op7_secret_scan": lambda spark, d: secrets.secrets_digest(read(spark, d, "documents")),
         "op8_suffix_repeats": lambda spark, d: repeats.repeats_digest(read(spark, d, "documents")),
+        "op11_filter_audit": lambda spark, d: filter_audit.audit(read(spark, d, "documents"), read(spark, d, "labels")),
+        "op12_line_dedup": lambda spark, d: line_dedup.line_digest(read(spark, d, "documents")),
     }
 
 
@@ -29,4 +31,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_quality_rules": quality_rules.ORACLE,
         "op6_decontamination": decontam.ORACLE,
+        "op11_filter_audit": filter_audit.ORACLE,
+        "op12_line_dedup": line_dedup.ORACLE,
     }
