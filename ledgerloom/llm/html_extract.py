@@ -13,9 +13,12 @@ Pages of one host share a template. Per host:
 4. of every page the blocks stay that fill varying slots inside the region.
 
 Reader comments, notices and adverts inside the region vary as prose does, so alignment cannot tell them: within the region,
-slots that element, role or class name mark as such go. Where the weight gathers outside or
-above the one article or main element of a host (few pages, short texts), that element is the region. A host with one page, or a page without the
-region of its host, has only elements, roles and names to go by (:func:`unwrapped_text`).
+slots that element, role or class name mark as such go. A class name alone is not believed: whole names count, not parts such as
+that of ``has-sidebar``; the page's root, body, main element and outermost articles are never hidden by a name; and a slot is
+hidden by it only if its weight agrees, that is if it is mostly links or at most ``NAMED_SHARE`` of the host's varying text
+(:func:`hidden_by_name`). Where the weight gathers outside or above the one article or main element of a host (few pages, short
+texts), that element is the region. A host with one page, or a page without the region of its host, has only elements, roles and
+names to go by, names again only where the page's own weights agree (:func:`unwrapped_text`).
 
 Runs of siblings with equal element, class and role are one repeating node, so trees stay small and a paragraph more or less
 does not disturb the alignment. Sampling and counting combine on the map side. Wrappers are joined to pages by broadcast
@@ -46,7 +49,8 @@ BLOCKS = frozenset("address article aside blockquote body dd details div dl dt f
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that may be a region of content.
 CONTAINERS = frozenset("html body main article section div td form center".split())
-#: Elements and roles outside the main text, and the words of class and id names that say the same.
+#: Elements and roles outside the main text, and class and id names that say the same: each part of a name is one of NAMES or of
+#: LAYOUT, and one at least of NAMES, so ``cookie-banner`` and ``comment-list`` do and ``has-sidebar`` and ``search-methods`` don't.
 OUTSIDE = frozenset("nav footer aside form dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog menu menubar".split())
 NAMES = frozenset(
@@ -54,6 +58,10 @@ NAMES = frozenset(
     "login masthead menu modal nav navbar navigation newsletter notice pagination popup promo recommended related replies respond "
     "search share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget".split()
 )
+LAYOUT = frozenset("area articles bar block bottom box button buttons container form global group inner item items left link links list main page posts primary right secondary section site slot stories top wrap wrapper".split())
+#: Elements that no name hides, and the share of the varying text up to which a name is believed.
+UNNAMED = frozenset("html body main".split())
+NAMED_SHARE = 0.75
 #: An open element of the key is closed by a new one of these.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -65,7 +73,8 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    """An element, or a run of equal ones. ``outside``: 1 for a page header, 2 for other parts outside the main text."""
+    """An element, or a run of equal ones. ``outside``: 1 for a page header, 2 for other parts outside the main text by element or
+    role, 3 for those by class or id name alone."""
 
     __slots__ = ("children", "key", "name", "outside", "parent", "slot")
 
@@ -93,10 +102,19 @@ def _mark(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
 
 
+def _says_outside(name: str) -> bool:
+    parts = [w for w in _NAME_PARTS.split(name) if w and not w.isdigit()]
+    return any(w in NAMES for w in parts) and all(w in NAMES or w in LAYOUT for w in parts)
+
+
 def _outside(name: str, names: list[str], role: str) -> int:
-    if name in OUTSIDE or role in ROLES or any(w in NAMES for n in names for w in _NAME_PARTS.split(n)):
+    if name in UNNAMED:
+        return 0
+    if name in OUTSIDE or role in ROLES:
         return 2
-    return int(name == "header")
+    if name == "header":
+        return 1
+    return 3 if any(map(_says_outside, names)) else 0
 
 
 def parse(page: str | None) -> tuple[Node, list[Block]]:
@@ -326,6 +344,42 @@ def preorder(root: Node) -> list[Node]:
     return out
 
 
+def hidden(root: Node, own: dict[int, tuple[int, int]]) -> tuple[set[int], set[int]]:
+    """The nodes, by id(), that are outside the main text by element or role, and those that are so by name where weights agree.
+
+    ``own`` has the characters of every node's varying text and how many of them are link text. A form around an article or main
+    element is a container. A name is believed if its node is mostly links or holds at most NAMED_SHARE of the text that is not
+    in links; it never hides an article that is in no other article.
+    """
+    nodes = preorder(root)
+    holds: set[int] = set()  # a main element or an article
+    for n in reversed(nodes):
+        if n.parent is not None and (n.name in ("main", "article") or id(n) in holds):
+            holds.add(id(n.parent))
+    hard: set[int] = set()
+    gone: set[int] = set()  # hard, or below it
+    within: set[int] = set()  # below an article
+    for n in nodes:
+        if n.outside == 2 and not (n.name == "form" and id(n) in holds):
+            hard.add(id(n))
+        if id(n) in hard or id(n.parent) in gone:
+            gone.add(id(n))
+        if n.parent is not None and (n.parent.name == "article" or id(n.parent) in within):
+            within.add(id(n))
+    chars = {id(n): (0, 0) if id(n) in gone else own.get(id(n), (0, 0)) for n in nodes}
+    for n in reversed(nodes[1:]):
+        (a, b), (c, d) = chars[id(n.parent)], chars[id(n)]
+        chars[id(n.parent)] = (a + c, b + d)
+    total = chars[id(root)][0] - chars[id(root)][1]
+    named = set()
+    for n in nodes:
+        if n.outside == 3 and (n.name != "article" or id(n) in within):
+            c, linked = chars[id(n)]
+            if linked > 0.6 * c or c - linked <= NAMED_SHARE * total:
+                named.add(id(n))
+    return hard, named
+
+
 def induce(pages: list[str]) -> str:
     """The skeleton of some pages of a host, as JSON: [place of the parent, key, name, outside] of every node, parents first."""
     base: Node | None = None
@@ -365,13 +419,14 @@ def _tree(rows: list[list]) -> list[Node]:
 
 
 class Wrapper:
-    """A skeleton, and what its slots are: ``region``, ``also`` (headings before it), ``template`` (slots that go)."""
+    """A skeleton, and what its slots are: ``region``, ``also`` (headings before it), ``template`` (slots that go), ``outside``
+    (slots that go by element, role or name)."""
 
     def __init__(self, data: str) -> None:
         read = json.loads(data)
         self.nodes = _tree(read["nodes"])
         self.region: int = read["region"]
-        self.also, self.template = frozenset(read["also"]), frozenset(read["template"])
+        self.also, self.template, self.outside = frozenset(read["also"]), frozenset(read["template"]), frozenset(read["outside"])
 
 
 @lru_cache(32)
@@ -417,11 +472,13 @@ def decide(skeleton: str, tally: list[tuple[int, int, int, bool]], share: float
     """
     rows = json.loads(skeleton)
     nodes = _tree(rows)
-    hidden, own = [False] * len(nodes), [0] * len(nodes)
+    hard, named = hidden(nodes[0], {id(nodes[slot]): (chars, linked) for slot, chars, linked, constant in tally if slot >= 0 and not constant})
+    away = {n.slot for n in nodes if id(n) in hard or id(n) in named}
+    below, own = [False] * len(nodes), [0] * len(nodes)
     for n in nodes[1:]:
-        hidden[n.slot] = hidden[n.parent.slot] or n.outside > 1
+        below[n.slot] = below[n.parent.slot] or n.slot in away
     for slot, chars, linked, _ in tally:
-        if slot >= 0 and not hidden[slot]:
+        if slot >= 0 and not below[slot]:
             own[slot] = chars - linked
     weight = list(own)
     for n in reversed(nodes[1:]):
@@ -432,7 +489,7 @@ def decide(skeleton: str, tally: list[tuple[int, int, int, bool]], share: float
         if best.name not in CONTAINERS or weight[best.slot] < share * weight[at.slot] or not weight[best.slot]:
             break
         at = best
-    marked = [n for n in nodes if n.name in ("main", "article") and not hidden[n.slot]]
+    marked = [n for n in nodes if n.name in ("main", "article") and not below[n.slot]]
     outermost = [n for n in marked if not any(up in marked for up in _ancestors(n)[1:])]
     single = [n for n in outermost if n.name == "main"] or outermost
     if len(single) == 1 and single[0] not in _ancestors(at):
@@ -441,7 +498,7 @@ def decide(skeleton: str, tally: list[tuple[int, int, int, bool]], share: float
     heaviest = max(inside, key=lambda i: (own[i], -i))
     template = {slot for slot, chars, linked, constant in tally if slot != heaviest and (linked > 0.6 * chars or (constant and not (slot >= 0 and nodes[slot].name == "h1")))}
     also = [n.slot for n in nodes[: at.slot] if n.name in HEADINGS and own[n.slot] and n.slot not in template]
-    return json.dumps({"nodes": rows, "region": at.slot, "also": also, "template": sorted(template)})
+    return json.dumps({"nodes": rows, "region": at.slot, "also": also, "template": sorted(template), "outside": sorted(away)})
 
 
 def _ancestors(node: Node) -> list[Node]:
@@ -453,12 +510,24 @@ def _ancestors(node: Node) -> list[Node]:
     return out
 
 
+def _weights(blocks: list[Block]) -> dict[int, tuple[int, int]]:
+    """Characters and link characters of the blocks of every node, by its id()."""
+    own: dict[int, tuple[int, int]] = {}
+    for b in blocks:
+        c, linked = own.get(id(b.node), (0, 0))
+        own[id(b.node)] = (c + len(b.text), linked + min(b.linked, len(b.text)))
+    return own
+
+
 def unwrapped_text(blocks: list[Block]) -> str:
-    """The main text by elements, roles and names alone."""
+    """The main text by elements, roles and names alone; names where this page's weights agree."""
+    if not blocks:
+        return ""
     kept = []
+    hard, named = hidden(_ancestors(blocks[0].node)[-1], _weights(blocks))
     for b in blocks:
         up = _ancestors(b.node)
-        if any(n.outside > 1 for n in up) or (not b.inside and any(n.outside for n in up)):
+        if any(id(n) in hard or id(n) in named for n in up) or (not b.inside and any(n.outside == 1 for n in up)):
             continue
         if not b.inside and not b.heading and b.linked > 0.6 * len(b.text):
             continue
@@ -473,10 +542,12 @@ def main_text(page: str | None, wrapper: Wrapper | None) -> str:
     if wrapper is None:
         return unwrapped_text(blocks)
     slot = slots(tree, wrapper.nodes[0])
+    hard, named = hidden(tree, _weights(blocks))  # for nodes that the skeleton lacks
     state: dict[int, int] = {}  # of every node: 1 in the region, 2 in a part of it that goes, 0 outside
     for node in preorder(tree):
         s, up = slot[id(node)], state[id(node.parent)] if node.parent is not None else 0
-        state[id(node)] = 1 if s == wrapper.region and not up else 2 if up == 2 or (up == 1 and (node.outside > 1 or s in wrapper.template)) else up
+        goes = s in wrapper.template or s in wrapper.outside or (s < 0 and (id(node) in hard or id(node) in named))
+        state[id(node)] = 1 if s == wrapper.region and not up else 2 if up == 2 or (up == 1 and goes) else up
     if not any(state.values()):
         return unwrapped_text(blocks)
     return "\n\n".join(b.text for b in blocks if state[id(b.node)] == 1 or slot[id(b.node)] in wrapper.also)

@@ -122,3 +122,43 @@ def test_constants_are_counted_over_all_pages_of_a_host(spark):
         top = "Shared by a few." if n % 4 == 0 else f"Headline {n}."
         assert got[f"https://big.example.com/{n}"] == f"{top}\n\nStory {n} goes on for a while."
         assert got[f"https://rare.example.com/{n}"] == f"Page {n} is here."
+
+
+def test_class_names_do_not_empty_pages(spark):
+    """Names on the page's own containers, and names of content that hold the words of others, hide nothing."""
+    story = lambda n: "".join(f"<p>Paragraph {k} of story {n} says what {'happened ' * 6}there.</p>" for k in range(5))
+    shapes = {
+        "body": "<body class='has-sidebar'><article>%s</article></body>",
+        "widget": "<body class='page no-widget'><article>%s</article></body>",
+        "bodyname": "<body class='comments'><div id='sidebar'><article>%s</article></div></body>",
+        "main": "<body><main class='with-sidebar search'>%s</main></body>",
+        "article": "<body><article class='post comments-open comments'>%s</article></body>",
+        "methods": "<body><article><section class='search-methods'>%s</section></article></body>",
+        "whole": "<body><div class='search'><div>%s</div></div></body>",
+        "form": "<body><form id='aspnet'><div class='page'><article>%s</article></div></form></body>",
+    }
+    rows, want = [], {}
+    for name, shape in shapes.items():
+        for n in range(6):
+            url = f"https://{name}.example.com/{n}"
+            extra = "<div class='cookie-banner'>We use them.</div><nav><a href=/>Home</a></nav><div class='comment-list'><article class='comment'>So it is, says %d.</article></div>" % n
+            rows.append((url, "<html>" + (shape % story(n)).replace("</body>", extra + "</body>") + "</html>"))
+            want[url] = "\n\n".join(f"Paragraph {k} of story {n} says what {'happened ' * 6}there." for k in range(5))
+        rows.append((f"https://alone-{name}.example.com/", rows[-1][1]))
+        want[rows[-1][0]] = want[url]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    assert {r.url: r.text for r in h.extract(df).collect()} == want
+
+
+def test_notices_and_comments_inside_an_article_go(spark):
+    long = lambda n: f"Sentence one of {n} is here. " * 8
+    rows = [(f"https://in.example.com/{n}", f"<article><p>{long(n).strip()}</p><div class='notice'>Sale until day {n}.</div><div class='comments'><article class='comment'>{long(n + 50)}</article></div></article>") for n in range(5)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    for part in (df, df.limit(1)):
+        assert all(r.text == long(r.page_id).strip() for r in h.extract(part).collect())
+
+
+def test_pages_of_megabytes_are_read_whole(spark):
+    rows = [(n, f"https://big.example.com/{n}", "<body><div class='menu'><a href=/>x</a></div><article>" + "".join(f"<p>Line {i} of page {n}.</p>" for i in range(60_000)) + "</article></body>") for n in range(3)]
+    got = h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text.count("\n\n") for r in got} == dict.fromkeys(range(3), 59_999)
