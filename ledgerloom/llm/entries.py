@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, filter_audit, html_extract, langid, line_dedup, near_dedup, pii, quality_model, quality_rules, repeats, secrets
+from . import bpe, conversations, decontam, filter_audit, html_extract, langid, line_dedup, near_dedup, pii, quality_model, quality_rules, repeats, secrets
 from .common import read
 
 
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_repeats": lambda spark, d: repeats.repeats_digest(read(spark, d, "documents")),
         "op11_filter_audit": lambda spark, d: filter_audit.audit(read(spark, d, "documents"), read(spark, d, "labels")),
         "op12_line_dedup": lambda spark, d: line_dedup.line_digest(read(spark, d, "documents")),
+        "op13_conversation_repair": lambda spark, d: conversations.repair_digest(read(spark, d, "conversations")),
     }
 
 
