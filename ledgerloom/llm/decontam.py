@@ -232,14 +232,16 @@ def decontam_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
-def clean_only(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
+def clean_only(docs: DataFrame, benchmark: DataFrame, size: int = 10, text_col: str = "text") -> DataFrame:
     """Documents (all columns) in which no phrase of the benchmark occurs.
 
-    Only the numbers of rows with hits leave the search. Texts are nulls, empty and repeated as :func:`contaminated` says.
+    Only the numbers of rows with hits leave the search. Texts are nulls, empty and repeated as :func:`contaminated` says. Rows
+    are kept whole as one struct, so columns may have any names.
     """
-    keyed = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    hits = contaminated(keyed, benchmark, size=size, id_col="_row").filter("n_hit > 0").select("doc_id")
-    return keyed.join(hits.select(F.col("doc_id").alias("_hit")), F.col("_row") == F.col("_hit"), "left_anti").drop("_row")
+    keyed = stored(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
+    texts = keyed.select("row", F.col("doc")[text_col].alias("text"))
+    hits = contaminated(texts, benchmark, size=size, id_col="row", text_col="text").filter("n_hit > 0").select(F.col("doc_id").alias("_hit"))
+    return keyed.join(hits, F.col("row") == F.col("_hit"), "left_anti").select(*[F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 ORACLE = r"""

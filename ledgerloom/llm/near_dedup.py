@@ -266,10 +266,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = 85) -> DataFrame:
     """Documents (all columns) without near-duplicates: one row of each component, and every row without words.
 
-    The row with the smallest id stays, nulls last; of equal ids, the first as stored. Ids need not be distinct.
+    The row with the smallest id stays, nulls last; of equal ids, the first as stored. Ids need not be distinct. Rows are kept
+    whole as one struct, so columns may have any names.
     """
-    keyed = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    rows, named = _grouped(keyed, id_col, text_col, "_row", 5, percent, 1024)
+    keyed = stored(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
+    rows, named = _grouped(keyed.select(F.col("doc")[id_col].alias("id"), F.col("doc")[text_col].alias("text"), "row"), "id", "text", "row", 5, percent, 1024)
     first = rows.join(named.select("set_key", "comp"), "set_key").groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
     keep = first.select(F.col("first.row").alias("_kept")).unionByName(rows.filter("n = 0").select(F.col("row").alias("_kept")))
-    return keyed.join(keep, F.col("_row") == F.col("_kept"), "left_semi").drop("_row")
+    return keyed.join(keep, keyed["row"] == F.col("_kept"), "left_semi").select(*[F.col("doc")[c].alias(c) for c in docs.columns])

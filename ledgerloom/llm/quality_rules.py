@@ -181,10 +181,10 @@ def quality_digest(docs: DataFrame) -> DataFrame:
     )
 
 
-def rejected_removed(docs: DataFrame) -> DataFrame:
+def rejected_removed(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """Documents that pass, with the text of the lines that stay; the columns are the input's."""
-    good = clean_lines(docs).filter("kept")
-    return good.select(*[(F.col("clean_text") if f.name == "text" else F.col("row")[f.name]).alias(f.name) for f in docs.schema])
+    good = clean_lines(docs, text_col, **options).filter("kept")
+    return good.select(*[(F.col("clean_text") if f.name == text_col else F.col("row")[f.name]).alias(f.name) for f in docs.schema])
 
 
 #: DuckDB SQL for the query: the same rules, written for that engine.
