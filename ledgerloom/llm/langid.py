@@ -246,7 +246,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """A sample of labelled text per language: at most ``cells`` documents drawn by hash, ``letters`` characters in all.
 
     Rows that are held out, or lack a text or a language, are not used. Each drawn text gives an equal share, from a place
-    set by its hash, so one long text does not fill a sample. An empty table gives no language.
+    set by its hash, so one long text does not fill a sample. Of rows with one id and language one text counts, the share that is
+    least, so the driver gets ``cells`` shares a language however often ids repeat. An empty table gives no language.
     """
     known = docs.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)))
     drawn = labelled_sample(known.select(F.col(id_col).alias("k"), F.col(lang_col).alias("lang")), "k", "lang", cells)
@@ -256,7 +257,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     ids = docs.sparkSession.createDataFrame([(k,) for k in sorted({k for k, _ in drawn})], f"_k {docs.schema[id_col].dataType.simpleString()}")
     start = F.when(F.length(text_col) > share, F.pmod(F.xxhash64(text_col), F.length(text_col) - share + 1)).otherwise(0)
     cut = F.substring(F.col(text_col), start.cast("int") + 1, F.lit(share))
-    rows = known.join(F.broadcast(ids), F.col(id_col) == F.col("_k")).select(F.col(id_col).alias("k"), F.col(lang_col).alias("lang"), cut.alias("t")).distinct().collect()
+    rows = known.join(F.broadcast(ids), F.col(id_col) == F.col("_k")).select(F.col(id_col).alias("k"), F.col(lang_col).alias("lang"), cut.alias("t")).groupBy("k", "lang").agg(F.min("t").alias("t")).collect()
     out: dict[str, str] = {}
     for r in sorted(rows, key=lambda r: (r.lang, str(r.k), r.t)):
         if len(out.get(r.lang, "")) < letters:
