@@ -99,7 +99,7 @@ def line_bitmaps(
     parts = streamed.groupBy(*key).agg(F.sum(F.col("opens").cast("long")).alias("docs"), F.bool_or("spread").alias("spread"), F.min(F.struct("id", "t", "at")).alias("first"))
     total = parts.filter("spread").groupBy("k1", "k2").agg(F.sum("docs").alias("all_docs"), F.min("first").alias("first"))
     judged = counted.join(F.broadcast(total), ["k1", "k2"], "left")
-    goes = F.coalesce("all_docs", "docs") >= min_docs
+    goes = F.when(F.col("spread"), F.col("all_docs")).otherwise(F.col("docs")) >= min_docs  # by the flag, so that both reads deal the same columns and share one shuffle
     if keep_first:
         goes = goes & F.when(F.col("spread"), ~F.struct("id", "t", "at").eqNullSafe(F.col("first"))).otherwise(F.col("nth") > 1)
     runs = judged.filter(goes).groupBy("id", "t").agg(_runs(F.sort_array(F.collect_set("at"))).alias("dropped"))
