@@ -13,7 +13,7 @@ from math import factorial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, stored
 from .quality_rules import words
 
 #: What is counted of every mask: documents, good ones, toxic ones.
@@ -34,8 +34,8 @@ def masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """Every document's failures as one row: ``row`` (a struct of the input's other columns and the id) and ``mask``.
 
     Bits 0 to 3 are A to D of :func:`failures`; bit 4 is E: the same text as a document with a smaller id. Texts meet by their
-    sha256 only. The smallest id of each text comes from a minimum that combines before the shuffle, and rows meet it in an
-    equality join, whose large keys Spark can split. A null id is smaller than none and has none smaller; rows that repeat with
+    sha256 only. The smallest id of each text comes from a minimum that combines before the shuffle and is stored, so rows meet it
+    in a join of two plain tables, whose large keys Spark can split. A null id is smaller than none and has none smaller; rows that repeat with
     one id do not fail E by each other. Null texts count as empty.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -45,7 +45,7 @@ def masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     whole = docs.select(F.struct(*[F.col(c) for c in others]).alias("row"), F.col(id_col).alias("_id"), text.alias("_t")).withColumn("_counts", counts)
     bits = [F.when(f, 1 << i).otherwise(0) for i, f in enumerate(failures(F.col("_t"), F.col("_counts")).values())]
     rows = whole.select("row", "_id", F.unhex(F.sha2("_t", 256)).alias("_text"), (bits[0] + bits[1] + bits[2] + bits[3]).alias("_four"))
-    first = docs.filter(F.col(id_col).isNotNull()).groupBy(F.unhex(F.sha2(text, 256)).alias("_text")).agg(F.min(id_col).alias("_first"))
+    first = stored(docs.filter(F.col(id_col).isNotNull()).groupBy(F.unhex(F.sha2(text, 256)).alias("_text")).agg(F.min(id_col).alias("_first")), "first-ids")
     late = F.coalesce(F.col("_id") > F.col("_first"), F.lit(False))
     return rows.join(first, "_text", "left").select("row", (F.col("_four") + F.when(late, 16).otherwise(0)).cast("int").alias("mask"))
 
@@ -97,7 +97,7 @@ def audit(docs: DataFrame, labels: DataFrame, part_col: str = "source", id_col:
     neither. An empty table has no part, so no rows. Columns of any names may stand beside those used.
     """
     names, n = "ABCDE", 5
-    said = labels.groupBy(F.col("doc_id").alias("_labelled")).agg(F.bool_or(F.col("quality") == 1).alias("good"), F.bool_or(F.col("toxic") == 1).alias("toxic"))
+    said = stored(labels.groupBy(F.col("doc_id").alias("_labelled")).agg(F.bool_or(F.col("quality") == 1).alias("good"), F.bool_or(F.col("toxic") == 1).alias("toxic")), "labelled")
     flat = masks(docs, id_col).select(F.coalesce(F.col("row")[part_col].cast("string"), F.lit("")).alias("part"), F.col("row")[id_col].alias("_id"), "mask")
     masked = flat.join(said, F.col("_id") == F.col("_labelled"), "left")
     counted = mask_counts(masked, n, "part")
