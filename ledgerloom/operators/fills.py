@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import running
+
 BOOK = ["account", "symbol", "session"]
 
 
@@ -40,10 +42,9 @@ def fifo(fills: DataFrame) -> DataFrame:
     Within a session the k-th lot bought meets the k-th lot sold, since an open queue never holds both sides. So both sides
     are laid out as intervals of cumulative lots, and overlapping intervals are trades: the overlap is the quantity, the
     earlier fill the entry. The session is part of the join key, and lots are binned, so no pair that cannot overlap is
-    tried.
+    tried. Cumulative lots are a scan over the hours of a book, so no book is one task.
     """
-    total = F.sum("quantity").over(Window.partitionBy(*BOOK, "side").orderBy("ts", "fill_id").rowsBetween(Window.unboundedPreceding, 0))
-    laid = fills.withColumn("hi", total).withColumn("lo", F.col("hi") - F.col("quantity"))
+    laid = running(fills, [*BOOK, "side"], ["ts", "fill_id"], F.date_trunc("hour", "ts"), {"hi": F.col("quantity").cast("long")}).withColumn("lo", F.col("hi") - F.col("quantity"))
     width = 64
     binned = laid.withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
     side = lambda s, p: binned.filter(F.col("side") == s).select(*BOOK, "bin", *[F.col(c).alias(p + c) for c in ("lo", "hi", "ts", "price", "fill_id")])

@@ -1,4 +1,4 @@
-"""Positions with average prices, as window sums: no fill is handled one after another in Python."""
+"""Positions with average prices, as scans: no fill is handled one after another in Python."""
 
 from __future__ import annotations
 
@@ -6,32 +6,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .fills import BOOK
+from .scans import affine, running
 
 
 def ledger(fills: DataFrame) -> DataFrame:
     """Position, average price and realised points after every fill of a book (account, symbol, session).
 
-    Adding to a position changes its cost by price times lots; reducing it scales the cost by the share that is left. So within a
-    run (from flat, or from a change of side, to the next) the cost is a running sum divided by a running product, both of them
-    windows. A fill that turns the position over closes the old run and opens the new one with what is left of it. The average
-    price of a flat position is null.
+    Adding to a position changes its cost by price times lots; reducing it scales the cost by the share that is left; a fill that
+    opens, or turns the position over, starts a new cost with what is left of it. So a fill is an affine map of the cost, and
+    positions and costs are scans over the hours of a book. The average price of a flat position is null.
     """
-    order = Window.partitionBy(*BOOK).orderBy("ts", "fill_id")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    hour = F.date_trunc("hour", F.col("ts"))
+    order = ["ts", "fill_id"]
     q, pos, prev = F.col("q"), F.col("position"), F.col("prev")
     run = fills.withColumn("q", F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity")).cast("long"))
-    run = run.withColumn("position", F.sum("q").over(upto)).withColumn("prev", pos - q)
+    run = running(run, BOOK, order, hour, {"position": q}).withColumn("prev", pos - q)
     opens = (prev == 0) | (F.signum(prev) * F.signum(pos) < 0)
-    run = run.withColumn("opens", opens).withColumn("run", F.sum(F.col("opens").cast("int")).over(upto))
-    grows = F.col("opens") | (F.abs(pos) > F.abs(prev))
-    added = F.when(F.col("opens"), F.abs(pos)).when(grows, F.abs(q)).otherwise(0) * F.col("price")
-    left = F.when(~grows & (pos != 0), F.log(F.abs(pos) / F.abs(prev))).otherwise(0.0)
-    within = Window.partitionBy(*BOOK, "run").orderBy("ts", "fill_id").rowsBetween(Window.unboundedPreceding, 0)
-    run = run.withColumn("left", F.sum(left).over(within)).withColumn("added", added)
-    run = run.withColumn("cost", F.exp("left") * F.sum(F.col("added") * F.exp(-F.col("left"))).over(within))
-    run = run.withColumn("average_price", F.when(pos != 0, F.col("cost") / F.abs(pos)))
+    grows = opens | (F.abs(pos) > F.abs(prev))
+    scale = F.when(opens | (pos == 0), 0.0).when(grows, 1.0).otherwise(F.abs(pos) / F.nullif(F.abs(prev), F.lit(0)))
+    added = F.when(opens, F.abs(pos)).when(grows, F.abs(q)).otherwise(0) * F.col("price")
+    run = affine(run, BOOK, order, hour, scale, added).withColumnRenamed("value", "cost")
+    run = run.withColumn("average_price", F.col("cost") / F.nullif(F.abs(pos), F.lit(0)))
     closed = F.when(F.signum(prev) * F.signum(q) < 0, F.least(F.abs(q), F.abs(prev))).otherwise(0)
-    realised = F.coalesce(closed * (F.col("price") - F.lag("average_price").over(order)) * F.signum(prev), F.lit(0.0))
+    realised = F.coalesce(closed * (F.col("price") - F.col("value_before") / F.nullif(F.abs(prev), F.lit(0))) * F.signum(prev), F.lit(0.0))
     return run.withColumn("realised", realised).select("fill_id", *BOOK, "position", "average_price", "realised")
 
 

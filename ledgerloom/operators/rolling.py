@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
 from .series import BY_TRADE
 
 
@@ -24,10 +25,10 @@ def rolling(trades: DataFrame, width: int, *keys: str) -> DataFrame:
 
 
 def cumulative(trades: DataFrame, *keys: str) -> DataFrame:
-    """Running profit, wins, win rate and drop from the running peak."""
-    w = Window.partitionBy(*keys).orderBy(*BY_TRADE).rowsBetween(Window.unboundedPreceding, 0)
-    base = trades.withColumns({"cum_pnl": F.sum(_pnl()).over(w), "cum_wins": F.sum((_pnl() > 0).cast("long")).over(w), "nth": F.count("*").over(w)})
-    return base.withColumn("cum_rate", F.col("cum_wins") / F.col("nth")).withColumn("cum_drop", F.max("cum_pnl").over(w) - F.col("cum_pnl"))
+    """Running profit, wins, win rate and drop from the running peak, by a scan over days."""
+    sums = {"cum_pnl": _pnl(), "cum_wins": (_pnl() > 0).cast("long"), "nth": F.lit(1).cast("long")}
+    run = scans.running(trades, list(keys), BY_TRADE, F.to_date("entry_time"), sums, {"_peak": "cum_pnl"})
+    return run.withColumn("cum_rate", F.col("cum_wins") / F.col("nth")).withColumn("cum_drop", F.col("_peak") - F.col("cum_pnl")).drop("_peak")
 
 
 def bands(trades: DataFrame, width: int, *keys: str) -> DataFrame:
@@ -54,8 +55,7 @@ def bin_metrics(trades: DataFrame, keys: list[str], rate: float = 0.0) -> DataFr
 
     Here the peak begins at the first value, so a first loss is no drop; sortino takes the sample sigma of losses.
     """
-    w = Window.partitionBy(*keys).orderBy(*BY_TRADE).rowsBetween(Window.unboundedPreceding, 0)
-    run = trades.withColumn("_e", F.sum(_pnl()).over(w)).withColumn("_d", F.max("_e").over(w) - F.col("_e"))
+    run = scans.running(trades, keys, BY_TRADE, F.to_date("entry_time"), {"_e": _pnl()}, {"_t": "_e"}).withColumn("_d", F.col("_t") - F.col("_e"))
     mean, sigma, loss = F.avg(_pnl()), F.stddev_samp(_pnl()), F.stddev_samp(F.when(_pnl() < 0, _pnl()))
     year = math.sqrt(252)
     return run.groupBy(*keys).agg(
@@ -72,10 +72,9 @@ def bin_metrics(trades: DataFrame, keys: list[str], rate: float = 0.0) -> DataFr
 
 def capital_curve(trades: DataFrame, capital: float, commission: float, *keys: str) -> DataFrame:
     """Equity after every trade from ``capital``, and the drop as a share of its peak, which begins at ``capital``."""
-    w = Window.partitionBy(*keys).orderBy(*BY_TRADE).rowsBetween(Window.unboundedPreceding, 0)
-    e = trades.withColumn("equity", capital + F.sum(_pnl() - commission).over(w))
-    peak = F.greatest(F.max("equity").over(w), F.lit(capital))
-    return e.withColumn("drop_share", (peak - F.col("equity")) / peak)
+    e = scans.running(trades, list(keys), BY_TRADE, F.to_date("entry_time"), {"equity": _pnl() - commission}, {"_top": "equity"})
+    peak = capital + F.greatest("_top", F.lit(0.0))
+    return e.withColumn("drop_share", (peak - capital - F.col("equity")) / peak).withColumn("equity", capital + F.col("equity")).drop("_top")
 
 
 def anomalies(snaps: DataFrame, *keys: str, width: int = 20, least: int = 10, z: float = 3.0, losses: int = 5) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
+
+
 def _pnl() -> Column:
     return F.col("profit_loss")
 
@@ -15,11 +18,14 @@ def _upto(*keys: str):
     return Window.partitionBy(*keys).orderBy(*BY_TRADE).rowsBetween(Window.unboundedPreceding, 0)
 
 
+def _day(at: str = "entry_time") -> Column:
+    return F.to_date(at)
+
+
 def drawdown(trades: DataFrame, *keys: str, floor: bool = True) -> DataFrame:
-    """Running equity, its peak (from zero if ``floor``) and the drop from it."""
-    equity = trades.withColumn("equity", F.sum(_pnl()).over(_upto(*keys)))
-    peak = F.max("equity").over(_upto(*keys))
-    return equity.withColumn("peak", F.greatest(peak, F.lit(0.0)) if floor else peak).withColumn("drawdown", F.col("peak") - F.col("equity"))
+    """Running equity, its peak (from zero if ``floor``) and the drop from it. A series is scanned by days."""
+    run = scans.running(trades, list(keys), BY_TRADE, _day(), {"equity": _pnl()}, {"peak": "equity"})
+    return run.withColumn("peak", F.greatest("peak", F.lit(0.0)) if floor else F.col("peak")).withColumn("drawdown", F.col("peak") - F.col("equity"))
 
 
 def drawdown_periods(trades: DataFrame, *keys: str) -> DataFrame:
@@ -33,11 +39,22 @@ def drawdown_periods(trades: DataFrame, *keys: str) -> DataFrame:
     return under.groupBy(*keys, "island").agg(F.min("entry_time").alias("start"), F.max("drawdown").alias("depth"), F.count("*").alias("n"), (~F.bool_or("open")).alias("recovered"))
 
 
+def rolling_drops(trades: DataFrame, days: int, *keys: str, least: int = 2) -> DataFrame:
+    """For every trade with ``least`` trades or more in the ``days`` up to its exit: their number and profit, sharpe (times the root
+    of 252), and the deepest drop within them from a peak that begins at zero. Trades are taken by exit, then id; those with one
+    exit time come in up to this one."""
+    run = scans.rolling_stretch(trades, days, list(keys), F.col("exit_time"), "trade_id", _pnl())
+    n, s, q = (F.col(f"stretch.{c}") for c in "nsq")
+    sigma = F.sqrt(F.greatest((q - s * s / n) / F.nullif(n - 1, F.lit(0)), F.lit(0.0)))
+    out = run.filter(n >= least).withColumns({"n_window": n, "pnl_window": s, "sharpe_window": s / n / F.when(sigma > 1e-9, sigma) * F.sqrt(F.lit(252.0)), "drop_window": F.col("stretch.drop")})
+    return out.drop("stretch")
+
+
 def rolling_days(trades: DataFrame, days: int, *keys: str) -> DataFrame:
-    """Trades and profit of the ``days`` before and including each exit time."""
-    at = F.unix_micros(F.col("exit_time").cast("timestamp"))
-    w = Window.partitionBy(*keys).orderBy(at).rangeBetween(-days * 86_400_000_000, 0)
-    return trades.withColumns({"n_window": F.count("*").over(w), "pnl_window": F.sum(_pnl()).over(w)})
+    """Trades and profit of the ``days`` before and including each exit time, with all of that time."""
+    run = rolling_drops(trades, days, *keys, least=1).drop("sharpe_window", "drop_window")
+    same = Window.partitionBy(*keys, "exit_time").orderBy("trade_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return run.withColumns({"n_window": F.last("n_window").over(same), "pnl_window": F.last("pnl_window").over(same)})
 
 
 def streaks(trades: DataFrame, *keys: str) -> DataFrame:

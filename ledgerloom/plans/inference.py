@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import positions as po
 from ledgerloom.operators import ranks as rk
+from ledgerloom.operators import series as sr
 from ledgerloom.operators import significance as sg
 from ledgerloom.operators import simulate as sm
 from ledgerloom.operators import strategies as st
@@ -103,17 +104,29 @@ def block_paths(spark, d):
     return sm.bootstrap(v.trades(spark, d), block=5)
 
 
-@query("position_ledger", """SELECT fill_id, account, symbol, session, position, average_price, coalesce(least(abs(q), abs(prev)) * (price - lag(average_price) OVER (PARTITION BY account, symbol, session ORDER BY ts, fill_id)) * sign(prev), 0) * (sign(prev) * sign(q) < 0)::INTEGER AS realised FROM (
-  SELECT *, CASE WHEN position <> 0 THEN exp(lefts) * sum(added * exp(-lefts)) OVER w / abs(position) END AS average_price FROM (
-    SELECT *, sum(CASE WHEN NOT grows AND position <> 0 THEN ln(abs(position) / abs(prev)) ELSE 0 END) OVER w AS lefts, (CASE WHEN opens THEN abs(position) WHEN grows THEN abs(q) ELSE 0 END) * price AS added FROM (
-      SELECT *, opens OR abs(position) > abs(prev) AS grows, sum(opens::INTEGER) OVER (PARTITION BY account, symbol, session ORDER BY ts, fill_id ROWS UNBOUNDED PRECEDING) AS run FROM (
-        SELECT *, pos::BIGINT AS position, (pos - q)::BIGINT AS prev, prev = 0 OR sign(prev) * sign(position) < 0 AS opens FROM run))
-    WINDOW w AS (PARTITION BY account, symbol, session, run ORDER BY ts, fill_id ROWS UNBOUNDED PRECEDING))
-  WINDOW w AS (PARTITION BY account, symbol, session, run ORDER BY ts, fill_id ROWS UNBOUNDED PRECEDING))""", (v.FILLS, BOOKED, RUN), "average_price realised")
+@query("position_ledger", """WITH RECURSIVE n AS (SELECT fill_id, account, symbol, session, price, CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END AS q, row_number() OVER (PARTITION BY account, symbol, session ORDER BY ts, fill_id) AS k FROM clean),
+  walk AS (
+    SELECT account, symbol, session, 0::BIGINT AS k, NULL::BIGINT AS fill_id, 0::BIGINT AS position, NULL::DOUBLE AS average_price, 0.0::DOUBLE AS realised FROM (SELECT DISTINCT account, symbol, session FROM n)
+    UNION ALL
+    SELECT n.account, n.symbol, n.session, n.k, n.fill_id, w.position + n.q,
+      CASE WHEN w.position + n.q = 0 THEN NULL WHEN w.position = 0 THEN n.price WHEN sign(w.position) = sign(n.q) THEN (w.average_price * abs(w.position) + n.price * abs(n.q)) / (abs(w.position) + abs(n.q)) WHEN sign(w.position + n.q) = sign(w.position) THEN w.average_price ELSE n.price END,
+      CASE WHEN sign(w.position) * sign(n.q) < 0 THEN least(abs(n.q), abs(w.position)) * (n.price - w.average_price) * sign(w.position) ELSE 0.0 END
+    FROM walk w JOIN n ON n.account = w.account AND n.symbol = w.symbol AND n.session = w.session AND n.k = w.k + 1)
+  SELECT fill_id, account, symbol, session, position, average_price, realised FROM walk WHERE k > 0""", (v.FILLS, BOOKED), "average_price realised")
 def position_ledger(spark, d):
     return po.ledger(_booked(spark, d))
 
 
+@query("rolling_drops", """SELECT trade_id, account_name, n_window, pnl_window, CASE WHEN sigma > 1e-9 THEN pnl_window / n_window / sigma * sqrt(252) END AS sharpe_window, drop_window FROM (
+  SELECT trade_id, account_name, count(*) AS n_window, sum(p) AS pnl_window, stddev_samp(p) AS sigma, max(greatest(top, 0) - e) AS drop_window FROM (
+    SELECT *, max(e) OVER (PARTITION BY trade_id ORDER BY x, i) AS top FROM (
+      SELECT t.trade_id, t.account_name, u.profit_loss AS p, u.exit_time AS x, u.trade_id AS i, sum(u.profit_loss) OVER (PARTITION BY t.trade_id ORDER BY u.exit_time, u.trade_id) AS e
+      FROM trades t JOIN trades u ON u.account_name = t.account_name AND u.exit_time >= t.exit_time - INTERVAL 3 DAY AND (u.exit_time < t.exit_time OR (u.exit_time = t.exit_time AND u.trade_id <= t.trade_id))))
+  GROUP BY ALL HAVING count(*) >= 2)""", (v.TRADES,), "pnl_window sharpe_window drop_window")
+def rolling_drops(spark, d):
+    return sr.rolling_drops(v.trades(spark, d), 3, "account_name").select("trade_id", "account_name", "n_window", "pnl_window", "sharpe_window", "drop_window")
+
+
 @query("fills_across_files", """SELECT file, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY account, symbol, side, quantity, price, note, round_even(epoch_us(ts) / 1e6 * 2, 0) ORDER BY file, ts, fill_id) AS r FROM copies) WHERE r = 1 GROUP BY 1""",
   (v.FILLS, "copies AS (SELECT *, 'log' || (fill_id % 3) AS file FROM fills UNION ALL SELECT *, 'log' || (fill_id % 5) AS file FROM fills WHERE fill_id % 2 = 0)"))
 def fills_across_files(spark, d):
