@@ -8,7 +8,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from ledgerloom.plans import catalog, inference, more, reports  # noqa: F401  (all add to the catalogue)
+from ledgerloom.plans import catalog, further, inference, more, reports  # noqa: F401  (all add to the catalogue)
 
 HEADLINES = ["slot_matrix", "slot_matrix_persistence", "month_walk_forward", "slot_stats", "monthly_persistence", "discovery_leaders", "account_summary", "probability_matrix", "drawdown", "fifo_round_trips", "asof_close", "account_correlations", "walk_forward", "live_validation", "bootstrap_paths", "snapshots"]
 

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from ledgerloom.plans import catalog, inference, more, reports  # noqa: F401  (all add to the catalogue)
+from ledgerloom.plans import catalog, further, inference, more, reports  # noqa: F401  (all add to the catalogue)
 
 SF = "/root/testdata/sf0.001"
 
