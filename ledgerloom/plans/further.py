@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.gammas import normal_quantile_sql
 from ledgerloom.operators import audit as au
 from ledgerloom.operators import ensemble as en
+from ledgerloom.operators import fits as ft
+from ledgerloom.operators import scenarios as sc
+from ledgerloom.operators import series as sr
 
 from . import views as v
-from .catalog import DATED, query
+from .catalog import HASH, PHI, query
 
 _SIDES = """l AS (SELECT fill_id AS id, account, side, ts, price FROM fills WHERE fill_id % 2 = 0), r AS (SELECT fill_id AS id, account, side, ts, price FROM fills WHERE fill_id % 2 = 1)"""
 _PAIRS = """pairs AS (SELECT l.account, l.id AS l_id, r.id AS r_id, abs(epoch(l.ts) - epoch(r.ts)) AS gap, abs(l.price - r.price) AS apart,
@@ -86,3 +90,107 @@ def sticky_picks(spark, d):
   (v.DAILY, ORDER_INDEX), "total win_rate sharpe")
 def sticky_walk_forward(spark, d):
     return en.sticky_walk_forward(v.daily_trades(spark, d), ["symbol", "slot"], order_index(spark, d), min_win_rate=40.0)
+
+
+VALS = "vals AS (SELECT account_name AS key, profit_loss AS x, count(*) AS c FROM trades GROUP BY ALL), mo AS (SELECT key, n, mean, sum(c * pow(x - mean, 2)) / n AS variance FROM (SELECT *, sum(c) OVER (PARTITION BY key) AS n, sum(c * x) OVER (PARTITION BY key) / sum(c) OVER (PARTITION BY key) AS mean FROM vals) GROUP BY key, n, mean)"
+_HALF = "(0.5 * ln(2 * pi()))"
+_EM = """em AS (
+    SELECT 0 AS it, key, n, variance, 0.5::DOUBLE AS w, mean - sqrt(variance) AS m1, variance AS v1, mean + sqrt(variance) AS m2, variance AS v2 FROM mo
+    UNION ALL
+    SELECT it + 1, key, n, variance, least(greatest(r0 / n, 1e-9), 1 - 1e-9), r1 / r0, greatest(r2 / r0 - pow(r1 / r0, 2), variance * 1e-6), q1 / q0, greatest(q2 / q0 - pow(q1 / q0, 2), variance * 1e-6) FROM (
+      SELECT it, key, n, variance, sum(c * r) AS r0, sum(c * r * x) AS r1, sum(c * r * x * x) AS r2, sum(c * (1 - r)) AS q0, sum(c * (1 - r) * x) AS q1, sum(c * (1 - r) * x * x) AS q2 FROM (
+        SELECT em.*, x, c, 1 / (1 + exp(least(greatest(ln(1 - w) - 0.5 * ln(v2) - pow(x - m2, 2) / (2 * v2) - ln(w) + 0.5 * ln(v1) + pow(x - m1, 2) / (2 * v1), -700), 700))) AS r FROM em JOIN vals USING (key) WHERE it < 10) GROUP BY ALL))"""
+
+
+# Ten steps of expectation-maximisation; the SQL takes them one after another by recursion.
+@query("mixture_fits", f"""WITH RECURSIVE {_EM} SELECT key, n, w, m1, v1, m2, v2, sum(c * (greatest(a, b) + ln(exp(a - greatest(a, b)) + exp(b - greatest(a, b))))) AS log_likelihood FROM (
+  SELECT em.*, c, ln(w) - {_HALF} - 0.5 * ln(v1) - pow(x - m1, 2) / (2 * v1) AS a, ln(1 - w) - {_HALF} - 0.5 * ln(v2) - pow(x - m2, 2) / (2 * v2) AS b FROM em JOIN vals USING (key) WHERE it = 10) GROUP BY ALL""",
+  (v.TRADES, VALS), "w m1 v1 m2 v2 log_likelihood")
+def mixture_fits(spark, d):
+    return ft.mixtures(ft.valued(v.trades(spark, d), "account_name", "profit_loss"), 10).withColumn("n", F.col("n").cast("long"))
+
+
+_SUMMARY = "SELECT key, count(*) AS sims, avg(final) AS mean, stddev_samp(final) AS sigma, quantile_cont(final, 0.05) AS p05, quantile_cont(final, 0.5) AS p50, quantile_cont(final, 0.95) AS p95, avg(CASE WHEN final < 0 THEN 1.0 ELSE 0.0 END) AS p_loss"
+
+
+def _u(text: str) -> str:
+    """A uniform draw, as :func:`ledgerloom.operators.scenarios.uniform` makes it."""
+    return f"(({HASH.format(text)} + 0.5) / 4294967296.0)"
+
+
+@query("mixture_scenarios", f"""WITH RECURSIVE {_EM} {_SUMMARY} FROM (SELECT key, sim, sum(CASE WHEN part < w THEN m1 + sqrt(v1) * z ELSE m2 + sqrt(v2) * z END) AS final FROM (
+  SELECT *, {normal_quantile_sql('u')} AS z FROM (SELECT em.*, sim, step, {_u("'42-' || key || '-' || sim || '-' || step || '-z'")} AS u, {_u("'42-' || key || '-' || sim || '-' || step || '-part'")} AS part FROM em, range(200) a(sim), range(50) b(step) WHERE it = 10)) GROUP BY ALL) GROUP BY key""",
+  (v.TRADES, VALS), "mean sigma p05 p50 p95 p_loss")
+def mixture_scenarios(spark, d):
+    return sc.finals_summary(sc.mixture_paths(ft.mixtures(ft.valued(v.trades(spark, d), "account_name", "profit_loss"), 10), 200, 50))
+
+
+_CHOLESKY = """days AS (SELECT CAST(entry_time AS DATE) AS date, """ + ", ".join(f"coalesce(sum(profit_loss) FILTER (account_name = 'ACC_{i}'), 0) AS p{i}" for i in range(4)) + """ FROM trades GROUP BY 1),
+  r AS (SELECT """ + ", ".join(f"corr(p{i}, p{j}) AS r{i}{j}" for i in range(4) for j in range(i)) + ", " + ", ".join(f"avg(p{i}) AS m{i}, stddev_samp(p{i}) AS s{i}" for i in range(4)) + """ FROM days),
+  l1 AS (SELECT *, sqrt(1 - r10 * r10) AS l11 FROM r), l2 AS (SELECT *, (r21 - r20 * r10) / l11 AS l21, (r31 - r30 * r10) / l11 AS l31 FROM l1),
+  l3 AS (SELECT *, sqrt(1 - r20 * r20 - l21 * l21) AS l22 FROM l2), l4 AS (SELECT *, (r32 - r30 * r20 - l31 * l21) / l22 AS l32 FROM l3), l5 AS (SELECT *, sqrt(1 - r30 * r30 - l31 * l31 - l32 * l32) AS l33 FROM l4),
+  z AS (SELECT sim, day, """ + ", ".join(f"max(z) FILTER (a = {i}) AS z{i}" for i in range(4)) + f""" FROM (SELECT *, {normal_quantile_sql('u')} AS z FROM (SELECT sim, day, a, {_u("'42-ACC_' || a || '-' || sim || '-' || day")} AS u FROM range(100) x(sim), range(20) y(day), range(4) t(a))) GROUP BY ALL)"""
+
+
+@query("correlated_scenarios", """SELECT sim, day, 'ACC_' || a AS account_name, CASE a WHEN 0 THEN m0 + s0 * z0 WHEN 1 THEN m1 + s1 * (r10 * z0 + l11 * z1) WHEN 2 THEN m2 + s2 * (r20 * z0 + l21 * z1 + l22 * z2) ELSE m3 + s3 * (r30 * z0 + l31 * z1 + l32 * z2 + l33 * z3) END AS pnl
+  FROM z, l5, range(4) t(a)""", (v.TRADES, _CHOLESKY), "pnl")
+def correlated_scenarios(spark, d):
+    return sc.correlated(v.trades(spark, d), 100, 20)
+
+
+_DAYS = "rg AS (SELECT date, CASE WHEN close < 15 THEN 'Low' WHEN close <= 25 THEN 'Medium' ELSE 'High' END AS regime FROM market), br AS (SELECT account_name AS key, regime, avg(profit_loss) AS mean, stddev_samp(profit_loss) AS sigma FROM trades JOIN rg ON CAST(entry_time AS DATE) = date GROUP BY ALL)"
+_MOVES = "mv AS (SELECT regime, list({'to_regime': to_regime, 'cum': cum} ORDER BY to_regime) AS moves FROM (SELECT regime, to_regime, sum(share) OVER (PARTITION BY regime ORDER BY to_regime) AS cum FROM (SELECT regime, to_regime, n / sum(n) OVER (PARTITION BY regime) AS share FROM (SELECT regime, to_regime, count(*) AS n FROM (SELECT regime, lead(regime) OVER (ORDER BY date) AS to_regime FROM rg) WHERE to_regime IS NOT NULL GROUP BY ALL))) GROUP BY 1)"
+
+
+@query("regime_scenarios", f"""WITH RECURSIVE st AS (
+    SELECT sim, -1::BIGINT AS step, 'Medium' AS regime FROM range(100) t(sim)
+    UNION ALL
+    SELECT sim, step + 1, coalesce(list_filter(moves, lambda x: u < x.cum)[1].to_regime, moves[-1].to_regime, regime) FROM (SELECT st.*, moves, {_u("'42-regime-' || sim || '-' || (step + 1)")} AS u FROM st LEFT JOIN mv USING (regime) WHERE step < 29))
+  {_SUMMARY} FROM (SELECT key, sim, sum(mean + coalesce(sigma, 0) * z) AS final FROM (SELECT *, {normal_quantile_sql('u')} AS z FROM (SELECT br.*, sim, step, {_u("'42-' || key || '-' || sim || '-' || step")} AS u FROM st JOIN br USING (regime) WHERE step >= 0)) GROUP BY ALL) GROUP BY key""",
+  (v.TRADES, v.MARKET, _DAYS, _MOVES), "mean sigma p05 p50 p95 p_loss")
+def regime_scenarios(spark, d):
+    market = sr.regimes(v.market(spark, d)).select("date", "regime")
+    by = v.trades(spark, d).withColumn("date", F.to_date("entry_time")).join(market, "date").groupBy(F.col("account_name").alias("key"), "regime").agg(F.avg("profit_loss").alias("mean"), F.stddev_samp("profit_loss").alias("sigma"))
+    pairs = sr.regime_transitions(v.market(spark, d))
+    shares = pairs.join(pairs.groupBy("regime").agg(F.sum("n").alias("all")), "regime").select("regime", "to_regime", (F.col("n") / F.col("all")).alias("share"))
+    return sc.finals_summary(sc.regime_paths(by, shares, 100, 30, "Medium"))
+
+
+_VS = ", ".join(str(x) for x in ft.FREEDOMS)
+_STUDENT = f"""st AS (
+    SELECT 0 AS it, key, n, unnest([{_VS}])::DOUBLE AS v, mean AS m, variance AS s2 FROM mo
+    UNION ALL
+    SELECT it + 1, key, n, v, w1 / w0, (w2 - w1 / w0 * w1) / n FROM (SELECT it, key, n, v, sum(c * w) AS w0, sum(c * w * x) AS w1, sum(c * w * x * x) AS w2 FROM (
+      SELECT st.*, x, c, (v + 1) / (v + pow(x - m, 2) / s2) AS w FROM st JOIN vals USING (key) WHERE it < 30) GROUP BY ALL))"""
+_LOGCDF = "CASE WHEN z < -5 THEN -z * z / 2 - " + _HALF + " - ln(greatest(-z, 1.0)) + ln(1 - 1 / (z * z) + 3 / pow(z, 4)) ELSE ln(greatest(" + PHI.replace("{z}", "z") + ", 1e-300)) END"
+_SKEWED = f"""s0 AS (SELECT key, n, mean, variance, least(greatest(sum(c * pow((x - mean) / sqrt(variance), 3)) / n, -0.9), 0.9) AS lean FROM mo JOIN vals USING (key) GROUP BY key, n, mean, variance),
+  s1 AS (SELECT *, pow(2 * abs(lean) / (4 - pi()), 2 / 3::DOUBLE) AS third FROM s0), s2 AS (SELECT *, sign(lean) * sqrt(pi() / 2 * third / (1 + third)) AS delta FROM s1), s3 AS (SELECT *, sqrt(variance / (1 - 2 * delta * delta / pi())) AS scale, CASE WHEN abs(delta) < 0.05 THEN 0.05 ELSE delta END AS dl FROM s2),
+  sk AS (
+    SELECT 0 AS it, key, n, mean - scale * delta * sqrt(2 / pi()) AS loc, scale * dl AS d, scale * scale * (1 - dl * dl) AS t FROM s3
+    UNION ALL
+    SELECT it + 1, key, n, na, nd, greatest((sxx - 2 * na * sx + n * na * na - 2 * nd * (sx1 - na * s1) + nd * nd * s2) / n, 1e-12) FROM (SELECT *, (sx1 - na * s1) / s2 AS nd FROM (SELECT *, (sx - d * s1) / n AS na FROM (
+      SELECT it, key, n, loc, d, sum(c * x) AS sx, sum(c * x * x) AS sxx, sum(c * e1) AS s1, sum(c * e2) AS s2, sum(c * x * e1) AS sx1 FROM (SELECT *, mu + s * h AS e1, mu * mu + s * s + mu * s * h AS e2 FROM (SELECT *, exp(-z * z / 2 - {_HALF} - lc) AS h FROM (SELECT *, {_LOGCDF} AS lc FROM (
+        SELECT *, mu / s AS z FROM (SELECT sk.*, x, c, d * (x - loc) / (d * d + t) AS mu, sqrt(t / (d * d + t)) AS s FROM sk JOIN vals USING (key) WHERE it < 60))))) GROUP BY ALL))))"""
+
+
+@query("distribution_fits", f"""WITH RECURSIVE {_STUDENT}, {_SKEWED},
+  tf AS (SELECT key, n, v, m, s2, sum(c * (lgamma((v + 1) / 2) - lgamma(v / 2) - 0.5 * ln(v * pi()) - 0.5 * ln(s2) - (v + 1) / 2 * ln(1 + pow(x - m, 2) / (s2 * v)))) AS ll FROM st JOIN vals USING (key) WHERE it = 30 GROUP BY ALL),
+  kf AS (SELECT key, n, loc, d, t, sum(c * (ln(2) - {_HALF} - 0.5 * ln(d * d + t) - pow(x - loc, 2) / (2 * (d * d + t)) + {_LOGCDF})) AS ll FROM (SELECT *, d / sqrt(t) * (x - loc) / sqrt(d * d + t) AS z FROM sk JOIN vals USING (key) WHERE it = 60) GROUP BY ALL),
+  f AS (
+    SELECT key, n, 'normal' AS model, 2 AS k, mean AS location, sqrt(variance) AS scale, NULL::DOUBLE AS shape, -n * ({_HALF} + 0.5 * ln(variance) + 0.5) AS log_likelihood FROM mo
+    UNION ALL SELECT key, n, 'student', 3, m, sqrt(s2), v, ll FROM tf QUALIFY row_number() OVER (PARTITION BY key ORDER BY round(ll, 6) DESC, v DESC) = 1
+    UNION ALL SELECT key, n, 'skewed', 3, loc, sqrt(d * d + t), d / sqrt(t), ll FROM kf)
+  SELECT key, n::BIGINT AS n, model, k, location, scale, shape, log_likelihood, 2 * k - 2 * log_likelihood AS aic, row_number() OVER (PARTITION BY key ORDER BY round(2 * k - 2 * log_likelihood, 6), k, model) = 1 AS best FROM f""",
+  (v.TRADES, VALS), "location scale shape log_likelihood aic")
+def distribution_fits(spark, d):
+    return ft.best_fits(ft.valued(v.trades(spark, d), "account_name", "profit_loss")).withColumn("n", F.col("n").cast("long"))
+
+
+@query("block_maxima", """SELECT account_name, n::BIGINT AS blocks, location, scale, k AS shape, worst, location + scale / k * (1 - pow(-ln(0.999), k)) AS level_999, location + scale / k * (1 - pow(-ln(0.9995), k)) AS level_9995, location + scale / k * (1 - pow(-ln(0.9999), k)) AS level_9999 FROM (
+  SELECT *, b0 - scale * (1 - gamma(1 + k)) / k AS location FROM (SELECT *, l2 * k / ((1 - pow(2, -k)) * gamma(1 + k)) AS scale FROM (SELECT *, 7.8590 * c + 2.9554 * c * c AS k FROM (SELECT *, 2 / (3 + (6 * b2 - 6 * b1 + b0) / (2 * b1 - b0)) - ln(2) / ln(3) AS c, 2 * b1 - b0 AS l2 FROM (
+    SELECT account_name, n, avg(loss) AS b0, sum(loss * j) / (n * (n - 1)) AS b1, sum(loss * j * (j - 1)) / (n * (n - 1) * (n - 2)) AS b2, max(loss) AS worst FROM (
+      SELECT *, count(*) OVER (PARTITION BY account_name)::DOUBLE AS n, (row_number() OVER (PARTITION BY account_name ORDER BY loss, block) - 1)::DOUBLE AS j FROM (
+        SELECT account_name, (nth - 1) // 21 AS block, max(-profit_loss) AS loss FROM (SELECT *, row_number() OVER (PARTITION BY account_name ORDER BY entry_time, trade_id) AS nth FROM trades) GROUP BY ALL HAVING count(*) = 21)) WHERE n >= 10 GROUP BY account_name, n)))))""",
+  (v.TRADES,), "location scale shape worst level_999 level_9995 level_9999")
+def block_maxima(spark, d):
+    return ft.block_maxima(v.trades(spark, d), "account_name", 21)
