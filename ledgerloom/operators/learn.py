@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .series import features
+from .series import BY_TRADE, features
 
-INPUTS = ["prev", "change", "nth_today", "mean5", "hour_sin", "hour_cos"]
+#: Inputs of models: nothing of them is known only after the trade. (``change`` of the features is: with ``prev`` it gives the result.)
+INPUTS = ["prev", "prev_change", "nth_today", "mean5", "hour_sin", "hour_cos"]
 
 
 def table(trades: DataFrame, *keys: str) -> DataFrame:
-    """Feature rows: lagged results, place in the day, hour as an angle; rows without history are left out."""
+    """Feature rows: results of earlier trades, place in the day, hour as an angle; rows without history are left out."""
     f = features(trades, *keys)
+    f = f.withColumn("prev_change", F.lag("change").over(Window.partitionBy(*keys).orderBy(*BY_TRADE)))
     angle = F.col("hour") * 2 * 3.141592653589793 / 24
-    return f.withColumns({"hour_sin": F.sin(angle), "hour_cos": F.cos(angle), "gain": (F.col("profit_loss") > 0).cast("double")}).na.drop(subset=["prev", "change", "mean5"])
+    return f.withColumns({"hour_sin": F.sin(angle), "hour_cos": F.cos(angle), "gain": (F.col("profit_loss") > 0).cast("double")}).na.drop(subset=["prev", "prev_change", "mean5"])
 
 
 def forward_test(rows: DataFrame, cut: str, kinds: tuple[str, ...] = ("linear", "forest", "boosted")) -> DataFrame:

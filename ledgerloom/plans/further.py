@@ -8,8 +8,11 @@ from ledgerloom.functions.gammas import normal_quantile_sql
 from ledgerloom.operators import audit as au
 from ledgerloom.operators import ensemble as en
 from ledgerloom.operators import fits as ft
+from ledgerloom.operators import learn as ln
+from ledgerloom.operators import resample as rs
 from ledgerloom.operators import scenarios as sc
 from ledgerloom.operators import series as sr
+from ledgerloom.operators import stacking as sk
 
 from . import views as v
 from .catalog import HASH, PHI, query
@@ -194,3 +197,61 @@ def distribution_fits(spark, d):
   (v.TRADES,), "location scale shape worst level_999 level_9995 level_9999")
 def block_maxima(spark, d):
     return ft.block_maxima(v.trades(spark, d), "account_name", 21)
+
+
+_CUTS = ", ".join(f"{p!r}" for p in rs.POISSON)
+
+
+# Intervals of the mean, the win rate and the profit factor of every account's symbol, of 100 resamples.
+@query("bootstrap_intervals", f"""SELECT account_name, symbol, statistic, value, low, high, error FROM (
+  SELECT account_name, symbol, statistic, value FROM (SELECT account_name, symbol, avg(profit_loss) AS mean, avg(CASE WHEN profit_loss > 0 THEN 1.0 ELSE 0 END) AS win_rate, sum(profit_loss) FILTER (profit_loss > 0) / -(sum(profit_loss) FILTER (profit_loss <= 0)) AS profit_factor FROM trades GROUP BY ALL)
+    UNPIVOT INCLUDE NULLS (value FOR statistic IN (mean, win_rate, profit_factor))) JOIN (
+  SELECT account_name, symbol, statistic, quantile_cont(value, 0.025) AS low, quantile_cont(value, 0.975) AS high, stddev_samp(value) AS error FROM (
+    SELECT account_name, symbol, sim, sum(w * profit_loss) / sum(w) AS mean, sum(w * (profit_loss > 0)::INT) / sum(w) AS win_rate, sum(w * greatest(profit_loss, 0)) / nullif(-sum(w * least(profit_loss, 0)), 0) AS profit_factor FROM (
+      SELECT *, len(list_filter([{_CUTS}], lambda c: c <= u))::DOUBLE AS w FROM (SELECT *, {_u("'42-' || trade_id || '-' || sim")} AS u FROM trades, range(100) t(sim))) GROUP BY ALL)
+    UNPIVOT INCLUDE NULLS (value FOR statistic IN (mean, win_rate, profit_factor)) GROUP BY ALL) USING (account_name, symbol, statistic)""", (v.TRADES,), "value low high error")
+def bootstrap_intervals(spark, d):
+    p = F.col("profit_loss")
+    statistics = {
+        "mean": lambda w: F.sum(w * p) / F.nullif(F.sum(w), F.lit(0.0)),
+        "win_rate": lambda w: F.sum(w * (p > 0).cast("double")) / F.nullif(F.sum(w), F.lit(0.0)),
+        "profit_factor": lambda w: F.sum(w * F.greatest(p, F.lit(0.0))) / F.nullif(-F.sum(w * F.least(p, F.lit(0.0))), F.lit(0.0)),
+    }
+    return rs.intervals(v.trades(spark, d), ["account_name", "symbol"], "trade_id", statistics, sims=100)
+
+
+_PRIMES = f"[{', '.join(map(str, rs.large_primes()))}]"
+_PICK = "{primes}[1 + {h} % 64]"
+_P1, _P2 = (_PICK.replace("{primes}", _PRIMES).replace("{h}", HASH.format(f"'42-' || account_name || '-' || perm || '-{x}'")) for x in "pq")
+_LUCK = f"""place AS (SELECT account_name, profit_loss, row_number() OVER (PARTITION BY account_name ORDER BY {HASH.format("'42-' || trade_id")}, trade_id) - 1 AS place, count(*) OVER (PARTITION BY account_name) AS size FROM trades),
+  cells AS (SELECT account_name, hour, n, pnl, wins, sum(n) OVER (PARTITION BY account_name ORDER BY hour) - n AS lo, sum(n) OVER (PARTITION BY account_name ORDER BY hour) AS hi FROM (SELECT account_name, hour, count(*) AS n, sum(profit_loss) AS pnl, count(*) FILTER (profit_loss > 0) AS wins FROM trades GROUP BY ALL)),
+  keyed AS (SELECT account_name, perm, (({_P1} % size) * ({_P2} % size)) % size AS a, {HASH.format("'42-' || account_name || '-' || perm || '-b'")} % size AS b FROM (SELECT DISTINCT account_name, size FROM place), range(100) t(perm)),
+  dealt AS (SELECT perm, account_name, hour, count(*) AS n, sum(profit_loss) AS pnl, count(*) FILTER (profit_loss > 0) AS wins FROM (SELECT perm, account_name, profit_loss, (a * place + b) % size AS spot FROM place JOIN keyed USING (account_name)) JOIN cells c USING (account_name) WHERE spot >= lo AND spot < hi GROUP BY ALL),
+  twice AS (SELECT perm, account_name, hour, n, pnl, wins FROM dealt UNION ALL SELECT -1, account_name, hour, n, pnl, wins FROM cells),
+  tested AS (SELECT *, list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)) for i in range(wins, n + 1)]) AS p FROM twice WHERE n >= 30),
+  q AS (SELECT *, min(p * m / k) OVER (PARTITION BY account_name, perm ORDER BY k DESC ROWS UNBOUNDED PRECEDING) AS q FROM (SELECT *, count(*) OVER (PARTITION BY account_name, perm) AS m, row_number() OVER (PARTITION BY account_name, perm ORDER BY p, hour) AS k FROM tested)),
+  found AS (SELECT perm, count(*) AS cells, sum(n) AS n, sum(pnl) AS total FROM q WHERE q <= 0.5 AND 2 * wins >= n AND pnl > 0 GROUP BY 1),
+  luck AS (SELECT perm, coalesce(cells, 0)::BIGINT AS cells, coalesce(n, 0)::BIGINT AS n, coalesce(total, 0.0)::DOUBLE AS total FROM (SELECT unnest(range(-1, 100)) AS perm) LEFT JOIN found USING (perm))"""
+
+
+# Hours selected at a rate of 0.5 (the tables hold no strong hour), and 100 permutations within accounts.
+@query("label_permutations", "SELECT perm::INTEGER AS perm, cells, n, total FROM luck", (v.TRADES, _LUCK), "total")
+def label_permutations(spark, d):
+    return rs.selected_by_luck(v.trades(spark, d), "account_name", ["hour"], perms=100, rate=0.5)
+
+
+@query("luck_test", "SELECT cells, total, count(*) AS perms, avg(c) AS mean_cells, avg(t) AS mean_total, avg((c >= cells)::INT) AS p_cells, avg((t >= total)::INT) AS p_total FROM (SELECT cells, total FROM luck WHERE perm = -1), (SELECT cells AS c, total AS t FROM luck WHERE perm >= 0) GROUP BY ALL", (v.TRADES, _LUCK), "total mean_cells mean_total p_cells p_total")
+def luck_test(spark, d):
+    return rs.luck_test(rs.selected_by_luck(v.trades(spark, d), "account_name", ["hour"], perms=100, rate=0.5))
+
+
+@query("stacking_test")
+def stacking_test(spark, d):
+    return sk.stacking_test(ln.table(v.trades(spark, d), "account_name"))
+
+
+@query("permutation_importance")
+def permutation_importance(spark, d):
+    rows = sk.in_blocks(ln.table(v.trades(spark, d), "account_name"), 2)
+    model = sk.pipeline("forest", ln.INPUTS, "profit_loss").fit(rows.filter("block = 0"))
+    return sk.permutation_importance(model, rows.filter("block = 1"), ln.INPUTS, "trade_id")
