@@ -542,11 +542,14 @@ def main_text(page: str | None, wrapper: Wrapper | None) -> str:
     if wrapper is None:
         return unwrapped_text(blocks)
     slot = slots(tree, wrapper.nodes[0])
-    hard, named = hidden(tree, _weights(blocks))  # for nodes that the skeleton lacks
+    nodes = preorder(tree)
+    away: set[int] = set()  # of the nodes that the skeleton lacks
+    if any(n.outside > 1 and slot[id(n)] < 0 for n in nodes):
+        away = set().union(*hidden(tree, _weights(blocks)))
     state: dict[int, int] = {}  # of every node: 1 in the region, 2 in a part of it that goes, 0 outside
-    for node in preorder(tree):
+    for node in nodes:
         s, up = slot[id(node)], state[id(node.parent)] if node.parent is not None else 0
-        goes = s in wrapper.template or s in wrapper.outside or (s < 0 and (id(node) in hard or id(node) in named))
+        goes = s in wrapper.template or s in wrapper.outside or (s < 0 and id(node) in away)
         state[id(node)] = 1 if s == wrapper.region and not up else 2 if up == 2 or (up == 1 and goes) else up
     if not any(state.values()):
         return unwrapped_text(blocks)
