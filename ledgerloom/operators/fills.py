@@ -14,28 +14,47 @@ def plausible(fills: DataFrame, max_quantity: int = 50) -> DataFrame:
     return fills.filter(F.col("side").isin("BUY", "SELL") & (F.col("price") > 0) & F.col("quantity").between(1, max_quantity))
 
 
-def ghost(local_minutes: Column) -> Column:
-    """A fill of several lots that opens, outside the minutes around the close, without a note."""
+#: Marks of a strategy in messages. Fixed values.
+TAGS = "autotrader_|at_|text: tag:"
+
+
+def ghost(local_minutes: Column, message: str | None = None) -> Column:
+    """A fill of several lots that opens, outside the minutes around the close, without a note or a strategy's mark in its message."""
     at_close = local_minutes.between(16 * 60 + 55, 17 * 60 + 5)
-    noted = F.col("note").rlike("[A-Za-z0-9]")
-    return (F.col("quantity") > 1) & ~at_close & (F.col("open_close") != "CLOSE") & ~F.coalesce(noted, F.lit(False))
+    noted = F.coalesce(F.col("note").rlike("[A-Za-z0-9]"), F.lit(False))
+    if message:
+        noted = noted | F.coalesce(F.lower(message).rlike(TAGS), F.lit(False))
+    return (F.col("quantity") > 1) & ~at_close & (F.coalesce("open_close", F.lit("")) != "CLOSE") & ~noted
 
 
-def classified(fills: DataFrame, local_minutes: Column, *, min_note_rate: float = 0.25, min_fills: int = 5) -> DataFrame:
-    """Adds ``is_ghost``; where hardly any fill of an account's symbol is noted, nothing is a ghost."""
-    noted = F.avg(F.when(F.col("note") != "", 1.0).otherwise(0.0))
-    sparse = fills.groupBy("account", "symbol").agg(((noted < min_note_rate) & (F.count("*") > min_fills)).alias("bypass"))
-    marked = fills.join(sparse, ["account", "symbol"])
-    return marked.withColumn("is_ghost", ghost(local_minutes) & ~F.col("bypass")).drop("bypass")
+def classified(fills: DataFrame, local_minutes: Column, *, min_note_rate: float = 0.25, min_fills: int = 5, by: tuple[str, ...] = ("account", "symbol"), message: str | None = None) -> DataFrame:
+    """Adds ``is_ghost``; where hardly any fill of a group (``by``: an account's symbol, or that of one file) is noted, nothing is a ghost."""
+    noted = F.avg(F.when(F.trim("note") != "", 1.0).otherwise(0.0))
+    sparse = fills.groupBy(*by).agg(((noted < min_note_rate) & (F.count("*") > min_fills)).alias("bypass"))
+    marked = fills.join(sparse, list(by))
+    return marked.withColumn("is_ghost", ghost(local_minutes, message) & ~F.col("bypass")).drop("bypass")
 
 
-def deduplicated(fills: DataFrame, per_second: int = 4) -> DataFrame:
-    """One fill of each bucket of time, price, side, quantity and account: noted ones first, then the earliest."""
+def deduplicated(fills: DataFrame, per_second: int = 4, extra: tuple[str, ...] = ()) -> DataFrame:
+    """One fill of each bucket of time, price, side, quantity, account and ``extra`` columns (an order id): noted ones first, then those
+    that are no ghosts if that is known, then the earliest."""
     bucket = F.bround(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 * per_second)
-    w = Window.partitionBy("account", "symbol", "side", "quantity", "price", "bucket").orderBy(F.when(F.col("note") != "", 0).otherwise(1), "ts", "fill_id")
+    known = [F.when(F.col("is_ghost"), 1).otherwise(0)] if "is_ghost" in fills.columns else []
+    w = Window.partitionBy("account", "symbol", "side", "quantity", "price", "bucket", *extra).orderBy(F.when(F.col("note") != "", 0).otherwise(1), *known, "ts", "fill_id")
     return fills.withColumn("bucket", bucket).withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r", "bucket")
 
 
+def engine(fills: DataFrame, local: Column, session: Column, *, by: tuple[str, ...] = ("account", "symbol"), extra: tuple[str, ...] = (), message: str | None = None) -> DataFrame:
+    """The chain from raw fills to those that are paired, each with its ``session``: plausible ones, repeats dropped, ghosts dropped, and
+    in books that lost ghosts the closes dropped that meet a flat position."""
+    from .matching import orphaned_closes
+
+    minutes = F.hour(local) * 60 + F.minute(local)
+    marked = classified(plausible(fills), minutes, by=by, message=message).withColumn("session", session)
+    ghosts, real = marked.filter("is_ghost"), deduplicated(marked.filter("not is_ghost"), extra=extra)
+    return real.join(orphaned_closes(real, ghosts), "fill_id", "left_anti")
+
+
 def fifo(fills: DataFrame) -> DataFrame:
     """First-in-first-out round trips per account, symbol and session.
 

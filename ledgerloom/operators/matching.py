@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .fills import BOOK
@@ -51,23 +49,60 @@ def complete(fills: DataFrame) -> DataFrame:
     return fills.join(flat, BOOK, "left_semi")
 
 
+def _shift(steps: list[tuple[int, bool]]) -> tuple[int, dict[int, int]]:
+    """What a block of fills does to a position: it adds the total, but for the positions listed, which meet a close while flat.
+
+    A step is (signed lots, whether it closes). A close at a flat position is left out, so from there on the walk goes on at zero.
+    From the last step back: where the walk from zero at a step ends is known from the next close that it meets while flat.
+    """
+    before, total = [], 0
+    for q, _ in steps:
+        before.append(total)
+        total += q
+    flat_at: dict[int, int] = {}  # by sum before it: the first close from here on
+    ends = [0] * (len(steps) + 1)  # where a walk that is at zero before the step ends
+    for i in range(len(steps) - 1, -1, -1):
+        if steps[i][1]:
+            flat_at[before[i]] = i
+        j = flat_at.get(before[i])
+        ends[i] = total - before[i] if j is None else ends[j + 1]
+    return total, {-p: ends[i + 1] for p, i in flat_at.items()}
+
+
 def orphaned_closes(fills: DataFrame, ghosts: DataFrame) -> DataFrame:
     """Closing fills that meet a flat position in a book that lost ghosts: their openings were ghosts, so they go too.
 
-    Whether a position is flat depends on which closes went before, so a book is walked in order; only books with ghosts are, and
-    a book is one account, symbol and session. Columns fill_id, ts, side, quantity, open_close; returns fill_id.
+    Whether a position is flat depends on which closes went before. A book is cut into hours; what an hour does to a position is a
+    shift with exceptions (:func:`_shift`), which can be applied without its fills, so hours are summarised side by side, positions
+    at their beginnings folded from the summaries, and each hour walked from there. Columns fill_id, ts, side, quantity,
+    open_close; returns fill_id.
     """
     books = ghosts.select(*BOOK).distinct()
-
-    def walk(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        position, gone = 0, []
-        rows = pa.Table.from_batches(parts).sort_by([("ts", "ascending"), ("fill_id", "ascending")])
-        for i, side, n, kind in zip(*(rows[c].to_pylist() for c in ("fill_id", "side", "quantity", "open_close")), strict=True):
-            if position == 0 and (kind or "").upper() == "CLOSE":
+    held = fills.join(books, BOOK, "left_semi").select(*BOOK, F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour"), "fill_id", "ts", "side", "quantity", "open_close")
+
+    def steps(table: pa.Table) -> tuple[list[int], list[tuple[int, bool]]]:
+        rows = table.sort_by([("ts", "ascending"), ("fill_id", "ascending")])
+        found = [(i, n if side == "BUY" else -n, (kind or "").upper() == "CLOSE") for i, side, n, kind in zip(*(rows[c].to_pylist() for c in ("fill_id", "side", "quantity", "open_close")), strict=True)]
+        return [f[0] for f in found], [f[1:] for f in found]
+
+    def summed(table: pa.Table) -> pa.Table:
+        total, odd = _shift(steps(table)[1])
+        keys = [*BOOK, "hour"]
+        ids = [pa.array(table[c][:1].to_pylist(), table.schema.field(c).type) for c in keys]
+        return pa.table([*ids, pa.array([total], pa.int64()), pa.array([list(odd)], pa.list_(pa.int64())), pa.array([list(odd.values())], pa.list_(pa.int64()))], names=[*keys, "total", "from", "to"])
+
+    def walked(table: pa.Table) -> pa.Table:
+        position, gone = table["start"][0].as_py(), []
+        for i, (q, closes) in zip(*steps(table), strict=True):
+            if position == 0 and closes:
                 gone.append(i)
             else:
-                position += n if side == "BUY" else -n
-        yield pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], ["fill_id"])
-
-    held = fills.join(books, BOOK, "left_semi").select(*BOOK, "fill_id", "ts", "side", "quantity", "open_close")
-    return held.groupBy(*BOOK).applyInArrow(lambda key, table: pa.Table.from_batches(walk(key, table.to_batches())), "fill_id long")
+                position += q
+        return pa.table({"fill_id": pa.array(gone, pa.int64())})
+
+    named = ", ".join(f"{c} {t}" for c, t in held.dtypes if c in BOOK)
+    hours = held.groupBy(*BOOK, "hour").applyInArrow(summed, f"{named}, hour timestamp, total long, `from` array<long>, `to` array<long>")
+    before = Window.partitionBy(*BOOK).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = F.collect_list(F.struct("total", F.map_from_arrays("from", "to").alias("odd"))).over(before)
+    starts = hours.select(*BOOK, "hour", F.aggregate(shifts, F.lit(0).cast("long"), lambda p, x: F.coalesce(F.try_element_at(x["odd"], p), p + x["total"])).alias("start"))
+    return held.join(starts, [*BOOK, "hour"]).groupBy(*BOOK, "hour").applyInArrow(walked, "fill_id long")

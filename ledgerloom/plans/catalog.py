@@ -317,16 +317,27 @@ def band_matches(spark, d):
 def _booked(spark, d):
     f = v.fills(spark, d)
     local = tp.new_york(F.col("ts"))
-    clean = fl.deduplicated(fl.classified(fl.plausible(f), F.hour(local) * 60 + F.minute(local)).filter("not is_ghost"))
-    return clean.withColumn("session", tp.session_date(local))
-
-
-BOOKED = """clean AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY account, symbol, side, quantity, price, round_even(epoch_us(ts) / 1e6 * 4, 0) ORDER BY CASE WHEN note <> '' THEN 0 ELSE 1 END, ts, fill_id) AS dup,
-      CAST(ny + INTERVAL 7 HOUR AS DATE) AS session FROM (
-    SELECT *, quantity > 1 AND NOT (date_part('hour', ny) * 60 + date_part('minute', ny) BETWEEN 1015 AND 1025) AND open_close <> 'CLOSE' AND NOT regexp_matches(note, '[A-Za-z0-9]')
-      AND NOT (avg(CASE WHEN note <> '' THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY account, symbol) < 0.25 AND count(*) OVER (PARTITION BY account, symbol) > 5) AS is_ghost
-    FROM (SELECT *, timezone('America/New_York', timezone('UTC', ts)) AS ny FROM fills WHERE price > 0 AND quantity BETWEEN 1 AND 50)) WHERE NOT is_ghost) WHERE dup = 1)"""
+    return fl.engine(f, local, tp.session_date(local))
+
+
+def booked_sql(fills: str = "fills", by: str = "account, symbol", extra: str = "", tagged: str = "") -> str:
+    """The chain of fills for DuckDB: the closes at flat positions of books with ghosts are found by a walk, fill by fill."""
+    return f"""marked AS (
+  SELECT *, CAST(ny + INTERVAL 7 HOUR AS DATE) AS session, quantity > 1 AND NOT (date_part('hour', ny) * 60 + date_part('minute', ny) BETWEEN 1015 AND 1025) AND open_close <> 'CLOSE' AND NOT regexp_matches(note, '[A-Za-z0-9]') {tagged}
+      AND NOT (avg(CASE WHEN trim(note) <> '' THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY {by}) < 0.25 AND count(*) OVER (PARTITION BY {by}) > 5) AS is_ghost
+    FROM (SELECT *, timezone('America/New_York', timezone('UTC', ts)) AS ny FROM {fills} WHERE price > 0 AND quantity BETWEEN 1 AND 50)),
+  kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY account, symbol, side, quantity, price, round_even(epoch_us(ts) / 1e6 * 4, 0) {extra} ORDER BY CASE WHEN note <> '' THEN 0 ELSE 1 END, ts, fill_id) AS dup FROM marked WHERE NOT is_ghost) WHERE dup = 1),
+  clean AS (WITH RECURSIVE n AS (SELECT fill_id, account, symbol, session, open_close = 'CLOSE' AS closes, CASE WHEN side = 'BUY' THEN quantity ELSE -quantity END AS q, row_number() OVER (PARTITION BY account, symbol, session ORDER BY ts, fill_id) AS k
+      FROM kept SEMI JOIN (SELECT account, symbol, session FROM marked WHERE is_ghost) USING (account, symbol, session)),
+    walk AS (
+      SELECT account, symbol, session, 0::BIGINT AS k, 0::BIGINT AS position, NULL::BIGINT AS fill_id, false AS gone FROM (SELECT DISTINCT account, symbol, session FROM n)
+      UNION ALL
+      SELECT n.account, n.symbol, n.session, n.k, CASE WHEN w.position = 0 AND n.closes THEN 0 ELSE w.position + n.q END, n.fill_id, w.position = 0 AND n.closes
+      FROM walk w JOIN n ON n.account = w.account AND n.symbol = w.symbol AND n.session = w.session AND n.k = w.k + 1)
+    SELECT * FROM kept WHERE fill_id NOT IN (SELECT fill_id FROM walk WHERE gone))"""
+
+
+BOOKED = booked_sql()
 
 
 @query("clean_fills", "SELECT fill_id, account, symbol, session, side, quantity, price FROM clean", (v.FILLS, BOOKED), "price")

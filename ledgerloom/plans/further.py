@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import timeplane as tp
 from ledgerloom.functions.gammas import normal_quantile_sql
 from ledgerloom.operators import audit as au
 from ledgerloom.operators import ensemble as en
+from ledgerloom.operators import fills as fl
 from ledgerloom.operators import fits as ft
 from ledgerloom.operators import learn as ln
+from ledgerloom.operators import matching as mc
 from ledgerloom.operators import resample as rs
 from ledgerloom.operators import scenarios as sc
 from ledgerloom.operators import series as sr
 from ledgerloom.operators import stacking as sk
 
 from . import views as v
-from .catalog import HASH, PHI, query
+from .catalog import DATED, HASH, PHI, booked_sql, query
 
 _SIDES = """l AS (SELECT fill_id AS id, account, side, ts, price FROM fills WHERE fill_id % 2 = 0), r AS (SELECT fill_id AS id, account, side, ts, price FROM fills WHERE fill_id % 2 = 1)"""
 _PAIRS = """pairs AS (SELECT l.account, l.id AS l_id, r.id AS r_id, abs(epoch(l.ts) - epoch(r.ts)) AS gap, abs(l.price - r.price) AS apart,
@@ -255,3 +258,48 @@ def permutation_importance(spark, d):
     rows = sk.in_blocks(ln.table(v.trades(spark, d), "account_name"), 2)
     model = sk.pipeline("forest", ln.INPUTS, "profit_loss").fit(rows.filter("block = 0"))
     return sk.permutation_importance(model, rows.filter("block = 1"), ln.INPUTS, "trade_id")
+
+
+DATED |= dict.fromkeys(["engine_fills", "engine_trips", "orphaned_closes", "parent_fallback_trips"], "session")
+_TAGGED = "tagged AS (SELECT *, 'log' || (fill_id % 3) AS file, fill_id // 2 AS order_id, CASE WHEN fill_id % 11 = 0 THEN 'Text: AutoTrader_9' WHEN fill_id % 4 = 0 THEN 'Trade simulation fill' END AS message FROM fills)"
+_ENGINE = booked_sql("tagged", "account, symbol, file", ", order_id", "AND NOT coalesce(regexp_matches(lower(message), 'autotrader_|at_|text: tag:'), false)")
+_TRIPS = """SELECT account, symbol, session, CASE WHEN long THEN 'LONG' ELSE 'SHORT' END AS direction, (hi - lo)::BIGINT AS quantity, CASE WHEN long THEN b_ts ELSE s_ts END AS entry_time, CASE WHEN long THEN s_ts ELSE b_ts END AS exit_time,
+  CASE WHEN long THEN b_price ELSE s_price END AS entry_price, CASE WHEN long THEN s_price ELSE b_price END AS exit_price, (s_price - b_price) * (hi - lo) AS points
+  FROM (SELECT b.account, b.symbol, b.session, greatest(b.hi - b.quantity, s.hi - s.quantity) AS lo, least(b.hi, s.hi) AS hi, b.ts AS b_ts, s.ts AS s_ts, b.price AS b_price, s.price AS s_price, (b.ts < s.ts OR (b.ts = s.ts AND b.fill_id < s.fill_id)) AS long
+    FROM laid b JOIN laid s ON b.account = s.account AND b.symbol = s.symbol AND b.session = s.session AND b.side = 'BUY' AND s.side = 'SELL' AND b.hi > s.hi - s.quantity AND s.hi > b.hi - b.quantity)"""
+_LAID = "laid AS (SELECT *, sum(quantity) OVER (PARTITION BY account, symbol, session, side ORDER BY ts, fill_id ROWS UNBOUNDED PRECEDING) AS hi FROM {})"
+
+
+def _engine(spark, d):
+    f = v.fills(spark, d)
+    message = F.when(F.col("fill_id") % 11 == 0, "Text: AutoTrader_9").when(F.col("fill_id") % 4 == 0, "Trade simulation fill")
+    f = f.withColumns({"file": F.concat(F.lit("log"), (F.col("fill_id") % 3).cast("string")), "order_id": F.floor(F.col("fill_id") / 2).cast("long"), "message": message})
+    local = tp.new_york(F.col("ts"))
+    return fl.engine(f, local, tp.session_date(local), by=("account", "symbol", "file"), extra=("order_id",), message="message")
+
+
+# Fills with files, orders and messages through the whole chain, row by row.
+@query("engine_fills", "SELECT fill_id, account, symbol, session, side, quantity, price, open_close FROM clean", (v.FILLS, _TAGGED, _ENGINE), "price")
+def engine_fills(spark, d):
+    return _engine(spark, d).select("fill_id", "account", "symbol", "session", "side", "quantity", "price", "open_close")
+
+
+@query("engine_trips", _TRIPS, (v.FILLS, _TAGGED, _ENGINE, _LAID.format("clean")), "entry_price exit_price points")
+def engine_trips(spark, d):
+    return fl.fifo(_engine(spark, d))
+
+
+@query("orphaned_closes", "SELECT fill_id, account, symbol, session FROM kept WHERE fill_id NOT IN (SELECT fill_id FROM clean)", (v.FILLS, booked_sql()))
+def orphaned_closes(spark, d):
+    f, local = v.fills(spark, d), tp.new_york(F.col("ts"))
+    marked = fl.classified(fl.plausible(f), F.hour(local) * 60 + F.minute(local)).withColumn("session", tp.session_date(local))
+    real = fl.deduplicated(marked.filter("not is_ghost"))
+    return real.join(mc.orphaned_closes(real, marked.filter("is_ghost")), "fill_id", "left_semi").select("fill_id", "account", "symbol", "session")
+
+
+# Fills whose orders have no other side are paired first in, first out.
+@query("parent_fallback_trips", _TRIPS, (v.ORDERS_LOG, "partly AS (SELECT *, CAST(timezone('America/New_York', timezone('UTC', ts)) + INTERVAL 7 HOUR AS DATE) AS session FROM orders_log WHERE fill_id % 5 <> 0)",
+  "rest AS (SELECT * FROM partly ANTI JOIN (SELECT account, symbol, parent_id FROM partly GROUP BY ALL HAVING count(*) FILTER (open_close = 'OPEN') > 0 AND count(*) FILTER (open_close = 'CLOSE') > 0) USING (account, symbol, parent_id))", _LAID.format("rest")), "entry_price exit_price points")
+def parent_fallback_trips(spark, d):
+    f = v.orders_log(spark, d).filter("fill_id % 5 <> 0").withColumn("session", tp.session_date(tp.new_york(F.col("ts"))))
+    return fl.fifo(mc.unmatched(f, mc.by_parent(f)))

@@ -199,3 +199,38 @@ def test_importance_finds_the_inputs_that_matter(spark):
     model = sk.pipeline("linear", ln.INPUTS, "profit_loss").fit(rows.filter("block = 0"))
     got = {x.input: x.importance for x in sk.permutation_importance(model, rows.filter("block = 1"), ln.INPUTS, "trade_id").collect()}
     assert set(got) == set(ln.INPUTS) and max(got, key=got.get) == "prev" and abs(got["hour_sin"]) < 1e-6
+
+
+def test_hours_of_a_book_compose(spark):
+    """Closes at flat positions found hour by hour against one walk."""
+    from ledgerloom.operators import matching as mc
+
+    r = random.Random(12)
+    rows, want, position = [], set(), 0
+    for i in range(1500):
+        side, n, kind = r.choice(["BUY", "SELL"]), r.randint(1, 3), r.choice(["OPEN", "CLOSE", "close", None])
+        rows.append(("A", "NQ", "s", i, T0 + timedelta(minutes=r.choice([0.3, 0.4]) * i), side, n, kind))
+    for row in sorted(rows, key=lambda x: (x[4], x[3])):
+        if position == 0 and (row[7] or "").upper() == "CLOSE":
+            want.add(row[3])
+        else:
+            position += row[6] if row[5] == "BUY" else -row[6]
+    schema = "account string, symbol string, session string, fill_id long, ts timestamp, side string, quantity int, open_close string"
+    ghosts = spark.createDataFrame([("A", "NQ", "s")] * 2, "account string, symbol string, session string")
+    got = mc.orphaned_closes(spark.createDataFrame(rows, schema).repartition(4), ghosts).collect()
+    assert {x.fill_id for x in got} == want and len(got) == len(want) > 5
+
+
+def test_ghosts_by_message_file_and_order(spark):
+    from ledgerloom.operators import fills as fl
+
+    columns = "fill_id long, account string, symbol string, file string, ts timestamp, side string, quantity int, price double, note string, open_close string, message string, order_id string"
+    row = lambda i, note="", message=None, file="f", order="o", kind="OPEN", off=60: (i, "A", "NQ", file, T0 + timedelta(seconds=off * i), "BUY", 2, 10.0, note, kind, message, order)
+    rows = [row(i, note="n") for i in range(6)] + [row(10), row(11, message="Text: AutoTrader_3"), row(12, message="plain"), row(13, kind="CLOSE")]
+    rows += [row(20 + i, file="quiet") for i in range(7)]
+    df = fl.classified(spark.createDataFrame(rows, columns), F.lit(600), by=("account", "symbol", "file"), message="message")
+    assert {r.fill_id for r in df.filter("is_ghost").collect()} == {10, 12}  # the quiet file has no notes, so no ghosts
+    twice = spark.createDataFrame([row(1, off=0.01), row(2, note="n", off=0.01), row(3, order="p", off=0.01)], columns)
+    assert {r.fill_id for r in fl.deduplicated(twice, extra=("order_id",)).collect()} == {2, 3}
+    both = twice.withColumn("is_ghost", F.col("fill_id") == 1).withColumn("note", F.lit("")).withColumn("order_id", F.lit("o"))
+    assert {r.fill_id for r in fl.deduplicated(both, extra=("order_id",)).collect()} == {2}
