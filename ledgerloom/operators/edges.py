@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .slots import CELL, fresh, reliability, slot_stats, winners
+from .slots import CELL, fresh, reliability, winners
 
 ORDERS = {
     "classic": [F.desc, "mean", F.desc, "win_rate"],
@@ -21,14 +21,32 @@ def ordering(kind: str) -> list[Column]:
     return [way(name) for way, name in zip(keys[::2], keys[1::2], strict=True)]
 
 
-def cell_stats(trades: DataFrame, min_trades: int = 3) -> DataFrame:
+def cell_stats(trades: DataFrame, min_trades: int = 3, sentinel: float = 99.0) -> DataFrame:
     """Statistics of every account and cell with its monthly persistence (percent of months that gained) and ``edge``.
 
-    Months are partial sums of the same grouping, so both come from one aggregation by month and none of trades twice.
+    Months carry all sums that the statistics need, so trades are read and dealt once; what meets by cell are months.
     """
-    monthly = trades.groupBy("account_name", *CELL, F.date_format("entry_time", "yyyy-MM").alias("month")).agg(F.sum("profit_loss").alias("pnl"))
-    months = monthly.groupBy("account_name", *CELL).agg((100.0 * F.count_if(F.col("pnl") > 0) / F.count("*")).alias("persistence"), F.count("*").alias("months"))
-    stats = slot_stats(trades, min_trades).join(months, ["account_name", *CELL])
+    p = F.col("profit_loss")
+    won, lost = F.when(p > 0, p), F.when(p <= 0, p)
+    monthly = trades.groupBy("account_name", *CELL, F.date_format("entry_time", "yyyy-MM").alias("month")).agg(
+        F.count("*").alias("n"), F.sum(p).alias("pnl"), F.sum(p * p).alias("square"), F.count_if(p > 0).alias("wins"), F.count(p).alias("known"), F.sum(won).alias("won"), F.sum(lost).alias("lost"), F.count(lost).alias("losses"), F.max(p).alias("best"), F.min(p).alias("worst")
+    )
+    total, n, known = F.sum("pnl"), F.sum("n"), F.sum("known")
+    stats = monthly.groupBy("account_name", *CELL).agg(
+        n.alias("n"),
+        total.alias("total"),
+        (total / F.nullif(known, F.lit(0))).alias("mean"),
+        (100.0 * F.sum("wins") / n).alias("win_rate"),
+        (F.sum("won") / F.nullif(F.sum("wins"), F.lit(0))).alias("avg_winner"),
+        (F.sum("lost") / F.nullif(F.sum("losses"), F.lit(0))).alias("avg_loser"),
+        F.max("best").alias("best"),
+        F.min("worst").alias("worst"),
+        F.when(F.coalesce(F.abs(F.sum("lost")), F.lit(0.0)) > 0, F.coalesce(F.sum("won"), F.lit(0.0)) / F.abs(F.sum("lost"))).otherwise(F.lit(sentinel)).alias("profit_factor"),
+        (F.sum("square") / F.nullif(known, F.lit(0))).alias("mean_square"),
+        (100.0 * F.count_if(F.col("pnl") > 0) / F.count("*")).alias("persistence"),
+        F.count("*").alias("months"),
+    )
+    stats = stats.filter(F.col("n") >= min_trades)
     return stats.withColumn("edge", F.col("mean") * F.col("win_rate") / 100).withColumn("reliability", reliability(F.col("mean"), F.col("mean_square"), F.col("n")))
 
 

@@ -56,12 +56,15 @@ def regime_performance(trades: DataFrame, market: DataFrame, low: float = 15.0,
 
 
 def band_matches(left: DataFrame, right: DataFrame, seconds: int = 90, price: float = 2.0) -> DataFrame:
-    """Best partner of each left row within a band of time and price: time buckets make it an equality join."""
+    """Best partner of each left row within a band of time and price. Rows meet on cells of both, each right row in the nine around
+    its own, so a busy hour meets itself only where prices are near."""
     sec = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
-    l = left.withColumn("b", F.floor(sec("ts") / seconds))  # noqa: E741
-    r = right.select("account", F.col("ts").alias("r_ts"), F.col("price").alias("r_price"), F.col("fill_id").alias("r_id")).withColumn("b0", F.floor(sec("r_ts") / seconds))
-    r = r.withColumn("b", F.explode(F.array(F.col("b0") - 1, F.col("b0"), F.col("b0") + 1))).drop("b0")
+    cell = lambda c: F.floor(F.col(c) / F.lit(max(price, 1e-9)))
+    near = lambda c: F.explode(F.array(c - 1, c, c + 1))
+    l = left.withColumn("b", F.floor(sec("ts") / seconds)).withColumn("c", cell("price"))  # noqa: E741
+    r = right.select("account", F.col("ts").alias("r_ts"), F.col("price").alias("r_price"), F.col("fill_id").alias("r_id"))
+    r = r.withColumn("b", near(F.floor(sec("r_ts") / seconds))).withColumn("c", near(cell("r_price")))
     gap = F.abs(sec("ts") - sec("r_ts"))
-    near = l.join(r, ["account", "b"]).filter((gap <= seconds) & (F.abs(F.col("price") - F.col("r_price")) <= price))
-    best = near.groupBy("fill_id").agg(F.min(F.struct(gap.alias("gap"), F.abs(F.col("price") - F.col("r_price")).alias("d"), F.col("r_id").alias("r_id"))).alias("m"), F.count("*").alias("candidates"))
+    met = l.join(r, ["account", "b", "c"]).filter((gap <= seconds) & (F.abs(F.col("price") - F.col("r_price")) <= price))
+    best = met.groupBy("fill_id").agg(F.min(F.struct(gap.alias("gap"), F.abs(F.col("price") - F.col("r_price")).alias("d"), F.col("r_id").alias("r_id"))).alias("m"), F.count("*").alias("candidates"))
     return best.select("fill_id", "m.r_id", "m.gap", "candidates")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.stats import binomial_p_value
 
+from .scans import count_below, running
 from .scenarios import uniform
 from .series import adjusted_p
 from .simulate import hashed
@@ -85,8 +86,6 @@ def permuted_place(place: Column, size: Column, seed: int, perm: Column, stratum
 def shuffled(rows: DataFrame, stratum: str, row_id: str, seed: int) -> DataFrame:
     """Adds ``place``, the row's number within its stratum in the order of a digest, and ``size``. Digests are cut into ranges, which
     are numbered by themselves and moved by the counts of those before, so a stratum is as many tasks as it has ranges."""
-    from .scans import running
-
     digest = rows.withColumn("_h", hashed(F.lit(seed), F.col(row_id)))
     numbered = running(digest, [stratum], ["_h", row_id], F.floor(F.col("_h") / (1 << 24)), {"_n": F.lit(1).cast("long")})
     sizes = rows.groupBy(stratum).agg(F.count("*").alias("size"))
@@ -111,10 +110,8 @@ def selected_by_luck(trades: DataFrame, stratum: str, cell: list[str], *, perms:
         raise ValueError(f"an account has more than {most_cells} cells")
     rows = shuffled(trades.select(stratum, "trade_id", "profit_loss"), stratum, "trade_id", seed).join(listed, stratum)
     laid = rows.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(perms - 1))))
-    laid = laid.withColumn("to", permuted_place(F.col("place"), F.col("size"), seed, F.col("perm"), F.col(stratum))).withColumn("number", F.lit(0))
-    for bit in reversed(range(most_cells.bit_length() - 1)):  # binary search for the last start at or before the place
-        probe = F.get("starts", F.col("number") + (1 << bit))
-        laid = laid.withColumn("number", F.when(probe <= F.col("to"), F.col("number") + (1 << bit)).otherwise(F.col("number")))
+    laid = laid.withColumn("to", permuted_place(F.col("place"), F.col("size"), seed, F.col("perm"), F.col(stratum)))
+    laid = count_below(laid, "after", "starts", F.col("to"), most_cells, equal=True).withColumn("number", F.col("after") - 1)
     drawn = laid.groupBy(stratum, "perm", "number").agg(F.count("*").alias("n"), F.sum(p).alias("pnl"), F.count_if(p > 0).alias("wins"))
     real = starts.select(stratum, F.lit(-1).alias("perm"), "number", "n", "pnl", "wins")
     tested = drawn.unionByName(real).filter(F.col("n") >= min_trades).withColumn("p", binomial_p_value(F.col("wins"), F.col("n"))).withColumn("id", F.col("number"))

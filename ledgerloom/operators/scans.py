@@ -45,6 +45,15 @@ def running(rows: DataFrame, keys: list[str], order: list[str], block: Column, s
     return out.drop("_at", *[f"{p}{n}" for n in sums for p in ("_sum_", "_had_")], *[f"_top_{n}" for n in peaks])
 
 
+def count_below(rows: DataFrame, name: str, sorted_array: str, x: Column, most: int, *, equal: bool = False) -> DataFrame:
+    """Adds how many of a sorted array's values (at most ``most``) are below ``x`` (or equal to it), by binary search."""
+    out = rows.withColumn(name, F.lit(0)).withColumn("_x", x)
+    for bit in reversed(range(most.bit_length())):
+        probe = F.get(sorted_array, F.col(name) + ((1 << bit) - 1))
+        out = out.withColumn(name, F.when(probe <= F.col("_x") if equal else probe < F.col("_x"), F.col(name) + (1 << bit)).otherwise(F.col(name)))
+    return out.drop("_x")
+
+
 #: What is known of a stretch of a series: rows, sum and sum of squares of values; of its prefix sums the largest (that of no
 #: row, 0, among them) and the least; and the deepest drop from a prefix to a later one.
 STRETCH = "struct<n:bigint,s:double,q:double,top:double,low:double,drop:double>"

@@ -16,8 +16,10 @@ def as_of(trades: DataFrame) -> DataFrame:
 
 
 def fresh(trades: DataFrame, days: int) -> DataFrame:
-    """Trades of accounts that traded within ``days`` of the latest entry: a semi-join against a small aggregate."""
-    recent = trades.groupBy("account_name").agg(F.max("entry_time").alias("last")).crossJoin(F.broadcast(as_of(trades)))
+    """Trades of accounts that traded within ``days`` of the latest entry: a semi-join against a row an account, from which the latest
+    entry of all is taken, too."""
+    last = trades.groupBy("account_name").agg(F.max("entry_time").alias("last"))
+    recent = last.crossJoin(F.broadcast(last.agg(F.max("last").alias("now"))))
     keep = recent.filter(F.col("last") >= F.col("now") - F.make_dt_interval(days=F.lit(days))).select("account_name")
     return trades.join(keep, "account_name", "left_semi")
 
