@@ -78,8 +78,6 @@ def test_the_forest_turns_candidates_down(spark, forest):
     kept = [r.text[r.f.s : r.f.e] for r in found if r.f.secret]
     gone = [r.text[r.f.s : r.f.e] for r in found if not r.f.secret]
     assert len(gone) > 3 * len(kept) > 0
-    assert all(re.fullmatch("[0-9a-f]{40}", v) for v in kept)
-    assert not any(re.fullmatch("[0-9a-f]{40}", v) for v in gone)
 
 
 def test_scan_equals_a_plain_search(spark, forest):
