@@ -45,6 +45,33 @@ def beta(trades: DataFrame, market: DataFrame) -> DataFrame:
     return j.groupBy("account_name").agg(F.count("*").alias("days"), slope.alias("beta"), F.regr_intercept("pnl", "ret").alias("alpha"), F.regr_r2("pnl", "ret").alias("r2"))
 
 
+def ratios(trades: DataFrame, market: DataFrame, rate: float = 0.02) -> DataFrame:
+    """By account, of daily profit against market returns: alpha a day and a year over what beta explains, the year's tracking error of
+    what it does not, their ratio, and the year's excess profit for each unit of beta (Treynor). ``rate`` is the riskless yearly return.
+
+    All follow from means, variances and one covariance, which combine on the map side.
+    """
+    free = rate / 252
+    g = daily(trades).join(returns(market), "date").groupBy("account_name").agg(
+        F.count("*").alias("days"), F.avg("pnl").alias("p"), F.avg("ret").alias("m"), F.var_pop("pnl").alias("vp"), F.var_pop("ret").alias("vm"), F.covar_pop("pnl", "ret").alias("c")
+    )
+    g = g.filter("vm > 0").withColumn("beta", F.col("c") / F.col("vm"))
+    alpha = F.col("p") - free - F.col("beta") * (F.col("m") - free)
+    error = F.sqrt(F.greatest(F.col("vp") - F.col("beta") * F.col("c"), F.lit(0.0))) * F.sqrt(F.lit(252.0))
+    out = g.withColumns({"alpha_daily": alpha, "alpha_annual": alpha * 252, "tracking_error": error})
+    return out.select("account_name", "days", "beta", "alpha_daily", "alpha_annual", "tracking_error", (F.col("alpha_annual") / F.nullif("tracking_error", F.lit(0.0))).alias("information_ratio"), ((F.col("p") * 252 - rate) / F.nullif("beta", F.lit(0.0))).alias("treynor"))
+
+
+def diversification(correlations: DataFrame) -> DataFrame:
+    """One row: pairs, their mean correlation, the score 1 - mean (0 at least), the strongest and the weakest pair by absolute value,
+    and pairs above 0.7. Takes the result of :func:`account_correlations`; pairs without a correlation count as 0."""
+    c = correlations.withColumn("r", F.coalesce("correlation", F.lit(0.0)))
+    size = F.struct(F.round(F.abs("r"), 9).alias("size"), F.concat_ws("/", "a", "b").alias("pair"))
+    return c.agg(
+        F.count("*").alias("pairs"), F.avg("r").alias("mean_correlation"), F.greatest(F.lit(0.0), 1 - F.avg("r")).alias("score"), F.max(size)["pair"].alias("strongest"), F.min(size)["pair"].alias("weakest"), F.count_if(F.col("r") > 0.7).alias("warnings")
+    )
+
+
 def regime_performance(trades: DataFrame, market: DataFrame, low: float = 15.0, high: float = 25.0) -> DataFrame:
     """By regime of the as-of close: trades, profit, win rate, sharpe times the root of 252."""
     j = asof_close(trades, market).filter("close is not null")

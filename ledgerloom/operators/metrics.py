@@ -181,3 +181,13 @@ def concentration(trades: DataFrame) -> DataFrame:
     base = trades.groupBy("account_name", "symbol").agg(F.abs(F.sum(_pnl())).alias("size"))
     share = F.col("size") / F.nullif(F.sum("size").over(Window.partitionBy("account_name")), F.lit(0.0))
     return base.withColumn("share", share).withColumn("hhi", F.sum(F.col("share") * F.col("share")).over(Window.partitionBy("account_name"))).select("account_name", "symbol", "share", "hhi")
+
+
+def calmar(trades: DataFrame, *keys: str) -> DataFrame:
+    """By key: mean profit, the deepest drop of the running profit from its peak (from zero), and the ratio of both; null without a drop.
+
+    Drops come from a scan over days, so a key is many tasks."""
+    from .series import drawdown
+
+    d = drawdown(trades, *keys).groupBy(*keys).agg(F.avg("profit_loss").alias("mean"), F.max("drawdown").alias("deepest"))
+    return d.withColumn("calmar", F.col("mean") / F.nullif("deepest", F.lit(0.0)))

@@ -11,10 +11,13 @@ from ledgerloom.operators import ensemble as en
 from ledgerloom.operators import fills as fl
 from ledgerloom.operators import fits as ft
 from ledgerloom.operators import learn as ln
+from ledgerloom.operators import market as mk
 from ledgerloom.operators import matching as mc
+from ledgerloom.operators import metrics as mt
 from ledgerloom.operators import resample as rs
 from ledgerloom.operators import scenarios as sc
 from ledgerloom.operators import series as sr
+from ledgerloom.operators import slots as sl
 from ledgerloom.operators import stacking as sk
 
 from . import views as v
@@ -303,3 +306,39 @@ def orphaned_closes(spark, d):
 def parent_fallback_trips(spark, d):
     f = v.orders_log(spark, d).filter("fill_id % 5 <> 0").withColumn("session", tp.session_date(tp.new_york(F.col("ts"))))
     return fl.fifo(mc.unmatched(f, mc.by_parent(f)))
+
+
+_RET = "rt AS (SELECT date, (close / lag(close) OVER (ORDER BY date) - 1) * 100 AS ret FROM market), dp AS (SELECT account_name, CAST(entry_time AS DATE) AS date, sum(profit_loss) AS pnl FROM trades GROUP BY ALL)"
+
+
+@query("market_ratios", """SELECT account_name, days, beta, alpha AS alpha_daily, alpha * 252 AS alpha_annual, error AS tracking_error, alpha * 252 / nullif(error, 0) AS information_ratio, (p * 252 - 0.02) / nullif(beta, 0) AS treynor FROM (
+  SELECT *, p - 0.02 / 252 - beta * (m - 0.02 / 252) AS alpha FROM (
+    SELECT account_name, count(*) AS days, any_value(b) AS beta, avg(pnl) AS p, avg(ret) AS m, stddev_pop(pnl - b * ret) * sqrt(252) AS error FROM (SELECT *, regr_slope(pnl, ret) OVER (PARTITION BY account_name) AS b FROM dp JOIN rt USING (date) WHERE ret IS NOT NULL) GROUP BY 1))""",
+  (v.TRADES, v.MARKET, _RET), "beta alpha_daily alpha_annual tracking_error information_ratio treynor")
+def market_ratios(spark, d):
+    return mk.ratios(v.trades(spark, d), v.market(spark, d))
+
+
+@query("diversification", """SELECT count(*) AS pairs, avg(r) AS mean_correlation, greatest(0, 1 - avg(r)) AS score, arg_max(pair, {'s': round(abs(r), 9), 'p': pair}) AS strongest, arg_min(pair, {'s': round(abs(r), 9), 'p': pair}) AS weakest, count(*) FILTER (r > 0.7) AS warnings FROM (
+  SELECT x.account_name || '/' || y.account_name AS pair, coalesce(corr(x.pnl, y.pnl), 0) AS r FROM dp x JOIN dp y ON x.date = y.date AND x.account_name < y.account_name GROUP BY 1 HAVING count(*) >= 5)""",
+  (v.TRADES, "dp AS (SELECT account_name, CAST(entry_time AS DATE) AS date, sum(profit_loss) AS pnl FROM trades GROUP BY ALL)"), "mean_correlation score")
+def diversification(spark, d):
+    return mk.diversification(mk.account_correlations(v.trades(spark, d)))
+
+
+@query("calmar_ratios", """SELECT account_name, symbol, mean, deepest, mean / nullif(deepest, 0) AS calmar FROM (SELECT account_name, symbol, avg(profit_loss) AS mean, max(greatest(peak, 0) - equity) AS deepest FROM (
+  SELECT *, max(equity) OVER w AS peak FROM (SELECT *, sum(profit_loss) OVER w AS equity FROM trades WINDOW w AS (PARTITION BY account_name, symbol ORDER BY entry_time, trade_id)) WINDOW w AS (PARTITION BY account_name, symbol ORDER BY entry_time, trade_id)) GROUP BY ALL)""", (v.TRADES,), "mean deepest calmar")
+def calmar_ratios(spark, d):
+    return mt.calmar(v.trades(spark, d), "account_name", "symbol")
+
+
+@query("rolling_vote_quarter", """SELECT symbol, slot, dow, account_name, votes, share, CASE WHEN share >= 0.75 THEN 'High' WHEN share >= 0.5 THEN 'Medium' ELSE 'Low' END AS confidence FROM (
+  SELECT *, row_number() OVER (PARTITION BY symbol, slot, dow ORDER BY votes DESC, account_name) AS r FROM (
+    SELECT *, votes / sum(votes) OVER (PARTITION BY symbol, slot, dow) AS share FROM (
+      SELECT symbol, slot, dow, account_name, count(*) AS votes FROM (
+        SELECT *, row_number() OVER (PARTITION BY w, symbol, slot, dow ORDER BY score DESC, account_name) AS k FROM (
+          SELECT w, account_name, symbol, slot, dow, sum(profit_loss * pow(0.85, ago)) / sum(pow(0.85, ago)) AS score FROM (
+            SELECT *, floor(date_diff('day', CAST(entry_time AS DATE), CAST((SELECT max(entry_time) FROM trades) AS DATE)) / 7) AS ago FROM trades), (SELECT unnest([1, 2, 4, 8, 13]) AS w)
+          WHERE ago < w GROUP BY ALL HAVING count(*) >= 3)) WHERE k = 1 GROUP BY ALL))) WHERE r = 1""", (v.TRADES,), "share")
+def rolling_vote_quarter(spark, d):
+    return sl.rolling_vote(v.trades(spark, d), weeks=(1, 2, 4, 8, 13))
