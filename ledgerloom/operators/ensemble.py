@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.stats import binomial_p_value
+
+from .series import adjusted_p
 from .validation import _within, folds
 
 
@@ -83,3 +86,22 @@ def sticky_walk_forward(trades: DataFrame, keys: list[str], market: DataFrame |
     sigma = F.sqrt(F.greatest((F.col("square") - F.col("pnl") * F.col("pnl") / F.col("n")) / F.nullif(F.col("n") - 1, F.lit(0)), F.lit(0.0)))
     sharpe = F.col("pnl") / F.col("n") / F.nullif(sigma, F.lit(0.0)) * F.sqrt(F.col("n") / F.lit(test_days) * 252)
     return cells.join(s, "fold", "left").select("fold", "cells", F.coalesce("n", F.lit(0)).alias("n"), F.col("pnl").alias("total"), (F.col("wins") / F.col("n")).alias("win_rate"), sharpe.alias("sharpe"))
+
+
+def significant_walk_forward(trades: DataFrame, keys: list[str], *, train_days: int = 252, test_days: int = 63, min_trades: int = 30, rate: float = 0.05) -> DataFrame:
+    """By fold: how many cells of accounts are significant in training (exact one-sided p of the win rate, adjusted within fold and
+    account, half or more wins, mean above zero), and what they gave in the test window; zeros where none is.
+
+    All folds are one plan over daily sums, and the p values are of aggregated rows.
+    """
+    p = F.col("profit_loss")
+    partial = trades.groupBy("account_name", *keys, F.to_date("entry_time").alias("day")).agg(F.sum(p).alias("pnl"), F.count("*").alias("n"), F.count_if(p > 0).alias("wins"))
+    f = folds(trades, train_days, test_days)
+    trained = _within(partial, f, "train_lo", "train_hi").groupBy("fold", "account_name", *keys).agg(*[F.sum(c).alias(c) for c in ("pnl", "n", "wins")]).filter(F.col("n") >= min_trades)
+    tested = trained.withColumn("p", binomial_p_value(F.col("wins"), F.col("n"))).withColumn("id", F.struct(*keys))
+    q = adjusted_p(tested, ["fold", "account_name"])
+    picks = q.filter((F.col("q") <= rate) & (2 * F.col("wins") >= F.col("n")) & (F.col("pnl") > 0)).select("fold", "account_name", *keys)
+    later = _within(partial, f, "test_lo", "test_hi").join(picks, ["fold", "account_name", *keys]).groupBy("fold").agg(F.sum("n").alias("n"), F.sum("pnl").alias("total"), F.sum("wins").alias("wins"))
+    cells = trained.groupBy("fold").agg(F.count("*").alias("tested")).join(picks.groupBy("fold").agg(F.count("*").alias("cells")), "fold", "left")
+    out = f.select("fold").join(cells, "fold", "left").join(later, "fold", "left")
+    return out.select("fold", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("tested", "cells", "n")], F.coalesce("total", F.lit(0.0)).alias("total"), (F.col("wins") / F.col("n")).alias("win_rate"))

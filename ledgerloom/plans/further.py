@@ -342,3 +342,17 @@ def calmar_ratios(spark, d):
           WHERE ago < w GROUP BY ALL HAVING count(*) >= 3)) WHERE k = 1 GROUP BY ALL))) WHERE r = 1""", (v.TRADES,), "share")
 def rolling_vote_quarter(spark, d):
     return sl.rolling_vote(v.trades(spark, d), weeks=(1, 2, 4, 8, 13))
+
+
+# Every fold's significant cells at a rate of 0.37 (the tables hold no strong cell).
+@query("significant_walk_forward", """WITH span AS (SELECT min(CAST(entry_time AS DATE)) AS lo, max(CAST(entry_time AS DATE)) AS hi FROM daily),
+  f AS (SELECT fold, lo + fold::INTEGER * 63 AS a, lo + fold::INTEGER * 63 + 252 AS b FROM (SELECT lo, unnest(range(0, (hi - lo - 252) // 63 + 1)) AS fold FROM span)),
+  c AS (SELECT fold, account_name, symbol, slot, count(*) AS n, count(*) FILTER (profit_loss > 0) AS wins, sum(profit_loss) AS pnl FROM daily JOIN f ON CAST(entry_time AS DATE) >= a AND CAST(entry_time AS DATE) < b GROUP BY ALL HAVING count(*) >= 15),
+  t AS (SELECT *, list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)) for i in range(wins, n + 1)]) AS p FROM c),
+  q AS (SELECT *, least(min(p * m / k) OVER (PARTITION BY fold, account_name ORDER BY k DESC ROWS UNBOUNDED PRECEDING), 1.0) AS q FROM (SELECT *, count(*) OVER (PARTITION BY fold, account_name) AS m, row_number() OVER (PARTITION BY fold, account_name ORDER BY p, symbol, slot) AS k FROM t)),
+  s AS (SELECT fold, account_name, symbol, slot FROM q WHERE q <= 0.37 AND 2 * wins >= n AND pnl > 0),
+  e AS (SELECT fold, count(*) AS n, sum(profit_loss) AS total, count(*) FILTER (profit_loss > 0) / count(*) AS win_rate FROM daily d JOIN f ON CAST(entry_time AS DATE) >= b AND CAST(entry_time AS DATE) < b + 63 JOIN s USING (fold, account_name, symbol, slot) GROUP BY 1)
+  SELECT fold, coalesce(tested, 0)::BIGINT AS tested, coalesce(cells, 0)::BIGINT AS cells, coalesce(n, 0)::BIGINT AS n, coalesce(total, 0.0)::DOUBLE AS total, win_rate
+  FROM f LEFT JOIN (SELECT fold, count(*) AS tested FROM c GROUP BY 1) USING (fold) LEFT JOIN (SELECT fold, count(*) AS cells FROM s GROUP BY 1) USING (fold) LEFT JOIN e USING (fold)""", (v.DAILY,), "total win_rate")
+def significant_walk_forward(spark, d):
+    return en.significant_walk_forward(v.daily_trades(spark, d), ["symbol", "slot"], min_trades=15, rate=0.37)
