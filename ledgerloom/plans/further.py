@@ -14,6 +14,7 @@ from ledgerloom.operators import learn as ln
 from ledgerloom.operators import market as mk
 from ledgerloom.operators import matching as mc
 from ledgerloom.operators import metrics as mt
+from ledgerloom.operators import optimize as op
 from ledgerloom.operators import resample as rs
 from ledgerloom.operators import scenarios as sc
 from ledgerloom.operators import series as sr
@@ -356,3 +357,16 @@ def rolling_vote_quarter(spark, d):
   FROM f LEFT JOIN (SELECT fold, count(*) AS tested FROM c GROUP BY 1) USING (fold) LEFT JOIN (SELECT fold, count(*) AS cells FROM s GROUP BY 1) USING (fold) LEFT JOIN e USING (fold)""", (v.DAILY,), "total win_rate")
 def significant_walk_forward(spark, d):
     return en.significant_walk_forward(v.daily_trades(spark, d), ["symbol", "slot"], min_trades=15, rate=0.37)
+
+
+@query("portfolio_weights")
+def portfolio_weights(spark, d):
+    trades = v.trades(spark, d)
+    rows = [(m, a, round(w, 6)) for m in ("min_variance", "mean_variance", "risk_parity", "kelly") for a, w in op.weights(trades, m).items()]
+    return spark.createDataFrame(rows, "method string, account_name string, weight double")
+
+
+@query("forward_models")
+def forward_models(spark, d):
+    rows = ln.table(v.trades(spark, d), "account_name")
+    return ln.forward_test(rows, "2024-01-21 00:00:00", ("linear", "forest")).select("model", "n", F.round("rmse", 6).alias("rmse"), F.round("hit_rate", 6).alias("hit_rate"))
