@@ -15,6 +15,7 @@ from ledgerloom.operators import market as mk
 from ledgerloom.operators import matching as mc
 from ledgerloom.operators import metrics as mt
 from ledgerloom.operators import optimize as op
+from ledgerloom.operators import recommend as rc
 from ledgerloom.operators import resample as rs
 from ledgerloom.operators import scenarios as sc
 from ledgerloom.operators import series as sr
@@ -370,3 +371,39 @@ def portfolio_weights(spark, d):
 def forward_models(spark, d):
     rows = ln.table(v.trades(spark, d), "account_name")
     return ln.forward_test(rows, "2024-01-21 00:00:00", ("linear", "forest")).select("model", "n", F.round("rmse", 6).alias("rmse"), F.round("hit_rate", 6).alias("hit_rate"))
+
+
+def _bin_sql(where: str) -> str:
+    """Metrics of an account's bins among some of its trades."""
+    w = "(PARTITION BY account_name, slot ORDER BY entry_time, trade_id ROWS UNBOUNDED PRECEDING)"
+    return f"""SELECT account_name, slot, count(*) AS n, count(*) FILTER (profit_loss > 0) AS wins, avg(profit_loss) AS mean, count(*) FILTER (profit_loss > 0) / count(*) AS win_rate, sum(profit_loss) FILTER (profit_loss > 0) / nullif(abs(sum(profit_loss) FILTER (profit_loss < 0)), 0) AS profit_factor,
+      252 * avg(profit_loss) / nullif(stddev_samp(profit_loss) * sqrt(252), 0) AS sharpe, max(dd) AS worst_drop FROM (SELECT *, max(e) OVER {w} - e AS dd FROM (SELECT *, sum(profit_loss) OVER {w} AS e FROM trades WHERE {where})) GROUP BY 1, 2"""
+
+
+_RECOMMENDED = f"""bm AS ({_bin_sql("entry_time < '2024-01-23'")}), later AS ({_bin_sql("entry_time >= '2024-01-23'")}),
+  tb AS (SELECT *, list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)) for i in range(wins, n + 1)]) AS p FROM bm WHERE n >= 20),
+  qb AS (SELECT *, least(min(p * m / k) OVER (PARTITION BY account_name ORDER BY k DESC ROWS UNBOUNDED PRECEDING), 1.0) AS q FROM (SELECT *, count(*) OVER (PARTITION BY account_name) AS m, row_number() OVER (PARTITION BY account_name ORDER BY p, slot) AS k FROM tb)),
+  rated AS (SELECT b.account_name, b.slot, b.n, b.mean, b.win_rate, b.q, 0.4 * b.mean + 30.0 * b.win_rate + 2.0 * coalesce(b.sharpe, 0) + 0.5 * coalesce(b.profit_factor, 0) AS score,
+    CASE WHEN q <= 0.37 AND b.n >= 100 THEN 'High' WHEN q <= 0.37 AND b.n >= 50 THEN 'Medium' ELSE 'Low' END AS confidence, CASE WHEN b.worst_drop > 10 * b.mean THEN 'High' WHEN b.worst_drop > 5 * b.mean THEN 'Medium' ELSE 'Low' END AS risk,
+    CASE WHEN l.account_name IS NULL THEN 'pending' WHEN coalesce(l.sharpe > 0 AND l.worst_drop < greatest(3 * abs(b.mean), 300), false) THEN 'validated' ELSE 'failed' END AS status
+    FROM qb b LEFT JOIN later l ON l.account_name = b.account_name AND l.slot = b.slot WHERE b.win_rate >= 0.4 AND b.mean >= 0),
+  recommended AS (SELECT *, row_number() OVER (PARTITION BY account_name, status ORDER BY round(score, 6) DESC, slot) AS place FROM rated)"""
+
+
+def _recommended(spark, d):
+    t = v.trades(spark, d)
+    cut = F.lit("2024-01-23").cast("timestamp_ntz")
+    train, test = t.filter(F.col("entry_time") < cut), t.filter(F.col("entry_time") >= cut)
+    return train, rc.bins(train, test, ["slot"], min_trades=20, min_win_rate=0.4, significant=False, rate=0.37, least_drop=300.0)
+
+
+# Slots that were good until 23 January, and whether they still were afterwards.
+@query("recommended_bins", "SELECT account_name, slot, n, mean, win_rate, q, score, confidence, risk, status, place FROM recommended", (v.TRADES, _RECOMMENDED), "mean win_rate q score")
+def recommended_bins(spark, d):
+    return _recommended(spark, d)[1]
+
+
+@query("recommendation_summary", "SELECT account_name, bins, coalesce(met, 0) AS met, coalesce(validated, 0) AS validated, coalesce(pending, 0) AS pending, coalesce(failed, 0) AS failed FROM (SELECT account_name, count(DISTINCT slot) AS bins FROM bm GROUP BY 1) LEFT JOIN (SELECT account_name, count(*) AS met, count(*) FILTER (status = 'validated') AS validated, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'failed') AS failed FROM recommended GROUP BY 1) USING (account_name)", (v.TRADES, _RECOMMENDED))
+def recommendation_summary(spark, d):
+    train, found = _recommended(spark, d)
+    return rc.summary(train, found, ["slot"])
