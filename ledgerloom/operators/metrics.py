@@ -191,3 +191,14 @@ def calmar(trades: DataFrame, *keys: str) -> DataFrame:
 
     d = drawdown(trades, *keys).groupBy(*keys).agg(F.avg("profit_loss").alias("mean"), F.max("drawdown").alias("deepest"))
     return d.withColumn("calmar", F.col("mean") / F.nullif("deepest", F.lit(0.0)))
+
+
+def weighted_quality(trades: DataFrame, days: int = 730) -> DataFrame:
+    """:func:`quality_scores` with timeliness, the share of trades entered in the ``days`` before the latest entry of all, and the
+    overall score by weights of 0.25, 0.30, 0.20, 0.15 and 0.10."""
+    latest = trades.agg(F.max("entry_time").alias("latest"))
+    recent = F.col("entry_time") >= F.col("latest") - F.make_dt_interval(days=F.lit(days))
+    timely = trades.select("account_name", "entry_time").crossJoin(F.broadcast(latest)).groupBy("account_name").agg((100.0 * F.count_if(recent) / F.count("*")).alias("timeliness"))
+    weights = {"completeness": 0.25, "accuracy": 0.3, "consistency": 0.2, "timeliness": 0.15, "uniqueness": 0.1}
+    overall = sum((w * F.col(c) for c, w in weights.items()), F.lit(0.0))
+    return quality_scores(trades).drop("score").join(timely, "account_name").withColumn("score", overall)

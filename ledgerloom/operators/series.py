@@ -39,6 +39,25 @@ def drawdown_periods(trades: DataFrame, *keys: str) -> DataFrame:
     return under.groupBy(*keys, "island").agg(F.min("entry_time").alias("start"), F.max("drawdown").alias("depth"), F.count("*").alias("n"), (~F.bool_or("open")).alias("recovered"))
 
 
+def drawdown_recoveries(trades: DataFrame, *keys: str) -> DataFrame:
+    """:func:`drawdown_periods` with the time of the deepest point (the first of equals) and that of the new peak that ended it, if any."""
+    d = drawdown(trades, *keys)
+    before = Window.partitionBy(*keys).orderBy(*BY_TRADE)
+    new_peak = F.when(F.col("peak") > F.coalesce(F.lag("peak").over(before), F.lit(0.0)), 1).otherwise(0)
+    island = d.withColumn("np", new_peak).withColumn("island", F.sum("np").over(_upto(*keys)))
+    under = F.col("drawdown") > 0
+    deepest = F.min(F.when(under, F.struct((-F.round("drawdown", 6)).alias("d"), "entry_time", "trade_id")))
+    each = island.groupBy(*keys, "island").agg(F.min("entry_time").alias("began"), F.min(F.when(under, F.col("entry_time"))).alias("start"), F.max("drawdown").alias("depth"), deepest["entry_time"].alias("trough"), F.count_if(under).alias("n"))
+    return each.withColumn("recovery", F.lead("began").over(Window.partitionBy(*keys).orderBy("island"))).filter("n > 0").drop("began")
+
+
+def sequence_features(trades: DataFrame, *keys: str) -> DataFrame:
+    """Result of the next trade, trades left in the day, and whether the side is that of the trade before."""
+    w = Window.partitionBy(*keys).orderBy(*BY_TRADE)
+    day = Window.partitionBy(*keys, F.to_date("entry_time")).orderBy(*BY_TRADE).rowsBetween(1, Window.unboundedFollowing)
+    return trades.withColumns({"next": F.lead(_pnl()).over(w), "left_today": F.count("*").over(day), "same_side": F.col("side") == F.lag("side").over(w)})
+
+
 def rolling_drops(trades: DataFrame, days: int, *keys: str, least: int = 2) -> DataFrame:
     """For every trade with ``least`` trades or more in the ``days`` up to its exit: their number and profit, sharpe (times the root
     of 252), and the deepest drop within them from a peak that begins at zero. Trades are taken by exit, then id; those with one

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import timeplane as tp
@@ -407,3 +408,32 @@ def recommended_bins(spark, d):
 def recommendation_summary(spark, d):
     train, found = _recommended(spark, d)
     return rc.summary(train, found, ["slot"])
+
+
+@query("quality_scores_weighted", """SELECT *, 0.25 * completeness + 0.3 * accuracy + 0.2 * consistency + 0.15 * timeliness + 0.1 * uniqueness AS score FROM (
+  SELECT account_name, count(*) AS n, 100.0 * count(*) FILTER (entry_time IS NOT NULL AND exit_time IS NOT NULL AND profit_loss IS NOT NULL) / count(*) AS completeness, 100.0 * count(*) FILTER (abs(profit_loss) <= 10000 AND quantity > 0) / count(*) AS accuracy, 100.0 * count(*) FILTER (exit_time >= entry_time) / count(*) AS consistency,
+    100.0 * count(DISTINCT (symbol, entry_time, exit_time, profit_loss)) / count(*) AS uniqueness, 100.0 * count(*) FILTER (entry_time >= (SELECT max(entry_time) FROM daily) - INTERVAL 730 DAY) / count(*) AS timeliness FROM daily GROUP BY 1)""", (v.DAILY,), "completeness accuracy consistency uniqueness timeliness score")
+def quality_scores_weighted(spark, d):
+    return mt.weighted_quality(v.daily_trades(spark, d))
+
+
+@query("best_days", "SELECT account_name, dow, total, rank FROM (SELECT *, row_number() OVER (PARTITION BY account_name ORDER BY round(total, 6) DESC, dow) AS rank FROM (SELECT account_name, dow, sum(profit_loss) AS total FROM trades GROUP BY ALL)) WHERE rank <= 2", (v.TRADES,), "total")
+def best_days(spark, d):
+    by = v.trades(spark, d).groupBy("account_name", "dow").agg(F.sum("profit_loss").alias("total"))
+    rank = F.row_number().over(Window.partitionBy("account_name").orderBy(F.desc(F.round("total", 6)), "dow"))
+    return by.withColumn("rank", rank).filter("rank <= 2")
+
+
+_BY = "(PARTITION BY account_name ORDER BY entry_time, trade_id)"
+
+
+@query("drawdown_recoveries", f"""SELECT account_name, island, start, depth, trough, n, recovery FROM (SELECT *, lead(began) OVER (PARTITION BY account_name ORDER BY island) AS recovery FROM (
+  SELECT account_name, island, min(entry_time) AS began, min(entry_time) FILTER (dd > 0) AS start, max(dd) AS depth, (min({{'d': -round(dd, 6), 't': entry_time, 'i': trade_id}}) FILTER (dd > 0)).t AS trough, count(*) FILTER (dd > 0) AS n FROM (
+    SELECT *, sum(np) OVER {_BY} AS island FROM (SELECT *, (peak > coalesce(lag(peak) OVER {_BY}, 0))::INT AS np, peak - equity AS dd FROM (SELECT *, greatest(max(equity) OVER {_BY}, 0) AS peak FROM (SELECT *, sum(profit_loss) OVER {_BY} AS equity FROM trades)))) GROUP BY ALL)) WHERE n > 0""", (v.TRADES,), "depth")
+def drawdown_recoveries(spark, d):
+    return sr.drawdown_recoveries(v.trades(spark, d), "account_name")
+
+
+@query("sequence_features", f"""SELECT trade_id, lead(profit_loss) OVER {_BY} AS next, count(*) OVER (PARTITION BY account_name, CAST(entry_time AS DATE) ORDER BY entry_time, trade_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS left_today, side = lag(side) OVER {_BY} AS same_side FROM trades""", (v.TRADES,), "next")
+def sequence_features(spark, d):
+    return sr.sequence_features(v.trades(spark, d), "account_name").select("trade_id", "next", "left_today", "same_side")
