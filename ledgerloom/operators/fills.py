@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.lineage import cut
+
 from .scans import running
 
 BOOK = ["account", "symbol", "session"]
@@ -46,13 +48,15 @@ def deduplicated(fills: DataFrame, per_second: int = 4, extra: tuple[str, ...] =
 
 def engine(fills: DataFrame, local: Column, session: Column, *, by: tuple[str, ...] = ("account", "symbol"), extra: tuple[str, ...] = (), message: str | None = None) -> DataFrame:
     """The chain from raw fills to those that are paired, each with its ``session``: plausible ones, repeats dropped, ghosts dropped, and
-    in books that lost ghosts the closes dropped that meet a flat position."""
+    in books that lost ghosts the closes dropped that meet a flat position.
+
+    Fills are read several times after this (both sides of a match, sums and their carries), so the result is a checkpoint."""
     from .matching import orphaned_closes
 
     minutes = F.hour(local) * 60 + F.minute(local)
-    marked = classified(plausible(fills), minutes, by=by, message=message).withColumn("session", session)
-    ghosts, real = marked.filter("is_ghost"), deduplicated(marked.filter("not is_ghost"), extra=extra)
-    return real.join(orphaned_closes(real, ghosts), "fill_id", "left_anti")
+    marked = cut(classified(plausible(fills), minutes, by=by, message=message).withColumn("session", session))
+    ghosts, real = marked.filter("is_ghost"), cut(deduplicated(marked.filter("not is_ghost"), extra=extra))
+    return cut(real.join(orphaned_closes(real, ghosts), "fill_id", "left_anti"))
 
 
 def fifo(fills: DataFrame) -> DataFrame:

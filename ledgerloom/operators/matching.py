@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,6 +51,10 @@ def complete(fills: DataFrame) -> DataFrame:
     return fills.join(flat, BOOK, "left_semi")
 
 
+#: Arrow types of what hours are reduced to.
+_TYPES = {"total": pa.field("total", pa.int64()), "from": pa.field("from", pa.list_(pa.int64())), "to": pa.field("to", pa.list_(pa.int64())), "fill_id": pa.field("fill_id", pa.int64())}
+
+
 def _shift(steps: list[tuple[int, bool]]) -> tuple[int, dict[int, int]]:
     """What a block of fills does to a position: it adds the total, but for the positions listed, which meet a close while flat.
 
@@ -79,30 +85,50 @@ def orphaned_closes(fills: DataFrame, ghosts: DataFrame) -> DataFrame:
     """
     books = ghosts.select(*BOOK).distinct()
     held = fills.join(books, BOOK, "left_semi").select(*BOOK, F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour"), "fill_id", "ts", "side", "quantity", "open_close")
-
-    def steps(table: pa.Table) -> tuple[list[int], list[tuple[int, bool]]]:
-        rows = table.sort_by([("ts", "ascending"), ("fill_id", "ascending")])
-        found = [(i, n if side == "BUY" else -n, (kind or "").upper() == "CLOSE") for i, side, n, kind in zip(*(rows[c].to_pylist() for c in ("fill_id", "side", "quantity", "open_close")), strict=True)]
-        return [f[0] for f in found], [f[1:] for f in found]
-
-    def summed(table: pa.Table) -> pa.Table:
-        total, odd = _shift(steps(table)[1])
-        keys = [*BOOK, "hour"]
-        ids = [pa.array(table[c][:1].to_pylist(), table.schema.field(c).type) for c in keys]
-        return pa.table([*ids, pa.array([total], pa.int64()), pa.array([list(odd)], pa.list_(pa.int64())), pa.array([list(odd.values())], pa.list_(pa.int64()))], names=[*keys, "total", "from", "to"])
-
-    def walked(table: pa.Table) -> pa.Table:
-        position, gone = table["start"][0].as_py(), []
-        for i, (q, closes) in zip(*steps(table), strict=True):
+    keys = [*BOOK, "hour"]
+    kinds = dict(held.dtypes)
+    named = ", ".join(f"{c} {kinds[c]}" for c in keys)
+    step = lambda r: (r["quantity"] if r["side"] == "BUY" else -r["quantity"], (r["open_close"] or "").upper() == "CLOSE")
+
+    def each_hour(make: Callable[[dict, list[dict]], list[dict]], names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """``make`` of every hour's rows, which come sorted, so that one hour is held at a time."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kind, key, rows = None, None, []
+            for batch in batches:
+                kind = kind or pa.schema([_TYPES[n] if n in _TYPES else batch.schema.field(n) for n in names])
+                out = []
+                for r in batch.to_pylist():
+                    k = tuple(r[c] for c in keys)
+                    if rows and k != key:
+                        out += make(dict(zip(keys, key, strict=True)), rows)
+                        rows = []
+                    key = k
+                    rows.append(r)
+                yield pa.RecordBatch.from_pylist(out, schema=kind)
+            if rows:
+                yield pa.RecordBatch.from_pylist(make(dict(zip(keys, key, strict=True)), rows), schema=kind)
+
+        return run
+
+    def summed(key: dict, rows: list[dict]) -> list[dict]:
+        total, odd = _shift([step(r) for r in rows])
+        return [key | {"total": total, "from": list(odd), "to": list(odd.values())}]
+
+    def walked(key: dict, rows: list[dict]) -> list[dict]:
+        position, gone = rows[0]["start"], []
+        for r in rows:
+            q, closes = step(r)
             if position == 0 and closes:
-                gone.append(i)
+                gone.append({"fill_id": r["fill_id"]})
             else:
                 position += q
-        return pa.table({"fill_id": pa.array(gone, pa.int64())})
+        return gone
 
-    named = ", ".join(f"{c} {t}" for c, t in held.dtypes if c in BOOK)
-    hours = held.groupBy(*BOOK, "hour").applyInArrow(summed, f"{named}, hour timestamp, total long, `from` array<long>, `to` array<long>")
+    dealt = held.repartition(*keys).sortWithinPartitions(*keys, "ts", "fill_id")
+    hours = dealt.mapInArrow(each_hour(summed, [*keys, "total", "from", "to"]), f"{named}, total long, `from` array<long>, `to` array<long>")
     before = Window.partitionBy(*BOOK).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
     shifts = F.collect_list(F.struct("total", F.map_from_arrays("from", "to").alias("odd"))).over(before)
-    starts = hours.select(*BOOK, "hour", F.aggregate(shifts, F.lit(0).cast("long"), lambda p, x: F.coalesce(F.try_element_at(x["odd"], p), p + x["total"])).alias("start"))
-    return held.join(starts, [*BOOK, "hour"]).groupBy(*BOOK, "hour").applyInArrow(walked, "fill_id long")
+    starts = hours.select(*keys, F.aggregate(shifts, F.lit(0).cast("long"), lambda p, x: F.coalesce(F.try_element_at(x["odd"], p), p + x["total"])).alias("start"))
+    known = held.join(starts, keys).repartition(*keys).sortWithinPartitions(*keys, "ts", "fill_id")
+    return known.mapInArrow(each_hour(walked, ["fill_id"]), "fill_id long")
