@@ -116,8 +116,9 @@ def orphaned_closes(fills: DataFrame, ghosts: DataFrame) -> DataFrame:
         return [key | {"total": total, "from": list(odd), "to": list(odd.values())}]
 
     def walked(key: dict, rows: list[dict]) -> list[dict]:
+        # The row without a fill comes first and has the position before the hour.
         position, gone = rows[0]["start"], []
-        for r in rows:
+        for r in rows[1:]:
             q, closes = step(r)
             if position == 0 and closes:
                 gone.append({"fill_id": r["fill_id"]})
@@ -130,5 +131,8 @@ def orphaned_closes(fills: DataFrame, ghosts: DataFrame) -> DataFrame:
     before = Window.partitionBy(*BOOK).orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
     shifts = F.collect_list(F.struct("total", F.map_from_arrays("from", "to").alias("odd"))).over(before)
     starts = hours.select(*keys, F.aggregate(shifts, F.lit(0).cast("long"), lambda p, x: F.coalesce(F.try_element_at(x["odd"], p), p + x["total"])).alias("start"))
-    known = held.join(starts, keys).repartition(*keys).sortWithinPartitions(*keys, "ts", "fill_id")
+    # Starts come as rows of their own. After a join on the same keys the shuffle by hours would be left out as done already, and a
+    # join that is broadcast while it runs then reads its fills undealt, so that tasks hold parts of hours.
+    known = held.withColumn("start", F.lit(None).cast("long")).unionByName(starts, allowMissingColumns=True)
+    known = known.withColumn("_fill", F.when(F.col("start").isNull(), 1).otherwise(0)).repartition(*keys).sortWithinPartitions(*keys, "_fill", "ts", "fill_id")
     return known.mapInArrow(each_hour(walked, ["fill_id"]), "fill_id long")

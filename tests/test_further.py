@@ -221,6 +221,32 @@ def test_hours_of_a_book_compose(spark):
     assert {x.fill_id for x in got} == want and len(got) == len(want) > 5
 
 
+def test_hours_stay_whole_where_joins_are_broadcast_while_they_run(spark):
+    from ledgerloom.operators import matching as mc
+
+    r = random.Random(3)
+    rows, want, position = [], set(), {}
+    for i in range(4000):
+        side, n, kind, book = r.choice(["BUY", "SELL"]), r.randint(1, 3), r.choice(["OPEN", "OPEN", "CLOSE"]), r.choice("ABC")
+        rows.append((book, "NQ", "s", i, T0 + timedelta(seconds=9 * i), side, n, kind))
+        if position.setdefault(book, 0) == 0 and kind == "CLOSE":
+            want.add(i)
+        else:
+            position[book] += n if side == "BUY" else -n
+    schema = "account string, symbol string, session string, fill_id long, ts timestamp, side string, quantity int, open_close string"
+    ghosts = spark.createDataFrame([(b, "NQ", "s") for b in "ABC"], "account string, symbol string, session string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "100k")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = mc.orphaned_closes(spark.createDataFrame(rows, schema).repartition(8), ghosts).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(x.fill_id for x in got) == sorted(want) and len(want) > 5
+
+
 def test_ghosts_by_message_file_and_order(spark):
     from ledgerloom.operators import fills as fl
 
