@@ -200,21 +200,30 @@ def _places(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _contexts(wanted: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """Bytes of the wanted contexts, cut from the texts they stand in."""
-    by_text = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("h", "ctx", "first", "final", "c")).alias("cuts"))
+    """Bytes of the wanted contexts, cut from the texts they stand in. ``m``, how many contexts their anchor has, goes along."""
+    by_text = wanted.groupBy("id", "th").agg(F.collect_list(F.struct("h", "m", "ctx", "first", "final", "c")).alias("cuts"))
     joined = docs.join(by_text.withColumnRenamed("id", "_id").withColumnRenamed("th", "_th"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")))
     # A text in several rows with one id gives its contexts once only.
     once = joined.groupBy("_id", "_th").agg(F.first("text").alias("text"), F.first("cuts").alias("cuts"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["h", "ctx", "width", "c", "data"]
+        names = ["h", "m", "ctx", "width", "c", "data"]
         for part in parts:
             for text, cuts in zip(part.column("text"), part.column("cuts"), strict=True):
                 raw, rows = text.as_py().encode(), cuts.as_py()
-                columns = [[r[n] for r in rows] for n in ("h", "ctx", "c")]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array([r["final"] - r["first"] for r in rows], pa.int32()), pa.array(columns[2], pa.int64()), pa.array([raw[r["first"] : r["final"] + size] for r in rows], pa.binary())], names)
+                columns = [[r[n] for r in rows] for n in ("h", "m", "ctx", "c")]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array([r["final"] - r["first"] for r in rows], pa.int32()), pa.array(columns[3], pa.int64()), pa.array([raw[r["first"] : r["final"] + size] for r in rows], pa.binary())], names)
 
-    return once.select("text", "cuts").mapInArrow(run, "h long, ctx long, width int, c long, data binary")
+    return once.select("text", "cuts").mapInArrow(run, "h long, m long, ctx long, width int, c long, data binary")
+
+
+def _by_number(contexts: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Stored contexts of anchors that have at most ``most``, and those of the others.
+
+    A filter, not a join on the anchor: after such a join the shuffle by anchor would be left out as done already, and where the join
+    is broadcast while it runs, its rows are read undealt, so that tasks hold parts of an anchor.
+    """
+    return contexts.filter(F.col("m") <= most).drop("m"), contexts.filter(F.col("m") > most).drop("m")
 
 
 _SPANS = "h long, ctx long, width int, spans array<struct<a:int,b:int>>"
@@ -281,10 +290,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # of their anchor; a context alone with its anchor repeats nothing more.
     whole = kinds.filter("c > 1").select("h", "ctx", "width", F.array(F.struct(F.lit(0).alias("a"), (F.col("width") + size).alias("b"))).alias("spans"))
     mixed = stored(kinds.groupBy("h").agg(F.count("*").alias("m"), F.min("c").alias("least")).filter("m > 1 and least = 1").select("h", "m"), "mixed")
-    wanted = kinds.join(mixed, "h").select("h", "ctx", "c", "id", "th", "first", "final")
+    wanted = kinds.join(mixed, "h").select("h", "m", "ctx", "c", "id", "th", "first", "final")
     contexts = stored(_contexts(wanted, keyed, size), "contexts")
-    hot = mixed.filter(F.col("m") > most_contexts).select("h")
-    compared = _tree_spans(contexts.join(hot, "h", "left_anti"), size).unionByName(_dealt_spans(contexts.join(hot, "h"), size))
+    few, hot = _by_number(contexts, most_contexts)
+    compared = _tree_spans(few, size).unionByName(_dealt_spans(hot, size))
     spans = stored(compared.filter(F.size("spans") > 0).unionByName(whole), "spans")
     found = shared.join(spans, ["h", "ctx", "width"]).select("id", "th", F.transform("spans", lambda s: F.struct((s["a"] + F.col("first")).alias("a"), (s["b"] + F.col("first")).alias("b"))).alias("spans"))
     return found.groupBy("id", "th").agg(F.flatten(F.collect_set("spans")).alias("spans"))
@@ -337,11 +346,11 @@ def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared, kinds = _shared(keyed, size)
     whole = kinds.filter("c > 1").select("h", F.xxhash64("ctx", "width", F.lit(1)).alias("g"), (F.col("width") + size).alias("length"), "ctx", "width", F.lit(0).alias("at"))
     mixed = stored(kinds.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1"), "mixed")
-    contexts = stored(_contexts(kinds.join(mixed, "h").select("h", "ctx", "c", "id", "th", "first", "final"), keyed, size), "contexts")
-    hot = mixed.filter(F.col("m") > most_contexts).select("h")
-    strings = contexts.join(hot, "h").select("h", "ctx", "width", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("width")), lambda i: F.xxhash64(F.substring("data", i + 1, F.lit(size))))).alias("at", "g"))
+    contexts = stored(_contexts(kinds.join(mixed, "h").select("h", "m", "ctx", "c", "id", "th", "first", "final"), keyed, size), "contexts")
+    few, hot = _by_number(contexts, most_contexts)
+    strings = hot.select("h", "ctx", "width", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("width")), lambda i: F.xxhash64(F.substring("data", i + 1, F.lit(size))))).alias("at", "g"))
     dealt = strings.select("h", "g", F.lit(size).alias("length"), "ctx", "width", "at")
-    found = whole.unionByName(_tree_groups(contexts.join(hot, "h", "left_anti"), size)).unionByName(dealt)
+    found = whole.unionByName(_tree_groups(few, size)).unionByName(dealt)
     places = shared.join(found, ["h", "ctx", "width"]).select(F.xxhash64("h", "g", "length").alias("g"), "length", F.col("id").alias("row"), (F.col("first") + F.col("at")).cast("long").alias("start"))
     places = stored(places.distinct(), "occurrences")
     # What a group has in common with one shifted by some bytes: its number of occurrences and their distances from the first.

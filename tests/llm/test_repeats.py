@@ -48,6 +48,22 @@ def test_equals_brute_force(spark):
     assert repeats.repeats_digest(df.limit(0)).collect() == []
 
 
+def test_anchors_stay_whole_where_joins_are_broadcast_while_they_run(spark):
+    rows = corpus(7)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "100k")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+        for most in (16, 18):
+            got = repeats.without_repeats(df, most_contexts=most).collect()
+            assert sorted(((r.doc_id, sum(s.b - s.a for s in r.removed)) for r in got), key=str) == sorted(((x[0], x[2]) for x in brute(rows)), key=str)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_interval_tree_gives_all_maximal_repeats():
     r = random.Random(4)
     for _ in range(30):
