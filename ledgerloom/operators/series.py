@@ -28,26 +28,33 @@ def drawdown(trades: DataFrame, *keys: str, floor: bool = True) -> DataFrame:
     return run.withColumn("peak", F.greatest("peak", F.lit(0.0)) if floor else F.col("peak")).withColumn("drawdown", F.col("peak") - F.col("equity"))
 
 
+def _exact_drawdown(trades: DataFrame, *keys: str) -> DataFrame:
+    """:func:`drawdown` in decimals of six places, so that an equity that comes back to its peak is neither a new peak nor a drop.
+    In doubles the order of the additions would decide."""
+    run = scans.running(trades, list(keys), BY_TRADE, _day(), {"equity": _pnl().cast("decimal(20,6)")}, {"peak": "equity"})
+    return run.withColumn("peak", F.greatest("peak", F.lit(0))).withColumn("drawdown", F.col("peak") - F.col("equity"))
+
+
 def drawdown_periods(trades: DataFrame, *keys: str) -> DataFrame:
     """Islands between new peaks that hold a drop: start, trough depth, trades, and whether it ended."""
-    d = drawdown(trades, *keys)
+    d = _exact_drawdown(trades, *keys)
     before = Window.partitionBy(*keys).orderBy(*BY_TRADE)
-    new_peak = F.when(F.col("peak") > F.coalesce(F.lag("peak").over(before), F.lit(0.0)), 1).otherwise(0)
+    new_peak = F.when(F.col("peak") > F.coalesce(F.lag("peak").over(before), F.lit(0)), 1).otherwise(0)
     island = d.withColumn("np", new_peak).withColumn("island", F.sum("np").over(_upto(*keys)))
     last = F.max("island").over(Window.partitionBy(*keys))
     under = island.withColumn("open", F.col("island") == last).filter("drawdown > 0")
-    return under.groupBy(*keys, "island").agg(F.min("entry_time").alias("start"), F.max("drawdown").alias("depth"), F.count("*").alias("n"), (~F.bool_or("open")).alias("recovered"))
+    return under.groupBy(*keys, "island").agg(F.min("entry_time").alias("start"), F.max("drawdown").cast("double").alias("depth"), F.count("*").alias("n"), (~F.bool_or("open")).alias("recovered"))
 
 
 def drawdown_recoveries(trades: DataFrame, *keys: str) -> DataFrame:
     """:func:`drawdown_periods` with the time of the deepest point (the first of equals) and that of the new peak that ended it, if any."""
-    d = drawdown(trades, *keys)
+    d = _exact_drawdown(trades, *keys)
     before = Window.partitionBy(*keys).orderBy(*BY_TRADE)
-    new_peak = F.when(F.col("peak") > F.coalesce(F.lag("peak").over(before), F.lit(0.0)), 1).otherwise(0)
+    new_peak = F.when(F.col("peak") > F.coalesce(F.lag("peak").over(before), F.lit(0)), 1).otherwise(0)
     island = d.withColumn("np", new_peak).withColumn("island", F.sum("np").over(_upto(*keys)))
     under = F.col("drawdown") > 0
-    deepest = F.min(F.when(under, F.struct((-F.round("drawdown", 6)).alias("d"), "entry_time", "trade_id")))
-    each = island.groupBy(*keys, "island").agg(F.min("entry_time").alias("began"), F.min(F.when(under, F.col("entry_time"))).alias("start"), F.max("drawdown").alias("depth"), deepest["entry_time"].alias("trough"), F.count_if(under).alias("n"))
+    deepest = F.min(F.when(under, F.struct((-F.col("drawdown")).alias("d"), "entry_time", "trade_id")))
+    each = island.groupBy(*keys, "island").agg(F.min("entry_time").alias("began"), F.min(F.when(under, F.col("entry_time"))).alias("start"), F.max("drawdown").cast("double").alias("depth"), deepest["entry_time"].alias("trough"), F.count_if(under).alias("n"))
     return each.withColumn("recovery", F.lead("began").over(Window.partitionBy(*keys).orderBy("island"))).filter("n > 0").drop("began")
 
 

@@ -172,6 +172,14 @@ def test_anchored_folds_and_drawdown_without_floor(spark):
     assert [r.drawdown for r in sr.drawdown(t, "account_name").orderBy("trade_id").collect()] == [2.0, 1.0, 4.0]
 
 
+def test_an_equity_back_at_its_peak_is_no_drop(spark):
+    profits = [0.3, -0.1, -0.2, 0.3, 0.5]  # in doubles the fourth sum is less than the first
+    t = spark.createDataFrame([(i, "A", T0 + timedelta(minutes=i), p) for i, p in enumerate(profits)], "trade_id long, account_name string, entry_time timestamp, profit_loss double")
+    for f in (sr.drawdown_periods, sr.drawdown_recoveries):
+        (r,) = f(t, "account_name").collect()
+        assert (r.island, r.depth, r.n) == (1, 0.3, 2)
+
+
 def test_known_rows_are_not_imported_again(spark):
     new = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "d")], "k long, v string")
     got = al.new_only(new, spark.createDataFrame([(2,)], "k long"), ["k"]).collect()
