@@ -61,8 +61,9 @@ def drawdown_recoveries(trades: DataFrame, *keys: str) -> DataFrame:
 def sequence_features(trades: DataFrame, *keys: str) -> DataFrame:
     """Result of the next trade, trades left in the day, and whether the side is that of the trade before."""
     w = Window.partitionBy(*keys).orderBy(*BY_TRADE)
-    day = Window.partitionBy(*keys, F.to_date("entry_time")).orderBy(*BY_TRADE).rowsBetween(1, Window.unboundedFollowing)
-    return trades.withColumns({"next": F.lead(_pnl()).over(w), "left_today": F.count("*").over(day), "same_side": F.col("side") == F.lag("side").over(w)})
+    # Counted from the day's last trade back: a frame that runs on to the end of the day is counted anew for every row.
+    left = F.row_number().over(Window.partitionBy(*keys, F.to_date("entry_time")).orderBy(*[F.desc(c) for c in BY_TRADE])) - 1
+    return trades.withColumns({"next": F.lead(_pnl()).over(w), "left_today": left.cast("long"), "same_side": F.col("side") == F.lag("side").over(w)})
 
 
 def rolling_drops(trades: DataFrame, days: int, *keys: str, least: int = 2) -> DataFrame:

@@ -97,3 +97,14 @@ def test_affine_scan_holds_tiny_scales(spark):
     for i, _, a, b in rows:
         x = a * x + b
         assert math.isclose(got[i], x, rel_tol=1e-9, abs_tol=1e-100)  # what is two cuts of e^-300 away counts as nothing
+
+
+def test_no_frame_runs_on_to_the_end(spark):
+    """Spark sums a frame from a row to the end of its partition anew for every row, so time grew with the square of a day's trades."""
+    df = frame(spark, trades(3)).withColumn("side", F.lit("LONG"))
+    for made in (sr.rolling_drops(df, 3, "account_name"), sr.sequence_features(df, "account_name")):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "windowspecdefinition(" in plan and ", unboundedfollowing$()" not in plan.replace("unboundedpreceding$(), unboundedfollowing$()", "")
+    got = {x.trade_id: x.left_today for x in sr.sequence_features(df, "account_name").collect()}
+    for i, key, at, _, _ in trades(3):
+        assert got[i] == sum(r[1] == key and r[2].date() == at.date() and (r[2], r[0]) > (at, i) for r in trades(3))
