@@ -107,6 +107,12 @@ def full_sets(rows: DataFrame, size: int) -> DataFrame:
     return rows.select("cid", "n", "set_key", "text").mapInArrow(run, schema)
 
 
+def _met(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join that never passes through the driver. Spark guesses the size of exploded arrays, and of files of numbers that compress
+    well, far too low, and would broadcast tables of the corpus's size."""
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
 def _keys(sig: Column) -> Column:
     """All keys of a signature: every chunk with each one of its values left out."""
     keys = []
@@ -127,7 +133,7 @@ def components(edges: DataFrame) -> DataFrame:
         """Large: every larger neighbour of u moves to u's smallest. Small: u and its smaller neighbours do."""
         both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"))
-        moved = both.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"), F.col("a").alias("u"))
+        moved = _met(both, low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"), F.col("a").alias("u"))
         moved = moved.filter("a > u") if large else moved
         out = moved.select("a", "b")
         if not large:
@@ -192,11 +198,11 @@ def _split_keys(rows: DataFrame, sets: DataFrame, percent: int, tile: int) -> Da
     component, bring nobody together.
     """
     large = rows.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > tile).select("key")
-    members, rest = rows.join(large, "key", "left_semi").select("cid", "comp").distinct(), rows.join(large, "key", "left_anti")
-    held = members.join(sets.select("cid", "n", "shingles"), "cid").select("cid", "comp", "n", F.explode("shingles").alias("s"))
+    members, rest = _met(rows, large, "key", "left_semi").select("cid", "comp").distinct(), _met(rows, large, "key", "left_anti")
+    held = _met(members, sets.select("cid", "n", "shingles"), "cid").select("cid", "comp", "n", F.explode("shingles").alias("s"))
     often = held.groupBy("s").agg(F.count("*").alias("often"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
     place = F.row_number().over(Window.partitionBy("cid").orderBy("often", "s"))
-    first = held.join(often, "s").withColumn("place", place).filter(100 * (F.col("n") - F.col("place") + 1) >= percent * F.col("n"))
+    first = _met(held, often, "s").withColumn("place", place).filter(100 * (F.col("n") - F.col("place") + 1) >= percent * F.col("n"))
     return rest.select("key", "cid", "comp").unionByName(first.filter("c0 < c1").select(F.xxhash64("s", F.lit("shingle")).alias("key"), "cid", "comp"))
 
 
@@ -207,11 +213,11 @@ def _cross_links(rows: DataFrame, sets: DataFrame, percent: int, tile: int, tile
     members are repeated only where very many share a rare one and are not linked.
     """
     rows = stored(_split_keys(rows, sets, percent, tile), "open")
-    total = rows.join(sets.select("cid", "n"), "cid").groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    total = _met(rows, sets.select("cid", "n"), "cid").groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
     sizes = total.select("key", F.greatest(F.ceil(F.col("m") / tile), F.ceil(F.col("n") / tile_shingles)).cast("int").alias("tiles"))
-    dealt = rows.join(sizes, "key").withColumn("t", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int"))
+    dealt = _met(rows, sizes, "key").withColumn("t", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int"))
     met = dealt.select("key", "cid", "comp", F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least(o, "t").alias("i"), F.greatest(o, "t").alias("j")))).alias("at"))
-    full = met.join(sets.select("cid", "shingles"), "cid").select("key", "at.i", "at.j", "cid", "comp", "shingles")
+    full = _met(met, sets.select("cid", "shingles"), "cid").select("key", "at.i", "at.j", "cid", "comp", "shingles")
     return full.groupBy("key", "i", "j").applyInArrow(lambda k, t: _tile_links(k, t, percent), "a long, b long").distinct()
 
 
@@ -228,20 +234,20 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, row_col: str, size: in
     keyed = classes.select("cid", F.explode(_keys(F.col("sig"))).alias("key"))
     held = keyed.groupBy("key").agg(F.min("cid").alias("low"), F.max("cid").alias("high"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("cid")).alias("print")).filter("low < high")
     leaders = held.groupBy("low", "high", "m", "print").agg(F.min("key").alias("key")).select("key", "low")
-    met = stored(keyed.join(leaders, "key").select("key", "cid", "low"), "met")
+    met = stored(_met(keyed, leaders, "key").select("key", "cid", "low"), "met")
     involved = met.select("cid").distinct().join(classes, "cid").join(texts, F.col("row") == F.col("_row"))
     sets = stored(full_sets(involved, size), "sets")
     links = stored(_star_links(met.filter("cid > low").select(F.col("low").alias("a"), F.col("cid").alias("b")).distinct(), sets, percent), "links")
     comp = stored(components(links), "components")
-    now = met.select("key", "cid").join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    now = _met(met.select("key", "cid"), comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     mixed = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).filter("c0 < c1")
     # A key of two members has had its one pair tested by the star.
-    rest = stored(now.join(mixed.filter("m > 2").select("key"), "key"), "open")
+    rest = stored(_met(now, mixed.filter("m > 2").select("key"), "key"), "open")
     more = stored(_cross_links(rest, sets, percent, tile), "links")
     if not more.isEmpty():
         comp = stored(components(links.unionByName(more)), "components")
 
-    return rows, classes.select("cid", "set_key", "id").join(comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    return rows, _met(classes.select("cid", "set_key", "id"), comp, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 5, percent: int = 85, tile: int = 1024) -> DataFrame:

@@ -94,3 +94,13 @@ def test_pairs_within_the_distance_share_a_key():
             b[i] += 1
         chunk = lambda x, c: x[c * near_dedup.WIDTH : (c + 1) * near_dedup.WIDTH]
         assert any(sum(x != y for x, y in zip(chunk(a, c), chunk(b, c), strict=True)) <= 1 for c in range(near_dedup.CHUNKS))
+
+
+def test_exploded_keys_are_not_broadcast(spark, monkeypatch):
+    """Spark takes 60 keys a signature for a few bytes; the broadcast of all keys filled the driver's memory."""
+    plans = {}
+    plain = near_dedup.stored
+    monkeypatch.setattr(near_dedup, "stored", lambda df, label: plans.setdefault(label, df._jdf.queryExecution().executedPlan().toString()) and plain(df, label))
+    docs = spark.createDataFrame([(i, f"a b c d e f g {i % 3}") for i in range(9)], "doc_id long, text string")
+    assert {r.component_id for r in near_dedup.near_duplicates(docs).collect()} == {0, 1, 2}
+    assert "SortMergeJoin" in plans["met"] and "Broadcast" not in plans["met"]
