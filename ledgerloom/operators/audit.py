@@ -60,6 +60,35 @@ def one_to_one(pairs: DataFrame, rounds: int = 1000) -> DataFrame:
     raise RuntimeError(f"pairs are left after {rounds} rounds")
 
 
+def matched(left: DataFrame, right: DataFrame, keys: list[str], seconds: int = 90, price: float = 2.0, bands: tuple[tuple[str, str], ...] = (("ts", "price"),), most: float = 8.0) -> DataFrame:
+    """``one_to_one(candidates(...))`` without all candidate pairs at once: their number grows with the square of how dense rows lie.
+
+    The greedy walk goes by gap, so it can be cut anywhere: pairs within a small gap are matched to the end, and only rows that are
+    left meet within a larger one. Those of both sides that are left have no partner within the gap before, so there are few pairs
+    again. A step is the largest gap (the band over a power of four) at which about ``most`` pairs a row or fewer are to be
+    expected, by counts of rows in cells of time; it decides about the size of steps only, never about a pair.
+    """
+    widest, done, taken, t0 = float(seconds * len(bands)), 0.0, None, bands[0][0]
+    steps = [widest / 4**k for k in range(13)]
+    counted = lambda df, n, w: df.groupBy(*keys, _cells(F.unix_micros(F.col(t0).cast("timestamp")) / 1e6, w).alias("cell")).agg(F.count("*").alias(n))
+    while done < widest:
+        larger = [w for w in steps if w > done]
+        for gap in larger:
+            if gap == larger[-1]:
+                break
+            met = counted(left, "n_l", gap).join(counted(right, "n_r", gap), [*keys, "cell"], "full")
+            pairs, rows = met.agg(F.sum(2.0 * F.col("n_l") * F.col("n_r")), F.sum(F.coalesce("n_l", F.lit(0)) + F.coalesce("n_r", F.lit(0)))).first()
+            if (pairs or 0.0) <= most * (rows or 0):
+                break
+        near = candidates(left, right, keys, min(gap, seconds), price, bands)
+        now = one_to_one(near if gap == widest else near.filter(F.col("gap") <= gap))
+        taken, done = now if taken is None else taken.unionByName(now), gap
+        if done < widest:
+            rest = lambda df, own: cut(df.join(now.select(F.col(own).alias("id")), "id", "left_anti"))  # noqa: B023, E731
+            left, right = rest(left, "l_id"), rest(right, "r_id")
+    return taken
+
+
 def audit(left: DataFrame, right: DataFrame, matched: DataFrame) -> DataFrame:
     """Every row of both sides: ``side``, ``id``, and the partner's ``match`` or null."""
     one = lambda df, side, own, other: df.select(F.lit(side).alias("side"), "id").join(matched.select(F.col(own).alias("id"), F.col(other).alias("match")), "id", "left")

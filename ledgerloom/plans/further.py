@@ -47,7 +47,7 @@ def _sides(spark, d):
   SELECT l_id, r_id, gap, apart FROM walk WHERE l_id IS NOT NULL""", (v.FILLS, _SIDES, _PAIRS), "gap apart")
 def audit_matches(spark, d):
     left, right = _sides(spark, d)
-    return au.one_to_one(au.candidates(left, right, ["account", "side"], seconds=7200, price=60.0)).select("l_id", "r_id", "gap", "apart")
+    return au.matched(left, right, ["account", "side"], seconds=7200, price=60.0).select("l_id", "r_id", "gap", "apart")
 
 
 @query("audit_summary", """SELECT account, side, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM pairs p WHERE p.l_id = l.id)) AS matchable FROM l GROUP BY ALL""", (v.FILLS, _SIDES, _PAIRS))

@@ -46,6 +46,17 @@ def test_rounds_equal_the_greedy_walk(spark, seed):
     assert au.one_to_one(found.limit(0)).collect() == []
 
 
+def test_steps_by_gap_give_the_greedy_matching(spark, monkeypatch):
+    """Many small steps match what all pairs at once do, and never hold as many pairs."""
+    _, (l, r) = sides(spark, 5)
+    pairs = au.candidates(l, r, ["account"])
+    want, held, whole = {(x.l_id, x.r_id, x.gap) for x in au.one_to_one(pairs).collect()}, [], au.one_to_one
+    monkeypatch.setattr(au, "one_to_one", lambda near: held.append(near.count()) or whole(near))
+    got = au.matched(l, r, ["account"], most=0.5).collect()
+    assert {(x.l_id, x.r_id, x.gap) for x in got} == want and len(got) == len(want)
+    assert len(held) > 1 and max(held) < pairs.count() / 2
+
+
 def test_trades_match_at_entry_and_exit(spark):
     schema = "id long, side string, ts timestamp, price double, out_ts timestamp, out_price double"
     row = lambda i, off, out_off, p=1.0: (i, "LONG", T0 + timedelta(seconds=off), p, T0 + timedelta(seconds=600 + out_off), 5.0)
