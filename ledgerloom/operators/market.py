@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,15 +88,85 @@ def regime_performance(trades: DataFrame, market: DataFrame, low: float = 15.0,
 
 
 def band_matches(left: DataFrame, right: DataFrame, seconds: int = 90, price: float = 2.0) -> DataFrame:
-    """Best partner of each left row within a band of time and price. Rows meet on cells of both, each right row in the nine around
-    its own, so a busy hour meets itself only where prices are near."""
-    sec = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
-    cell = lambda c: F.floor(F.col(c) / F.lit(max(price, 1e-9)))
-    near = lambda c: F.explode(F.array(c - 1, c, c + 1))
-    l = left.withColumn("b", F.floor(sec("ts") / seconds)).withColumn("c", cell("price"))  # noqa: E741
-    r = right.select("account", F.col("ts").alias("r_ts"), F.col("price").alias("r_price"), F.col("fill_id").alias("r_id"))
-    r = r.withColumn("b", near(F.floor(sec("r_ts") / seconds))).withColumn("c", near(cell("r_price")))
-    gap = F.abs(sec("ts") - sec("r_ts"))
-    met = l.join(r, ["account", "b", "c"]).filter((gap <= seconds) & (F.abs(F.col("price") - F.col("r_price")) <= price))
-    best = met.groupBy("fill_id").agg(F.min(F.struct(gap.alias("gap"), F.abs(F.col("price") - F.col("r_price")).alias("d"), F.col("r_id").alias("r_id"))).alias("m"), F.count("*").alias("candidates"))
+    """Best partner of each left row within a band of time and price: the nearest in time, then in price, then the first by id.
+
+    Rows meet in cells of eight bands of time and four of price; a right row goes to its own and to those that its band reaches
+    into, so there are under two of it. The rows of a cell come sorted, and pairs are looked at where they lie, a bounded number
+    at once: no pair is sorted or sent, only the best of each left row. A task holds one cell's rows.
+    """
+    sec = F.unix_timestamp(F.col("ts").cast("timestamp"))
+    wide, high = max(8 * seconds, 1), 4 * max(price, 1e-9)
+    cell, reach = F.floor(F.col("price") / high), 0.26  # a quarter, and some more for the rounding
+    own = left.select("account", F.floor(sec / wide).alias("b"), cell.alias("c"), F.lit(False).alias("right"), sec.alias("t"), F.col("price").cast("double").alias("p"), F.col("fill_id").alias("id"))
+    near = right.withColumn("b", F.explode(F.sequence(F.floor((sec - seconds) / wide), F.floor((sec + seconds) / wide))))
+    near = near.withColumn("c", F.explode(F.sequence(F.floor(F.col("price") / high - reach), F.floor(F.col("price") / high + reach))))
+    near = near.select("account", "b", "c", F.lit(True).alias("right"), sec.alias("t"), F.col("price").cast("double").alias("p"), F.col("fill_id").alias("id"))
+    dealt = own.unionByName(near).dropna(subset=["account", "b", "c"]).repartition("account", "b", "c").sortWithinPartitions("account", "b", "c", "t")
+    kind = dict(dealt.dtypes)["id"]
+    met = dealt.mapInArrow(lambda batches: _best_by_cell(batches, seconds, price), f"fill_id {kind}, r_id {kind}, gap long, d double, candidates long")
+    best = met.groupBy("fill_id").agg(F.min(F.struct("gap", "d", "r_id")).alias("m"), F.sum("candidates").alias("candidates"))
     return best.select("fill_id", "m.r_id", "m.gap", "candidates")
+
+
+def _changes(t: pa.Table) -> np.ndarray:
+    """Whether a row is of another cell than the row before it (not told of the first)."""
+    away = np.zeros(max(len(t) - 1, 0), dtype=bool)
+    for c in ("account", "b", "c"):
+        away |= pc.not_equal(t[c].slice(1), t[c].slice(0, len(t) - 1)).to_numpy()
+    return away
+
+
+def _best_by_cell(batches: Iterator[pa.RecordBatch], seconds: int, price: float) -> Iterator[pa.RecordBatch]:
+    """Whole cells of the sorted rows, as many at once as a batch ends; the last one waits for the next batch."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        if not len(t):
+            continue
+        ends = np.flatnonzero(_changes(t)) + 1
+        last = int(ends[-1]) if len(ends) else 0
+        same = held and not _changes(pa.concat_tables([held[-1].slice(len(held[-1]) - 1), t.slice(0, 1)])).any()
+        if last or not same:
+            whole = [*held, t.slice(0, last)]
+            if held or last:
+                yield from _best_in_bands(pa.concat_tables(whole), seconds, price)
+            held = []
+        held.append(t.slice(last))
+    if held:
+        yield from _best_in_bands(pa.concat_tables(held), seconds, price)
+
+
+def _best_in_bands(t: pa.Table, seconds: int, price: float, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """The best partner of every left row of some cells, and how many it has; about ``most`` pairs are looked at in one go."""
+    t = t.combine_chunks()
+    number = np.concatenate([[0], np.cumsum(_changes(t))])
+    right, at, p = t["right"].to_numpy(), t["t"].to_numpy(), t["p"].to_numpy()
+    l, r = np.flatnonzero(~right), np.flatnonzero(right)  # noqa: E741
+    if not len(l) or not len(r):
+        return
+    # Cells are laid one after another on one axis, further apart than a band.
+    begin = at - at.min()
+    axis = number * (int(begin.max()) + 2 * seconds + 2) + begin
+    low, high = np.searchsorted(axis[r], axis[l] - seconds, "left"), np.searchsorted(axis[r], axis[l] + seconds, "right")
+    place = np.empty(len(t), dtype=np.int64)  # order of the ids, which decides last
+    place[pc.sort_indices(t["id"]).to_numpy()] = np.arange(len(t))
+    before = np.concatenate([[0], np.cumsum(high - low)])
+    a = 0
+    while a < len(l):
+        z = max(a + 1, int(np.searchsorted(before, before[a] + most, "right")) - 1)
+        sizes = (high - low)[a:z]
+        owner = np.repeat(np.arange(a, z), sizes)
+        other = r[np.arange(len(owner)) - np.repeat(before[a:z] - before[a], sizes) + np.repeat(low[a:z], sizes)]
+        d = np.abs(p[l[owner]] - p[other])
+        ok = d <= price
+        owner, other, d = owner[ok], other[ok], d[ok]
+        gap = np.abs(at[l[owner]] - at[other])
+        if len(owner):
+            starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            counts = np.diff(np.append(starts, len(owner)))
+            tied = np.flatnonzero(gap == np.repeat(np.minimum.reduceat(gap, starts), counts))
+            tied = tied[np.lexsort((place[other[tied]], d[tied], owner[tied]))]
+            tied = tied[np.concatenate([[True], owner[tied][1:] != owner[tied][:-1]])]
+            ids = lambda rows: t["id"].take(pa.array(rows)).combine_chunks()
+            yield from pa.table({"fill_id": ids(l[owner[tied]]), "r_id": ids(other[tied]), "gap": gap[tied], "d": d[tied], "candidates": counts.astype(np.int64)}).to_batches()
+        a = z
