@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.lineage import cut
 from ledgerloom.functions.stats import binomial_p_value
 
 from .series import adjusted_p
@@ -75,8 +76,8 @@ def sticky_walk_forward(trades: DataFrame, keys: list[str], market: DataFrame |
     number of trades a year at the fold's rate.
     """
     p = F.col("profit_loss")
-    partial = trades.groupBy("account_name", *keys, F.to_date("entry_time").alias("day")).agg(F.sum(p).alias("pnl"), F.sum(p * p).alias("square"), F.count("*").alias("n"), F.count_if(p > 0).alias("wins"))
-    f = folds(trades, train_days, test_days, anchored=anchored)
+    partial = cut(trades.groupBy("account_name", *keys, F.to_date("entry_time").alias("day")).agg(F.sum(p).alias("pnl"), F.sum(p * p).alias("square"), F.count("*").alias("n"), F.count_if(p > 0).alias("wins")))
+    f = folds(partial, train_days, test_days, anchored=anchored, at="day")
     regime = fold_regimes(f, market) if market is not None else None
     votes = window_votes(partial, f, keys, regime, min_trades=min_trades, min_mean=min_mean, min_win_rate=min_win_rate)
     picks = sticky_picks(votes, keys, sticky=sticky, threshold=threshold)
@@ -92,11 +93,11 @@ def significant_walk_forward(trades: DataFrame, keys: list[str], *, train_days:
     """By fold: how many cells of accounts are significant in training (exact one-sided p of the win rate, adjusted within fold and
     account, half or more wins, mean above zero), and what they gave in the test window; zeros where none is.
 
-    All folds are one plan over daily sums, and the p values are of aggregated rows.
+    All folds are one plan over daily sums, which are stored, and the p values are of aggregated rows.
     """
     p = F.col("profit_loss")
-    partial = trades.groupBy("account_name", *keys, F.to_date("entry_time").alias("day")).agg(F.sum(p).alias("pnl"), F.count("*").alias("n"), F.count_if(p > 0).alias("wins"))
-    f = folds(trades, train_days, test_days)
+    partial = cut(trades.groupBy("account_name", *keys, F.to_date("entry_time").alias("day")).agg(F.sum(p).alias("pnl"), F.count("*").alias("n"), F.count_if(p > 0).alias("wins")))
+    f = folds(partial, train_days, test_days, at="day")
     trained = _within(partial, f, "train_lo", "train_hi").groupBy("fold", "account_name", *keys).agg(*[F.sum(c).alias(c) for c in ("pnl", "n", "wins")]).filter(F.col("n") >= min_trades)
     tested = trained.withColumn("p", binomial_p_value(F.col("wins"), F.col("n"))).withColumn("id", F.struct(*keys))
     q = adjusted_p(tested, ["fold", "account_name"])

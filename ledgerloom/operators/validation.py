@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.lineage import cut
+
 from .simulate import hashed
 
 
-def folds(trades: DataFrame, train_days: int, test_days: int, *, anchored: bool = False) -> DataFrame:
-    """fold, train_lo, train_hi, test_lo, test_hi (half-open) over the span of the entries."""
-    span = trades.agg(F.to_date(F.min("entry_time")).alias("lo"), F.to_date(F.max("entry_time")).alias("hi"))
+def folds(trades: DataFrame, train_days: int, test_days: int, *, anchored: bool = False, at: str = "entry_time") -> DataFrame:
+    """fold, train_lo, train_hi, test_lo, test_hi (half-open) over the span of the entries, or of another column."""
+    span = trades.agg(F.to_date(F.min(at)).alias("lo"), F.to_date(F.max(at)).alias("hi"))
     last = F.floor((F.datediff("hi", "lo") - train_days) / test_days)
     each = span.filter(last >= 0).select("lo", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("fold"))
     shift = (F.col("fold") * test_days).cast("int")
@@ -27,8 +29,9 @@ def _within(partial: DataFrame, f: DataFrame, lo: str, hi: str) -> DataFrame:
 def walk_forward(trades: DataFrame, keys: list[str], *, train_days: int = 365, test_days: int = 90, min_trades: int = 3, anchored: bool = False) -> DataFrame:
     """Per fold: the best account of each cell in training, followed through the test window."""
     p = F.col("profit_loss")
-    partial = trades.groupBy("account_name", *keys, F.to_date("entry_time").alias("day")).agg(F.sum(p).alias("pnl"), F.count("*").alias("n"), F.count_if(p > 0).alias("wins"))
-    f = folds(trades, train_days, test_days, anchored=anchored)
+    # Stored, as training, test and span would each read and join all trades again.
+    partial = cut(trades.groupBy("account_name", *keys, F.to_date("entry_time").alias("day")).agg(F.sum(p).alias("pnl"), F.count("*").alias("n"), F.count_if(p > 0).alias("wins")))
+    f = folds(partial, train_days, test_days, anchored=anchored, at="day")
     trained = _within(partial, f, "train_lo", "train_hi").groupBy("fold", "account_name", *keys).agg(F.sum("pnl").alias("pnl"), F.sum("n").alias("n")).filter(F.col("n") >= min_trades)
     order = Window.partitionBy("fold", *keys).orderBy(F.desc(F.round(F.col("pnl") / F.col("n"), 6)), F.asc("account_name"))
     picks = trained.withColumn("r", F.row_number().over(order)).filter("r = 1 and pnl > 0").select("fold", "account_name", *keys)
