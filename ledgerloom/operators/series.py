@@ -94,10 +94,15 @@ def streaks(trades: DataFrame, *keys: str) -> DataFrame:
 
 
 def features(trades: DataFrame, *keys: str) -> DataFrame:
-    """Lagged profit, change, number in the day, five-trade mean before this trade."""
-    w = Window.partitionBy(*keys).orderBy(*BY_TRADE)
-    day = Window.partitionBy(*keys, F.to_date("entry_time")).orderBy(*BY_TRADE)
-    return trades.withColumns({"prev": F.lag(_pnl()).over(w), "change": _pnl() - F.lag(_pnl()).over(w), "nth_today": F.row_number().over(day), "mean5": F.avg(_pnl()).over(w.rowsBetween(-5, -1))})
+    """Lagged profit, change and the change before it, number in the day, five-trade mean before this trade.
+
+    All look back over five trades at most. So windows run within days, and each day begins with the last five trades before it.
+    """
+    known = scans.led_in(trades, list(keys), BY_TRADE, _day(), ["profit_loss"], 5)
+    w = Window.partitionBy("_at").orderBy(F.desc("_lead"), *BY_TRADE)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    run = known.withColumns({"prev": F.lag(_pnl()).over(w), "before": F.lag(_pnl(), 2).over(w), "nth_today": F.sum(F.when(F.col("_lead"), 0).otherwise(1)).over(upto).cast("int"), "mean5": F.avg(_pnl()).over(w.rowsBetween(-5, -1))})
+    return run.filter("not _lead").withColumns({"change": _pnl() - F.col("prev"), "prev_change": F.col("prev") - F.col("before")}).drop("_at", "_lead", "before")
 
 
 def regimes(market: DataFrame, low: float = 15.0, high: float = 25.0) -> DataFrame:
