@@ -13,10 +13,10 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.lineage import cut
 from ledgerloom.functions.stats import binomial_p_value
 
 from .scans import count_below, running
-from .scenarios import uniform
 from .series import adjusted_p
 from .simulate import hashed
 
@@ -32,6 +32,27 @@ def poisson_weight(u: Column) -> Column:
     return out
 
 
+def weighted(rows: DataFrame, row_id: str, sims: int, seed: int) -> DataFrame:
+    """Every row in every resample (``sim``) with its Poisson weight ``_w``, that of :func:`poisson_weight` of the uniform draw.
+
+    The draw is (h + 0.5) / 2^32 with h the first 8 digits of a digest in hexadecimal, and such digits sort as their numbers do. So
+    the bounds are written as digits, and a digest is compared with one or two of them, without becoming a number.
+    """
+    bounds = []
+    for p in POISSON:
+        h = max(math.ceil(p * (1 << 32)) - 2, 0)
+        while (h + 0.5) / float(1 << 32) < p:
+            h += 1
+        if h < 1 << 32:
+            bounds.append(f"{h:08x}")
+    weight = F.lit(float(len(bounds)))
+    for k in reversed(range(len(bounds))):
+        weight = F.when(F.col("_digest") < bounds[k], float(k)).otherwise(weight)
+    laid = rows.withColumn("_of", F.concat_ws("-", F.lit(seed).cast("string"), F.col(row_id).cast("string"), F.lit("")))
+    laid = laid.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))))
+    return laid.withColumn("_digest", F.md5(F.concat("_of", F.col("sim").cast("string")))).withColumn("_w", weight).drop("_of", "_digest")
+
+
 def bootstrap(rows: DataFrame, keys: list[str], row_id: str, statistic: Callable[[Column], Column], sims: int = 200, seed: int = 42) -> DataFrame:
     """``statistic`` of every resample: keys, ``sim``, ``value``.
 
@@ -39,8 +60,7 @@ def bootstrap(rows: DataFrame, keys: list[str], row_id: str, statistic: Callable
     ``lambda w: F.sum(w * x) / F.sum(w)``; any expression of weighted sums will do. A row counts a Poisson number of times, which is
     the bootstrap of many rows without knowing how many there are.
     """
-    laid = rows.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))))
-    laid = laid.withColumn("_u", uniform(F.lit(seed), F.col(row_id), F.col("sim"))).withColumn("_w", poisson_weight(F.col("_u")).cast("double"))
+    laid = weighted(rows, row_id, sims, seed)
     return laid.groupBy(*keys, "sim").agg(statistic(F.col("_w")).alias("value"))
 
 
@@ -49,8 +69,7 @@ def intervals(rows: DataFrame, keys: list[str], row_id: str, statistics: dict[st
 
     All statistics of a resample come from one pass over the rows.
     """
-    laid = rows.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))))
-    laid = laid.withColumn("_u", uniform(F.lit(seed), F.col(row_id), F.col("sim"))).withColumn("_w", poisson_weight(F.col("_u")).cast("double"))
+    laid = weighted(rows, row_id, sims, seed)
     resampled = laid.groupBy(*keys, "sim").agg(*[s(F.col("_w")).alias(n) for n, s in statistics.items()])
     observed = rows.withColumn("_w", F.lit(1.0)).groupBy(*keys).agg(*[s(F.col("_w")).alias(n) for n, s in statistics.items()])
     long = lambda df, *extra: df.select(*keys, *extra, F.explode(F.array(*[F.struct(F.lit(n).alias("statistic"), F.col(n).cast("double").alias("value")) for n in statistics])).alias("x")).select(*keys, *extra, "x.*")
@@ -76,20 +95,28 @@ def permuted_place(place: Column, size: Column, seed: int, perm: Column, stratum
     ``a`` is a product of two primes above any size (under 2^31), so it has no divisor in common with the size, and the map is
     one to one. Places should be numbered in an order that has nothing to do with the values (:func:`shuffled`).
     """
+    a, b = permutation(size, seed, perm, stratum)
+    return (a * place + b) % size
+
+
+def permutation(size: Column, seed: int, perm: Column, stratum: Column) -> tuple[Column, Column]:
+    """The a and b of :func:`permuted_place`, which hang on the stratum and the permutation alone."""
     primes = F.array(*[F.lit(p) for p in large_primes()])
     pick = lambda name: F.get(primes, (hashed(F.lit(seed), stratum, perm, F.lit(name)) % len(large_primes())).cast("int")) % size
-    a = (pick("p") * pick("q")) % size
-    b = hashed(F.lit(seed), stratum, perm, F.lit("b")) % size
-    return (a * place + b) % size
+    return (pick("p") * pick("q")) % size, hashed(F.lit(seed), stratum, perm, F.lit("b")) % size
 
 
 def shuffled(rows: DataFrame, stratum: str, row_id: str, seed: int) -> DataFrame:
-    """Adds ``place``, the row's number within its stratum in the order of a digest, and ``size``. Digests are cut into ranges, which
-    are numbered by themselves and moved by the counts of those before, so a stratum is as many tasks as it has ranges."""
+    """Adds ``place`` (:func:`places`) and ``size``, that of the stratum."""
+    return places(rows, stratum, row_id, seed).join(rows.groupBy(stratum).agg(F.count("*").alias("size")), stratum)
+
+
+def places(rows: DataFrame, stratum: str, row_id: str, seed: int) -> DataFrame:
+    """Adds ``place``, the row's number within its stratum in the order of a digest. Digests are cut into ranges, which are numbered
+    by themselves and moved by the counts of those before, so a stratum is as many tasks as it has ranges."""
     digest = rows.withColumn("_h", hashed(F.lit(seed), F.col(row_id)))
     numbered = running(digest, [stratum], ["_h", row_id], F.floor(F.col("_h") / (1 << 24)), {"_n": F.lit(1).cast("long")})
-    sizes = rows.groupBy(stratum).agg(F.count("*").alias("size"))
-    return numbered.withColumn("place", F.col("_n") - 1).drop("_h", "_n").join(sizes, stratum)
+    return numbered.withColumn("place", F.col("_n") - 1).drop("_h", "_n")
 
 
 def selected_by_luck(trades: DataFrame, stratum: str, cell: list[str], *, perms: int = 1000, min_trades: int = 30, rate: float = 0.05, seed: int = 42, most_cells: int = 4096) -> DataFrame:
@@ -105,13 +132,17 @@ def selected_by_luck(trades: DataFrame, stratum: str, cell: list[str], *, perms:
     sizes = trades.groupBy(stratum, *cell).agg(F.count("*").alias("n"), F.sum(p).alias("pnl"), F.count_if(p > 0).alias("wins"))
     w = Window.partitionBy(stratum).orderBy(*cell)
     starts = sizes.withColumn("start", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).withColumn("number", F.row_number().over(w) - 1)
-    listed = starts.groupBy(stratum).agg(F.array_sort(F.collect_list("start")).alias("starts"))
-    if listed.filter(F.size("starts") > most_cells).limit(1).collect():
+    listed = cut(starts.groupBy(stratum).agg(F.array_sort(F.collect_list("start")).alias("starts"), F.sum("n").alias("size")))
+    most, strata = listed.agg(F.coalesce(F.max(F.size("starts")), F.lit(0)), F.count("*")).first()
+    if most > most_cells:
         raise ValueError(f"an account has more than {most_cells} cells")
-    rows = shuffled(trades.select(stratum, "trade_id", "profit_loss"), stratum, "trade_id", seed).join(listed, stratum)
-    laid = rows.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(perms - 1))))
-    laid = laid.withColumn("to", permuted_place(F.col("place"), F.col("size"), seed, F.col("perm"), F.col(stratum)))
-    laid = count_below(laid, "after", "starts", F.col("to"), most_cells, equal=True).withColumn("number", F.col("after") - 1)
+    # A permutation of an account is two numbers, made once and not for each of its trades.
+    a, b = permutation(F.col("size"), seed, F.col("perm"), F.col(stratum))
+    dealt = cut(listed.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(perms - 1)))).withColumns({"a": a, "b": b}))
+    rows = places(trades.select(stratum, "trade_id", "profit_loss"), stratum, "trade_id", seed)
+    laid = rows.join(F.broadcast(dealt) if strata * perms <= 50_000 else dealt, stratum)
+    laid = laid.withColumn("to", (F.col("a") * F.col("place") + F.col("b")) % F.col("size"))
+    laid = count_below(laid, "after", "starts", F.col("to"), most, equal=True).withColumn("number", F.col("after") - 1)
     drawn = laid.groupBy(stratum, "perm", "number").agg(F.count("*").alias("n"), F.sum(p).alias("pnl"), F.count_if(p > 0).alias("wins"))
     real = starts.select(stratum, F.lit(-1).alias("perm"), "number", "n", "pnl", "wins")
     tested = drawn.unionByName(real).filter(F.col("n") >= min_trades).withColumn("p", binomial_p_value(F.col("wins"), F.col("n"))).withColumn("id", F.col("number"))
