@@ -49,11 +49,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return own
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write a table into the shared folder and read it back: lineage ends in files any executor can reach."""
+def stored(df: DataFrame, label: str, group_rows: int | None = None) -> DataFrame:
+    """Write a table into the shared folder and read it back: lineage ends in files any executor can reach.
+
+    Readers hold up to 4,096 rows of a row group at once; ``group_rows`` bounds them for tables with rows of very many bytes.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    layout = {} if group_rows is None else {"parquet.block.row.count.limit": group_rows}
+    df.write.option("compression", "zstd").options(**layout).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -52,7 +52,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A place is the number of words before it in the block, with a gap between documents, so no phrase spans two. A block
     ends at ``block_words`` words; a longer text is a block of its own, whole. Null ids and texts are kept (null text: no
-    words); repeated rows are separate documents; an empty table gives an empty index.
+    words); repeated rows are separate documents; an empty table gives an empty index. A block takes most of a megabyte, so
+    a row group has few of them: a task's memory depends on the size of a block, not on how many its file holds.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType
@@ -94,7 +95,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if ids:
             yield emit()
 
-    return stored(docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(blocks, schema), "index")
+    return stored(docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(blocks, schema), "index", group_rows=8)
 
 
 def _exact(lists: dict[int, np.ndarray], phrase: np.ndarray) -> np.ndarray:

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 
 from ledgerloom.llm import decontam
 
@@ -98,3 +99,12 @@ def test_stored_index_holds_all_postings(spark):
         want.setdefault(str(i), []).append(folded(t))
     assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in want.items()}
     assert max(len(r.ids) for r in rows) > 1
+
+
+def test_a_row_group_holds_few_blocks(spark):
+    """Else a reader holds all blocks of a file at once."""
+    docs, items, d, b = data(spark)
+    index = decontam.build_index(d.coalesce(1), block_words=1)
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in index.inputFiles()]
+    assert sum(f.num_rows for f in files) == index.count() > 40
+    assert max(f.row_group(k).num_rows for f in files for k in range(f.num_row_groups)) <= 8
